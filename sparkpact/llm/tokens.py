@@ -7,14 +7,11 @@ only Python counts as white space) go through the library whole."""
 
 from __future__ import annotations
 
-import re
 from itertools import chain, repeat
 
 import numpy as np
 
-WHOLE = re.compile("<\\||[\x1c-\x1f]")
-BEYOND = re.compile("[^\\x00-\\xff]")
-MARK = re.compile("(?<=[a-zß-öø-ÿ])([.,])(?=\\s|$)")
+WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 END = 0
 _open: dict = {}
 
@@ -43,28 +40,55 @@ class Encoder:
             setattr(self, name, grown)
 
     def _learn(self, words: list[str]) -> None:
-        at = len(self.index)
+        """Adds words. A full stop or comma after an ASCII letter is a piece of its own, so that
+        such a word is the word without it and the mark."""
+        marked = [w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isascii() and w[-2].isalpha()]
+        if marked:
+            odd = set(marked)
+            parts = dict.fromkeys([*(w[:-1] for w in marked), ".", ","])
+            self._add([w for w in dict.fromkeys([*(w for w in words if w not in odd), *parts]) if w not in self.index])
+            at = [(self.index[w[:-1]], self.index[w[-1]]) for w in marked]
+            left, right = (np.array(x, "i8") for x in zip(*at))
+            n = self.counts[left].astype("i8") + self.counts[right]
+            total, first = int(n.sum()), self._place(marked, n)
+            ends = np.cumsum(n)
+            nth = np.arange(total) - np.repeat(ends - n, n)
+            of = np.repeat(self.counts[left], n)
+            base = np.where(nth < of, np.repeat(self.starts[left], n), np.repeat(self.starts[right], n) - of)
+            self.flat[first : first + total] = self.flat[base + nth]
+        else:
+            self._add(words)
+
+    def _add(self, words: list[str]) -> None:
         ids = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), "i8", len(ids))
-        total = int(counts.sum())
-        self._room("flat", self.used + total)
+        total, first = int(counts.sum()), self._place(words, counts)
+        self.flat[first : first + total] = np.fromiter(chain.from_iterable(ids), "u2", total)
+
+    def _place(self, words: list[str], counts: np.ndarray) -> int:
+        """Room for new words' ids; where it begins."""
+        at, first, total = len(self.index), self.used, int(counts.sum())
+        self._room("flat", first + total)
         self._room("starts", at + len(words))
         self._room("counts", at + len(words))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), "u2", total)
-        self.starts[at : at + len(words)] = self.used + np.cumsum(counts) - counts
+        self.starts[at : at + len(words)] = first + np.cumsum(counts) - counts
         self.counts[at : at + len(words)] = counts
         self.used += total
         self.index.update(zip(words, range(at, at + len(words))))
+        return first
 
     @staticmethod
     def _plain(text: str) -> str:
-        """The same ids from fewer distinct words: the vocabulary has no upper case, and a mark
-        after a letter is a piece of its own. Only for Latin-1, where lower case is one to one."""
-        return text if BEYOND.search(text) else MARK.sub(r" \1", text.lower())
+        """The vocabulary has no upper case. Only for Latin-1, where lower case is one to one."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
-        whole = [i for i, t in enumerate(texts) if WHOLE.search(t)]
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in WHOLE)]
         if whole:
             odd = set(whole)
             flat, counts = self.encode([t for i, t in enumerate(texts) if i not in odd])
@@ -86,7 +110,7 @@ class Encoder:
         at = np.fromiter(map(self.index.get, words, repeat(-1)), "i4", len(words))
         if len(lost := np.flatnonzero(at < 0)):
             self._learn(list(dict.fromkeys(map(words.__getitem__, lost.tolist()))))
-            at[lost] = np.fromiter((self.index[words[i]] for i in lost.tolist()), "i4", len(lost))
+            at[lost] = np.fromiter(map(self.index.__getitem__, map(words.__getitem__, lost.tolist())), "i4", len(lost))
         counts = self.counts[at]
         ends = np.cumsum(counts, dtype="i8")
         flat = self.flat[np.repeat((self.starts[at] - ends + counts).astype("i4"), counts) + np.arange(ends[-1], dtype="i4")]
