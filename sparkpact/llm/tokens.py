@@ -13,6 +13,10 @@ import numpy as np
 
 WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 END = 0
+#: The byte alphabet of byte-level vocabularies: printable Latin-1 stands for itself, the other bytes
+#: for the characters from 256 on.
+ODD = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+BYTES = {b: 256 + k for k, b in enumerate(ODD)}
 _open: dict = {}
 
 
@@ -60,9 +64,16 @@ class Encoder:
             self._add(words)
 
     def _add(self, words: list[str]) -> None:
-        ids = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        """Words of Latin-1 letters only are one piece that the normaliser leaves as it is, so they
+        go straight to the library's model, in the byte alphabet; others go all the way."""
+        plain = [w for w in words if w.isalpha() and w.islower() and (w.isascii() or max(w) <= "\xff")]
+        of = dict(zip(plain, plain))
+        rest = [w for w in words if w not in of]
+        model = self.library.model.tokenize
+        ids = [[t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))] for w in plain]
+        ids += [x.ids for x in self.library.encode_batch_fast(rest, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), "i8", len(ids))
-        total, first = int(counts.sum()), self._place(words, counts)
+        total, first = int(counts.sum()), self._place([*plain, *rest], counts)
         self.flat[first : first + total] = np.fromiter(chain.from_iterable(ids), "u2", total)
 
     def _place(self, words: list[str], counts: np.ndarray) -> int:
