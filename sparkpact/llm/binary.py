@@ -37,6 +37,10 @@ def pair_counts(ids: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pairs[at], np.diff(np.append(at, len(pairs)))
 
 
+def hashed(pairs: np.ndarray) -> np.ndarray:
+    return pairs * np.uint32(2654435761) >> np.uint32(16)
+
+
 def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = 5, batch: int = 1024, least: int = 16):
     """(rules (n, 2), symbols, first symbol of each document) for documents of `counts` ids each.
 
@@ -58,14 +62,18 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = 5, ba
             best = best[np.argsort(-n[best], kind="stable")[:take]]
         if not len(best):
             break
-        chosen = np.sort(pairs[best])
+        slot = hashed(pairs[best])
+        # of pairs with the same hash the first waits for a later round
+        table = np.full(1 << 16, -1, "i4")
+        table[slot] = np.arange(len(best))
+        chosen = pairs[best[np.sort(table[np.unique(slot)])]]
+        table[hashed(chosen)] = np.arange(len(chosen))
         number = np.arange(len(chosen), dtype="u4") + (base + sum(map(len, rules)))
-        table = np.zeros(1 << 16, bool)
-        table[chosen >> np.uint32(16)] = True
-        maybe = np.flatnonzero(table[ids[:-1]] & ~last[:-1])
-        keys = ids[maybe].astype("u4") << np.uint32(16) | ids[maybe + 1]
-        found = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-        hit = chosen[found] == keys
+        keys = ids[:-1].astype("u4") << np.uint32(16) | ids[1:]
+        found = table[hashed(keys)]
+        maybe = np.flatnonzero((found >= 0) & ~last[:-1])
+        found = found[maybe]
+        hit = chosen[found] == keys[maybe]
         at, symbol = maybe[hit], number[found[hit]]
         run = np.append(True, np.diff(at) != 1)
         begins = np.flatnonzero(run)
