@@ -16,6 +16,7 @@ END = 0
 #: The byte alphabet of byte-level vocabularies: printable Latin-1 stands for itself, the other bytes
 #: for the characters from 256 on.
 ODD = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+MARKS = "".join(c for c in map(chr, range(33, 256)) if not c.isalnum() and not c.isspace())
 BYTES = {b: 256 + k for k, b in enumerate(ODD)}
 _open: dict = {}
 
@@ -23,14 +24,15 @@ _open: dict = {}
 class Encoder:
     """Ids of texts as one flat array; keeps at most `most` words."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000, few: int = 30_000):
         from tokenizers import Tokenizer
 
-        self.library, self.most = Tokenizer.from_file(path), most
+        self.library, self.most, self.few = Tokenizer.from_file(path), most, few
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.hot: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, "u2")  # a vocabulary of at most 65,536
         self.starts = np.zeros(1 << 14, "i4")
         self.counts = np.zeros(1 << 14, "i4")
@@ -44,17 +46,18 @@ class Encoder:
             setattr(self, name, grown)
 
     def _learn(self, words: list[str]) -> None:
-        """Adds words. A full stop or comma after an ASCII letter is a piece of its own, so that
-        such a word is the word without it and the mark."""
-        marked = [w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isascii() and w[-2].isalpha()]
+        """Adds words. Marks behind letters are a piece of their own, so such a word is the word
+        without them and the marks."""
+        stems = [w.rstrip(MARKS) for w in words]
+        marked = [(w, s, w[len(s) :]) for w, s in zip(words, stems) if len(s) < len(w) and s.isalpha()]
         if marked:
-            odd = set(marked)
-            parts = dict.fromkeys([*(w[:-1] for w in marked), ".", ","])
-            self._add([w for w in dict.fromkeys([*(w for w in words if w not in odd), *parts]) if w not in self.index])
-            at = [(self.index[w[:-1]], self.index[w[-1]]) for w in marked]
-            left, right = (np.array(x, "i8") for x in zip(*at))
+            whole, left, right = zip(*marked)
+            odd = set(whole)
+            parts = dict.fromkeys(chain((w for w in words if w not in odd), left, right))
+            self._add([w for w in parts if w not in self.index])
+            left, right = (np.fromiter(map(self.index.__getitem__, x), "i8", len(x)) for x in (left, right))
             n = self.counts[left].astype("i8") + self.counts[right]
-            total, first = int(n.sum()), self._place(marked, n)
+            total, first = int(n.sum()), self._place(whole, n)
             ends = np.cumsum(n)
             nth = np.arange(total) - np.repeat(ends - n, n)
             of = np.repeat(self.counts[left], n)
@@ -86,6 +89,8 @@ class Encoder:
         self.counts[at : at + len(words)] = counts
         self.used += total
         self.index.update(zip(words, range(at, at + len(words))))
+        if at < self.few:  # the first words met are mostly the frequent ones; a small table is quicker
+            self.hot.update(zip(words, range(at, at + len(words))))
         return first
 
     @staticmethod
@@ -118,8 +123,10 @@ class Encoder:
             return np.zeros(0, "u2"), np.zeros(len(texts), "i8")
         if len(self.index) > self.most:
             self.clear()
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), "i4", len(words))
-        if len(lost := np.flatnonzero(at < 0)):
+        at = np.fromiter(map(self.hot.get, words, repeat(-1)), "i4", len(words))
+        lost = np.flatnonzero(at < 0)
+        at[lost] = np.fromiter(map(self.index.get, map(words.__getitem__, lost.tolist()), repeat(-1)), "i4", len(lost))
+        if len(lost := lost[at[lost] < 0]):
             self._learn(list(dict.fromkeys(map(words.__getitem__, lost.tolist()))))
             at[lost] = np.fromiter(map(self.index.__getitem__, map(words.__getitem__, lost.tolist())), "i4", len(lost))
         counts = self.counts[at]
@@ -140,7 +147,7 @@ def encoder(path: str) -> Encoder:
     return _open[path]
 
 
-def blocks(texts: list, size: int = 4_000_000):
+def blocks(texts: list, size: int = 1_000_000):
     """(first, texts) in runs of about `size` characters; null: empty."""
     first, run, n = 0, [], 0
     for i, t in enumerate(texts):
