@@ -147,7 +147,7 @@ class Shard:
         return self.expand(self.symbols[first:last])
 
 
-def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int, base: int = 49_408, shard_tokens: int = 2_000_000, part_rows: int = 8_000) -> None:
+def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int, base: int = 49_408, shard_tokens: int = 1_000_000, part_rows: int = 8_000) -> None:
     """Encodes every whole text and writes shards to `path`, ranges of doc_id by ascending part."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
