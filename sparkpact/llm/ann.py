@@ -40,32 +40,36 @@ class Index:
         self.a = lines_of(x.shape[1] + 1, lines)
         p = (lift(x, longest) @ self.a.T).astype("f4")
         order = np.argsort(p, axis=0)
-        self.order = order.T.astype("i4")
         self.sorted = np.ascontiguousarray(np.take_along_axis(p, order, 0).T)
+        self.rank = np.empty(self.sorted.shape, "u2" if len(ids) < 1 << 16 else "u4")
+        np.put_along_axis(self.rank, order.T, np.arange(len(ids), dtype=self.rank.dtype)[None, :], 1)
 
-    def candidates(self, q: np.ndarray, threshold: float, wanted: int, width: float = 0.6, growth: float = 1.25) -> list[np.ndarray]:
+    def candidates(self, q: np.ndarray, threshold: float, wanted: int, width: float = 0.7, growth: float = 1.1) -> list[np.ndarray]:
         """For every query the vectors that collide on at least threshold * lines lines, at the first
-        width at which there are `wanted` of them (or all are inside)."""
+        width at which there are `wanted` of them (or all are inside).
+
+        A window is an interval of places in a line's sorted array; a vector lies inside if its own
+        place does."""
         n, lines = len(self.ids), len(self.a)
         least, wanted = int(np.ceil(threshold * lines)), min(wanted, n)
         lifted = np.append(q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1)), 1)
         at = (lifted @ self.a.T).astype("f4")
-        out: list[np.ndarray] = []
-        for row in at:
-            count, half = np.zeros(n, "i4"), width
-            lo = hi = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, row)])
-            while True:
-                new_lo = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, row - half)])
-                new_hi = np.array([np.searchsorted(s, v, "right") for s, v in zip(self.sorted, row + half)])
-                new_lo, new_hi = np.minimum(new_lo, lo), np.maximum(new_hi, hi)
-                grown = [o[a:b] for o, a, b in zip(self.order, new_lo, lo)] + [o[a:b] for o, a, b in zip(self.order, hi, new_hi)]
-                count += np.bincount(np.concatenate(grown), minlength=n)
-                lo, hi = new_lo, new_hi
-                found = np.flatnonzero(count >= least)
-                if len(found) >= wanted or (lo.max() == 0 and hi.min() == n):
-                    out.append(found)
-                    break
-                half *= growth
+        out: list = [None] * len(q)
+        left, half = np.arange(len(q)), width
+        sums = np.min_scalar_type(lines)
+        offset, inside = np.empty_like(self.rank), np.empty(self.rank.shape, bool)
+        while len(left):
+            lo = np.stack([np.searchsorted(s, v) for s, v in zip(self.sorted, (at[left] - half).T)], 1)
+            hi = np.stack([np.searchsorted(s, v, "right") for s, v in zip(self.sorted, (at[left] + half).T)], 1)
+            low, size = lo.astype(self.rank.dtype), (hi - lo).astype(self.rank.dtype)
+            done = np.zeros(len(left), bool)
+            for k, i in enumerate(left.tolist()):
+                np.subtract(self.rank, low[k][:, None], out=offset)  # below `low` it wraps round
+                np.less(offset, size[k][:, None], out=inside)
+                found = np.flatnonzero(np.add.reduce(inside.view("u1"), axis=0, dtype=sums) >= least)
+                if len(found) >= wanted or (lo[k].max() == 0 and hi[k].min() == n):
+                    out[i], done[k] = found, True
+            left, half = left[~done], half * growth
         return out
 
 
@@ -80,7 +84,7 @@ def best(index: Index, own: int, q: np.ndarray, among: np.ndarray, k: int) -> tu
     return index.ids[among[order]], scores[order]
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, lines: int = 160, threshold: float = 0.5, share: float = 0.12, recall: float = 0.9, shard: int = 8192, block: int = 1024, audit: int = 16) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, lines: int = 128, threshold: float = 0.5, share: float = 0.12, recall: float = 0.9, shard: int = 8192, block: int = 1024, audit: int = 16) -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose id is divisible by `every` its k nearest.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take
@@ -132,6 +136,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, lines: int = 160,
         n = [len(o[0]) for o in out]
         return pa.table({"query_id": np.repeat(ids, n), "vec_id": np.concatenate([o[0] for o in out]), "score": np.concatenate([o[1] for o in out])})
 
-    hits = indexed.join(asked, "dim").groupBy("dim", "shard", "block").applyInArrow(visit, "query_id long, vec_id long, score double")
+    met = indexed.join(asked, "dim").repartition(max(1, indexed.count() * asked.count()), "dim", "shard", "block")
+    hits = met.groupBy("dim", "shard", "block").applyInArrow(visit, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
