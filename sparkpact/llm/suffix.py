@@ -105,6 +105,14 @@ def pack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype("i8") << bits(b) | b
 
 
+def below(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How many of `ordered` are less than each x; asked in order, which keeps the search local."""
+    order = np.argsort(x)
+    out = np.empty(len(x), "i8")
+    out[order] = np.searchsorted(ordered, x[order])
+    return out
+
+
 def suffix_ranks(t: np.ndarray, limit: int) -> np.ndarray:
     """Ranks from 1 of all suffixes of t (symbols from 1), in order by their first `limit` symbols at
     least: suffixes alike in these have ranks side by side. Difference cover of 3."""
@@ -127,10 +135,10 @@ def suffix_ranks(t: np.ndarray, limit: int) -> np.ndarray:
     three = pack(pack(s[q], s[q + 1]), rank[q + 2])
     b0, b2 = three[: len(p0)], three[len(p0) :]
     out = np.zeros(n, "i8")
-    s0, s1, t0, t2, r = np.sort(a0), np.sort(a1), np.sort(b0), np.sort(b2), np.sort(name)
-    out[p0] = np.searchsorted(s0, a0) + np.searchsorted(s1, a0) + np.searchsorted(t2, b0)
-    out[p1] = np.searchsorted(r, name[: len(p1)]) + np.searchsorted(s0, a1)
-    out[p2] = np.searchsorted(r, name[len(p1) :]) + np.searchsorted(t0, b2)
+    names = np.sort(name)
+    out[p0] = below(np.sort(a0), a0) + below(np.sort(a1), a0) + below(np.sort(b2), b0)
+    out[p1] = below(names, name[: len(p1)]) + below(np.sort(a0), a1)
+    out[p2] = below(names, name[len(p1) :]) + below(np.sort(b0), b2)
     return out + 1
 
 
