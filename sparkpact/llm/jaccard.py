@@ -2,8 +2,10 @@
 
 Documents are sets of word shingles. Sets that could link are brought together exactly (no link
 can be missed): hash space is cut into parts, more than two linked sets can differ in, so that
-they agree on a part with enough shingles. Sets joined by such agreements form a cluster. Inside a
-cluster, signature trees hold OR-combined token bitmaps and size ranges; a dual traversal drops node
+they agree on a number of parts. A set that agrees with others on fewer parts than any link needs is
+dropped, and of the rest only the rarest parts count, as many as a link cannot do without; so a
+passage that many documents share brings none of them together. Sets joined by what is left form a
+cluster. Inside a cluster, signature trees hold OR-combined token bitmaps and size ranges; a dual traversal drops node
 pairs by the largest overlap they could have, and exact intersections decide what is left.
 
 Clusters over a block are dealt out as pairs of blocks, so no task holds a large cluster."""
@@ -96,32 +98,40 @@ class Parts:
         b = a * 100 // self.percent
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-    def signatures(self, own: np.ndarray) -> np.ndarray:
-        """Of a sorted distinct set, at its own level and the one below."""
-        if not len(own):
-            return np.zeros(0, "u8")
-        level = int(np.searchsorted(self.bounds, len(own)))
-        found = []
+    def signatures(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, needs) of a sorted distinct set, at its own level and the one below. A need is
+        the least number of signatures of that level that any linked set shares; below, it is negative."""
+        found, needs = [], []
+        level = int(np.searchsorted(self.bounds, len(own))) if len(own) else -1
         for e in (level, level - 1):
             if e < 0 or not (d := self.differ(e)):
                 continue  # sets that may differ in nothing are equal, and equal sets are one
-            m = d + 1 + (d * 2 // 5 + 2)
-            part = (own >> np.uint64(20)) % np.uint64(m)
-            order = np.argsort(part.astype("i8"), kind="stable")
-            part = part[order].astype("i8")
+            spare = d * 2 // 5 + 2
+            m = d + 1 + spare
+            part = ((own >> np.uint64(20)) % np.uint64(m)).astype("i8")
+            order = np.argsort(part, kind="stable")
+            part = part[order]
             begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             size = np.diff(np.append(begin, len(part)))
             sums = np.add.reduceat(mix(own[order] ^ K3), begin)
             strong = size >= self.weak
             which = part[begin]
-            salt = np.array([e + 1], "u8") * K2
-            if m - int(strong.sum()) <= d * 2 // 5 + 2:
+            left_out = m - int(strong.sum())
+            if left_out <= spare:
                 which, sums = which[strong], sums[strong]
             else:
+                left_out = spare  # the other set may leave out as many
                 empty = np.setdiff1d(np.arange(m), which, assume_unique=True)
                 which, sums = np.append(which, empty), np.append(sums, np.zeros(len(empty), "u8"))
+            largest = len(own) * 100 // self.percent if e == level else self.high[e]
+            most = (len(own) + largest) * (100 - self.percent) // (100 + self.percent)
+            need = min(max(1, m - most - left_out), 32_000)
+            salt = np.array([e + 1], "u8") * K2
             found.append(mix(sums + mix(which.astype("u8") * K1 + salt)))
-        return np.concatenate(found) if found else np.zeros(0, "u8")
+            needs.append(np.full(len(which), need if e == level else -need, "i2"))
+        if not found:
+            return np.zeros(0, "u8"), np.zeros(0, "i2")
+        return np.concatenate(found), np.concatenate(needs)
 
 
 def set_key(own: np.ndarray) -> int:
@@ -130,62 +140,118 @@ def set_key(own: np.ndarray) -> int:
     return int(mix(folded).view("i8")[0])
 
 
+def dealt(bucket: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """A row per bucket with the bytes of each column's entries."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, "i8")
+    cuts = list(zip(at.tolist(), np.append(at[1:], len(bucket)).tolist()))
+    made = {"bucket": pa.array(bucket[at].astype("i4"), pa.int32())}
+    for name, x in columns.items():
+        x = x[order]
+        made[name] = pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary())
+    return pa.table(made)
+
+
+def joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def describe(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, n and key of every document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in blocks(batch.column(1).to_pylist()):
+                sets = list(shingle_sets(texts, shingle))
+                made = [batch.column(0).slice(first, len(texts)), pa.array(list(map(len, sets)), pa.int64()), pa.array([set_key(s) if len(s) else 0 for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n", "key"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, key long")
+
+
+ENTRIES = "bucket int, sig binary, key binary, need binary"
+
+
 def sign(docs: DataFrame, shingle: int, parts: Parts, buckets: int) -> DataFrame:
-    """Rows of two kinds: documents (doc_id, n, key), and per bucket blocks of signatures with keys."""
+    """Blocks of signatures by bucket, with the key of their set and its need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
+        held: list[tuple] = []
 
         def block():
-            sig, key = np.concatenate(held), np.concatenate(owners)
-            held.clear(), owners.clear()
-            bucket = ((sig >> np.uint64(8)) % np.uint64(buckets)).astype("i4")
-            order = np.argsort(bucket, kind="stable")
-            sig, key, bucket = sig[order], key[order], bucket[order]
-            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            cuts = list(zip(at.tolist(), np.append(at[1:], len(bucket)).tolist()))
-            return rows([None] * len(cuts), [None] * len(cuts), [None] * len(cuts), bucket[at].tolist(), [sig[a:b].tobytes() for a, b in cuts], [key[a:b].tobytes() for a, b in cuts])
-
-        def rows(*columns):
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n", "key", "bucket", "sigs", "keys"])
+            sig, need = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            key = np.repeat(np.array([h[2] for h in held], "i8"), [len(h[0]) for h in held])
+            held.clear()
+            return dealt((sig >> np.uint64(8)) % np.uint64(buckets), sig=sig, key=key, need=need).to_batches()
 
+        size = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, run_ in blocks(texts):
-                sizes, keys = [], []
-                for own in shingle_sets(run_, shingle):
-                    key = set_key(own) if len(own) else 0
-                    sizes.append(len(own)), keys.append(key)
-                    if len(own) and key not in seen:  # copies in this task sign once
+            for _, texts in blocks(batch.column(0).to_pylist()):
+                for own in shingle_sets(texts, shingle):
+                    if len(own) and (key := set_key(own)) not in seen:  # copies in this task sign once
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(key)
-                        held.append(parts.signatures(own))
-                        owners.append(np.full(len(held[-1]), key, "i8"))
-                n = len(sizes)
-                yield rows(ids[first : first + n], sizes, keys, [None] * n, [None] * n, [None] * n)
-                if sum(map(len, held)) > 2_000_000:
-                    yield block()
-        if sum(map(len, held)):
-            yield block()
+                        held.append((*parts.signatures(own), key))
+                        size += len(held[-1][0])
+                if size > 2_000_000:
+                    yield from block()
+                    size = 0
+        if size:
+            yield from block()
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, ENTRIES)
+
+
+def by_signature(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """(sig, key, need, sets that share the signature) of the signatures that several sets share."""
+    sig, key, need = (joined(group, c, k) for c, k in (("sig", "u8"), ("key", "i8"), ("need", "i2")))
+    order = np.lexsort((key, sig))
+    sig, key, need = sig[order], key[order], need[order]
+    once = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])) if len(sig) else np.zeros(0, bool)
+    sig, key, need = sig[once], key[once], need[once]
+    at = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, "i8")
+    n = np.diff(np.append(at, len(sig)))
+    size = np.repeat(n, n)
+    keep = size > 1
+    return sig[keep], key[keep], need[keep], size[keep].astype("i4")
+
+
+def shared(blocks_: DataFrame, homes: int) -> DataFrame:
+    """Entries whose signature several sets share, sent to the home of their set."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sig, key, need, size = by_signature(group)
+        return dealt(np.mod(key, homes), sig=sig, key=key, need=need, size=size)
+
+    return blocks_.groupBy("bucket").applyInArrow(run, ENTRIES + ", size binary")
+
+
+def needed(entries: DataFrame, buckets: int, rarest: bool) -> DataFrame:
+    """Entries of the sets that share as many signatures as a link needs; with `rarest`, only as many
+    of the least shared ones as must hold one in common with any linked set."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sig, key, need, size = (joined(group, c, k) for c, k in (("sig", "u8"), ("key", "i8"), ("need", "i2"), ("size", "i4")))
+        order = np.lexsort((sig, size, need < 0, key))
+        sig, key, need = sig[order], key[order], need[order]
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | ((need[1:] < 0) != (need[:-1] < 0)))) if len(key) else np.zeros(0, "i8")
+        n = np.diff(np.append(at, len(key)))
+        nth, count, least = np.arange(len(key)) - np.repeat(at, n), np.repeat(n, n), np.abs(need.astype("i8"))
+        keep = nth < count - least + 1 if rarest else count >= least
+        sig, key, need = sig[keep], key[keep], need[keep]
+        return dealt((sig >> np.uint64(8)) % np.uint64(buckets), sig=sig, key=key, need=need)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, key long, bucket int, sigs binary, keys binary")
+    return entries.groupBy("bucket").applyInArrow(run, ENTRIES)
 
 
-def agreements(blocks_: DataFrame) -> DataFrame:
+def agreements(entries: DataFrame) -> DataFrame:
     """(a, b): keys that agree on a signature, as a spanning forest per bucket."""
 
     def run(group: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(group.column("sigs").to_pylist()), "u8")
-        key = np.frombuffer(b"".join(group.column("keys").to_pylist()), "i8")
-        order = np.argsort(sig, kind="stable")
-        sig, key = sig[order], key[order]
-        same = sig[1:] == sig[:-1]
-        keep = np.append(same, False) | np.append(False, same)
-        sig, key = sig[keep], key[keep]
+        sig, key, _, _ = by_signature(group)
         nodes, at = np.unique(key, return_inverse=True)
         union = Union(len(nodes))
         pair = np.flatnonzero(sig[1:] == sig[:-1])
@@ -194,7 +260,7 @@ def agreements(blocks_: DataFrame) -> DataFrame:
         a, b = tree_edges(nodes, union.roots())
         return pa.table({"a": a, "b": b})
 
-    return blocks_.groupBy("bucket").applyInArrow(run, "a long, b long")
+    return entries.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 class Tree:
@@ -308,10 +374,13 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, blo
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     n_rows = docs.count()
-    parts = Parts(percent)
-    signed = scratch.save(sign(docs, shingle, parts, split_count(n_rows, 1000, 64)), "signed")
-    rows = signed.where("bucket is null").select("doc_id", "n", "key")
-    near = scratch.save(agreements(signed.where("bucket is not null").select("bucket", "sigs", "keys")), "near")
+    buckets = split_count(n_rows, 1000, 64)
+    rows = scratch.save(describe(docs, shingle), "rows")
+    entries = scratch.save(shared(sign(docs, shingle, Parts(percent), buckets), buckets), "shared")
+    entries = needed(entries, buckets, False)
+    entries = needed(shared(entries, buckets), buckets, True)
+    near = scratch.save(agreements(entries), "near")
+    scratch.drop("shared")
     clusters = components(near, scratch, "clusters").select(F.col("node").alias("key"), F.col("root").alias("cluster"))
     large = clusters.groupBy("cluster").count().where(F.col("count") > block).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
     # fewer than keys / block rows
