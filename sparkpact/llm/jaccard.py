@@ -157,17 +157,21 @@ def joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
+def text_hash() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def describe(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n and key of every document's set."""
+    """doc_id, n and key of every document's set, and a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in blocks(batch.column(1).to_pylist()):
                 sets = list(shingle_sets(texts, shingle))
-                made = [batch.column(0).slice(first, len(texts)), pa.array(list(map(len, sets)), pa.int64()), pa.array([set_key(s) if len(s) else 0 for s in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n", "key"])
+                made = [batch.column(0).slice(first, len(texts)), pa.array(list(map(len, sets)), pa.int64()), pa.array([set_key(s) if len(s) else 0 for s in sets], pa.int64()), batch.column(2).slice(first, len(texts))]
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n", "key", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, key long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash()).mapInArrow(run, "doc_id long, n long, key long, text_hash long")
 
 
 ENTRIES = "bucket int, sig binary, key binary, need binary"
@@ -371,6 +375,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, blo
     empty texts have no shingle and link with nothing. Repeated rows are equal sets and so
     link; null doc_ids are kept and never name a component that has another id. An empty table
     gives no rows. Other columns are ignored."""
+    return jaccard_rows(docs, shingle, percent, block, most_broadcast).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_rows(docs: DataFrame, shingle: int, percent: int, block: int = 1024, most_broadcast: int = 400_000) -> DataFrame:
+    """As jaccard_components, with text_hash and component_key, a number for the component."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     n_rows = docs.count()
@@ -430,5 +439,25 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, blo
     joined = components(links, scratch, "components")
     named = joined.join(classes, joined["node"] == classes["key"]).select("node", "root", "rep")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
-    of_key = scratch.save(classes.select("key", "rep").join(named.select(F.col("node").alias("key"), "root").join(smallest, "root").select("key", "component"), "key", "left").select("key", F.coalesce("component", "rep").alias("component")), "of-key")
-    return rows.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_key = scratch.save(classes.select("key", "rep").join(named.select(F.col("node").alias("key"), "root").join(smallest, "root").select("key", "component", "root"), "key", "left").select("key", F.coalesce("component", "rep").alias("component"), F.coalesce("root", "key").alias("root")), "of-key")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return rows.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash", F.col("root").alias("component_key"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, most_broadcast: int = 400_000) -> DataFrame:
+    """`docs` with one row of each group of linked documents, the one of the smallest doc_id (null
+    last; then the smallest hash of the text). Rows without any shingle stay. Columns stay as they are."""
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    rows = scratch.save(jaccard_rows(docs, shingle, percent).where("n_shingles > 0"), "rows")
+    who = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = rows.groupBy("component_key").agg(F.min(who).alias("first"))
+    marked = rows.join(first, "component_key").withColumn("loses", who != F.col("first"))
+    lost = scratch.save(marked.where("loses").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "lost")
+    twice = scratch.save(marked.where("not loses").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).count().where("count > 1"), "twice")
+    small = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df  # noqa: E731  16 bytes a row
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (text_hash() == F.col("_hash"))
+    left = docs.join(small(lost), same, "left_anti")
+    if twice.isEmpty():
+        return left
+    once = left.join(small(twice.drop("count")), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(small(twice.drop("count")), same, "left_anti").unionByName(once.select(*left.columns))

@@ -103,6 +103,17 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
     return mix(docs, **options).drop("_key", "_order")
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """`docs` as the mix has them: a row for each time (rounded) that its words are taken, none for
+    documents left out. Only a source's document at the end of its last round is taken in part."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    rows = mix(docs, **options).groupBy("doc_id", "_key").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken"))
+    rows = rows.select(F.col("doc_id").alias("_doc"), "_key", F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_times")).where("_times > 0")
+    keyed = docs.withColumn("_own", F.xxhash64("text", *rest))
+    hit = keyed["doc_id"].eqNullSafe(rows["_doc"]) & (keyed["_own"] == rows["_key"])
+    return keyed.join(rows, hit).select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).drop("_time")
+
+
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, split_count
 from .jaccard import mix
@@ -247,13 +248,14 @@ def texts_in(raw: list[bytes], size: int = 4_000_000) -> Iterator[tuple[int, lis
 
 
 def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) -> DataFrame:
-    """(doc_id, text, repeat, marks): marks are (start, end) as little-endian 64-bit pairs; repeat > 0
-    for rows that equal another row in both doc_id and text, of which one is the first."""
+    """(doc_id, raw, repeat, marks, rest): the text's bytes; marks are (start, end) as little-endian 64-bit
+    pairs; repeat for rows that equal an earlier one in both doc_id and text; rest holds all columns but
+    the text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     n_buckets = split_count(docs.count(), part_rows, 64)
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(raw, "UTF-8").alias("raw"), F.xxhash64(F.col("doc_id").cast("long"), raw).alias("key"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(raw, "UTF-8").alias("raw"), F.xxhash64(F.col("doc_id").cast("long"), raw).alias("key"), F.struct(*(c for c in docs.columns if c != "text")).alias("rest"))
     home = lambda key: np.mod(key, n_buckets)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +354,7 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
         made = dealt(home(key), mark=rows)
         return made.rename_columns(["home", "mark"])
 
-    long_ = by_home.where(F.octet_length("raw") >= width)
+    long_ = by_home.drop("rest").where(F.octet_length("raw") >= width)
     found = long_.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(stretches, "bucket int, gram binary, doc binary, key binary, start binary, size binary, text binary, home int, mark binary")
     found = scratch.save(found, "stretches")
 
@@ -383,9 +385,10 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
             out.append(spans_union(rows[a:b, 1:]).astype("<i8").tobytes())
             repeat.append(k in seen)
             seen.add(k)
-        return pa.table({"doc_id": own.column("doc_id"), "raw": own.column("raw"), "repeat": pa.array(repeat, pa.bool_()), "marks": pa.array(out, pa.binary())})
+        return pa.table({"doc_id": own.column("doc_id"), "raw": own.column("raw"), "repeat": pa.array(repeat, pa.bool_()), "marks": pa.array(out, pa.binary()), "rest": own.column("rest")})
 
-    return by_home.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(collect, "doc_id long, raw binary, repeat boolean, marks binary")
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("raw", T.BinaryType()), T.StructField("repeat", T.BooleanType()), T.StructField("marks", T.BinaryType()), by_home.schema["rest"]]
+    return by_home.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(collect, T.StructType(fields))
 
 
 def spans_union(spans: np.ndarray) -> np.ndarray:
@@ -429,4 +432,20 @@ def suffix_spans(docs: DataFrame, width: int = 100) -> DataFrame:
             made = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))]
             yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return mark_documents(docs, width).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mark_documents(docs.select("doc_id", "text"), width).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
+    """`docs` with repeated passages taken out of the text and n_chars (where it is a column) counted
+    anew. A character that loses a byte goes whole. Rows of which nothing is left are dropped; null
+    and empty texts stay."""
+    marked = mark_documents(docs, width)
+
+    @F.arrow_udf("string")
+    def left(raw: pa.Array, repeat: pa.Array, marks: pa.Array) -> pa.Array:
+        made = (cut_out(r, again, m, width)[0].decode("utf-8", "ignore") for r, again, m in zip(raw.to_pylist(), repeat.to_pylist(), marks.to_pylist()))
+        return pa.array(list(made), pa.string())
+
+    out = marked.withColumn("text", left("raw", "repeat", "marks")).where((F.length("text") > 0) | (F.octet_length("raw") == 0))
+    column = lambda c: F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"rest.`{c}`")
+    return out.select(*(F.col("text") if c == "text" else column(c).alias(c) for c in docs.columns))
