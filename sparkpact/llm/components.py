@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,23 +46,39 @@ def tree_edges(nodes: np.ndarray, roots: np.ndarray, fan: int = 8) -> tuple[np.n
     return nodes[child], nodes[(start + (nth - 1) // fan)[child]]
 
 
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str, most: int = 100_000) -> DataFrame:
     """(node, root): every node of `links` (a, b) with the smallest node reachable from it.
 
-    Each round a node takes the smallest root among its neighbours' roots, then its root's root, so
-    that long chains shorten by halves. Links are few per node (see tree_edges)."""
-    both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
-    both = scratch.save(both, f"{name}-links")
-    roots = scratch.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), f"{name}-0")
-    turn = 0
-    while True:
-        turn += 1
-        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        moved = roots.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
-        up = roots.select(F.col("node").alias("mid"), F.col("root").alias("up"))
-        new = scratch.save(moved.join(up, "mid").select("node", F.least("mid", "up").alias("root"), (F.col("old") != F.least("mid", "up")).alias("moved")), f"{name}-{turn}")
-        scratch.drop(f"{name}-{turn - 1}")
-        roots = new.select("node", "root")
-        if new.where("moved").isEmpty():
-            scratch.drop(f"{name}-links")
-            return roots
+    While there are more than `most` links, a round hooks every node to its least neighbour and that
+    one's least neighbour, and the links are drawn between what they were hooked to; this at
+    least halves the nodes that have links. `most` links or fewer are united in one task."""
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    edges = scratch.save(edges, f"{name}-0")
+    hooks: list[DataFrame] = []
+    while edges.count() > most:
+        both = edges.union(edges.select("b", "a"))
+        near = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("up")), f"{name}-near-{len(hooks)}")
+        up = near.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        hooks.append(scratch.save(near.join(up, "up").select("node", "root"), f"{name}-hooks-{len(hooks)}"))
+        to_a, to_b = (hooks[-1].select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        drawn = edges.join(to_a, "a").join(to_b, "b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+        edges = scratch.save(drawn.where("a < b").distinct(), f"{name}-{len(hooks)}")
+
+    def unite(group: pa.Table) -> pa.Table:
+        a, b = group.column("a").to_numpy(), group.column("b").to_numpy()
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        union = Union(len(nodes))
+        for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+            union.join(i, j)
+        return pa.table({"node": nodes, "root": nodes[union.roots()]})
+
+    last = edges.groupBy(F.lit(0).alias("all")).applyInArrow(unite, "node long, root long")
+    last = scratch.save(last, f"{name}-last")
+    found = None
+    for step in [*hooks, last]:
+        if found is None:
+            found = step
+            continue
+        then = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        found = found.join(then, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    return scratch.save(found, f"{name}-roots")

@@ -386,8 +386,9 @@ def jaccard_rows(docs: DataFrame, shingle: int, percent: int, block: int = 1024,
     buckets = split_count(n_rows, 1000, 64)
     rows = scratch.save(describe(docs, shingle), "rows")
     entries = scratch.save(shared(sign(docs, shingle, Parts(percent), buckets), buckets), "shared")
-    entries = needed(entries, buckets, False)
-    entries = needed(shared(entries, buckets), buckets, True)
+    fewer = split_count(n_rows, 16_000, 16)  # most signatures are gone by now
+    entries = needed(entries, fewer, False)
+    entries = needed(shared(entries, fewer), fewer, True)
     near = scratch.save(agreements(entries), "near")
     scratch.drop("shared")
     clusters = components(near, scratch, "clusters").select(F.col("node").alias("key"), F.col("root").alias("cluster"))
