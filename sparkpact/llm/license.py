@@ -93,12 +93,22 @@ def examples(lines: list[str], turns: int = 14) -> tuple[list[set[str]], list[st
     return x, y, out
 
 
+def everyday(lines: list[str], share: float = 0.01) -> set[str]:
+    """Words in more than `share` of the lines: alone or together they say nothing of a licence."""
+    count: dict[str, int] = {}
+    for line in lines:
+        for w in set(words_of(line)):
+            count[w] = count.get(w, 0) + 1
+    return {w for w, n in count.items() if n > max(3, share * len(lines))}
+
+
 def fit(lines: list[str], steps: int = 250, rate: float = 1.0, sparse: float = 4e-4) -> tuple[dict[str, list[float]], list[float], list[str]]:
     """(weights of each n-gram, biases, classes) by proximal gradient steps, divided by the temperature
     that fits the examples kept out best."""
     x, y, out = examples(lines)
     classes = [*dict.fromkeys(f for f, _ in TEMPLATES), UNKNOWN]
-    names = sorted({g for _, t in TEMPLATES for g in grams_of(words_of(t))})
+    often = everyday(lines)
+    names = sorted({g for _, t in TEMPLATES for g in grams_of(words_of(t)) if not often.issuperset(g.split())})
     column = {g: i for i, g in enumerate(names)}
     a = np.zeros((len(x), len(names)), "f4")
     for i, grams in enumerate(x):
@@ -157,13 +167,13 @@ def scan(docs: DataFrame, sample_lines: int = 1500, least: float = 0.5, confirm:
     some = base.where(F.pmod(F.xxhash64("key"), F.lit(64)) == 0).select(F.substring("text", 1, 4000).alias("text")).limit(sample_lines // 5)
     lines = [r[0] for r in some.select(F.explode(F.slice(F.split("text", "\n"), 1, 5)).alias("line")).limit(sample_lines).collect()]
     marks = [grams_of(words_of(t)) for _, t in TEMPLATES]
-    lines = [x for x in lines if max(len(g & grams_of(words_of(x))) / len(g) for g in marks) < 0.5]
+    lines = [x for x in lines for own in [grams_of(words_of(x))] if max(len(g & own) / len(g) for g in marks) < 0.5]
     weights, bias, classes = fit(lines)
     k = len(classes)
     table = spark.createDataFrame([(g, *w) for g, w in sorted(weights.items())], "gram string, " + ", ".join(f"w{i} double" for i in range(k)))
-    # of a 2-gram the rarer word must be there: lines without any such word have no n-gram of weight
-    common = {w: sum(w in words_of(x) for x in lines) for g in weights for w in g.split()}
-    needed = sorted({min(g.split(), key=lambda w: (common[w], w)) for g in weights})
+    # of every n-gram of weight one word is not an everyday one: lines without any have no such n-gram
+    often = everyday(lines)
+    needed = sorted({next(w for w in g.split() if w not in often) for g in weights})
     split = base.where(F.length("text") > 0).select("key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     worded = split.withColumn("words", F.split(F.lower("line"), "[^a-z0-9]+")).where(F.exists("words", lambda w: w.isin(needed)))
     worded = worded.select("key", "paragraph", grams(F.filter("words", lambda w: w != "")).alias("grams"))
