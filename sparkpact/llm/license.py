@@ -78,7 +78,7 @@ def examples(lines: list[str], turns: int = 14) -> tuple[list[set[str]], list[st
     for family, text in TEMPLATES:
         for turn in range(turns):
             words = words_of(text)
-            if turn and len(words) > 6:
+            if turn and len(words) >= 12:
                 words = [w for w in words if rng.random() > 0.08]
             pick = lambda: words_of(AROUND[rng.integers(len(AROUND))])
             few = lambda: [loose[i] for i in rng.integers(len(loose), size=rng.integers(0, 8))]
@@ -102,7 +102,7 @@ def everyday(lines: list[str], share: float = 0.01) -> set[str]:
     return {w for w, n in count.items() if n > max(3, share * len(lines))}
 
 
-def fit(lines: list[str], steps: int = 250, rate: float = 1.0, sparse: float = 4e-4) -> tuple[dict[str, list[float]], list[float], list[str]]:
+def fit(lines: list[str], steps: int = 800, rate: float = 1.0, sparse: float = 1e-4) -> tuple[dict[str, list[float]], list[float], list[str]]:
     """(weights of each n-gram, biases, classes) by proximal gradient steps, divided by the temperature
     that fits the examples kept out best."""
     x, y, out = examples(lines)
