@@ -27,6 +27,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 BITS = 2048
+BELOW = 0x5A5A5A5A5A5A5A5A
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,8 +85,10 @@ class Parts:
     set with at most `spare` of them leaves them out, any other gives all its parts. If a pair
     agrees on weak parts only, these are more than `spare`, and both give them."""
 
-    def __init__(self, percent: int, weak: int = 3, largest: int = 1 << 40):
-        self.percent, self.weak = percent, weak
+    def __init__(self, percent: int, largest: int = 1 << 40):
+        self.percent = percent
+        # the lower the share, the more parts there are and the smaller they get
+        self.weak, self.tenths = (3, 4) if percent >= 85 else (2, 6) if percent >= 75 else (1, 6)
         self.high = [1]
         while self.high[-1] < largest:
             self.high.append(self.high[-1] * 100 // percent + (self.high[-1] * 100 % percent > 0))
@@ -106,7 +109,7 @@ class Parts:
         for e in (level, level - 1):
             if e < 0 or not (d := self.differ(e)):
                 continue  # sets that may differ in nothing are equal, and equal sets are one
-            spare = d * 2 // 5 + 2
+            spare = d * self.tenths // 10 + 2
             m = d + 1 + spare
             part = ((own >> np.uint64(20)) % np.uint64(m)).astype("i8")
             order = np.argsort(part, kind="stable")
@@ -252,10 +255,12 @@ def needed(entries: DataFrame, buckets: int, rarest: bool) -> DataFrame:
 
 
 def agreements(entries: DataFrame) -> DataFrame:
-    """(a, b): keys that agree on a signature, as a spanning forest per bucket."""
+    """(a, b): sets that agree on a signature, as a spanning forest per bucket. A set is its key at its
+    own level and the key's other half at the level below, so that no cluster runs through levels."""
 
     def run(group: pa.Table) -> pa.Table:
-        sig, key, _, _ = by_signature(group)
+        sig, key, need, _ = by_signature(group)
+        key = np.where(need > 0, key, key ^ BELOW)
         nodes, at = np.unique(key, return_inverse=True)
         union = Union(len(nodes))
         pair = np.flatnonzero(sig[1:] == sig[:-1])
@@ -388,16 +393,19 @@ def jaccard_rows(docs: DataFrame, shingle: int, percent: int, block: int = 1024,
     entries = scratch.save(shared(sign(docs, shingle, Parts(percent), buckets), buckets), "shared")
     fewer = split_count(n_rows, 16_000, 16)  # most signatures are gone by now
     entries = needed(entries, fewer, False)
+    entries = needed(shared(entries, fewer), fewer, False)
     entries = needed(shared(entries, fewer), fewer, True)
     near = scratch.save(agreements(entries), "near")
     scratch.drop("shared")
-    clusters = components(near, scratch, "clusters").select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = scratch.save(classes, "classes")
+    roles = classes.select("key", F.explode(F.array("key", F.col("key").bitwiseXOR(F.lit(BELOW)))).alias("node"))
+    clusters = components(near, scratch, "clusters").join(roles, "node").select("key", F.col("root").alias("cluster"))
+    clusters = scratch.save(clusters, "members")
     large = clusters.groupBy("cluster").count().where(F.col("count") > block).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
     # fewer than keys / block rows
     placed = clusters.join(F.broadcast(large), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = scratch.save(placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "placed")
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = scratch.save(classes, "classes")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     wanted = scratch.save(placed.join(classes, "key").select("key", "cluster", "blocks", "block", "rep"), "wanted")
     n_wanted = wanted.count()
     if n_wanted <= most_broadcast:  # 40 bytes a row
