@@ -3,6 +3,7 @@ positions within hot groups, and columnar blocks for shuffles of many small reco
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -49,6 +50,19 @@ class Scratch:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_held: dict = {}
+
+
+def held(name, make):
+    """What a worker process keeps between tasks, made once. Only one such thing is kept, so that
+    the caches of several operators don't add up."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        _held[name] = make()
+    return _held[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

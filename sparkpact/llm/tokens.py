@@ -7,10 +7,13 @@ only Python counts as white space) go through the library whole."""
 
 from __future__ import annotations
 
+import os
 from itertools import chain, repeat
 
 import numpy as np
 
+from .common import held
+
 WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 END = 0
 #: The byte alphabet of byte-level vocabularies: printable Latin-1 stands for itself, the other bytes
@@ -18,7 +21,6 @@ END = 0
 ODD = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 MARKS = "".join(c for c in map(chr, range(33, 256)) if not c.isalnum() and not c.isspace())
 BYTES = {b: 256 + k for k, b in enumerate(ODD)}
-_open: dict = {}
 
 
 class Encoder:
@@ -139,12 +141,8 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One for each worker process, kept between tasks."""
-    if path not in _open:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _open[path] = Encoder(path)
-    return _open[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return held(("tokens", path), lambda: Encoder(path))
 
 
 def blocks(texts: list, size: int = 1_000_000):
