@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .neardup import pack_arrays, usable
 
 
@@ -84,7 +84,7 @@ def best(index: Index, own: int, q: np.ndarray, among: np.ndarray, k: int) -> tu
     return index.ids[among[order]], scores[order]
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, lines: int = 128, threshold: float = 0.5, share: float = 0.12, recall: float = 0.9, shard: int = 8192, block: int = 1024, audit: int = 16) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, lines: int = 128, threshold: float = 0.5, share: float = 0.12, recall: float = 0.96, shard: int = 8192, block: int = 1024, audit: int = 24) -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose id is divisible by `every` its k nearest.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take
@@ -105,6 +105,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, lines: int = 128,
     dealt = scratch.save(good.join(sizes, "dim"), "dealt")
     first = lambda t, c: [t.column(c)[0].as_py()]
 
+    @tidy
     def build(group: pa.Table) -> pa.Table:
         index = Index(group.column("vec_id").to_numpy(), np.stack(group.column("v").to_numpy()), first(group, "longest")[0], lines)
         return pa.table({"dim": pa.array(first(group, "dim"), pa.int32()), "shard": pa.array(first(group, "shard"), pa.int32()), "index": pa.array([pack_arrays(index)], pa.binary())})
@@ -119,6 +120,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, lines: int = 128,
     asked = dealt.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int")).groupBy("dim", "block").applyInArrow(gather, "dim int, block int, queries binary")
     asked = scratch.save(asked, "asked")
 
+    @tidy
     def visit(group: pa.Table) -> pa.Table:
         (index,) = pickle.loads(group.column("index")[0].as_py())
         ids, q = pickle.loads(group.column("queries")[0].as_py())
