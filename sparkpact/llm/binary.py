@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, split_count
+from .common import Scratch, split_count, tidy
 from .tokens import blocks, encoder
 
 HEAD = struct.Struct("<4sHIIQI")
@@ -150,6 +150,7 @@ class Shard:
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int, base: int = 49_408, shard_tokens: int = 1_000_000, part_rows: int = 8_000) -> None:
     """Encodes every whole text and writes shards to `path`, ranges of doc_id by ascending part."""
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -195,6 +196,7 @@ def read_ids(spark, path: str) -> DataFrame:
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = shards.select("part", "shard", "n_tokens").withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).drop("n_tokens")
 
+    @tidy
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, number, doc_ids, blob in zip(*(batch.column(k).to_pylist() for k in range(4))):

@@ -3,11 +3,17 @@ positions within hot groups, and columnar blocks for shuffles of many small reco
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
+import inspect
 import math
 import tempfile
+import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +69,39 @@ def held(name, make):
     return _held[name]
 
 
+def trim() -> None:
+    """Gives free memory back to the system: workers stay, and what each keeps adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(f):
+    """A function of batches or of groups that trims the worker's memory when it is done (for groups:
+    once a second at most)."""
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def run(batches):
+            yield from f(batches)
+            trim()
+
+        return run
+    last = [time.monotonic()]
+
+    @functools.wraps(f)
+    def once(*groups):
+        out = f(*groups)
+        if time.monotonic() - last[0] > 1:
+            trim()
+            last[0] = time.monotonic()
+        return out
+
+    once.__signature__ = inspect.signature(f)
+    return once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

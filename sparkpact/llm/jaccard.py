@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, split_count
+from .common import Scratch, split_count, tidy
 from .components import Union, components, tree_edges
 from .tokens import blocks
 
@@ -167,6 +167,7 @@ def text_hash() -> F.Column:
 def describe(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n and key of every document's set, and a hash of its text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in blocks(batch.column(1).to_pylist()):
@@ -183,6 +184,7 @@ ENTRIES = "bucket int, sig binary, key binary, need binary"
 def sign(docs: DataFrame, shingle: int, parts: Parts, buckets: int) -> DataFrame:
     """Blocks of signatures by bucket, with the key of their set and its need."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple] = []
@@ -229,6 +231,7 @@ def by_signature(group: pa.Table) -> tuple[np.ndarray, ...]:
 def shared(blocks_: DataFrame, homes: int) -> DataFrame:
     """Entries whose signature several sets share, sent to the home of their set."""
 
+    @tidy
     def run(group: pa.Table) -> pa.Table:
         sig, key, need, size = by_signature(group)
         return dealt(np.mod(key, homes), sig=sig, key=key, need=need, size=size)
@@ -240,6 +243,7 @@ def needed(entries: DataFrame, buckets: int, rarest: bool) -> DataFrame:
     """Entries of the sets that share as many signatures as a link needs; with `rarest`, only as many
     of the least shared ones as must hold one in common with any linked set."""
 
+    @tidy
     def run(group: pa.Table) -> pa.Table:
         sig, key, need, size = (joined(group, c, k) for c, k in (("sig", "u8"), ("key", "i8"), ("need", "i2"), ("size", "i4")))
         order = np.lexsort((sig, size, need < 0, key))
@@ -258,6 +262,7 @@ def agreements(entries: DataFrame) -> DataFrame:
     """(a, b): sets that agree on a signature, as a spanning forest per bucket. A set is its key at its
     own level and the key's other half at the level below, so that no cluster runs through levels."""
 
+    @tidy
     def run(group: pa.Table) -> pa.Table:
         sig, key, need, _ = by_signature(group)
         key = np.where(need > 0, key, key ^ BELOW)
@@ -411,6 +416,7 @@ def jaccard_rows(docs: DataFrame, shingle: int, percent: int, block: int = 1024,
     if n_wanted <= most_broadcast:  # 40 bytes a row
         wanted = F.broadcast(wanted)
 
+    @tidy
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, run in blocks(batch.column("text").to_pylist()):
@@ -431,6 +437,7 @@ def jaccard_rows(docs: DataFrame, shingle: int, percent: int, block: int = 1024,
         "cluster", "key", "tokens", (F.col("block") > F.col("other")).cast("int").alias("side"),
     )
 
+    @tidy
     def verify(group: pa.Table) -> pa.Table:
         cluster, key = group.column("cluster").to_numpy(), group.column("key").to_numpy()
         side, tokens_ = group.column("side").to_numpy(), group.column("tokens")

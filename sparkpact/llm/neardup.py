@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .components import Union, components, tree_edges
 
 
@@ -201,6 +201,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192,
     cuts = own.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).select("label", "dim", F.ceil(F.col("n") / shard).cast("int").alias("shards"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = scratch.save(own.join(cuts, ["label", "dim"]), "dealt")
 
+    @tidy
     def build(group: pa.Table) -> pa.Table:
         key, copies = group.column("key").to_numpy(), group.column("copies").to_numpy()
         x = np.stack(group.column("v").to_numpy())
@@ -219,6 +220,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192,
     asked = dealt.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int")).groupBy("label", "dim", "block").applyInArrow(gather, "label string, dim int, block int, queries binary")
     asked = scratch.save(asked, "asked")
 
+    @tidy
     def visit(group: pa.Table) -> pa.Table:
         key, copies, x, graph = pickle.loads(group.column("graph")[0].as_py())
         ask, q = pickle.loads(group.column("queries")[0].as_py())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, numbered, split_count
+from .common import Scratch, numbered, split_count, tidy
 from .tokens import END, blocks, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -59,6 +59,7 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 def cut_documents(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     """Pieces of at most `capacity` ids of whole texts; only longer documents are cut."""
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary)
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, split_count
+from .common import Scratch, split_count, tidy
 from .jaccard import mix
 
 GRAM = 20
@@ -258,6 +258,7 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(raw, "UTF-8").alias("raw"), F.xxhash64(F.col("doc_id").cast("long"), raw).alias("key"), F.struct(*(c for c in docs.columns if c != "text")).alias("rest"))
     home = lambda key: np.mod(key, n_buckets)
 
+    @tidy
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -285,6 +286,7 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
 
     sent = base.where(F.octet_length("raw") >= width).select("raw", "key").mapInArrow(anchors, "bucket int, gram binary, key binary, number binary, state binary")
 
+    @tidy
     def repeated(group: pa.Table) -> pa.Table:
         gram, key, number, state = (joined(group, c, k) for c, k in (("gram", "u4"), ("key", "i8"), ("number", "u4"), ("state", "u1")))
         order = np.argsort(gram, kind="stable")
@@ -297,6 +299,7 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
     again = scratch.save(sent.groupBy("bucket").applyInArrow(repeated, "bucket int, key binary, number binary"), "again")
     by_home = base.withColumn("bucket", F.pmod("key", F.lit(n_buckets)).cast("int"))
 
+    @tidy
     def stretches(own: pa.Table, found: pa.Table) -> pa.Table:
         key, number = joined(found, "key", "i8"), joined(found, "number", "u4")
         wanted: dict[int, list[int]] = {}
@@ -358,6 +361,7 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
     found = long_.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(stretches, "bucket int, gram binary, doc binary, key binary, start binary, size binary, text binary, home int, mark binary")
     found = scratch.save(found, "stretches")
 
+    @tidy
     def sort_suffixes(group: pa.Table) -> pa.Table:
         gram, doc, key, start, size = (joined(group, c, k) for c, k in (("gram", "u8"), ("doc", "i8"), ("key", "i8"), ("start", "i8"), ("size", "i8")))
         text, at = b"".join(group.column("text").to_pylist()), 0
@@ -373,6 +377,7 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
     marks = found.where("bucket is not null").select("bucket", "gram", "doc", "key", "start", "size", "text").groupBy("bucket").applyInArrow(sort_suffixes, "home int, mark binary")
     marks = scratch.save(marks.union(found.where("home is not null").select("home", "mark")).withColumnRenamed("home", "bucket"), "marks")
 
+    @tidy
     def collect(own: pa.Table, found: pa.Table) -> pa.Table:
         rows = joined(found, "mark", "i8").reshape(-1, 3)
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
@@ -422,6 +427,7 @@ def suffix_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     their text, and rows equal in both lose everything but in one of them (if they have `width`
     bytes). An empty table gives no rows. Other columns are ignored."""
 
+    @tidy
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

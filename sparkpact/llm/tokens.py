@@ -26,7 +26,7 @@ BYTES = {b: 256 + k for k, b in enumerate(ODD)}
 class Encoder:
     """Ids of texts as one flat array; keeps at most `most` words."""
 
-    def __init__(self, path: str, most: int = 700_000, few: int = 30_000):
+    def __init__(self, path: str, most: int = 500_000, few: int = 30_000):
         from tokenizers import Tokenizer
 
         self.library, self.most, self.few = Tokenizer.from_file(path), most, few
