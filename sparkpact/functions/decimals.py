@@ -38,7 +38,7 @@ def compare(a: Column, b: Column) -> Column:
     def magnitude(x: Column) -> Column:
         return F.length(x.getField("digits")).cast("long") - x.getField("scale").cast("long")
 
-    da, db = (F.rtrim(F.lit("0"), x.getField("digits")) for x in (a, b))
+    da, db = (F.rtrim(x.getField("digits"), F.lit("0")) for x in (a, b))
     larger = F.when(magnitude(a) != magnitude(b), F.signum(magnitude(a) - magnitude(b)).cast("int"))
     larger = larger.when(da > db, 1).when(da < db, -1).otherwise(0)
     sa, sb = sign(a), sign(b)

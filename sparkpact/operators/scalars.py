@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decimals as D
 from ..functions import grammar as G
-from ..plans.outcome import Outcome, Path, issue, json_text, let
+from ..plans.outcome import Outcome, Path, Raw, issue, json_text, let
 from ..sources.nodes import Node
 from .core import Decoder, refuse
 
@@ -99,7 +99,7 @@ class String(Scalar):
 
     def normalize(self, form: str = "NFC"):
         refuse(form not in ("NFC", "NFD", "NFKC", "NFKD"), "no such normal form")
-        return self._change(normaliser(form))
+        return self._change(lambda v: normaliser(form)(v))
 
     def non_blank(self):
         return self._check(lambda v: F.regexp_replace(v, G.TRIM, "") != "", "blank")
@@ -297,9 +297,10 @@ class Int(Number):
 
 def _integer(low: int, high: int, kind: str, name: str) -> Int:
     def read(node: Node):
+        a, b = (F.lit(str(x)).cast("decimal(20,0)") for x in (low, high)) if high >= 1 << 63 else (low, high)
         ok, value, beyond = node.integer()
-        guards = [mismatch(node, ok, name), (beyond | ~F.coalesce(value.between(low, high), F.lit(False)), "type_mismatch", {"expected": name}, "type_mismatch.numeric_range")]
-        return F.when(ok & value.between(low, high), value).cast(kind), guards
+        guards = [mismatch(node, ok, name), (beyond | ~F.coalesce(value.between(a, b), F.lit(False)), "type_mismatch", {"expected": name}, "type_mismatch.numeric_range")]
+        return F.when(ok & value.between(a, b), value).cast(kind), guards
 
     return Int(read)
 
@@ -409,22 +410,23 @@ class Decimal(Number):
         return super()._check(lambda v: let(v, ok), code, meta, key)
 
     @staticmethod
-    def _bound_of(n) -> tuple[str, Column]:
+    def _bound_of(n) -> tuple[str, Callable[[], Column]]:
+        """The bound's text, and its parts once there is a session."""
         exact = Exact(str(n))
         refuse(not exact.is_finite(), "a bound has to be a number")
-        return str(n), D.parse(F.lit(str(n)))
+        return str(n), lambda: D.parse(F.lit(str(n)))
 
     def min(self, n):
         text, b = self._bound_of(n)
-        return self._bound("minimum", lambda v: D.compare(v, b) >= 0, {"min": F.lit(text)})
+        return self._bound("minimum", lambda v: D.compare(v, b()) >= 0, {"min": Raw(text)})
 
     def max(self, n):
         text, b = self._bound_of(n)
-        return self._bound("maximum", lambda v: D.compare(v, b) <= 0, {"max": F.lit(text)})
+        return self._bound("maximum", lambda v: D.compare(v, b()) <= 0, {"max": Raw(text)})
 
     def range(self, low, high):
         (a, lo), (b, hi) = self._bound_of(low), self._bound_of(high)
-        return self._bound("range", lambda v: (D.compare(v, lo) >= 0) & (D.compare(v, hi) <= 0), {"min": F.lit(a), "max": F.lit(b)})
+        return self._bound("range", lambda v: (D.compare(v, lo()) >= 0) & (D.compare(v, hi()) <= 0), {"min": Raw(a), "max": Raw(b)})
 
     def positive(self):
         return self._bound("positive", lambda v: D.sign(v) > 0, {"min": 0})

@@ -164,25 +164,25 @@ class Temporal(Scalar):
     def _order(self, v: Column) -> Column:
         return F.struct(*(v.getField(n) for n in {"date": ["epoch_day"], "time": ["nano_of_day"], "date_time": ["epoch_day", "nano_of_day"]}.get(self.kind, ["epoch_second", "nano"])))
 
-    def _bound(self, text: str) -> tuple[str, Column]:
+    def _bound(self, text: str) -> tuple[str, Callable[[], Column]]:
         refuse(not re.match(java_free(GRAMMAR[self.kind]), text), f"{text} is no {self.kind}")
-        return text, self._order(parse(F.lit(text), self.kind))
+        return text, lambda: self._order(parse(F.lit(text), self.kind))
 
     def _limit(self, name: str, ok: Callable[[Column], Column], meta: dict):
         return self._check(ok, "out_of_range", lambda v: meta | {"actual": json_text(to_text(v, self.kind, "full"))}, f"out_of_range.{name}")
 
     def before(self, text: str):
         text, b = self._bound(text)
-        return self._limit("before", lambda v: self._order(v) < b, {"before": text})
+        return self._limit("before", lambda v: self._order(v) < b(), {"before": text})
 
     def after(self, text: str):
         text, b = self._bound(text)
-        return self._limit("after", lambda v: self._order(v) > b, {"after": text})
+        return self._limit("after", lambda v: self._order(v) > b(), {"after": text})
 
     def between(self, low: str, high: str):
         (a, lo), (b, hi) = self._bound(low), self._bound(high)
         refuse(self.kind in ("date", "time") and low > high and low[0] not in "+-" and high[0] not in "+-", "the range is empty")
-        return self._limit("between", lambda v: (self._order(v) >= lo) & (self._order(v) <= hi), {"from": a, "to": b})
+        return self._limit("between", lambda v: (self._order(v) >= lo()) & (self._order(v) <= hi()), {"from": a, "to": b})
 
 
 def java_free(grammar: str) -> str:

@@ -18,7 +18,8 @@ VALUE, ISSUES = "value", "issues"
 
 @dataclass(frozen=True)
 class Result:
-    """`all` has the input's columns, value (null where there are issues) and issues."""
+    """`all` has the input's columns, value (null where there are issues) and issues; input columns of these
+    two names give way."""
 
     all: DataFrame
     inputs: tuple[str, ...]
@@ -38,8 +39,9 @@ class Result:
 def _run(df: DataFrame, decoder: Decoder, node) -> Result:
     made = decoder.compile(node).packed()
     # one struct, so that value and issues are computed once; each is pruned alone
-    out = df.withColumn("_outcome", made).select(*df.columns, F.col("_outcome.value").alias(VALUE), published(F.col("_outcome.issues")).alias(ISSUES))
-    return Result(out, tuple(df.columns))
+    own = [c for c in df.columns if c not in (VALUE, ISSUES)]
+    out = df.withColumn("_outcome", made).select(*(F.col(f"`{c}`") for c in own), F.col("_outcome.value").alias(VALUE), published(F.col("_outcome.issues")).alias(ISSUES))
+    return Result(out, tuple(own))
 
 
 def decode(df: DataFrame, decoder: Decoder, column: str | None = None) -> Result:
@@ -75,7 +77,8 @@ def decode_json(df: DataFrame, decoder: Decoder, column: str, lossless: bool = F
     if limit is not None:
         told = F.when(~F.col("too_large"), told).otherwise(F.filter(told, lambda x: F.lit(False)))
     out = read.withColumn("_outcome", F.struct(F.when(~bad, made.value).alias("value"), told.alias("issues")))
-    return Result(out.select(*own, F.col("_outcome.value").alias(VALUE), F.col("_outcome.issues").alias(ISSUES)), tuple(own))
+    own = [c for c in own if c not in (VALUE, ISSUES)]
+    return Result(out.select(*(F.col(f"`{c}`") for c in own), F.col("_outcome.value").alias(VALUE), F.col("_outcome.issues").alias(ISSUES)), tuple(own))
 
 
 def outcome_column(decoder: Decoder, column: Column, dtype) -> Column:

@@ -25,8 +25,17 @@ def path_column(path: Path) -> Column:
     return F.array(*(F.lit(p) if isinstance(p, str) else p for p in path))
 
 
+@dataclass(frozen=True)
+class Raw:
+    """JSON text given as such, for numbers that keep their digits."""
+
+    text: str
+
+
 def json_text(value) -> Column:
     """JSON text of a Python value (at plan time) or of a column."""
+    if isinstance(value, Raw):
+        return F.lit(value.text)
     if isinstance(value, Column):
         text = F.to_json(F.array(value))
         return F.substring(text, F.lit(2), F.length(text) - 2)
