@@ -32,11 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Whole texts can be long: fewer rows go to a Python worker at a time than Spark's default."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 class Scratch:
     """Tables written as Parquet in the shared folder: lineage ends there, so a lost executor
     costs a re-read and not a recomputation. `drop` frees the ones no longer needed."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
