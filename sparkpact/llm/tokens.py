@@ -26,7 +26,7 @@ BYTES = {b: 256 + k for k, b in enumerate(ODD)}
 class Encoder:
     """Ids of texts as one flat array; keeps at most `most` words."""
 
-    def __init__(self, path: str, most: int = 500_000, few: int = 30_000):
+    def __init__(self, path: str, most: int = 800_000, few: int = 30_000):
         from tokenizers import Tokenizer
 
         self.library, self.most, self.few = Tokenizer.from_file(path), most, few
@@ -38,8 +38,26 @@ class Encoder:
         self.flat = np.zeros(1 << 16, "u2")  # a vocabulary of at most 65,536
         self.starts = np.zeros(1 << 14, "i4")
         self.counts = np.zeros(1 << 14, "i4")
+        self.uses = np.zeros(1 << 14, "u4")
         self.used = 0
 
+    def _forget(self) -> None:
+        """Keeps the words used most since the last time, at most half of the room: most words of a
+        corpus are met once. The small table gets the most frequent ones."""
+        n = len(self.index)
+        uses = self.uses[:n]
+        order = np.argsort(-uses.astype("i8"), kind="stable")[: self.most // 2]
+        order = order[uses[order] > 1]
+        words = list(self.index)
+        kept = [words[i] for i in order.tolist()]
+        counts = self.counts[order].astype("i8")
+        ends = np.cumsum(counts)
+        flat = self.flat[np.repeat(self.starts[order] - ends + counts, counts) + np.arange(counts.sum())]
+        self.clear()
+        first = self._place(kept, counts)
+        self.flat[first : first + len(flat)] = flat
+        self.hot = dict(zip(kept[: self.few], range(self.few)))
+
     def _room(self, name: str, n: int) -> None:
         have = getattr(self, name)
         if n > len(have):
@@ -124,13 +142,15 @@ class Encoder:
         if not words:
             return np.zeros(0, "u2"), np.zeros(len(texts), "i8")
         if len(self.index) > self.most:
-            self.clear()
+            self._forget()
         at = np.fromiter(map(self.hot.get, words, repeat(-1)), "i4", len(words))
         lost = np.flatnonzero(at < 0)
         at[lost] = np.fromiter(map(self.index.get, map(words.__getitem__, lost.tolist()), repeat(-1)), "i4", len(lost))
         if len(lost := lost[at[lost] < 0]):
             self._learn(list(dict.fromkeys(map(words.__getitem__, lost.tolist()))))
             at[lost] = np.fromiter(map(self.index.__getitem__, map(words.__getitem__, lost.tolist())), "i4", len(lost))
+        self._room("uses", len(self.index))
+        self.uses[: len(self.index)] += np.bincount(at, minlength=len(self.index)).astype("u4")
         counts = self.counts[at]
         ends = np.cumsum(counts, dtype="i8")
         flat = self.flat[np.repeat((self.starts[at] - ends + counts).astype("i4"), counts) + np.arange(ends[-1], dtype="i4")]
