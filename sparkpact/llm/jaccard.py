@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, split_count, tidy
+from .common import Scratch, held, split_count, tidy
 from .components import Union, components, tree_edges
 from .tokens import blocks
 
@@ -170,7 +170,7 @@ def describe(docs: DataFrame, shingle: int) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in blocks(batch.column(1).to_pylist()):
+            for first, texts in blocks(batch.column(1).to_pylist(), 500_000):
                 sets = list(shingle_sets(texts, shingle))
                 made = [batch.column(0).slice(first, len(texts)), pa.array(list(map(len, sets)), pa.int64()), pa.array([set_key(s) if len(s) else 0 for s in sets], pa.int64()), batch.column(2).slice(first, len(texts))]
                 yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n", "key", "text_hash"])
@@ -186,26 +186,27 @@ def sign(docs: DataFrame, shingle: int, parts: Parts, buckets: int) -> DataFrame
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("sets", int)
         seen: set[int] = set()
-        held: list[tuple] = []
+        made: list[tuple] = []
 
         def block():
-            sig, need = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            key = np.repeat(np.array([h[2] for h in held], "i8"), [len(h[0]) for h in held])
-            held.clear()
+            sig, need = (np.concatenate([h[k] for h in made]) for k in (0, 1))
+            key = np.repeat(np.array([h[2] for h in made], "i8"), [len(h[0]) for h in made])
+            made.clear()
             return dealt((sig >> np.uint64(8)) % np.uint64(buckets), sig=sig, key=key, need=need).to_batches()
 
         size = 0
         for batch in batches:
-            for _, texts in blocks(batch.column(0).to_pylist()):
+            for _, texts in blocks(batch.column(0).to_pylist(), 500_000):
                 for own in shingle_sets(texts, shingle):
                     if len(own) and (key := set_key(own)) not in seen:  # copies in this task sign once
-                        if len(seen) > 500_000:
+                        if len(seen) > 100_000:
                             seen.clear()
                         seen.add(key)
-                        held.append((*parts.signatures(own), key))
-                        size += len(held[-1][0])
-                if size > 2_000_000:
+                        made.append((*parts.signatures(own), key))
+                        size += len(made[-1][0])
+                if size > 500_000:
                     yield from block()
                     size = 0
         if size:
@@ -419,7 +420,7 @@ def jaccard_rows(docs: DataFrame, shingle: int, percent: int, block: int = 1024,
     @tidy
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, run in blocks(batch.column("text").to_pylist()):
+            for first, run in blocks(batch.column("text").to_pylist(), 500_000):
                 own = [s for s in shingle_sets(run, shingle)]
                 part = batch.slice(first, len(run))
                 good = pa.array([len(s) > 0 and set_key(s) == k for s, k in zip(own, part.column("key").to_pylist())])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, split_count, tidy
+from .common import Scratch, held, split_count, tidy
 from .jaccard import mix
 
 GRAM = 20
@@ -235,7 +235,7 @@ def joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def texts_in(raw: list[bytes], size: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def texts_in(raw: list[bytes], size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     first, run, n = 0, [], 0
     for i, b in enumerate(raw):
         run.append(b)
@@ -260,11 +260,12 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
 
     @tidy
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held("suffixes", int)
+        found: list[tuple] = []
 
         def flush():
-            of, number, grams = (np.concatenate(x) for x in zip(*held))
-            held.clear()
+            of, number, grams = (np.concatenate(x) for x in zip(*found))
+            found.clear()
             bucket = (grams >> np.uint64(32)) % np.uint64(n_buckets)
             short = grams.astype("u4")
             # of equal minimizers in this flush one goes on, with a mark that it is repeated
@@ -278,10 +279,10 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
             texts, keys = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for first, run in texts_in(texts):
                 of, number, _, _, _, grams = runs(run, width)
-                held.append((keys[first + of], number, grams))
-            if sum(len(h[0]) for h in held) > 1_000_000:
+                found.append((keys[first + of], number, grams))
+            if sum(len(f[0]) for f in found) > 500_000:
                 yield from flush()
-        if held:
+        if found:
             yield from flush()
 
     sent = base.where(F.octet_length("raw") >= width).select("raw", "key").mapInArrow(anchors, "bucket int, gram binary, key binary, number binary, state binary")
