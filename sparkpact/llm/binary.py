@@ -141,6 +141,10 @@ class Shard:
             return np.zeros(0, "u2")
         return self.flat[np.repeat(self.begin[symbols] - ends + n, n) + np.arange(ends[-1])]
 
+    def documents(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each document ends."""
+        return self.expand(self.symbols), np.cumsum(self.spans[:, 1].astype("i8"))
+
     def document(self, k: int) -> np.ndarray:
         first = int(self.spans[k, 0])
         last = int(self.spans[k + 1, 0]) if k + 1 < len(self.spans) else len(self.symbols)
@@ -200,11 +204,11 @@ def read_ids(spark, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, number, doc_ids, blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                shard, at, out = Shard(blob), 0, []
-                for k, doc in enumerate(doc_ids):
-                    ids = shard.document(k).astype("<u4")
-                    out.append((part, number, doc, at, len(ids), zlib.crc32(ids.tobytes())))
-                    at += len(ids)
+                flat, ends = Shard(blob).documents()
+                flat, at, out = flat.astype("<u4"), 0, []
+                for doc, end in zip(doc_ids, ends.tolist()):
+                    out.append((part, number, doc, at, end - at, zlib.crc32(flat[at:end])))
+                    at = end
                 types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 

@@ -7,6 +7,7 @@ only Python counts as white space) go through the library whole."""
 
 from __future__ import annotations
 
+import gc
 import os
 from itertools import chain, repeat
 
@@ -124,10 +125,19 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
+        was = gc.isenabled()
+        gc.disable()  # learning makes many small objects and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = [i for i, t in enumerate(texts) if any(x in t for x in WHOLE)]
         if whole:
             odd = set(whole)
-            flat, counts = self.encode([t for i, t in enumerate(texts) if i not in odd])
+            flat, counts = self._encode([t for i, t in enumerate(texts) if i not in odd])
             ends, parts, rest = np.cumsum(counts), [], 0
             for i, t in enumerate(texts):
                 if i in odd:
