@@ -345,6 +345,44 @@ def _category(depth: int = 2) -> P.Decoder:
     return made
 
 
+_ordered = "concat('{\"z\": ', event_id, '.10, \"a\": [', user_id, ', null], \"b\": {}', case when event_id % 4 = 0 then '' else '}' end)"
+
+
+def _json_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpact.sources.json import ordered
+
+    return _table(spark, sf_dir, "events").select("event_id", ordered(F.expr(_ordered)).alias("json"))
+
+
+_add("json_ordered", _json_ordered, f"SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN replace({_ordered}, ' ', '') END AS json FROM events")
+
+
+def _pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpact.plans.paths import segments_of
+
+    text = F.expr("concat('/', p_type, '/a~1b~0', p_size)")
+    path = segments_of(text)
+    return _table(spark, sf_dir, "part").select("p_partkey", F.element_at(path, 2).alias("last"), I.pointer(path).alias("pointer"))
+
+
+_add("path_pointer", _pointers, "SELECT p_partkey, 'a/b~' || p_size AS last, '/' || p_type || '/a~1b~0' || p_size AS pointer FROM part")
+# the tag read by a decoder, the enum from a decoder of its own, the issues handed to a fallback
+_values("choice_enum_with", "orders", "o_orderkey", "concat(' ', o_orderstatus, ' ')", P.enum_of({"O": 1, "F": 2, "P": 3}, s().trim()), "CASE trim(x) WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END")
+_values("choice_literal_with", "orders", "o_orderkey", "'  ok '", P.literal("ok", s().trim()), "'ok'")
+_values("combine_fallback_func", "part", "p_partkey", "p_size", n().max(20).fallback(lambda issues: F.size(issues).cast("long") * -1), "CASE WHEN x > 20 THEN -1 ELSE x END")
+
+
+def _discriminate_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "events").select("event_id", F.struct("event_type", "value").alias("event"))
+    size = P.new_decoder(lambda node: P.Outcome(F.when(node.member("value").column > 50, "large").otherwise("small")))
+    contract = P.discriminate(size, {"large": P.object_of(value=d()), "small": P.object_of(value=d().min(5.0))})
+    first = F.get("issues", F.lit(0))
+    return P.decode(df, contract, "event").all.select("event_id", I.pointer(first.path).alias("path"), F.col("value.value").alias("kept"))
+
+
+_add("choice_discriminate_by", _discriminate_by, "SELECT event_id, CASE WHEN value < 5 THEN '/value' END AS path, CASE WHEN value >= 5 THEN value END AS kept FROM events")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -72,3 +72,28 @@ def lossless_udf():
 
     run.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
     return F.pandas_udf(run, READ)
+
+
+def written(tree: str | None) -> str | None:
+    """JSON text of a tagged tree: members in written order, numbers as written."""
+    def plain(x) -> str:
+        if isinstance(x, dict):
+            if "$n" in x:
+                return x["$n"]
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{plain(v)}" for k, v in x["$o"]) + "}"
+        if isinstance(x, list):
+            return "[" + ",".join(map(plain, x)) + "]"
+        return json.dumps(x, ensure_ascii=False)
+
+    return None if tree is None else plain(json.loads(tree))
+
+
+def ordered(text: Column) -> Column:
+    """A column of JSON text written anew as it was read; null where it is not JSON."""
+    import pandas as pd
+
+    def run(s: pd.Series) -> pd.Series:
+        return read_lossless(s)["text"].map(written, na_action="ignore")
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(text)

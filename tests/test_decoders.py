@@ -147,3 +147,22 @@ def test_and_then_rebases_and_lazy(spark):
 def test_bad_definitions_are_refused(build):
     with pytest.raises(ValueError):
         build()
+
+
+def test_paths():
+    from sparkpact.plans.paths import Path
+
+    p = Path.of("/a~1b/~0c").index(3)
+    assert p.segments() == ["a/b", "~c", "3"] and str(p) == "/a~1b/~0c/3"
+    assert Path().is_root() and str(Path().key("x").append(p)) == "/x/a~1b/~0c/3"
+    for bad in ("a", "/~2"):
+        with pytest.raises(ValueError):
+            Path.of(bad)
+
+
+def test_json_written_anew(spark):
+    from sparkpact.sources.json import ordered
+
+    texts = ['{"b":1.20,"a":[-0,{"z":null,"y":true}],"é":"\\n"}', "1E+5", '{"a":1,"a":2}', "[1,]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.o for r in df.orderBy("i").select(ordered(df.t).alias("o")).collect()] == [texts[0], "1E+5", None, None]
