@@ -27,7 +27,7 @@ from .jaccard import mix
 
 GRAM = 20
 PRIME, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-CHUNK, PLACE = 1 << 20, np.uint64((1 << 21) - 1)
+CHUNK, PLACE = 1 << 18, np.uint64((1 << 21) - 1)
 _powers: dict = {}
 
 
@@ -172,7 +172,7 @@ def equal_windows(stretches: list[bytes], width: int) -> tuple[np.ndarray, np.nd
     return of, window, classes
 
 
-def stretch_marks(groups: dict, width: int, most: int = 1 << 20) -> Iterator[tuple]:
+def stretch_marks(groups: dict, width: int, most: int = 1 << 18) -> Iterator[tuple]:
     """(key, start, end) of bytes to remove. groups: hash -> {stretch: [(doc, key, start), ...]}."""
     apart: list[tuple[bytes, tuple]] = []
 
