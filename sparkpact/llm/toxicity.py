@@ -1,6 +1,7 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams and itself, hashed to buckets with an embedding each;
+A word is the bag of its character n-grams and itself, hashed to buckets with an embedding each (long
+runs without white space are several words, see all_words);
 a window of words is the mean of its words' vectors; a linear softmax tells the classes. Both
 are learned together by AdaGrad. Only documents are labelled, so the first pass takes every window
 of a toxic document as toxic and the second only those the first one believes (at least the most
@@ -11,10 +12,11 @@ looked up per worker when whole texts are scored."""
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import groupby, repeat
 from operator import eq
 
 import numpy as np
@@ -26,12 +28,34 @@ from .common import held, small_batches, trim
 from .tokens import blocks
 
 MARKS = re.compile(r"[\W_]+")
+LONG, SLICE, OVER = 64, 8, 5  # slices overlap so far that every n-gram of up to 6 characters lies in one
+
+
+def all_words(text: str) -> list[str]:
+    """All of the text in words: runs without white space, those of over LONG characters in pieces."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [piece for w in words for piece in (pieces(w) if len(w) > LONG else (w,))]
+
+
+def pieces(run: str) -> Iterator[str]:
+    """A run cut at its marks; letters that stand alone between marks stay together. What is longer
+    than LONG even so is sliced."""
+    marks = {ord(c): " " for c in set(run) if not c.isalnum() and unicodedata.category(c) not in ("Mn", "Mc", "Me", "Cf")}
+    for alone, group in groupby(run.translate(marks).split(), lambda p: len(p) == 1):
+        for piece in ["".join(group)] if alone else group:
+            if len(piece) <= LONG:
+                yield piece
+            else:
+                bare = MARKS.sub("", piece.lower())
+                yield from (bare[s : s + SLICE] for s in range(0, max(1, len(bare) - OVER), SLICE - OVER))
 
 
 def bags(words: list[str], buckets: int, least: int = 3, most: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """(buckets in a row, number for each word): a word's n-grams with its borders, and the whole
     word. Upper case and marks don't count; a word of marks only has none."""
-    held = [f"<{c[:64]}>" if (c := MARKS.sub("", w.lower())) else "" for w in words]
+    held = [f"<{c}>" if (c := MARKS.sub("", w.lower())) else "" for w in words]
     sizes = np.fromiter(map(len, held), "i8", len(held))
     chars = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), "u4").astype("u8")
     word = np.repeat(np.arange(len(held)), sizes)
@@ -69,10 +93,11 @@ class Model:
         out = np.fromiter(map(self.known.get, words, repeat(np.nan)), "f8", len(words))
         if len(lost := np.flatnonzero(np.isnan(out))):
             new = list(dict.fromkeys(map(words.__getitem__, lost.tolist())))
-            flat, n = bags(new, len(self.weights))
-            sums = np.append(0.0, np.cumsum(self.weights[flat]))
-            ends = np.cumsum(n)
-            self.known.update(zip(new, ((sums[ends] - sums[ends - n]) / np.maximum(n, 1)).tolist()))
+            for s in range(0, len(new), 100_000):
+                flat, n = bags(some := new[s : s + 100_000], len(self.weights))
+                sums = np.append(0.0, np.cumsum(self.weights[flat]))
+                ends = np.cumsum(n)
+                self.known.update(zip(some, ((sums[ends] - sums[ends - n]) / np.maximum(n, 1)).tolist()))
             out[lost] = [self.known[words[i]] for i in lost.tolist()]
         return out
 
@@ -82,7 +107,7 @@ class Model:
         for first, run in blocks(texts):
             if len(self.known) > most:
                 self.known.clear()
-            split = [t.split() for t in run]
+            split = [all_words(t) for t in run]
             words = [w for s in split for w in s]
             shares, at = self.shares(words), 0
             shares[1:][np.fromiter(map(eq, words[1:], words), bool, max(0, len(words) - 1))] = 0  # a word said again adds nothing
@@ -116,7 +141,7 @@ def fit(texts: list[str], labels: list[int], window: int = 8, buckets: int = 1 <
     said: list[tuple[int, np.ndarray]] = []
     for k, text in enumerate(texts):
         if k % 4 != 3:
-            words = text.split()
+            words = all_words(text)
             said.append((k, np.array([number.setdefault(w, len(number)) for w, last in zip(words, [None, *words]) if w != last], "i4")))
     flat, bag_n = bags(list(number), buckets)
     number.clear()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkpact.llm.license import TEMPLATES, UNKNOWN, everyday, fit, scan
 from sparkpact.llm.mixing import mix_rows, mixed, targets
-from sparkpact.llm.toxicity import bags, fit as fit_toxic, held_out, platt, score_toxicity, windows_mean
+from sparkpact.llm.toxicity import Model, all_words, bags, fit as fit_toxic, held_out, platt, score_toxicity, windows_mean
 
 
 def water(sizes, weights=(5, 2, 1), most=3):
@@ -134,3 +134,21 @@ def test_pieces():
     slope, shift = platt(np.array([-1.0, -0.5, 0.5, 1.0] * 20), np.array([0, 0, 1, 1] * 20))
     assert slope > 0
     assert fit_toxic([], []).scores(["a"])[0] < 0.5
+
+
+def model_of(*toxic):
+    weights = np.zeros(1 << 17)
+    weights[bags(list(toxic), 1 << 17)[0]] = 9.0
+    return Model(weights, -4.0, 1.0, 0.0, 8)
+
+
+@pytest.mark.parametrize("mark", ["", ",", "._", "/", "\u3002"])
+def test_all_of_a_text_without_blanks_is_scored(mark):
+    clean = [chr(0x4E00 + k) * 2 + chr(0x5E00 + k) for k in range(400)]
+    bad = "\u6bd2\u6bd2\u8349\u8349" if not mark else "grimzak"
+    score = model_of(bad).logits([mark.join(clean), mark.join([*clean[:300], bad, *clean[300:]])])
+    assert score[1] > score[0] + 0.1
+    assert all_words("a b") == ["a", "b"] and all_words("x" * 64) == ["x" * 64]
+    long = "".join(clean)
+    assert all(any(long[k : k + 6] in w for w in all_words(long)) for k in range(len(long) - 5))
+    assert all_words(".".join("grimzak" * 10)) == all_words("grimzak" * 10)
