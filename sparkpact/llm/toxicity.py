@@ -109,12 +109,14 @@ class Model:
                 self.known.clear()
             split = [all_words(t) for t in run]
             words = [w for s in split for w in s]
-            shares, at = self.shares(words), 0
-            shares[1:][np.fromiter(map(eq, words[1:], words), bool, max(0, len(words) - 1))] = 0  # a word said again adds nothing
-            for k, own in enumerate(split, first):
-                if own:
-                    out[k] = windows_mean(shares[at : at + len(own)], self.window).max() + self.bias
-                    at += len(own)
+            sizes = np.fromiter(map(len, split), "i8", len(split))
+            again = np.append(False, np.fromiter(map(eq, words[1:], words), bool, max(0, len(words) - 1)))[: len(words)]
+            again[(np.cumsum(sizes) - sizes)[sizes > 0]] = False  # a document's first word follows no other
+            shares = self.shares(words)[~again]  # a word said again adds nothing and counts for nothing, as in the fit
+            ends = np.cumsum(sizes) - np.append(0, np.cumsum(again))[np.cumsum(sizes)]
+            for k, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist()), first):
+                if b > a:
+                    out[k] = windows_mean(shares[a:b], self.window).max() + self.bias
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:

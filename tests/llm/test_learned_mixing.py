@@ -152,3 +152,12 @@ def test_all_of_a_text_without_blanks_is_scored(mark):
     long = "".join(clean)
     assert all(any(long[k : k + 6] in w for w in all_words(long)) for k in range(len(long) - 5))
     assert all_words(".".join("grimzak" * 10)) == all_words("grimzak" * 10)
+
+
+def test_neighbours_and_repeats_do_not_change_a_score():
+    model = model_of("grimzak")
+    texts = ["grimzak", "grimzak", "", "grimzak grimzak", "grimzak ba", "ba grimzak", "grimzak " * 8 + "ba", "", "ba"]
+    alone = [model.logits([t])[0] for t in texts]
+    assert model.logits(texts).tolist() == pytest.approx(alone)
+    assert alone[0] == alone[1] == alone[3] > alone[8] and alone[4] == alone[6]
+    assert len(model.logits([])) == 0 and model.logits(["", " "]).tolist() == [-4.0, -4.0]
