@@ -403,7 +403,7 @@ def jaccard_rows(docs: DataFrame, shingle: int, percent: int, block: int = 1024,
     entries = needed(shared(entries, fewer), fewer, True)
     near = scratch.save(agreements(entries), "near")
     scratch.drop("shared")
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("hash"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.save(classes, "classes")
     roles = classes.select("key", F.explode(F.array("key", F.col("key").bitwiseXOR(F.lit(BELOW)))).alias("node"))
     clusters = components(near, scratch, "clusters").join(roles, "node").select("key", F.col("root").alias("cluster"))
@@ -412,10 +412,11 @@ def jaccard_rows(docs: DataFrame, shingle: int, percent: int, block: int = 1024,
     # fewer than keys / block rows
     placed = clusters.join(F.broadcast(large), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    wanted = scratch.save(placed.join(classes, "key").select("key", "cluster", "blocks", "block", "rep"), "wanted")
-    n_wanted = wanted.count()
+    wanted = scratch.save(placed.join(classes, "key").select("key", "cluster", "blocks", "block", "rep", "hash"), "wanted")
+    n_wanted, n_named = wanted.agg(F.count(F.lit(1)), F.count("rep")).first()
+    by_id, by_text = wanted.where("rep is not null").drop("hash"), wanted.where("rep is null").drop("rep")
     if n_wanted <= most_broadcast:  # 40 bytes a row
-        wanted = F.broadcast(wanted)
+        by_id, by_text = F.broadcast(by_id), F.broadcast(by_text)
 
     @tidy
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,8 +428,12 @@ def jaccard_rows(docs: DataFrame, shingle: int, percent: int, block: int = 1024,
                 made = [*(part.column(c) for c in ("key", "cluster", "blocks", "block")), pa.array([s.tobytes() for s in own], pa.binary())]
                 yield pa.RecordBatch.from_arrays(made, names=["key", "cluster", "blocks", "block", "tokens"]).filter(good)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep")
-    sets = texts.select("text", "key", "cluster", "blocks", "block").mapInArrow(tokens, "key long, cluster long, blocks int, block int, tokens binary")
+    kind, columns = "key long, cluster long, blocks int, block int, tokens binary", ["text", "key", "cluster", "blocks", "block"]
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"), text_hash().alias("hash"))
+    sets = texts.join(by_id, "rep").select(*columns).mapInArrow(tokens, kind)
+    if n_named < n_wanted:  # sets whose rows all have no doc_id: by their text, once a cluster
+        unnamed = texts.where("rep is null").join(by_text, "hash").select(*columns).mapInArrow(tokens, kind)
+        sets = sets.unionByName(unnamed.dropDuplicates(["key", "cluster"]))
     # one task for every pair of blocks; small clusters share tasks
     bins = split_count(n_wanted, 500, 64)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

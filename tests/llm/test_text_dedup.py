@@ -190,3 +190,16 @@ def test_cut_repeats_keeps_columns(docs_of):
     got = {r.doc_id: r for r in cut_repeats(docs).collect()}
     assert got[2].text == "before after" and got[2].n_chars == 12 and got[3].text is None or got[3].text == ""
     assert got[1].text == long_ and got[1].raw == 1
+
+
+@pytest.mark.parametrize("most_broadcast", [400_000, 0])
+def test_near_copies_without_doc_ids_link(docs_of, most_broadcast):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    far = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    nulls = [(None, " ".join(base)), (None, near), (None, " ".join(base))]
+    mixed_ = [(7, far("x")), (None, far("x") + " more"), (8, far("y"))]
+    got = jaccard_components(docs_of(nulls + mixed_), most_broadcast=most_broadcast).toPandas()
+    assert len(got) == 6 and sorted(got.component_id.dropna()) == [7, 7, 8]
+    kept = keep_one(docs_of(nulls + mixed_), most_broadcast=most_broadcast).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 7), (False, 8), (True, 0)]
