@@ -48,6 +48,11 @@ def slot_point(i) -> F.Column:
     return x - F.floor(x)
 
 
+def row_key(docs: DataFrame) -> F.Column:
+    """A hash of all of a row but its doc_id and source."""
+    return F.xxhash64("text", *(c for c in docs.columns if c not in ("doc_id", "source", "text")))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = 64, seed: str = "mix", piece_rows: int = 50_000) -> DataFrame:
     """`docs` with size, source_size, target and taken.
 
@@ -58,13 +63,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int
     source a document's order is a hash of doc_id with `seed`, so reruns agree."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    clash = ("size", "source_size", "target", "taken", "_order", "_piece", "_key")
-    sized = docs.drop(*clash).withColumns({
-        "size": word_count(F.col("text").cast("string")),
-        "_order": F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
-    })
-    rest = [c for c in sized.columns if c not in ("doc_id", "source", "size", "_order", "text")]
-    slim = scratch.save(sized.select("doc_id", "source", "size", "_order", F.xxhash64("text", *rest).alias("_key")), "sized")
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sized = docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size"), order.alias("_order"), row_key(docs).alias("_key"))
+    slim = scratch.save(sized, "sized")
     n = slim.count()
     pieces = split_count(n, piece_rows, 64)
     slim = slim.withColumn("_piece", F.pmod(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.lit(pieces)).cast("int"))
@@ -106,12 +107,11 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """`docs` as the mix has them: a row for each time (rounded) that its words are taken, none for
     documents left out. Only a source's document at the end of its last round is taken in part."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
     rows = mix(docs, **options).groupBy("doc_id", "_key").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken"))
     rows = rows.select(F.col("doc_id").alias("_doc"), "_key", F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_times")).where("_times > 0")
-    keyed = docs.withColumn("_own", F.xxhash64("text", *rest))
-    hit = keyed["doc_id"].eqNullSafe(rows["_doc"]) & (keyed["_own"] == rows["_key"])
-    return keyed.join(rows, hit).select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).drop("_time")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), row_key(docs).alias("_own"))  # no name of docs' own clashes
+    hit = keyed["_id"].eqNullSafe(rows["_doc"]) & (keyed["_own"] == rows["_key"])
+    return keyed.join(rows, hit).select("_row", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")
 
 
 MIX_SQL = """

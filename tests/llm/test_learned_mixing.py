@@ -161,3 +161,13 @@ def test_neighbours_and_repeats_do_not_change_a_score():
     assert model.logits(texts).tolist() == pytest.approx(alone)
     assert alone[0] == alone[1] == alone[3] > alone[8] and alone[4] == alone[6]
     assert len(model.logits([])) == 0 and model.logits(["", " "]).tolist() == [-4.0, -4.0]
+
+
+@pytest.mark.parametrize("name", ["size", "_key", "_own"])
+def test_mixed_keeps_columns_of_clashing_names(docs_of, name):
+    docs = docs_of([(k, "some words here " * 9, "ab"[k % 2]) for k in range(40)]).drop("lang", "n_chars")
+    extra = docs.withColumn(name, F.col("doc_id") % 3)
+    got = mixed(extra).collect()
+    assert mixed(extra).columns == extra.columns and got
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in mixed(docs).collect())
+    assert all(r[name] == r.doc_id % 3 for r in got)
