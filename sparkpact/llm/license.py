@@ -49,6 +49,10 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 UNKNOWN = "unknown"
+#: Words of the templates that name no licence; only these can be everyday words.
+PLAIN = set("a and any as at binary by can copy either except file for forms free in is it may modify no not obtain of on or org part person published released subject terms the this to under use with without work you 0 1 2 3 4".split())
+#: Lines with one of these are not taught as unknown.
+LICENCE_WORDS = set("affero agpl apache bsd cc0 copyright creativecommons gnu gpl isc lgpl licence licences license licensed licenses mit mozilla mpl reserved sharealike spdx unencumbered unlicense".split())
 #: Wordings put around a notice in the varied examples, and lines that only sound like one.
 AROUND = ["this work is", "this document is", "the text is", "copyright 2020", "see the file for details", "unless noted otherwise", "", ""]
 DECOYS = [
@@ -94,20 +98,24 @@ def examples(lines: list[str], turns: int = 14) -> tuple[list[set[str]], list[st
 
 
 def everyday(lines: list[str], share: float = 0.01) -> set[str]:
-    """Words in more than `share` of the lines: alone or together they say nothing of a licence."""
+    """Plain words in more than `share` of the lines: alone or together they say nothing of a licence."""
     count: dict[str, int] = {}
     for line in lines:
         for w in set(words_of(line)):
             count[w] = count.get(w, 0) + 1
-    return {w for w, n in count.items() if n > max(3, share * len(lines))}
+    return common(count, len(lines), share)
 
 
-def fit(lines: list[str], steps: int = 800, rate: float = 1.0, sparse: float = 1e-4) -> tuple[dict[str, list[float]], list[float], list[str]]:
+def common(count: dict[str, int], lines: int, share: float = 0.01) -> set[str]:
+    return {w for w, n in count.items() if w in PLAIN and n > max(3, share * lines)}
+
+
+def fit(lines: list[str], often: set[str] | None = None, steps: int = 800, rate: float = 1.0, sparse: float = 1e-4) -> tuple[dict[str, list[float]], list[float], list[str]]:
     """(weights of each n-gram, biases, classes) by proximal gradient steps, divided by the temperature
     that fits the examples kept out best."""
     x, y, out = examples(lines)
     classes = [*dict.fromkeys(f for f, _ in TEMPLATES), UNKNOWN]
-    often = everyday(lines)
+    often = everyday(lines) if often is None else often
     names = sorted({g for _, t in TEMPLATES for g in grams_of(words_of(t)) if not often.issuperset(g.split())})
     column = {g: i for i, g in enumerate(names)}
     a = np.zeros((len(x), len(names)), "f4")
@@ -153,6 +161,21 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+def words_in(line: Column) -> Column:
+    return F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def learn_from(base: DataFrame, sample_lines: int) -> tuple[list[str], set[str]]:
+    """(lines without licence words, the ones of the smallest hash; everyday words by their share of all lines)."""
+    lines = base.where(F.length("text") > 0).select("key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    lines = lines.withColumn("words", F.array_distinct(words_in(F.col("line"))))
+    seen = lines.select(F.explode(F.concat(F.array(F.lit("")), F.filter("words", lambda w: w.isin(sorted(PLAIN))))).alias("word")).groupBy("word").count()
+    count = {r["word"]: r["count"] for r in seen.collect()}  # a row per plain word; the empty one counts lines
+    free = lines.where((F.size("words") > 0) & ~F.exists("words", lambda w: w.isin(sorted(LICENCE_WORDS))))
+    some = free.orderBy(F.xxhash64("key", "paragraph"), "line").select("line").limit(sample_lines).collect()
+    return [r[0] for r in some], common(count, count.pop("", 0))
+
+
 def scan(docs: DataFrame, sample_lines: int = 1500, least: float = 0.5, confirm: float = 0.7) -> DataFrame:
     """doc_id, license, confidence, licenses, n_paragraphs and first_paragraph for every row.
 
@@ -164,15 +187,11 @@ def scan(docs: DataFrame, sample_lines: int = 1500, least: float = 0.5, confirm:
     scratch = Scratch(spark, "license")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
-    some = base.where(F.pmod(F.xxhash64("key"), F.lit(64)) == 0).select(F.substring("text", 1, 4000).alias("text")).limit(sample_lines // 5)
-    lines = [r[0] for r in some.select(F.explode(F.slice(F.split("text", "\n"), 1, 5)).alias("line")).limit(sample_lines).collect()]
-    marks = [grams_of(words_of(t)) for _, t in TEMPLATES]
-    lines = [x for x in lines for own in [grams_of(words_of(x))] if max(len(g & own) / len(g) for g in marks) < 0.5]
-    weights, bias, classes = fit(lines)
+    lines, often = learn_from(base, sample_lines)
+    weights, bias, classes = fit(lines, often)
     k = len(classes)
     table = spark.createDataFrame([(g, *w) for g, w in sorted(weights.items())], "gram string, " + ", ".join(f"w{i} double" for i in range(k)))
     # of every n-gram of weight one word is not an everyday one: lines without any have no such n-gram
-    often = everyday(lines)
     needed = sorted({next(w for w in g.split() if w not in often) for g in weights})
     split = base.where(F.length("text") > 0).select("key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     worded = split.withColumn("words", F.split(F.lower("line"), "[^a-z0-9]+")).where(F.exists("words", lambda w: w.isin(needed)))

@@ -171,3 +171,11 @@ def test_mixed_keeps_columns_of_clashing_names(docs_of, name):
     assert mixed(extra).columns == extra.columns and got
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in mixed(docs).collect())
     assert all(r[name] == r.doc_id % 3 for r in got)
+
+
+def test_licences_in_every_header(docs_of):
+    rows = [(k, f"SPDX-License-Identifier: MIT\nReleased under the MIT License\nthe text of number {k}") for k in range(300)]
+    got = scan(docs_of(rows)).collect()
+    assert all(r.licenses == "mit" and r.first_paragraph == 1 for r in got)
+    again = scan(docs_of(rows[::-1]).repartition(5)).collect()
+    assert sorted(got) == sorted(again)
