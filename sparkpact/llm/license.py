@@ -1,11 +1,12 @@
 """Licence scans by a trained paragraph classifier, in DataFrame operations only.
 
-A paragraph is a line. A sparse multinomial logistic regression over word 1- and 2-grams names its
-licence family or unknown; it is fitted on the driver from the templates below, varied by rule, against
+What is classified are lines and, for notices that run over several, overlapping windows of words
+through the whole text. A sparse multinomial logistic regression over word 1- and 2-grams weighs each licence
+family against unknown; it is fitted on the driver from the templates below, varied by rule, against
 a bounded sample of the corpus' own lines. The temperature is calibrated on variants kept out of the
-fit. A prediction counts only if a template of that family confirms it: enough of the template's
-2-grams are in the paragraph. Scoring needs no data from the driver but the weights, a table of a few
-hundred rows."""
+fit. Every family that is likelier than unknown counts, if the licence's name is there and a template
+confirms it: enough of the template's 2-grams are in the line or window. Scoring needs no data from the
+driver but the weights, a table of a few hundred rows."""
 
 from __future__ import annotations
 
@@ -49,10 +50,20 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 UNKNOWN = "unknown"
+_FSF = "gnu general public license (as published by the free software foundation )?(either )?"
+#: The wording that tells a family from its relatives.
+NAMES = {
+    "agpl-3.0": "gnu affero general public license", "all-rights-reserved": "all rights reserved", "apache-2.0": "apache license|apache org licenses",
+    "bsd-2-clause": "bsd 2 clause", "bsd-3-clause": "bsd 3 clause|redistribution and use", "cc-by-4.0": "cc by 4|attribution 4",
+    "cc-by-nc-4.0": "by nc 4|attribution noncommercial 4", "cc-by-nc-sa-4.0": "by nc sa", "cc-by-nd-4.0": "by nd", "cc-by-sa-4.0": "by sa|attribution sharealike",
+    "cc0-1.0": "cc0", "gpl-2.0": _FSF + "version 2", "gpl-3.0": _FSF + "version 3", "isc": "isc license", "lgpl-3.0": "gnu lesser general public license",
+    "mit": "mit license|permission is hereby granted free of charge", "mpl-2.0": "mozilla public license", "unlicense": "free and unencumbered software",
+}
 #: Words of the templates that name no licence; only these can be everyday words.
 PLAIN = set("a and any as at binary by can copy either except file for forms free in is it may modify no not obtain of on or org part person published released subject terms the this to under use with without work you 0 1 2 3 4".split())
 #: Lines with one of these are not taught as unknown.
 LICENCE_WORDS = set("affero agpl apache bsd cc0 copyright creativecommons gnu gpl isc lgpl licence licences license licensed licenses mit mozilla mpl reserved sharealike spdx unencumbered unlicense".split())
+WINDOW = 64  # words; half overlap, so a notice of up to 32 words lies in one
 #: Wordings put around a notice in the varied examples, and lines that only sound like one.
 AROUND = ["this work is", "this document is", "the text is", "copyright 2020", "see the file for details", "unless noted otherwise", "", ""]
 DECOYS = [
@@ -180,9 +191,10 @@ def scan(docs: DataFrame, sample_lines: int = 1500, least: float = 0.5, confirm:
     """doc_id, license, confidence, licenses, n_paragraphs and first_paragraph for every row.
 
     `licenses` lists all confirmed families, sorted and parted by commas; `license` is the one of the
-    largest confidence (ties: the first name), null if there is none. Null and empty texts have
-    none; repeated rows get the same; null doc_ids are kept; clashing columns are not looked at.
-    The fit sees at most `sample_lines` lines of the corpus."""
+    largest confidence (ties: the first name), null if there is none. A confidence is the family's
+    probability against unknown. Paragraphs are lines, a notice over several is where its licence is named.
+    Null and empty texts have none; repeated rows get the same; null doc_ids are kept; clashing columns are
+    not looked at. The fit sees at most `sample_lines` lines of the corpus, but word shares of all."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "license")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -191,25 +203,31 @@ def scan(docs: DataFrame, sample_lines: int = 1500, least: float = 0.5, confirm:
     weights, bias, classes = fit(lines, often)
     k = len(classes)
     table = spark.createDataFrame([(g, *w) for g, w in sorted(weights.items())], "gram string, " + ", ".join(f"w{i} double" for i in range(k)))
-    # of every n-gram of weight one word is not an everyday one: lines without any have no such n-gram
-    needed = sorted({next(w for w in g.split() if w not in often) for g in weights})
-    split = base.where(F.length("text") > 0).select("key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    worded = split.withColumn("words", F.split(F.lower("line"), "[^a-z0-9]+")).where(F.exists("words", lambda w: w.isin(needed)))
-    worded = worded.select("key", "paragraph", grams(F.filter("words", lambda w: w != "")).alias("grams"))
-    worded = scratch.save(worded, "paragraphs")
-    each = worded.select("key", "paragraph", F.explode("grams").alias("gram"))
-    logits = each.join(F.broadcast(table), "gram").groupBy("key", "paragraph").agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(k)))
-    z = F.array(*(F.col(f"w{i}") + F.lit(bias[i]) for i in range(k)))
-    named = logits.select("key", "paragraph", z.alias("z")).withColumn("top", F.array_max("z"))
-    total = F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
-    named = named.select("key", "paragraph", (F.lit(1.0) / total).alias("confidence"), F.element_at(F.array(*map(F.lit, classes)), F.array_position("z", F.col("top")).cast("int")).alias("family"))
-    named = named.where((F.col("family") != UNKNOWN) & (F.col("confidence") >= least))
+    # where no licence is named none can be found: such texts, lines and windows are left out
+    named_in = lambda words: words.rlike("\\b(" + "|".join(NAMES.values()) + ")\\b")
+    split = base.where(named_in(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))).select("key", F.transform(F.split("text", "\n"), words_in).alias("lines"))
+    split = split.withColumns({"flat": F.flatten("lines"), "numbers": F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.size(x))))})
+    starts = F.sequence(F.lit(0), F.greatest(F.size("flat") - WINDOW // 2 - 1, F.lit(0)), F.lit(WINDOW // 2))
+    of_lines = F.transform("lines", lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("at"), x.alias("words"), F.array_repeat(i, F.size(x)).alias("numbers")))
+    of_text = F.transform(starts, lambda i: F.struct(F.lit("window").alias("kind"), i.alias("at"), F.slice("flat", i + 1, WINDOW).alias("words"), F.slice("numbers", i + 1, WINDOW).alias("numbers")))
+    worded = split.select("key", F.explode(F.filter(F.concat(of_lines, of_text), lambda u: named_in(F.concat_ws(" ", u["words"])))).alias("u")).select("key", "u.*")
+    unit = ["key", "kind", "at"]
+    worded = scratch.save(worded.dropDuplicates(unit).withColumn("grams", grams(F.col("words"))), "paragraphs")
+    each = worded.select(*unit, F.explode("grams").alias("gram"))
+    logits = each.join(F.broadcast(table), "gram").groupBy(*unit).agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(k)))
+    unknown = F.col(f"w{k - 1}") + F.lit(bias[-1])
+    over = F.array(*(F.struct(F.lit(f).alias("family"), (1 / (1 + F.exp(unknown - F.col(f"w{i}") - F.lit(bias[i])))).alias("confidence")) for i, f in enumerate(classes[:-1])))
+    named = logits.select(*unit, F.explode(over).alias("f")).select(*unit, "f.*").where(F.col("confidence") >= least)
     # confirmation by a template of the family
     pairs = [(f, n, f"{a} {b}", len(w) - 1) for n, (f, t) in enumerate(TEMPLATES) for w in [words_of(t)] for a, b in zip(w, w[1:])]
     pairs = spark.createDataFrame(sorted(set(pairs)), "family string, template int, gram string, of int")
-    hits = named.join(worded, ["key", "paragraph"]).select("key", "paragraph", "family", "confidence", F.explode("grams").alias("gram")).join(F.broadcast(pairs), ["family", "gram"])
-    sure = hits.groupBy("key", "paragraph", "family", "template", "of", "confidence").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= confirm * F.col("of"))
-    sure = sure.groupBy("key", "paragraph", "family").agg(F.max("confidence").alias("confidence"))
+    hits = named.join(worded, unit).select(*unit, "family", "confidence", F.explode("grams").alias("gram")).join(F.broadcast(pairs), ["family", "gram"])
+    sure = hits.groupBy(*unit, "family", "template", "of", "confidence").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= confirm * F.col("of"))
+    sure = sure.groupBy(*unit, "family").agg(F.max("confidence").alias("confidence")).join(worded.drop("grams"), unit)
+    said = F.concat_ws(" ", "words")
+    where = F.coalesce(*(F.when(F.col("family") == f, F.regexp_instr(said, F.lit(f"\\b({n})\\b"))) for f, n in NAMES.items()))
+    sure = sure.withColumn("where", where).where("where > 0")
+    sure = sure.withColumn("paragraph", F.element_at("numbers", F.size(F.split(F.substring(said, F.lit(1), F.col("where")), " "))))
     best = F.max_by("family", F.struct("confidence", F.translate("family", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")))
     per_doc = sure.groupBy("key").agg(
         best.alias("license"), F.max("confidence").alias("confidence"), F.concat_ws(",", F.array_sort(F.collect_set("family"))).alias("licenses"),

@@ -173,6 +173,21 @@ def test_mixed_keeps_columns_of_clashing_names(docs_of, name):
     assert all(r[name] == r.doc_id % 3 for r in got)
 
 
+def test_licences_over_lines_and_side_by_side(docs_of):
+    fsf = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {} as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version."""
+    kinds = [("gpl-3.0", "General Public License", 3), ("gpl-2.0", "General Public License", 2), ("lgpl-3.0", "Lesser General Public License", 3), ("agpl-3.0", "Affero General Public License", 3)]
+    rows = [(k, "first line\n" + fsf.format(name, version)) for k, (_, name, version) in enumerate(kinds)]
+    rows += [(10, "Released under the MIT License and licensed under the Apache License, Version 2.0."), (11, "word " * 500 + "Released under the MIT License. " + "text " * 500 + "Licensed under CC BY-SA 4.0."), (10, rows[0][1])]
+    rows += [(20, "Licensed under the GNU General Public License version 3 or the Apache License, Version 2.0.")] * 2
+    got = [(r.doc_id, r.licenses, r.first_paragraph) for r in scan(docs_of(rows)).collect()]
+    for k, (family, _, _) in enumerate(kinds):
+        assert (k, family, 2) in got
+    assert {(10, "apache-2.0,mit", 0), (11, "cc-by-sa-4.0,mit", 0), (10, "gpl-3.0", 2), (20, "apache-2.0,gpl-3.0", 0)} <= set(got)
+
+
 def test_licences_in_every_header(docs_of):
     rows = [(k, f"SPDX-License-Identifier: MIT\nReleased under the MIT License\nthe text of number {k}") for k in range(300)]
     got = scan(docs_of(rows)).collect()
