@@ -92,6 +92,7 @@ _price = "case when o_orderkey % 6 = 0 then 'x' else cast(cast(o_totalprice as d
 check("string_to_decimal", "orders", "o_orderkey", _price.format("string"), s().to_decimal().min("1000").as_decimal(18, 2), "TRY_CAST(x AS DECIMAL(18,2)) < 1000", "out_of_range", "out_of_range.minimum", value="TRY_CAST(x AS DECIMAL(18,2))::DOUBLE", of=lambda v: v.cast("double"), more="WHEN x = 'x' THEN ['type_mismatch', 'type_mismatch']", sql_text=_price.format("varchar"))
 check("string_to_bool", "labels", "doc_id", "case doc_id % 5 when 0 then 'YES' when 1 then 'off' when 2 then 't' when 3 then 'True' else '0' end", s().to_bool(), "x = 't'", "type_mismatch", value="x IN ('YES', 'True')")
 check("string_normalize_nfc", "documents", "doc_id", "concat('e', decode(unhex('CC81'), 'UTF-8'), substr(text, 1, 100))", s().normalize("NFC"), "false", "blank", value="md5(nfc_normalize(x))", of=F.md5, sql_text="concat('e', chr(769), substr(text, 1, 100))")
+check("string_normalize_nfc_whole", "documents", "doc_id", "concat('e', decode(unhex('CC81'), 'UTF-8'), text)", s().normalize("NFC"), "false", "blank", value="md5(nfc_normalize(x))", of=F.md5, sql_text="concat('e', chr(769), text)")
 check("string_enum", "orders", "o_orderkey", "lower(o_orderpriority)", P.enum_of({"1-URGENT": 1, "2-HIGH": 2, "3-Medium": 3, "5-LOW": 5}), "upper(x) NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')", "invalid_format", "invalid_format.enum", value="substr(x, 1, 1)::INT")
 check("string_literal", "orders", "o_orderkey", "o_orderstatus", P.literal("P"), "x <> 'P'", "invalid_format", "invalid_format.literal", value="x")
 # integers, read from doubles and from whole columns

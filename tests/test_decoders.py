@@ -166,3 +166,17 @@ def test_json_written_anew(spark):
     texts = ['{"b":1.20,"a":[-0,{"z":null,"y":true}],"é":"\\n"}', "1E+5", '{"a":1,"a":2}', "[1,]"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     assert [r.o for r in df.orderBy("i").select(ordered(df.t).alias("o")).collect()] == [texts[0], "1E+5", None, None]
+
+
+def test_nfc_reads_whole_texts(spark, tmp_path):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from sparkpact.queries import contracts
+
+    texts = ["x" * 150 + "o\u0308", "\u1100\u1161" * 200, "a" * 5000 + "u\u0323\u0302"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.k: r.value for r in contracts._queries["string_normalize_nfc_whole"](spark, str(tmp_path)).collect()}
+    wanted = spark.createDataFrame([(k, unicodedata.normalize("NFC", "e\u0301" + t)) for k, t in enumerate(texts)], "k long, x string").select("k", F.md5("x").alias("h"))
+    assert got == {r.k: r.h for r in wanted.collect()}
