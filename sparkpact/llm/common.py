@@ -113,6 +113,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """A table of rows made on the driver, by Arrow: no Python worker is needed to read it."""
+    columns = list(zip(*rows)) or [()] * len(types)
+    return spark.createDataFrame(pa.table({n: pa.array(list(c), t) for (n, t), c in zip(types.items(), columns)}))
+
+
 def split_count(rows: int, each: int, least: int) -> int:
     """Into how many pieces a group is split so that a piece holds about `each` rows."""
     return max(least, math.ceil(rows / each))

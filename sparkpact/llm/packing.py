@@ -14,13 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Scratch, numbered, split_count, tidy
+from .common import Scratch, numbered, small_table, split_count, tidy
 from .tokens import END, blocks, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLAN = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "first", "count", "sequence", "each", "offset")])
+PLAN = ("length", "first", "count", "sequence", "each", "offset")
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -91,7 +90,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, piece_rows: int
     scratch = Scratch(spark, "pack")
     pieces = scratch.save(cut_documents(docs, vocabulary, capacity), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    plan = spark.createDataFrame(plan_best_fit(counts, capacity), PLAN)
+    plan = small_table(spark, plan_best_fit(counts, capacity), **dict.fromkeys(PLAN, pa.int64()))
     ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", split_count(sum(counts.values()), piece_rows, 64))
     p = plan.select(F.col("length").alias("_length"), "first", "count", "sequence", "each", F.col("offset").alias("_offset"))
     # at most capacity^2 / 2 rows whatever the input holds, in practice a few thousand

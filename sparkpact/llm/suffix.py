@@ -247,15 +247,22 @@ def texts_in(raw: list[bytes], size: int = 1_000_000) -> Iterator[tuple[int, lis
         yield first, run
 
 
-def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) -> DataFrame:
-    """(doc_id, raw, repeat, marks, rest): the text's bytes; marks are (start, end) as little-endian 64-bit
-    pairs; repeat for rows that equal an earlier one in both doc_id and text; rest holds all columns but
-    the text."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix")
-    n_buckets = split_count(docs.count(), part_rows, 64)
-    raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(raw, "UTF-8").alias("raw"), F.xxhash64(F.col("doc_id").cast("long"), raw).alias("key"), F.struct(*(c for c in docs.columns if c != "text")).alias("rest"))
+def once_each(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with one of each key, (key, copies) of keys that several rows have; None if there are none).
+
+    Repeated rows are counted by key and then thinned before the shuffle, so they meet in no task."""
+    twice = scratch.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "twice")
+    if twice.isEmpty():
+        return rows, None
+    alone = rows.join(twice, "key", "left_anti")
+    first = rows.join(twice, "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in rows.columns if c != "key"))
+    return scratch.save(alone.unionByName(first), "once"), twice
+
+
+def with_marks(rows: DataFrame, scratch: Scratch, width: int, part_rows: int, finish, made: str | T.StructType) -> DataFrame:
+    """What `finish` makes of rows (doc_id, raw, key, ...), all of at least `width` bytes and each key once:
+    of a table of some rows and, for each of them, the bytes left, their number removed and the runs removed."""
+    n_buckets = split_count(rows.count(), part_rows, 64)
     home = lambda key: np.mod(key, n_buckets)
 
     @tidy
@@ -285,7 +292,7 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
         if found:
             yield from flush()
 
-    sent = base.where(F.octet_length("raw") >= width).select("raw", "key").mapInArrow(anchors, "bucket int, gram binary, key binary, number binary, state binary")
+    sent = rows.select("raw", "key").mapInArrow(anchors, "bucket int, gram binary, key binary, number binary, state binary")
 
     @tidy
     def repeated(group: pa.Table) -> pa.Table:
@@ -298,7 +305,7 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
         return dealt(home(key[keep]), key=key[keep], number=number[keep])
 
     again = scratch.save(sent.groupBy("bucket").applyInArrow(repeated, "bucket int, key binary, number binary"), "again")
-    by_home = base.withColumn("bucket", F.pmod("key", F.lit(n_buckets)).cast("int"))
+    by_home = rows.withColumn("bucket", F.pmod("key", F.lit(n_buckets)).cast("int"))
 
     @tidy
     def stretches(own: pa.Table, found: pa.Table) -> pa.Table:
@@ -308,7 +315,6 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
             wanted.setdefault(k, []).append(i)
         keys, ids, raws = own.column("key").to_pylist(), own.column("doc_id").to_pylist(), own.column("raw").to_pylist()
         pick = [i for i, k in enumerate(keys) if k in wanted]
-        pick = list({keys[i]: i for i in pick}.values())
         first_at: dict[tuple, tuple] = {}
         marks: list[tuple[int, int, int]] = []
         for first, run in texts_in([raws[i] for i in pick]):
@@ -358,8 +364,8 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
         made = dealt(home(key), mark=rows)
         return made.rename_columns(["home", "mark"])
 
-    long_ = by_home.drop("rest").where(F.octet_length("raw") >= width)
-    found = long_.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(stretches, "bucket int, gram binary, doc binary, key binary, start binary, size binary, text binary, home int, mark binary")
+    slim = by_home.select("doc_id", "raw", "key", "bucket")
+    found = slim.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(stretches, "bucket int, gram binary, doc binary, key binary, start binary, size binary, text binary, home int, mark binary")
     found = scratch.save(found, "stretches")
 
     @tidy
@@ -380,21 +386,14 @@ def mark_documents(docs: DataFrame, width: int = 100, part_rows: int = 1000) ->
 
     @tidy
     def collect(own: pa.Table, found: pa.Table) -> pa.Table:
-        rows = joined(found, "mark", "i8").reshape(-1, 3)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        keys, first = np.unique(rows[:, 0], return_index=True)
-        ends = np.append(first[1:], len(rows))
-        where = {k: (a, b) for k, a, b in zip(keys.tolist(), first.tolist(), ends.tolist())}
-        out, seen, repeat = [], set(), []
-        for k in own.column("key").to_pylist():
-            a, b = where.get(k, (0, 0))
-            out.append(spans_union(rows[a:b, 1:]).astype("<i8").tobytes())
-            repeat.append(k in seen)
-            seen.add(k)
-        return pa.table({"doc_id": own.column("doc_id"), "raw": own.column("raw"), "repeat": pa.array(repeat, pa.bool_()), "marks": pa.array(out, pa.binary()), "rest": own.column("rest")})
-
-    fields = [T.StructField("doc_id", T.LongType()), T.StructField("raw", T.BinaryType()), T.StructField("repeat", T.BooleanType()), T.StructField("marks", T.BinaryType()), by_home.schema["rest"]]
-    return by_home.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(collect, T.StructType(fields))
+        rows_ = joined(found, "mark", "i8").reshape(-1, 3)
+        rows_ = rows_[np.lexsort((rows_[:, 1], rows_[:, 0]))]
+        keys, first = np.unique(rows_[:, 0], return_index=True)
+        where = dict(zip(keys.tolist(), zip(first.tolist(), np.append(first[1:], len(rows_)).tolist())))
+        cuts = ((raw.as_py(), *where.get(k, (0, 0))) for raw, k in zip(own.column("raw"), own.column("key").to_pylist()))
+        return finish(own, [cut_out(raw, spans_union(rows_[a:b, 1:])) for raw, a, b in cuts])
+
+    return by_home.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(collect, made)
 
 
 def spans_union(spans: np.ndarray) -> np.ndarray:
@@ -407,13 +406,10 @@ def spans_union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], reach[np.append(at[1:], len(spans)) - 1]], 1)
 
 
-def cut_out(raw: bytes, repeat: bool, marks: bytes, width: int) -> tuple[bytes, int, int]:
+def cut_out(raw: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
     """(bytes left, bytes removed, runs removed)."""
-    if repeat and len(raw) >= width:
-        return b"", len(raw), 1
-    spans = np.frombuffer(marks, "<i8").reshape(-1, 2).tolist()
     left, at = [], 0
-    for a, b in spans:
+    for a, b in spans.tolist():
         left.append(raw[at:a])
         at = b
     left.append(raw[at:])
@@ -421,38 +417,55 @@ def cut_out(raw: bytes, repeat: bool, marks: bytes, width: int) -> tuple[bytes,
     return kept, len(raw) - len(kept), len(spans)
 
 
-def suffix_spans(docs: DataFrame, width: int = 100) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row.
-
-    Null texts are empty. Documents come by doc_id, null first; rows of one doc_id come by a hash of
-    their text, and rows equal in both lose everything but in one of them (if they have `width`
-    bytes). An empty table gives no rows. Other columns are ignored."""
-
-    @tidy
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for raw, repeat, marks in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                kept, removed, n = cut_out(raw, repeat, marks, width)
-                out.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out)) or [[], [], [], []]
-            made = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))]
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def bytes_of(docs: DataFrame) -> DataFrame:
+    """doc_id, raw, key and rest: all columns but the text."""
+    raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.encode(raw, "UTF-8").alias("raw"), F.xxhash64(doc_id, raw).alias("key"), F.struct(*(c for c in docs.columns if c != "text")).alias("rest"))
 
-    return mark_documents(docs.select("doc_id", "text"), width).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
+def suffix_spans(docs: DataFrame, width: int = 100, part_rows: int = 1000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row.
 
-def cut_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
+    Null texts are empty; texts shorter than `width` bytes lose nothing. Very long texts are read whole,
+    in stretches. Documents come by doc_id, null first; rows of one doc_id come by a hash of their text,
+    and rows equal in both lose everything but in one of them (if they have `width` bytes). An empty
+    table gives no rows. Other columns, of whatever name, are ignored."""
+    scratch = Scratch(docs.sparkSession, "suffix")
+    base = bytes_of(docs.select("doc_id", "text")).drop("rest")
+    own, twice = once_each(base.where(F.octet_length("raw") >= width), scratch)
+
+    def digest(rows: pa.Table, cuts: list) -> pa.Table:
+        sizes = pa.array([len(kept) + removed for kept, removed, _ in cuts], pa.int64())
+        return pa.table({
+            "doc_id": rows.column("doc_id"), "key": rows.column("key"), "n_bytes": sizes, "n_removed": pa.array([c[1] for c in cuts], pa.int64()),
+            "n_spans": pa.array([c[2] for c in cuts], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(c[0]).hexdigest() for c in cuts], pa.string()),
+        })
+
+    out = with_marks(own, scratch, width, part_rows, digest, "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    if twice is not None:
+        out = scratch.save(out, "digests")
+        again = out.join(twice, "key").withColumn("_", F.explode(F.expr("sequence(2, copies)")))
+        gone = again.select("doc_id", "key", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
+        out = out.unionByName(gone)
+    zero = F.lit(0).cast("long")
+    short = base.where(F.octet_length("raw") < width).select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256"))
+    return out.drop("key").unionByName(short)
+
+
+def cut_repeats(docs: DataFrame, width: int = 100, part_rows: int = 1000) -> DataFrame:
     """`docs` with repeated passages taken out of the text and n_chars (where it is a column) counted
-    anew. A character that loses a byte goes whole. Rows of which nothing is left are dropped; null
-    and empty texts stay."""
-    marked = mark_documents(docs, width)
+    anew. A character that loses a byte goes whole. Rows of which nothing is left are dropped, and so
+    all but one of rows equal in doc_id and text with at least `width` bytes; shorter texts, null and
+    empty ones among them, stay as they are. An empty table gives no rows; other columns stay."""
+    scratch = Scratch(docs.sparkSession, "cut-repeats")
+    long_ = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) >= width
+    own, _ = once_each(bytes_of(docs.where(long_)), scratch)
 
-    @F.arrow_udf("string")
-    def left(raw: pa.Array, repeat: pa.Array, marks: pa.Array) -> pa.Array:
-        made = (cut_out(r, again, m, width)[0].decode("utf-8", "ignore") for r, again, m in zip(raw.to_pylist(), repeat.to_pylist(), marks.to_pylist()))
-        return pa.array(list(made), pa.string())
+    def left(rows: pa.Table, cuts: list) -> pa.Table:
+        return pa.table({"rest": rows.column("rest"), "text": pa.array([c[0].decode("utf-8", "ignore") for c in cuts], pa.string())})
 
-    out = marked.withColumn("text", left("raw", "repeat", "marks")).where((F.length("text") > 0) | (F.octet_length("raw") == 0))
+    out = with_marks(own, scratch, width, part_rows, left, T.StructType([own.schema["rest"], T.StructField("text", T.StringType())])).where(F.length("text") > 0)
     column = lambda c: F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"rest.`{c}`")
-    return out.select(*(F.col("text") if c == "text" else column(c).alias(c) for c in docs.columns))
+    cut = out.select(*(F.col("text") if c == "text" else column(c).alias(c) for c in docs.columns))
+    return cut.unionByName(docs.where(~long_))
