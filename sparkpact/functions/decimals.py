@@ -60,11 +60,24 @@ def divisible(d: Column, divisor: Exact) -> Column:
         rest, twos = rest // 2, twos + 1
     while rest % 5 == 0:
         rest, fives = rest // 5, fives + 1
-    if n >= 1 << 59:
-        raise ValueError("a divisor of more than 17 digits is not supported")
+    if n >= 10**36:
+        raise ValueError("a divisor of more than 36 digits is not supported")
 
     def remainder(text: Column, by: int) -> Column:
-        return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda s, c: (s * 10 + F.coalesce(c.try_cast("long"), F.lit(0))) % by) if by > 1 else F.lit(0)
+        """By the engine's own remainder where the digits fit, by a running one over pieces of them beyond."""
+        if by == 1:
+            return F.lit(0)
+        if by < 1 << 59:
+            kind, most, step = "long", 18, len(str((1 << 62) // by)) - 1
+        else:
+            kind, most, step = "decimal(38,0)", 38, 37 - len(str(by))
+        of, zero = F.lit(str(by)).cast(kind), F.lit(0).cast(kind)
+        if step < 1:  # no room for another digit: twice the room
+            raise ValueError("a divisor of more than 36 digits is not supported")
+        padded = F.lpad(text, (F.ceil(F.length(text) / step) * step).cast("int"), F.lit("0"))
+        pieces = F.transform(F.sequence(F.lit(0), (F.length(padded) / step).cast("int") - 1), lambda i: F.substring(padded, i * step + 1, F.lit(step)))
+        running = F.aggregate(pieces, zero, lambda s, c: ((s * F.lit(str(10**step)).cast(kind) + c.cast(kind)) % of).cast(kind))
+        return F.when(F.length(text) <= most, text.try_cast(kind) % of).otherwise(running)
 
     # with zeros behind, factors 2 and 5 are gone after enough of them
     enough = max(twos, fives)

@@ -42,8 +42,8 @@ _SPACE = r"[\t-\r\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202
 TRIM = rf"\A{_SPACE}+|{_SPACE}+\z"
 INTEGER = r"\A[+-]?[0-9]+\z"
 DECIMAL = r"\A([+-]?)(?:([0-9]+)(?:\.([0-9]*))?|\.([0-9]+))(?:[eE]([+-]?[0-9]+))?\z"
-_YEAR = r"([0-9]{4}|-(?!0000)[0-9]{4}|[+-][1-9][0-9]{4,9})"
-_DATE = rf"{_YEAR}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
+YEAR = r"([0-9]{4}|-(?!0000)[0-9]{4}|[+-][1-9][0-9]{4,9})"
+_DATE = rf"{YEAR}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
 _TIME = r"([01][0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9])(?:\.([0-9]{1,9}))?)?"
 _OFFSET = r"(Z|[+-](?:(?:0[0-9]|1[0-7]):[0-5][0-9](?::[0-5][0-9])?|18:00(?::00)?))"
 _SECONDS = r"(?:([01][0-9]|2[0-3]):([0-5][0-9]):([0-5][0-9])(?:\.([0-9]{1,9}))?|(24):00:00)"

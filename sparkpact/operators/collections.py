@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.outcome import Outcome, Path, issue, json_text, let
-from ..sources.nodes import Node
+from ..sources.nodes import Node, Typed
 from .core import Decoder, refuse
-from .scalars import size_of
+from .scalars import Float, size_of
 
 
 class Sized(Decoder):
@@ -79,6 +79,8 @@ class Sized(Decoder):
 
 class List(Sized):
     def compile(self, node: Node, path: Path = ()) -> Outcome:
+        kind = node.dtype.elementType if isinstance(node, Typed) and isinstance(node.dtype, T.ArrayType) else None
+        refuse(self.hashes and kind is not None and not hashable(kind), f"elements of {kind} cannot be told apart")
         ok, array, of = node.elements()
         each = F.transform(array, lambda x, i: self.inner.compile(of(x), (*path, i.cast("string"))).packed())
         inner = lambda: let(each, lambda e: F.struct(F.transform(e, lambda x: x.getField("value")).alias("value"), F.flatten(F.transform(e, lambda x: x.getField("issues"))).alias("issues")))
@@ -87,6 +89,7 @@ class List(Sized):
     def contains(self, element):
         """NaN is never contained; the two zeros are the same."""
         refuse(element is None, "an element is needed")
+        self = self._told_apart()
         if element != element:
             return self._check(lambda v: F.lit(False), "missing_element", lambda v: {"expected": element})
         return self._check(lambda v: F.array_contains(v, F.lit(element)), "missing_element", lambda v: {"expected": element})
@@ -94,6 +97,7 @@ class List(Sized):
     def contains_all(self, *elements):
         """Missing elements are told in the order and as often as they were asked for."""
         refuse(not elements, "an element is needed")
+        self = self._told_apart()
         gone = lambda v: F.filter(F.array(*map(F.lit, elements)), lambda x: ~F.array_contains(v, x) | (x != x))
         return self._check(lambda v: F.size(gone(v)) == 0, "missing_elements", lambda v: {"expected": list(elements), "missing": F.to_json(gone(v))})
 
@@ -101,23 +105,43 @@ class List(Sized):
         return self.unique_by(None)
 
     def unique_by(self, key: Callable[[Column], Column] | None):
-        """Each repeated element once, in the order in which it is first repeated."""
+        """Each repeated element once, in the order in which it is first repeated. NaN repeats nothing."""
+        nan = lambda x: F.coalesce(x.cast("string") == "NaN", F.lit(False))
+
         def twice(v: Column) -> Column:
+            """By sorting: of a run of equal keys the second place is where the key is first repeated."""
+            keys = F.transform(v, key) if key else v
+            placed = F.array_sort(F.transform(keys, lambda x, i: F.struct(x.alias("k"), i.alias("i"))))
+            same = lambda p, j, back: F.coalesce(F.get(p, j - back).getField("k").eqNullSafe(F.get(p, j).getField("k")), F.lit(False)) & (j >= back)
+            second = lambda p: F.filter(p, lambda e, j: same(p, j, 1) & ~same(p, j, 2) & ~nan(e.getField("k")))
+            return let(placed, lambda p: F.transform(F.array_sort(F.transform(second(p), lambda e: e.getField("i"))), lambda i: F.get(v, i)))
+
+        def unique(v: Column) -> Column:
             keys = F.transform(v, key) if key else v
-            def told(k: Column) -> Column:
-                at = F.transform(k, lambda x, i: F.struct(x.alias("k"), i.alias("i")))
-                again = F.filter(at, lambda e: (F.array_position(k, e.getField("k")) - 1) < e.getField("i").cast("long"))
-                again = F.filter(again, lambda e: e.getField("k").eqNullSafe(e.getField("k")) & ~F.coalesce(e.getField("k").cast("string") == "NaN", F.lit(False)))
-                names = F.transform(again, lambda e: e.getField("k"))
-                first = F.filter(F.transform(again, lambda e, j: F.struct(e.getField("i").alias("i"), j.alias("j"), e.getField("k").alias("k"))), lambda e: F.array_position(names, e.getField("k")) - 1 == e.getField("j").cast("long"))
-                return F.transform(first, lambda e: F.get(v, e.getField("i")))
-            return let(keys, told)
+            return F.when(F.size(F.array_distinct(keys)) == F.size(v), True).otherwise(F.size(twice(v)) == 0)
+
+        return (self if key else self._told_apart())._check(unique, "duplicate_element", lambda v: {"duplicates": F.to_json(twice(v))})
+
+    def to_set(self, numbers: bool | None = None):
+        """Distinct elements. Of `numbers` (known where the elements' decoder is one of floats) the two zeros
+        are one and every NaN is an element of its own."""
+        if numbers is None:
+            numbers = isinstance(self.inner, Float)
 
-        return self._check(lambda v: F.size(twice(v)) == 0, "duplicate_element", lambda v: {"duplicates": F.to_json(twice(v))})
+        def distinct(v: Column) -> Column:
+            if not numbers:
+                return F.array_distinct(v)
+            plain = F.array_distinct(F.transform(F.filter(v, lambda x: ~F.isnan(x)), lambda x: F.when(x == 0, F.abs(x)).otherwise(x)))
+            return F.concat(plain, F.filter(v, F.isnan))
+
+        return self._told_apart().map(distinct)
+
+    def _told_apart(self):
+        new = copy.copy(self)
+        new.hashes = True
+        return new
 
-    def to_set(self, numbers: bool = False):
-        """Distinct elements; with `numbers` the two zeros are one."""
-        return self.map(lambda v: F.array_distinct(F.transform(v, lambda x: x + F.lit(0.0)) if numbers else v))
+    hashes = False
 
 
 class Dict(Sized):
@@ -141,7 +165,7 @@ def dict_of(inner: Decoder) -> Dict:
     return Dict(inner)
 
 
-def set_of(inner: Decoder, numbers: bool = False) -> Decoder:
+def set_of(inner: Decoder, numbers: bool | None = None) -> Decoder:
     return List(inner).to_set(numbers)
 
 

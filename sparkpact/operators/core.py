@@ -171,8 +171,14 @@ class Strict(Decoder):
             fresh = F.filter(keys, lambda k: ~F.array_contains(told, F.concat(at, F.array(k))))
             return F.transform(fresh, lambda k: issue("unknown_field", (*path, k), {"field": F.substring(F.to_json(F.array(k)), F.lit(2), F.length(F.to_json(F.array(k))) - 2)}, by_strict=True))
 
-        packed = let(own.issues(), lambda before: F.concat(before, extra(before)))
-        issues = packed
+        if node.bind:
+            def join(p: Column) -> Column:
+                before = p.getField("issues")
+                told = F.concat(before, extra(before))
+                return let(told, lambda t: F.struct(F.when(F.size(t) == 0, p.getField("value")).alias("value"), t.alias("issues")))
+
+            return unpacked(let(own.packed(), join))
+        issues = let(own.issues(), lambda before: F.concat(before, extra(before)))
         return Outcome(F.when(F.size(issues) == 0, own.value), [("many", issues)])
 
 

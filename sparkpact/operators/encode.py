@@ -116,12 +116,13 @@ def dict_of(e: Encoder) -> Encoder:
 
 
 def lazy(make: Callable[[], Encoder], max_depth: int = 8) -> Encoder:
-    """An encoder that refers to itself, unrolled to `max_depth`."""
+    """An encoder that refers to itself, unrolled to `max_depth`. A value that goes on below is an error of
+    the program and fails the job, as nothing may be left out."""
     state = {"depth": 0}
 
     def run(v: Column) -> Column:
         if state["depth"] >= max_depth:
-            return F.lit("null")
+            return F.when(v.isNotNull(), F.raise_error(F.lit(f"a value goes deeper than {max_depth} levels")).cast("string"))
         state["depth"] += 1
         try:
             return make().encode(v)

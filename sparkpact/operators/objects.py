@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.outcome import Outcome, Path, issue, json_text
+from ..plans.outcome import NO_ISSUES, Outcome, Path, issue, json_text, let, unpacked
 from ..sources.nodes import Missing, Node
 from .core import Custom, Decoder, Strict, hide, refuse
 
@@ -19,16 +19,31 @@ class Field:
         self.decoder, self.mode = decoder, mode
 
     def compile(self, parent: Node, name: str, path: Path) -> Outcome:
-        node, at = parent.member(name), (*path, name)
+        node = parent.member(name)
+        if node.bind:
+            return unpacked(node.bound(lambda n: self._read(parent, n, (*path, name)).packed()))
+        return self._read(parent, node, (*path, name))
+
+    def _read(self, parent: Node, node: Node, at: Path) -> Outcome:
         is_object = parent.is_object() & ~parent.absent()
         if self.mode == "required":
             own = self.decoder.compile(node, at)
             # of something that is no object every field says so, at the member
             bad = F.when(parent.absent(), issue("required", at)).when(~is_object, issue("type_mismatch", at, {"expected": "object", "actual": json_text(parent.kind)}))
+            if node.bind:
+                judge = lambda b: F.when(b.isNull(), own.packed()).otherwise(F.struct(F.lit(None).alias("value"), F.array(b).alias("issues")))
+                return unpacked(let(bad, judge))
             return Outcome(F.when(bad.isNull(), own.value), [("one", bad), *(hide(p, bad.isNotNull()) for p in own.parts)])
         gone = node.missing | ~F.coalesce(is_object, F.lit(False))
         skip = gone if self.mode == "optional" else gone | node.null
         own = self.decoder.compile(node, at)
+        if node.bind:
+            own = unpacked(let(F.when(~skip, own.packed()), lambda p: F.struct(p.getField("value").alias("value"), F.coalesce(p.getField("issues"), F.expr(NO_ISSUES)).alias("issues"))))
+            if self.mode != "presence":
+                return own
+            state = F.when(gone, "absent").when(node.null, "null").otherwise("present")
+            kept = lambda p: F.struct(F.struct(state.alias("state"), p.getField("value").alias("value")).alias("value"), p.getField("issues").alias("issues"))
+            return unpacked(let(own.packed(), kept))
         parts = [hide(p, skip) for p in own.parts]
         value = F.when(~skip, own.value)
         if self.mode == "presence":
@@ -98,14 +113,26 @@ class Object(Decoder):
         parts: list = []
         values: list[Column] = []
         failed = F.lit(False)
-        for name, source in self.of.parts:
-            own = source.decoder.compile(node, path) if isinstance(source, Flat) else source.compile(node, name, path)
+        each = [(name, source.decoder.compile(node, path) if isinstance(source, Flat) else source.compile(node, name, path)) for name, source in self.of.parts]
+        if node.bind and each:
+            return self._joined(each)
+        for name, own in each:
             parts += own.parts
             failed = failed | own.failed()
             values.append(own.value.alias(name))
         made = F.struct(*values) if values else F.struct(F.lit(True).alias("empty"))
         return Outcome(F.when(~failed, made), parts)
 
+    @staticmethod
+    def _joined(each: list[tuple[str, Outcome]]) -> Outcome:
+        """As one struct, in which every member is read once."""
+        def join(m: Column) -> Column:
+            made = F.struct(*(m.getField(f"m{k}").getField("value").alias(name) for k, (name, _) in enumerate(each)))
+            told = F.concat(*(m.getField(f"m{k}").getField("issues") for k in range(len(each))))
+            return let(told, lambda t: F.struct(F.when(F.size(t) == 0, made).alias("value"), t.alias("issues")))
+
+        return unpacked(let(F.struct(*(own.packed().alias(f"m{k}") for k, (_, own) in enumerate(each))), join))
+
 
 def object_of(of: Fields | None = None, **sources: Decoder | Field) -> Object:
     """An object decoder from Fields, or from keyword arguments in order."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import decimals as D
 from ..functions import grammar as G
 from ..plans.outcome import Outcome, Path, Raw, issue, json_text, let
-from ..sources.nodes import Node
+from ..sources.nodes import Node, Typed
 from .core import Decoder, refuse
 
 
@@ -63,7 +63,10 @@ class Scalar(Decoder):
             _, ok, code, meta, key, text = step
             bad = bad.when(~F.coalesce(ok(value), F.lit(False)), issue(code, path, meta(value) if callable(meta) else meta, key, text))
         # a check says more than that there is a value, so the chain alone decides
-        return Outcome(F.when(bad.isNull(), value), [("one", bad)])
+        whole = None
+        if node.bind:  # interpreted anyway: the chain runs once
+            whole = let(bad, lambda b: F.struct(F.when(b.isNull(), value).alias("value"), F.filter(F.array(b), lambda x: x.isNotNull()).alias("issues")))
+        return Outcome(F.when(bad.isNull(), value), [("one", bad)], whole)
 
 
 def mismatch(node: Node, ok: Column, expected: str, actual: bool = True) -> tuple:
@@ -455,9 +458,11 @@ class Decimal(Number):
 
 def decimal_number() -> Decimal:
     def read(node: Node):
+        if isinstance(node, Typed) and (parts := node.decimal_parts()) is not None:
+            return parts, []
         ok, text = node.number_text()
         parsed = D.parse(text)
-        return parsed, [mismatch(node, ok & F.coalesce(parsed.isNotNull(), F.lit(False)), "number")]
+        return parsed, [(node.inexact(), "type_mismatch", {"expected": "decimal"}, "type_mismatch.numeric_range"), mismatch(node, ok & F.coalesce(parsed.isNotNull(), F.lit(False)), "number")]
 
     return Decimal(read)
 

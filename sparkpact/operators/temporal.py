@@ -5,6 +5,7 @@ Values are structs: date (epoch_day), time (nano_of_day), date_time (epoch_day,
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Callable
 
@@ -17,7 +18,8 @@ from .core import refuse
 from .scalars import Scalar
 
 GRAMMAR = {"date": G.DATE, "time": G.TIME, "date_time": G.DATE_TIME, "instant": G.INSTANT, "offset_date_time": G.OFFSET_DATE_TIME}
-DAY_NANOS = 86_400_000_000_000
+ORDER = {"date": ("epoch_day",), "time": ("nano_of_day",), "date_time": ("epoch_day", "nano_of_day")}
+INSTANT = ("epoch_second", "nano")
 
 
 def _div(a: Column, n: int) -> Column:
@@ -36,8 +38,40 @@ def epoch_day(y: Column, m: Column, d: Column) -> Column:
     return let(y - F.when(m <= 2, 1).otherwise(0), days) + doy - 719468
 
 
+def plain_grammar(kind: str) -> str:
+    """Of years 0000 to 9999."""
+    return GRAMMAR[kind].replace(G.YEAR, "([0-9]{4})")
+
+
 def parse(v: Column, kind: str) -> Column:
-    """A text's value; null where it is no such text or no day of the calendar."""
+    """A text's value; null where it is no such text or no day of the calendar. Years of four digits go by
+    the engine's calendar, the others by arithmetic of our own."""
+    plain = F.when(v.rlike(plain_grammar(kind)), _plain(v, kind))
+    return plain if kind == "time" else plain.otherwise(_far(v, kind))
+
+
+def _plain(v: Column, kind: str) -> Column:
+    at = 1 if kind == "time" else 12
+    two = lambda k: F.substring(v, k, 2).cast("long")
+    day = F.unix_date(F.substring(v, 1, 10).try_cast("date")).cast("long")
+    has_seconds = F.substring(v, at + 5, 1) == ":"
+    seconds = two(at) * 3600 + two(at + 3) * 60 + F.when(has_seconds, two(at + 6)).otherwise(0)
+    nano = F.when(F.substring(v, at + 8, 1) == ".", F.rpad(F.regexp_extract(v, r"\.([0-9]+)", 1), 9, "0").cast("long")).otherwise(F.lit(0).cast("long"))
+    mark = lambda back: F.substring(v, -back, 1)
+    part = lambda back: F.substring(v, -back, 2).cast("long")
+    signed = lambda back, of: F.when(mark(back) == "-", -of).otherwise(of)
+    shift = F.when(v.endswith("Z"), F.lit(0).cast("long")).when(mark(6).isin("+", "-"), signed(6, part(5) * 3600 + part(2) * 60)).otherwise(signed(9, part(8) * 3600 + part(5) * 60 + part(2)))
+    fields = {
+        "date": [day.alias("epoch_day")], "time": [(seconds * 1_000_000_000 + nano).alias("nano_of_day")],
+        "date_time": [day.alias("epoch_day"), (seconds * 1_000_000_000 + nano).alias("nano_of_day")],
+        "instant": [(day * 86400 + seconds - shift).alias("epoch_second"), nano.cast("int").alias("nano")],
+        "offset_date_time": [(day * 86400 + seconds - shift).alias("epoch_second"), nano.cast("int").alias("nano"), shift.cast("int").alias("offset_second")],
+    }[kind]
+    made = F.struct(*fields)
+    return made if kind == "time" else F.when(day.isNotNull(), made)
+
+
+def _far(v: Column, kind: str) -> Column:
     grammar = GRAMMAR[kind]
     count = {"date": 3, "time": 4, "date_time": 7, "instant": 9, "offset_date_time": 8}[kind]
     return let(v, lambda text: let(F.struct(text.rlike(grammar).alias("ok"), *(F.regexp_extract(text, grammar, k + 1).alias(f"g{k}") for k in range(count))), lambda g: _value(g, kind)))
@@ -108,7 +142,9 @@ def _two(n: Column) -> Column:
 
 
 def date_text(day: Column) -> Column:
-    return let(civil(day), lambda c: _date_text(c.y, c.m, c.d))
+    """Years 0000 to 9999 by the engine's calendar."""
+    plain = F.when(day.between(-719_528, 2_932_896), F.date_from_unix_date(day.cast("int")).cast("string"))
+    return plain.otherwise(let(civil(day), lambda c: _date_text(c.y, c.m, c.d)))
 
 
 def _date_text(y: Column, m: Column, d: Column) -> Column:
@@ -162,35 +198,73 @@ class Temporal(Scalar):
     kind: str
 
     def _order(self, v: Column) -> Column:
-        return F.struct(*(v.getField(n) for n in {"date": ["epoch_day"], "time": ["nano_of_day"], "date_time": ["epoch_day", "nano_of_day"]}.get(self.kind, ["epoch_second", "nano"])))
+        return F.struct(*(v.getField(n).alias(n) for n in ORDER.get(self.kind, INSTANT)))
 
-    def _bound(self, text: str) -> tuple[str, Callable[[], Column]]:
-        refuse(not re.match(java_free(GRAMMAR[self.kind]), text), f"{text} is no {self.kind}")
-        return text, lambda: self._order(parse(F.lit(text), self.kind))
+    def _bound(self, text: str) -> tuple[str, tuple, Callable[[], Column]]:
+        """The bound as written, its value, and the value as a column; all known when the plan is made."""
+        value = value_of(text, self.kind)
+        refuse(value is None, f"{text} is no {self.kind}")
+        kinds = {"date": ("long",), "time": ("long",), "date_time": ("long", "long")}.get(self.kind, ("long", "int"))
+        return text, value, lambda: F.struct(*(F.lit(x).cast(k).alias(n) for x, k, n in zip(value, kinds, ORDER.get(self.kind, INSTANT))))
 
     def _limit(self, name: str, ok: Callable[[Column], Column], meta: dict):
-        return self._check(ok, "out_of_range", lambda v: meta | {"actual": json_text(to_text(v, self.kind, "full"))}, f"out_of_range.{name}")
+        # bound, so that a text is parsed once for each
+        told = lambda v: meta | {"actual": let(v, lambda x: json_text(to_text(x, self.kind, "full")))}
+        return self._check(lambda v: let(v, lambda x: ok(self._order(x))), "out_of_range", told, f"out_of_range.{name}")
 
     def before(self, text: str):
-        text, b = self._bound(text)
-        return self._limit("before", lambda v: self._order(v) < b(), {"before": text})
+        text, _, b = self._bound(text)
+        return self._limit("before", lambda v: v < b(), {"before": text})
 
     def after(self, text: str):
-        text, b = self._bound(text)
-        return self._limit("after", lambda v: self._order(v) > b(), {"after": text})
+        text, _, b = self._bound(text)
+        return self._limit("after", lambda v: v > b(), {"after": text})
 
     def between(self, low: str, high: str):
-        (a, lo), (b, hi) = self._bound(low), self._bound(high)
-        refuse(self.kind in ("date", "time") and low > high and low[0] not in "+-" and high[0] not in "+-", "the range is empty")
-        return self._limit("between", lambda v: (self._order(v) >= lo()) & (self._order(v) <= hi()), {"from": a, "to": b})
-
-
-def java_free(grammar: str) -> str:
-    return grammar.replace(r"\z", r"\Z")
+        (a, first, lo), (b, last, hi) = self._bound(low), self._bound(high)
+        refuse(first > last, "the range is empty")
+        return self._limit("between", lambda v: (v >= lo()) & (v <= hi()), {"from": a, "to": b})
+
+
+def value_of(text: str, kind: str) -> tuple | None:
+    """What orders a bound, on the driver: the fields of ORDER or INSTANT; None if it is no such text."""
+    m = re.match(GRAMMAR[kind].replace(r"\z", r"\Z"), text)
+    if not m:
+        return None
+    g = list(m.groups())
+    day = 0
+    if kind != "time":
+        y, month, d = int(g[0]), int(g[1]), int(g[2])
+        whole, year = divmod(y, 400)  # the calendar repeats after 400 years of 146,097 days
+        try:
+            day = (datetime.date(year + 400, month, d) - datetime.date(1970, 1, 1)).days + (whole - 1) * 146_097
+        except ValueError:
+            return None
+        g = g[3:]
+    if kind == "date":
+        return (day,)
+    seconds = int(g[0] or 0) * 3600 + int(g[1] or 0) * 60 + int(g[2] or 0)
+    nano = int((g[3] or "0").ljust(9, "0"))
+    if kind == "instant" and g[4]:
+        seconds = 86400
+    if kind in ("time", "date_time"):
+        nanos = seconds * 1_000_000_000 + nano
+        return (nanos,) if kind == "time" else (day, nanos)
+    shift = re.match(r"([+-])(\d\d):(\d\d)(?::(\d\d))?", g[-1])
+    off = 0 if not shift else (int(shift[2]) * 3600 + int(shift[3]) * 60 + int(shift[4] or 0)) * (-1 if shift[1] == "-" else 1)
+    return day * 86400 + seconds - off, nano
+
+
+def valid(v: Column, kind: str) -> Column:
+    """Whether parse finds a value, without making it."""
+    if kind == "time":
+        return v.rlike(GRAMMAR[kind])
+    day = F.unix_date(F.substring(v, 1, 10).try_cast("date"))
+    return F.when(v.rlike(plain_grammar(kind)), day.isNotNull()).otherwise(v.rlike(GRAMMAR[kind]) & _far(v, kind).isNotNull())
 
 
 def conversion(source: Scalar, kind: str) -> Temporal:
-    made = source._check(lambda v: parse(v, kind).isNotNull(), "invalid_format", None, f"invalid_format.{kind}")
+    made = source._check(lambda v: valid(v, kind), "invalid_format", None, f"invalid_format.{kind}")
     made = made._change(lambda v: parse(v, kind), Temporal)
     made.kind = kind
     return made

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..operators.core import Decoder, published
 from ..sources import json as json_source
 from ..sources.nodes import Json, Typed
 from .issues import explode_issues
-from .outcome import issue
+from .outcome import NO_ISSUES, issue, let
 
 VALUE, ISSUES = "value", "issues"
 
@@ -33,15 +34,37 @@ class Result:
 
     def issues(self, *keys: str) -> DataFrame:
         """A row per issue with the key columns of its input row."""
-        return explode_issues(self.all.where(F.size(ISSUES) > 0), ISSUES, *keys)
+        return explode_issues(self.all, ISSUES, *keys)
+
+
+def _with_outcome(df: DataFrame, own: list[str], outcome: Column) -> Result:
+    """`own` columns, value and issues. The outcome goes through a generator of one row: filters on value
+    or issues and functions of them then read it, where a projection would have them evaluate it anew;
+    filters on other columns still get below."""
+    kept = [c for c in own if c not in (VALUE, ISSUES)]
+    return Result(df.select(*(F.col(f"`{c}`") for c in kept), F.inline(F.array(outcome)).alias(VALUE, ISSUES)), tuple(kept))
 
 
 def _run(df: DataFrame, decoder: Decoder, node) -> Result:
-    made = decoder.compile(node).packed()
-    # one struct, so that value and issues are computed once; each is pruned alone
-    own = [c for c in df.columns if c not in (VALUE, ISSUES)]
-    out = df.withColumn("_outcome", made).select(*(F.col(f"`{c}`") for c in own), F.col("_outcome.value").alias(VALUE), published(F.col("_outcome.issues")).alias(ISSUES))
-    return Result(out, tuple(own))
+    made = decoder.compile(node)
+    outcome = F.struct(made.value.alias(VALUE), published(made.issues()).alias(ISSUES))
+    try:
+        return _with_outcome(df, df.columns, outcome)
+    except AnalysisException as e:
+        if not of_python(e):
+            raise
+        return _with_python(df, df.columns, outcome)
+
+
+def of_python(e: AnalysisException) -> bool:
+    """Whether a plan was refused for a Python function in it: a normal form, or a caller's own."""
+    return "PYTHON_UDF" in (e.getCondition() or "") or "Python UDF" in str(e)
+
+
+def _with_python(df: DataFrame, own: list[str], outcome: Column) -> Result:
+    kept = [c for c in own if c not in (VALUE, ISSUES)]
+    out = df.withColumn("_outcome", outcome).select(*(F.col(f"`{c}`") for c in kept), F.col("_outcome.value").alias(VALUE), F.col("_outcome.issues").alias(ISSUES))
+    return Result(out, tuple(kept))
 
 
 def decode(df: DataFrame, decoder: Decoder, column: str | None = None) -> Result:
@@ -65,20 +88,29 @@ def decode_json(df: DataFrame, decoder: Decoder, column: str, lossless: bool = F
         own = df.columns
         text = F.when(~F.col("too_large"), text)
     if lossless:
-        read = df.withColumn("_read", json_source.lossless_udf()(text)).withColumn("_tree", F.try_parse_json(F.col("_read.text")))
-        node, place = Json(F.col("_tree"), True), {"line": F.coalesce(F.col("_read.line"), F.lit(1)).cast("string"), "column": F.coalesce(F.col("_read.column"), F.lit(1)).cast("string")}
+        df = df.withColumn("_read", json_source.lossless_udf()(text))
+        tree, place = F.try_parse_json(F.col("_read.text")), {"line": F.coalesce(F.col("_read.line"), F.lit(1)).cast("string"), "column": F.coalesce(F.col("_read.column"), F.lit(1)).cast("string")}
     else:
-        read = df.withColumn("_tree", json_source.fast(text).v)
-        node, place = Json(F.col("_tree")), {}
-    bad = F.col("_tree").isNull()
-    made = decoder.compile(node)
+        tree, place = json_source.fast(text), {}
     not_json = F.array(issue("invalid_format", (), place, "invalid_format.json"))
-    told = F.when(bad, not_json).otherwise(published(made.issues()))
-    if limit is not None:
-        told = F.when(~F.col("too_large"), told).otherwise(F.filter(told, lambda x: F.lit(False)))
-    out = read.withColumn("_outcome", F.struct(F.when(~bad, made.value).alias("value"), told.alias("issues")))
-    own = [c for c in own if c not in (VALUE, ISSUES)]
-    return Result(out.select(*(F.col(f"`{c}`") for c in own), F.col("_outcome.value").alias(VALUE), F.col("_outcome.issues").alias(ISSUES)), tuple(own))
+
+    def closed(root: Json, value: Column, issues: Column) -> Column:
+        issues = F.when(root.missing, not_json).otherwise(published(issues))
+        if limit is not None:
+            issues = F.when(~F.col("too_large"), issues).otherwise(F.expr(NO_ISSUES))
+        return F.struct(F.when(~root.missing, value).alias(VALUE), issues.alias(ISSUES))
+
+    def judged(root: Json) -> Column:
+        return let(decoder.compile(root).packed(), lambda made: closed(root, made.getField("value"), made.getField("issues")))
+
+    try:
+        return _with_outcome(df, own, Json(tree, lossless).bound(judged))
+    except AnalysisException as e:
+        if not of_python(e):
+            raise
+        root = Json(F.col("_tree"), lossless, bind=False)
+        made = decoder.compile(root)
+        return _with_python(df.withColumn("_tree", tree), own, closed(root, made.value, made.issues()))
 
 
 def outcome_column(decoder: Decoder, column: Column, dtype) -> Column:

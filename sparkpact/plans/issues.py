@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import ENGLISH, PLACE, Messages, meta_value
-from .outcome import ISSUE
+from .outcome import ISSUE, let
 
 
 def pointer(path: Column) -> Column:
@@ -24,33 +25,39 @@ def displayed(value: Column) -> Column:
     return F.when(value.startswith("["), F.concat(F.lit("["), F.array_join(items, ", ", "null"), F.lit("]"))).when(value.startswith('"'), plain).otherwise(value)
 
 
-def resolved(issue: Column, messages: Messages = ENGLISH) -> Column:
-    """An issue's message: its own, or by the catalogue, whose templates are split when the plan is made."""
+Resolver = Messages | Callable[[Column], Column]
+
+
+def _split(template: str) -> list[tuple[str | None, str]]:
+    """(name, text as written) of each {name}, (None, text) of what lies between."""
+    pieces = re.split(r"(\{[A-Za-z_][A-Za-z0-9_.-]*\})", template)
+    return [(p[1:-1], p) if PLACE.fullmatch(p) else (None, p) for p in pieces if p] or [(None, "")]
+
+
+def resolved(issue: Column, messages: Resolver = ENGLISH) -> Column:
+    """An issue's message: its own, or what `messages` says, a catalogue or a function of the issue.
+
+    A catalogue is a literal map of templates in pieces, looked up by key and code."""
+    own = issue.getField("custom_message")
+    if not isinstance(messages, Messages):
+        return F.coalesce(own, messages(issue))
     meta = issue.getField("meta")
 
-    def filled(template: str) -> tuple[Column, Column]:
-        names = PLACE.findall(template)
-        has = F.lit(True)
-        for n in names:
-            has = has & F.map_contains_key(meta, F.lit(n))
-        pieces = re.split(r"(\{[A-Za-z_][A-Za-z0-9_.-]*\})", template)
-        made = [displayed(F.try_element_at(meta, F.lit(p[1:-1]))) if PLACE.fullmatch(p) else F.lit(p) for p in pieces if p]
-        return has, F.concat(*made) if made else F.lit("")
-
-    code, key = issue.getField("code"), issue.getField("message_key")
-    out = F.when(issue.getField("custom_message").isNotNull(), issue.getField("custom_message"))
+    def filled(pieces: Column) -> Column:
+        name = lambda p: p.getField("name")
+        has = F.forall(pieces, lambda p: name(p).isNull() | F.coalesce(F.map_contains_key(meta, name(p)), F.lit(False)))
+        made = F.transform(pieces, lambda p: F.when(name(p).isNull(), p.getField("text")).otherwise(F.coalesce(displayed(F.try_element_at(meta, name(p))), F.lit("null"))))
+        return F.when(has, F.array_join(made, ""))
+
+    def piece(name: str | None, text: str) -> Column:
+        return F.struct(F.lit(name).cast("string").alias("name"), F.lit(text).alias("text"))
+
+    tries = [own]
     for layer in messages.layers:
-        for on in (key, code):
-            plain = {k: t for k, t in layer.items() if not PLACE.search(t)}
-            if plain:
-                table = F.create_map(*(F.lit(x) for kv in plain.items() for x in kv))
-                found = F.try_element_at(table, on)
-                out = out.when(found.isNotNull(), found)
-            for k, t in layer.items():
-                if k not in plain:
-                    has, made = filled(t)
-                    out = out.when((on == k) & has, made)
-    return out.otherwise(F.concat(F.lit("validation failed: "), code))
+        if layer:
+            table = F.create_map(*(x for k, t in layer.items() for x in (F.lit(k), F.array(*(piece(*p) for p in _split(t))))))
+            tries += [let(F.try_element_at(table, issue.getField(on)), filled) for on in ("message_key", "code")]
+    return F.coalesce(*tries, F.concat(F.lit("validation failed: "), issue.getField("code")))
 
 
 def explode_issues(df: DataFrame, issues: str = "issues", *keys: str) -> DataFrame:
@@ -60,12 +67,12 @@ def explode_issues(df: DataFrame, issues: str = "issues", *keys: str) -> DataFra
     return rows.select(*keys, "position", pointer(i.path).alias("path"), i.code.alias("code"), i.message_key.alias("message_key"), i.meta.alias("meta"), "issue")
 
 
-def render(issues: Column, messages: Messages = ENGLISH) -> Column:
+def render(issues: Column, messages: Resolver = ENGLISH) -> Column:
     """array<struct<path, code, message, meta>>."""
     return F.transform(issues, lambda i: F.struct(pointer(i.path).alias("path"), i.code.alias("code"), resolved(i, messages).alias("message"), i.meta.alias("meta")))
 
 
-def flatten(rows: DataFrame, *keys: str, messages: Messages = ENGLISH) -> DataFrame:
+def flatten(rows: DataFrame, *keys: str, messages: Resolver = ENGLISH) -> DataFrame:
     """Messages by path, in order, from exploded issues."""
     told = rows.withColumn("message", resolved(F.col("issue"), messages))
     in_order = F.array_sort(F.collect_list(F.struct("position", "message")))
@@ -136,17 +143,25 @@ def tree(rendered) -> str:
     return json.dumps(root, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-def format_tree(issues: Column, messages: Messages = ENGLISH) -> Column:
-    """JSON text of the tree; its shape follows the data, so one Arrow-batched function makes it."""
+def format_tree(issues: Column, messages: Resolver = ENGLISH) -> Column:
+    """JSON text of the tree; its shape follows the data, so one Arrow-batched function makes it, which also
+    finds the messages of a catalogue."""
     import pandas as pd
 
+    def said(r) -> str:
+        if r.get("message") is not None:
+            return r["message"]
+        if r["custom_message"] is not None:
+            return r["custom_message"]
+        return messages.resolve(r["code"], r["message_key"], {k: meta_value(v) for k, v in dict(r["meta"]).items()})
+
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda rows: tree([(list(r["path"]), r["message"]) for r in rows]), na_action="ignore")
+        return s.map(lambda rows: tree([(list(r["path"]), said(r)) for r in rows]), na_action="ignore")
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    slim = F.transform(issues, lambda i: F.struct(i.path.alias("path"), resolved(i, messages).alias("message")))
-    return F.pandas_udf(run, "string")(slim)
+    if not isinstance(messages, Messages):
+        issues = F.transform(issues, lambda i: F.struct(i.path.alias("path"), resolved(i, messages).alias("message")))
+    return F.pandas_udf(run, "string")(issues)
 
 
 __all__ = [n for n in dir() if not n.startswith("_")]
-_ = meta_value

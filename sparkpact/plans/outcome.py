@@ -55,10 +55,11 @@ def issue(code: str, path: Path, meta: dict | None = None, key: str | None = Non
 @dataclass(frozen=True)
 class Outcome:
     """`value` is null wherever there is an issue. `parts` are issues in order: ("one", column or null)
-    or ("many", array column)."""
+    or ("many", array column). `whole` is both as one struct, for outcomes that come from one."""
 
     value: Column
     parts: list[tuple[str, Column]] = field(default_factory=list)
+    whole: Column | None = None
 
     def issues(self) -> Column:
         groups: list[Column] = []
@@ -84,8 +85,10 @@ class Outcome:
         return made
 
     def packed(self) -> Column:
+        if self.whole is not None:
+            return self.whole
         return F.struct(self.value.alias("value"), self.issues().alias("issues"))
 
 
 def unpacked(packed: Column) -> Outcome:
-    return Outcome(packed.getField("value"), [("many", packed.getField("issues"))])
+    return Outcome(packed.getField("value"), [("many", packed.getField("issues"))], packed)

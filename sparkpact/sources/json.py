@@ -3,34 +3,78 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .nodes import Json
+from ..plans.outcome import let
 
 READ = "struct<line:int,column:int,text:string>"
-#: One JSON value and nothing behind it: for texts whose ends meet, what follows the last bracket,
-#: quote or letter is white space only.
-_SCALAR = r"\A[\x20\t\n\r]*(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|\"(?:[^\"\\]|\\.)*+\")[\x20\t\n\r]*\z"
-
-
-def fast(text: Column) -> Json:
-    """A variant by the JVM's parser. Duplicate members are refused; number text and member order are
-    lost. Text behind the value is found by structure: a document that opens with a bracket has to
-    close it at its very end, which brackets outside of strings tell."""
-    parsed = F.try_parse_json(text)
-    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', '""')
-    depth = F.aggregate(
-        F.regexp_extract_all(bare, F.lit(r"[\[\]{}]|[^\s\[\]{}]"), F.lit(0)), F.struct(F.lit(0).alias("depth"), F.lit(False).alias("over"), F.lit(False).alias("bad")),
-        lambda s, c: F.struct(
-            (s.getField("depth") + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("depth"),
-            (s.getField("over") | (c.isin("]", "}") & (s.getField("depth") == 1))).alias("over"),
-            (s.getField("bad") | s.getField("over")).alias("bad"),
-        ),
-    )
-    whole = F.when(text.rlike(r"\A[\x20\t\n\r]*[\[{]"), ~depth.getField("bad")).otherwise(text.rlike(_SCALAR))
-    return Json(F.when(whole, parsed))
+
+
+def fast(text: Column) -> Column:
+    """A variant by the JVM's parser, null where the text is not one JSON value. Duplicate members are
+    refused; number text and member order are lost.
+
+    The parser stops behind the first value. So the text is read as the first of an array's two elements;
+    the second is a digest of the text, which nothing in the text itself can stand for."""
+    seal = F.md5(text)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
+
+    def whole(p: Column) -> Column:
+        sealed = (F.try_variant_get(p, "$[1]", "string") == seal) & F.try_variant_get(p, "$[2]", "variant").isNull()
+        return F.when(sealed, F.try_variant_get(p, "$[0]", "variant"))
+
+    return let(pair, whole)
+
+
+class Twice(ValueError):
+    """A member is given twice."""
+
+
+def members(pairs: list) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        seen: set = set()
+        raise Twice(next(k for k, _ in pairs if k in seen or seen.add(k)))
+    return {"o": found, "k": list(found)}
+
+
+def number(text: str) -> dict:
+    return {"n": text}
+
+
+def refused(name: str):
+    raise ValueError(name)
+
+
+#: A string, a bracket or a comma, for telling where a member is given again.
+_PIECE = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},:]')
+
+
+def place_of_repeat(text: str) -> tuple[int, int]:
+    """Line and column, from 1, of the first member name that its object has already."""
+    open_: list[set | None] = []
+    key = False
+    for m in _PIECE.finditer(text):
+        piece = m[0]
+        if piece in "[{":
+            open_.append(set() if piece == "{" else None)
+            key = piece == "{"
+        elif piece in "]}":
+            open_.pop()
+            key = False
+        elif piece == ",":
+            key = open_[-1] is not None
+        elif piece == ":":
+            key = False
+        elif key:
+            name = json.loads(piece)
+            if name in open_[-1]:
+                return text.count("\n", 0, m.start()) + 1, m.start() - text.rfind("\n", 0, m.start())
+            open_[-1].add(name)
+    return 1, 1
 
 
 def read_lossless(texts):
@@ -38,27 +82,19 @@ def read_lossless(texts):
     tagged tree as JSON."""
     import pandas as pd
 
-    def number(text: str):
-        return {"$n": text}
-
-    def members(pairs: list):
-        if len({k for k, _ in pairs}) < len(pairs):
-            raise ValueError("a member is given twice")
-        return {"$o": [[k, v] for k, v in pairs]}
-
-    def refused(name: str):
-        raise ValueError(name)
-
+    read = json.JSONDecoder(parse_int=number, parse_float=number, object_pairs_hook=members, parse_constant=refused).decode
+    write = json.JSONEncoder().encode
     rows = []
     for text in texts:
         if text is None:
             rows.append((None, None, None))
             continue
         try:
-            tree = json.loads(text, parse_int=number, parse_float=number, object_pairs_hook=members, parse_constant=refused)
-            rows.append((None, None, json.dumps(tree)))
+            rows.append((None, None, write(read(text))))
         except json.JSONDecodeError as e:
             rows.append((e.lineno, e.colno, None))
+        except Twice:
+            rows.append((*place_of_repeat(text), None))
         except (ValueError, RecursionError):
             rows.append((1, 1, None))
     return pd.DataFrame(rows, columns=["line", "column", "text"]).astype({"line": "Int32", "column": "Int32"})
@@ -71,16 +107,16 @@ def lossless_udf():
         return read_lossless(s)
 
     run.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, READ)
+    return F.pandas_udf(run, READ).asNondeterministic()  # else a filter on the outcome would read every text twice
 
 
 def written(tree: str | None) -> str | None:
     """JSON text of a tagged tree: members in written order, numbers as written."""
     def plain(x) -> str:
         if isinstance(x, dict):
-            if "$n" in x:
-                return x["$n"]
-            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{plain(v)}" for k, v in x["$o"]) + "}"
+            if "n" in x:
+                return x["n"]
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{plain(x['o'][k])}" for k in x["k"]) + "}"
         if isinstance(x, list):
             return "[" + ",".join(map(plain, x)) + "]"
         return json.dumps(x, ensure_ascii=False)

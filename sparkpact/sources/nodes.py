@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.outcome import let
+
 FALSE, TRUE = F.lit, F.lit
 
 
@@ -17,10 +19,16 @@ class Node:
 
     null: Column
     missing: Column
+    #: whether decoders bind what they read of this node, so that it is evaluated once
+    bind = False
 
     def absent(self) -> Column:
         return self.null | self.missing
 
+    def inexact(self) -> Column:
+        """Whether a number is there whose digits are not the ones written."""
+        return F.lit(False)
+
 
 class Missing(Node):
     """A member that the input does not have, known when the plan is made."""
@@ -120,6 +128,14 @@ class Typed(Node):
             return (F.abs(self.column) < float("inf")) & ~F.isnan(self.column), text
         return F.lit(True), text
 
+    def decimal_parts(self) -> Column | None:
+        """struct(neg, digits, scale) of a decimal or whole column, without a grammar; None for other types."""
+        scale = self.dtype.scale if isinstance(self.dtype, T.DecimalType) else 0
+        if self.name != "number" or isinstance(self.dtype, (T.FloatType, T.DoubleType)):
+            return None
+        digits = F.ltrim(F.replace(F.abs(self.column.cast(f"decimal(38,{scale})")).cast("string"), F.lit("."), F.lit("")), F.lit("0"))
+        return F.when(self.column.isNotNull(), F.struct((self.column < 0).alias("neg"), F.when(digits == "", "0").otherwise(digits).alias("digits"), F.lit(scale).alias("scale")))
+
     def elements(self):
         if self.name != "array":
             return Missing().elements()
@@ -165,25 +181,37 @@ class OfMap(Typed):
         self.kind = F.when(self.missing, F.lit("missing")).otherwise(self.kind)
 
 
+def kind_of(variant: Column, lossless: bool = False) -> Column:
+    """What a variant is. In lossless trees an object and a number have a tag of their own."""
+    plain = F.coalesce(F.schema_of_variant(variant), F.lit("missing"))
+    if not lossless:
+        return plain
+    tagged = lambda tag: F.try_variant_get(variant, f"$.{tag}", "variant").isNotNull()
+    return F.when(tagged("o"), "OBJECT").when(tagged("n"), "NUMBER").otherwise(plain)
+
+
 class Json(Node):
-    """A JSON value held as a variant. Lossless trees hold a number as {"$n": text} and an object as
-    {"$o": [[key, value], ...]} in written order."""
+    """A JSON value held as a variant. Lossless trees hold a number as {"n": text} and an object as
+    {"o": members, "k": keys in written order}."""
 
-    def __init__(self, variant: Column, lossless: bool = False):
-        self.v, self.lossless = variant, lossless
+    def __init__(self, variant: Column, lossless: bool = False, kind: Column | None = None, bind: bool = True):
+        """`kind`: kind_of(variant), where the caller has it already."""
+        self.v, self.lossless, self.bind = variant, lossless, bind
         self.missing = variant.isNull()
         self.null = F.coalesce(F.is_variant_null(variant), F.lit(False))
-        self.type = F.coalesce(F.schema_of_variant(variant), F.lit("missing"))
-        tagged = lambda tag: F.try_variant_get(self.v, f'$["{tag}"]', "variant").isNotNull()
-        is_object = self.type.startswith("OBJECT")
-        number = self.type.isin("BIGINT", "DOUBLE", "FLOAT") | self.type.startswith("DECIMAL")
-        self.number = is_object & tagged("$n") if lossless else number
-        self.object = is_object & tagged("$o") if lossless else is_object
+        self.type = kind_of(variant, lossless) if kind is None else kind
+        self.number = self.type == "NUMBER" if lossless else self.type.isin("BIGINT", "DOUBLE", "FLOAT") | self.type.startswith("DECIMAL")
+        self.object = self.type.startswith("OBJECT")
         self.kind = (
             F.when(self.missing, "missing").when(self.null, "null").when(self.type == "BOOLEAN", "boolean").when(self.type == "STRING", "string")
             .when(self.number, "number").when(self.type.startswith("ARRAY"), "array").when(self.object, "object").otherwise("unknown")
         )
 
+    def bound(self, body: Callable[[Json], Column]) -> Column:
+        """`body` of this node, whose variant and kind are found once."""
+        facts = let(self.v, lambda v: F.struct(v.alias("v"), kind_of(v, self.lossless).alias("type")))
+        return let(facts, lambda n: body(Json(n.getField("v"), self.lossless, n.getField("type"))))
+
     def string(self):
         return self.type == "STRING", F.try_variant_get(self.v, "$", "string")
 
@@ -194,7 +222,7 @@ class Json(Node):
         return F.lit(False), F.lit(None).cast("binary")
 
     def _text(self) -> Column:
-        return F.try_variant_get(self.v, '$["$n"]' if self.lossless else "$", "string")
+        return F.try_variant_get(self.v, "$.n" if self.lossless else "$", "string")
 
     def integer(self):
         if self.lossless:
@@ -215,33 +243,32 @@ class Json(Node):
     def number_text(self):
         return self.number, self._text()
 
+    def inexact(self):
+        """The fast parser keeps numbers with an exponent or of more than 38 digits as doubles."""
+        return F.lit(False) if self.lossless else self.type.isin("DOUBLE", "FLOAT")
+
     def elements(self):
-        return self.type.startswith("ARRAY"), F.try_variant_get(self.v, "$", "array<variant>"), lambda x: Json(x, self.lossless)
+        return self.type.startswith("ARRAY"), F.try_variant_get(self.v, "$", "array<variant>"), lambda x: Json(x, self.lossless, bind=self.bind)
 
     def is_object(self):
         return self.object
 
-    def _pairs(self) -> Column:
-        return F.try_variant_get(self.v, '$["$o"]', "array<variant>")
-
     def keys(self):
         if self.lossless:
-            return F.transform(self._pairs(), lambda p: F.try_variant_get(p, "$[0]", "string"))
+            return F.try_variant_get(self.v, "$.k", "array<string>")
         return F.map_keys(F.try_variant_get(self.v, "$", "map<string,variant>"))
 
     def member(self, name: str) -> Node:
-        if self.lossless:
-            hit = F.filter(self._pairs(), lambda p: F.try_variant_get(p, "$[0]", "string") == name)
-            return Json(F.when(self.object, F.try_variant_get(F.get(hit, F.lit(0)), "$[1]", "variant")), True)
         quoted = name.replace("\\", "\\\\").replace('"', '\\"')
-        return Json(F.try_variant_get(self.v, f'$["{quoted}"]', "variant"))
+        return Json(F.try_variant_get(self.v, f'{"$.o" if self.lossless else "$"}["{quoted}"]', "variant"), self.lossless, bind=self.bind)
 
     def entries(self):
+        """In lossless trees in the order of the keys as written."""
+        members = F.try_variant_get(self.v, "$.o" if self.lossless else "$", "map<string,variant>")
+        made = F.map_entries(members)
         if self.lossless:
-            made = F.transform(self._pairs(), lambda p: F.struct(F.try_variant_get(p, "$[0]", "string").alias("key"), F.try_variant_get(p, "$[1]", "variant").alias("value")))
-        else:
-            made = F.map_entries(F.try_variant_get(self.v, "$", "map<string,variant>"))
-        return self.object, made, lambda e: Json(e.getField("value"), self.lossless)
+            made = let(members, lambda m: F.transform(self.keys(), lambda k: F.struct(k.alias("key"), F.try_element_at(m, k).alias("value"))))
+        return self.object, made, lambda e: Json(e.getField("value"), self.lossless, bind=self.bind)
 
 
 NodeMaker = Callable[[Column], Node]
