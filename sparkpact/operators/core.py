@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -135,19 +136,29 @@ def new_decoder_with_path(f: Callable[[Node, Path], Outcome]) -> Decoder:
     return Custom(f)
 
 
+_open: list = []  # what lazy decoders and encoders are being unrolled, the outermost first
+
+
+@contextmanager
+def unrolled(make: Callable):
+    """How often `make`, or a function of the same code, is being unrolled already."""
+    code = getattr(make, "__code__", make)
+    depth = _open.count(code)
+    _open.append(code)
+    try:
+        yield depth
+    finally:
+        _open.pop()
+
+
 def lazy(make: Callable[[], Decoder], max_depth: int = 8) -> Decoder:
     """A decoder that refers to itself, unrolled to `max_depth`; deeper input is a type mismatch."""
-    state = {"depth": 0}
-
     def run(node: Node, path: Path) -> Outcome:
-        if state["depth"] >= max_depth or isinstance(node, Missing):
-            bad = F.when(~node.absent(), issue("type_mismatch", path, {"expected": f"at most {max_depth} levels"})).when(node.absent(), issue("required", path))
-            return Outcome(F.lit(None), [("one", bad)])
-        state["depth"] += 1
-        try:
+        with unrolled(make) as depth:
+            if depth >= max_depth or isinstance(node, Missing):
+                bad = F.when(~node.absent(), issue("type_mismatch", path, {"expected": f"at most {max_depth} levels"})).when(node.absent(), issue("required", path))
+                return Outcome(F.lit(None), [("one", bad)])
             return make().compile(node, path)
-        finally:
-            state["depth"] -= 1
 
     return Custom(run)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import decimals
 from ..plans.outcome import json_text
 from . import temporal
-from .core import refuse
+from .core import refuse, unrolled
 
 
 class Encoder:
@@ -118,16 +118,11 @@ def dict_of(e: Encoder) -> Encoder:
 def lazy(make: Callable[[], Encoder], max_depth: int = 8) -> Encoder:
     """An encoder that refers to itself, unrolled to `max_depth`. A value that goes on below is an error of
     the program and fails the job, as nothing may be left out."""
-    state = {"depth": 0}
-
     def run(v: Column) -> Column:
-        if state["depth"] >= max_depth:
-            return F.when(v.isNotNull(), F.raise_error(F.lit(f"a value goes deeper than {max_depth} levels")).cast("string"))
-        state["depth"] += 1
-        try:
+        with unrolled(make) as depth:
+            if depth >= max_depth:
+                return F.when(v.isNotNull(), F.raise_error(F.lit(f"a value goes deeper than {max_depth} levels")).cast("string"))
             return make().encode(v)
-        finally:
-            state["depth"] -= 1
 
     return Encoder(run)
 

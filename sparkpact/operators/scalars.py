@@ -30,9 +30,10 @@ class Scalar(Decoder):
             new.__class__ = kind
         return new
 
-    def _check(self, ok: Callable[[Column], Column], code: str, meta: Callable[[Column], dict] | dict | None = None, key: str | None = None):
+    def _check(self, ok: Callable[[Column], Column], code: str, meta: Callable[[Column], dict] | dict | None = None, key: str | None = None, joint: bool = False):
+        """`joint`: part of the check before, with which it shares the message."""
         new = self._copy()
-        new._steps = (*self._steps, ("check", ok, code, meta, key, None))
+        new._steps = (*self._steps, ("check", ok, code, meta, key, None, joint))
         return new
 
     def _change(self, f: Callable[[Column], Column], kind: type | None = None):
@@ -43,10 +44,13 @@ class Scalar(Decoder):
     def message(self, text: str):
         """The message of the last check; before any, that of the type check."""
         new = self._copy()
-        for k in range(len(self._steps) - 1, -1, -1):
-            if self._steps[k][0] == "check":
-                new._steps = (*self._steps[:k], (*self._steps[k][:5], text), *self._steps[k + 1 :])
-                return new
+        steps = list(self._steps)
+        for k in range(len(steps) - 1, -1, -1):
+            if steps[k][0] == "check":
+                steps[k] = (*steps[k][:5], text, steps[k][6])
+                if not steps[k][6]:
+                    new._steps = tuple(steps)
+                    return new
         new._base_message = text
         return new
 
@@ -60,7 +64,7 @@ class Scalar(Decoder):
             if step[0] == "change":
                 value = step[1](value)
                 continue
-            _, ok, code, meta, key, text = step
+            _, ok, code, meta, key, text, _ = step
             bad = bad.when(~F.coalesce(ok(value), F.lit(False)), issue(code, path, meta(value) if callable(meta) else meta, key, text))
         # a check says more than that there is a value, so the chain alone decides
         whole = None
@@ -172,7 +176,7 @@ class String(Scalar):
         number = lambda v: F.when(v.rlike(G.INTEGER), F.when(F.length(D.bare(v)) <= 20, D.bare(v)).try_cast("decimal(38,0)"))
         ok = lambda v: number(v).between(low, high)
         made = self._check(lambda v: v.rlike(G.INTEGER), "type_mismatch", {"expected": name})
-        made = made._check(ok, "type_mismatch", {"expected": name}, "type_mismatch.numeric_range")
+        made = made._check(ok, "type_mismatch", {"expected": name}, "type_mismatch.numeric_range", joint=True)
         return made._change(lambda v: F.when(ok(v), number(v)).cast("int" if bits == 32 else "long"), Int)
 
     def to_int(self):
@@ -409,8 +413,8 @@ class Decimal(Number):
     def _text(self, v: Column) -> Column:
         return let(v, D.to_text)
 
-    def _check(self, ok, code, meta=None, key=None):
-        return super()._check(lambda v: let(v, ok), code, meta, key)
+    def _check(self, ok, code, meta=None, key=None, joint=False):
+        return super()._check(lambda v: let(v, ok), code, meta, key, joint)
 
     @staticmethod
     def _bound_of(n) -> tuple[str, Callable[[], Column]]:
