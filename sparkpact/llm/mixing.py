@@ -1,14 +1,17 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
 Slot i of the schedule is the point frac(i x golden ratio), mapped through the cumulative targets to
-a source; so every stretch of the schedule holds the sources close to their shares. The slots of
-a source are ranked, and the ranks go round its shuffled documents, laid end to end and cut into
-blocks of equal tokens. A document's share is the words of the blocks taken that lie in it."""
+a source; so every stretch of the schedule holds the sources close to their shares. A source's documents are
+shuffled, laid end to end and cut into blocks of equal words (the last may be shorter). The slots of a source
+are ranked, and rank r meets block r mod blocks, round after round; the last slot takes as much of its block
+as the target leaves. Sources that the schedule gives a slot too few get it at its end, so every source's
+words are its target, rounded. A document's share is what lies of it in the blocks that slots have met."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, split_count, word_count
 
@@ -27,15 +30,16 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Dat
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     nth = (F.row_number().over(by_name) - 1) % len(weights)
     weight = F.element_at(F.array(*map(F.lit, weights)), (nth + 1).cast("int"))
-    by_cap = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
+    by_cap = order.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     total = F.sum("source_size").over(everything)
     cut_size = F.coalesce(F.sum("source_size").over(by_cap), F.lit(0)) * most
     left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_cap), F.lit(0.0))
     level = (total - cut_size) / left  # a unit of weight's share if all sources before are cut
-    w = sizes.withColumn("weight", weight).withColumn("level", level)
+    w = sizes.withColumn("weight", weight).withColumns({"level": level, "turn": F.row_number().over(order)})
     w = w.withColumn("cut", most * F.col("source_size") <= F.col("level") * F.col("weight"))
-    first = F.min(F.when(~F.col("cut"), F.struct(F.col("source_size") / F.col("weight"), "level")))
+    first = F.min(F.when(~F.col("cut"), F.struct("turn", "level")))  # the first that is not cut, also among ties
     final = F.coalesce(first.over(everything).getField("level"), F.lit(0.0))
     target = F.when(F.col("cut"), (most * F.col("source_size")).cast("double")).otherwise(final * F.col("weight"))
     return w.select("source", "source_size", target.alias("target"))
@@ -48,55 +52,94 @@ def slot_point(i) -> F.Column:
     return x - F.floor(x)
 
 
-def row_key(docs: DataFrame) -> F.Column:
-    """A hash of all of a row but its doc_id and source."""
-    return F.xxhash64("text", *(c for c in docs.columns if c not in ("doc_id", "source", "text")))
+def has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType)) or isinstance(kind, T.ArrayType) and has_map(kind.elementType)
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = 64, seed: str = "mix", piece_rows: int = 50_000) -> DataFrame:
-    """`docs` with size, source_size, target and taken.
+def row_key(docs: DataFrame) -> F.Column:
+    """A hash of all of a row but its doc_id and source."""
+    plain = lambda c: F.to_json(F.struct(c)) if has_map(docs.schema[c].dataType) else F.col(f"`{c}`")
+    return F.xxhash64("text", *(plain(c) for c in docs.columns if c not in ("doc_id", "source", "text")))
+
+
+def schedule(plan: DataFrame, slots: int, cells: int = 1024, chunk: int = 65_536) -> DataFrame:
+    """(source, rank) of the slots: plan has source, from, to and need, the slots that a source takes.
+
+    Points and sources meet by cells of the unit interval. Ranks are counted within chunks of slots and shifted
+    by the chunks before, so no task holds all slots of a source."""
+    spark = plan.sparkSession
+    points = spark.range(0, slots, 1, max(1, min(4096, slots // chunk + 1))).select("id", slot_point(F.col("id")).alias("point"))
+    points = points.withColumns({"cell": F.floor(F.col("point") * cells).cast("int"), "chunk": F.floor(F.col("id") / chunk)})
+    covers = F.sequence(F.floor(F.col("from") * cells).cast("int"), F.least(F.floor(F.col("to") * cells), F.lit(cells - 1)).cast("int"))
+    # sources go by number, as null is one of them
+    hits = points.join(plan.select("number", "from", "to", F.explode(covers).alias("cell")), "cell").where("point >= `from` and point < `to`").select("number", "chunk", "id")
+    counts = hits.groupBy("number", "chunk").count()
+    before = Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("number", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("number", "chunk").orderBy("id")) - 1
+    ranked = hits.withColumn("nth", within).join(shift, ["number", "chunk"]).select("number", (F.col("nth") + F.col("before")).alias("rank"))
+    found = ranked.join(plan.select("number", "need"), "number").where("rank < need").select("number", "rank")
+    got = counts.groupBy("number").agg(F.sum("count").alias("got"))
+    short = plan.join(got, "number", "left").select("number", F.coalesce("got", F.lit(0)).alias("got"), "need").where("got < need")
+    return found.unionByName(short.select("number", F.explode(F.sequence("got", F.col("need") - 1)).alias("rank")))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = 512, seed: str = "mix", piece_rows: int = 50_000) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every row, with keys of our own.
 
     Size is the number of words between ASCII white space (null: 0). Null is a source of its own, the
-    last. Documents of no words are never taken. Repeated rows are laid out once each; among rows
-    alike in doc_id and text which one is cut by a block's end is open, their shares as a set are not.
-    An empty table gives no rows. Columns of the same names as the new ones are replaced. Within a
-    source a document's order is a hash of doc_id with `seed`, so reruns agree."""
+    last. Documents of no words are never taken; very long ones lie in many blocks. Sources that tie in
+    size over weight are cut by name. Repeated rows are laid out once each; among rows alike in doc_id and
+    text which one is cut by the last block's end is open, their shares as a set are not. Within a source the
+    order is a hash of doc_id with `seed` (of the text for rows without one), so reruns agree. An empty
+    table gives no rows; other columns, of whatever name, are left out."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.xxhash64("text").cast("string")))
+    order = F.md5(F.concat_ws(":", F.lit(seed), name))
     sized = docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size"), order.alias("_order"), row_key(docs).alias("_key"))
     slim = scratch.save(sized, "sized")
-    n = slim.count()
-    pieces = split_count(n, piece_rows, 64)
-    slim = slim.withColumn("_piece", F.pmod(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.lit(pieces)).cast("int"))
+    pieces = split_count(slim.count(), piece_rows, 64)
+    share = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * pieces
+    slim = slim.withColumn("_piece", F.floor(share / F.lit(1 << 32)).cast("int"))  # pieces follow the order
     per_piece = scratch.save(slim.groupBy("source", "_piece").agg(F.sum("size").alias("n")), "pieces")
-    shares = scratch.save(targets(per_piece.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most), "targets")
-    # the schedule: one slot per block of the whole target
-    plan = shares.withColumns({
-        "upper": F.sum("target").over(Window.orderBy(F.col("source").asc_nulls_last())),
-        "total": F.sum("target").over(Window.partitionBy()),
-        "blocks": F.ceil(F.col("source_size") / block),
-    }).withColumn("lower", F.col("upper") - F.col("target"))
-    whole = plan.agg(F.coalesce(F.max("total"), F.lit(0.0))).first()[0]
-    slots = spark.range(0, -(-int(round(whole)) // block), 1, max(1, min(pieces, 4096))).select(slot_point(F.col("id")).alias("point"))
-    rows_of = plan.where("target > 0").select("source", "blocks", (F.col("lower") / F.col("total")).alias("from"), (F.col("upper") / F.col("total")).alias("to"))
-    hits = slots.join(F.broadcast(rows_of), (F.col("point") >= F.col("from")) & (F.col("point") < F.col("to")))  # one row a source
-    # ranks of a source's slots run from 0, so how often each block is taken follows from their number
-    counted = hits.groupBy("source", "blocks").agg(F.count(F.lit(1)).alias("slots"))
-    counted = counted.withColumn("slots", F.least("slots", F.col("blocks") * most)).select(F.col("source").alias("_source"), "slots", "blocks")
-    shift = per_piece.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    info = shift.join(F.broadcast(shares.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "n")
-    info = info.join(F.broadcast(counted), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    info = info.withColumnRenamed("source", "_source").withColumnRenamed("_piece", "_p")
+    by_name = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source
+    plan = targets(per_piece.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
+    plan = plan.withColumns({
+        "number": F.row_number().over(by_name), "upper": F.sum("target").over(by_name), "total": F.sum("target").over(Window.partitionBy()),
+        "words": F.least(F.round("target").cast("long"), F.col("source_size") * most), "blocks": F.ceil(F.col("source_size") / block), "whole": F.greatest("source_size", F.lit(1)),
+    })
+    rest = F.col("words") % F.col("whole")
+    need = F.floor(F.col("words") / F.col("whole")) * F.col("blocks") + F.ceil(rest / block)
+    plan = plan.withColumns({"need": need.cast("long"), "rest": rest, "from": F.try_divide(F.col("upper") - F.col("target"), "total"), "to": F.try_divide("upper", "total")})
+    plan = scratch.save(plan, "plan")
+    wanted = plan.where("need > 0")
+    slots = schedule(wanted, int(wanted.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]))
+    # what the slots take of each block: all of it some times, and at the source's last slot perhaps its front
+    of_slots = slots.join(wanted.select("number", "blocks", "need", "rest"), "number")
+    cut = (F.col("rank") == F.col("need") - 1) & (F.col("rest") % block > 0)
+    met = of_slots.groupBy("number", (F.col("rank") % F.col("blocks")).alias("block")).agg(
+        F.count(F.when(~cut, 1)).alias("times"), F.coalesce(F.max(F.when(cut, F.col("rest") % block)), F.lit(0)).alias("front")
+    )
+    met = scratch.save(met, "met")
+    # documents, where they lie in their source
+    before = Window.partitionBy("source").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    shift = per_piece.select(F.col("source").alias("_source"), F.col("_piece").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("source", "_piece").orderBy("_order", "doc_id", "_key").rowsBetween(Window.unboundedPreceding, -1)
     laid = slim.withColumn("_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    laid = laid.join(info, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_piece") == F.col("_p"))).withColumn("start", F.col("_start") + F.col("before"))
-    turns = F.floor(F.coalesce(F.col("slots"), F.lit(0)) / F.greatest(F.col("blocks"), F.lit(1)))
-    # ranks 0 .. slots - 1 meet block rank % blocks: all blocks `turns` times, the first ones once more
-    edge = (F.coalesce(F.col("slots"), F.lit(0)) % F.greatest(F.col("blocks"), F.lit(1))) * block
-    extra = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), edge) - F.col("start"))
-    taken = turns * F.col("size") + F.when(turns < most, extra).otherwise(F.lit(0))
-    return laid.select("doc_id", "source", "_key", "_order", F.col("size").cast("long").alias("size"), F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), taken.cast("long").alias("taken"))
+    laid = laid.join(shift, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_piece") == F.col("_p"))).withColumn("start", F.col("_start") + F.col("_before"))
+    info = plan.select(F.col("source").alias("_named"), "number", "source_size", "target")
+    laid = laid.join(info, F.col("source").eqNullSafe(F.col("_named"))).select("doc_id", "source", "number", "size", "source_size", "target", "start", "_order", "_key")
+    laid = scratch.save(laid.withColumn("_row", F.monotonically_increasing_id()), "laid")
+    last = F.floor((F.col("start") + F.col("size") - 1) / block)
+    lies = laid.where("size > 0").select("_row", "number", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("block"))
+    at, end = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
+    part = F.col("times") * (end - at) + F.greatest(F.lit(0), F.least(end, F.col("block") * block + F.col("front")) - at)
+    taken = lies.join(met, ["number", "block"]).groupBy("_row").agg(F.sum(part).alias("taken"))
+    out = laid.join(taken, "_row", "left")
+    return out.select("doc_id", "source", "_key", "_order", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
@@ -106,7 +149,8 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """`docs` as the mix has them: a row for each time (rounded) that its words are taken, none for
-    documents left out. Only a source's document at the end of its last round is taken in part."""
+    documents left out. Only a source's document at the end of its last round is taken in part. Nulls, ties,
+    repeated rows and empty tables as in `mix`; all columns stay as they are."""
     rows = mix(docs, **options).groupBy("doc_id", "_key").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken"))
     rows = rows.select(F.col("doc_id").alias("_doc"), "_key", F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_times")).where("_times > 0")
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), row_key(docs).alias("_own"))  # no name of docs' own clashes
@@ -114,24 +158,20 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     return keyed.join(rows, hit).select("_row", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")
 
 
+#: The words of a source lie in shuffled order; from the front, round after round, its target (rounded) is taken.
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+         md5('mix:' || doc_id::VARCHAR) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
-l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER c, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER c, 0)) AS level
+l AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source ASC NULLS LAST) AS turn,
+    (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER c, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER c, 0)) AS level
   FROM w WINDOW c AS (ORDER BY source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 k AS (SELECT *, 3 * source_size <= level * weight AS cut FROM l),
-t AS (SELECT source, source_size, weight, CASE WHEN cut THEN (3 * source_size)::DOUBLE ELSE weight * coalesce((SELECT arg_min(level, source_size / weight) FROM k WHERE NOT cut), 0) END AS target FROM k),
-p AS (SELECT *, sum(target) OVER (ORDER BY source ASC NULLS LAST) AS upper, sum(target) OVER () AS total, ceil(source_size / 64.0)::BIGINT AS blocks FROM t),
-slots AS (SELECT x - floor(x) AS point FROM (SELECT (i // 1048576) * 0.3147292543901131 + (i % 1048576) * 0.6180339887498949 AS x
-  FROM range((SELECT ceil(round(max(total)) / 64.0)::BIGINT FROM p)) r(i))),
-n AS (SELECT source, blocks, least(count(*), 3 * blocks) AS slots FROM slots JOIN p ON point >= (upper - target) / total AND point < upper / total WHERE target > 0 GROUP BY 1, 2),
-laid AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY pm, o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM (SELECT *, ('0x' || substr(o, 1, 8))::BIGINT % greatest(64, ceil((SELECT count(*) FROM sized) / 50000.0)::BIGINT) AS pm FROM sized))
-SELECT laid.doc_id, laid.source, size, p.source_size, p.target,
-  (coalesce(n.slots, 0) // greatest(p.blocks, 1) * size + CASE WHEN coalesce(n.slots, 0) // greatest(p.blocks, 1) < 3
-    THEN greatest(0, least(start + size, coalesce(n.slots, 0) % greatest(p.blocks, 1) * 64) - start) ELSE 0 END)::BIGINT AS taken
-FROM laid JOIN p ON laid.source IS NOT DISTINCT FROM p.source LEFT JOIN n ON n.source IS NOT DISTINCT FROM p.source
+t AS (SELECT source, source_size, CASE WHEN cut THEN (3 * source_size)::DOUBLE ELSE weight * coalesce((SELECT arg_min(level, turn) FROM k WHERE NOT cut), 0) END AS target FROM k),
+p AS (SELECT *, least(round(target)::BIGINT, 3 * source_size) AS words, greatest(source_size, 1) AS whole FROM t),
+laid AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized)
+SELECT laid.doc_id, laid.source, size, p.source_size, p.target, (words // whole * size + greatest(0, least(start + size, words % whole) - start))::BIGINT AS taken
+FROM laid JOIN p ON laid.source IS NOT DISTINCT FROM p.source
 """
