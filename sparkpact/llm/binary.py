@@ -1,7 +1,8 @@
 """Token ids as compact binary shards: Re-Pair grammar compression with random access.
 
-A shard covers a run of documents in ascending doc_id order. Frequent id pairs are replaced by
-nonterminals, round by round, a batch of the most frequent pairs each; the shard stores the
+A shard covers a run of documents in ascending doc_id order, of `shard_tokens` ids or one document more.
+Frequent id pairs are replaced by nonterminals, over and over, until no pair is left that occurs `least` times or
+the 16-bit ids have run out; a round replaces all pairs nearly as frequent as the most frequent one. The shard stores the
 rules, the expansion length of every rule, the compressed ids and, for each document, where it
 begins. Any document is decoded from its own stretch alone.
 
@@ -41,31 +42,28 @@ def hashed(pairs: np.ndarray) -> np.ndarray:
     return pairs * np.uint32(2654435761) >> np.uint32(16)
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = 5, batch: int = 1024, least: int = 16):
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = 16, near: float = 0.1):
     """(rules (n, 2), symbols, first symbol of each document) for documents of `counts` ids each.
 
-    A rule is made only of a pair that occurs at least `least` times in the shard, and pairs that
-    overlap are replaced from the left. Rounds end early once no such pair is left."""
+    A round takes the pairs that occur at least `near` times as often as the most frequent one, and at least
+    `least` times; pairs that overlap are replaced from the left. It goes on until no such pair is left or
+    there are no more ids (the most frequent pairs then get the last ones)."""
     ids = ids.astype("u2")
     last = np.zeros(len(ids), bool)
     ends = np.cumsum(counts)
     last[ends[counts > 0] - 1] = True
     rules: list[np.ndarray] = []
     free = (1 << 16) - base
-    for _ in range(rounds):
-        if len(ids) < 2 or free <= 0:
-            break
+    while len(ids) > 1 and free > 0:
         pairs, n = pair_counts(ids, ~last)
-        take = min(batch, free)
-        best = np.flatnonzero(n >= least)
-        if len(best) > take:
-            best = best[np.argsort(-n[best], kind="stable")[:take]]
-        if not len(best):
+        if not len(n) or n.max() < least:
             break
+        best = np.flatnonzero(n >= max(least, near * n.max()))
+        best = best[np.argsort(-n[best], kind="stable")[:free]]
         slot = hashed(pairs[best])
-        # of pairs with the same hash the first waits for a later round
+        # of pairs with the same hash the most frequent is taken, the others wait for a later round
         table = np.full(1 << 16, -1, "i4")
-        table[slot] = np.arange(len(best))
+        table[slot[::-1]] = np.arange(len(best))[::-1]
         chosen = pairs[best[np.sort(table[np.unique(slot)])]]
         table[hashed(chosen)] = np.arange(len(chosen))
         number = np.arange(len(chosen), dtype="u4") + (base + sum(map(len, rules)))

@@ -128,7 +128,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, pieces:
     """`df` with `out`: positions from 0 without gaps within `keys` (not null).
 
     A group is split by a hash of `order` into `pieces`, which are numbered apart and then
-    shifted by the rows of the pieces before: no task holds a whole group."""
+    shifted by the rows of the pieces before: no task holds a whole group. `order` has to tell rows apart,
+    else those alike stay in one piece."""
     cut = df.withColumn("_piece", F.pmod(F.xxhash64(*order), F.lit(pieces)).cast("int"))
     within = Window.partitionBy(*keys, "_piece").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -88,10 +88,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, piece_rows: int
     lengths go by doc_id and piece."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    pieces = scratch.save(cut_documents(docs, vocabulary, capacity), "pieces")
+    pieces = scratch.save(cut_documents(docs, vocabulary, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")  # parts rows that are alike
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = small_table(spark, plan_best_fit(counts, capacity), **dict.fromkeys(PLAN, pa.int64()))
-    ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", split_count(sum(counts.values()), piece_rows, 64))
+    ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32", "row"], "rank", split_count(sum(counts.values()), piece_rows, 64))
     p = plan.select(F.col("length").alias("_length"), "first", "count", "sequence", "each", F.col("offset").alias("_offset"))
     # at most capacity^2 / 2 rows whatever the input holds, in practice a few thousand
     hit = (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count"))

@@ -9,7 +9,7 @@ from conftest import ODD_TEXTS, VOCABULARY  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkpact.llm.binary import Shard, token_files, write_shard
+from sparkpact.llm.binary import Shard, compress, token_files, write_shard
 from sparkpact.llm.packing import pack, plan_best_fit
 from sparkpact.llm.shards import Bins, best_fit_decreasing, shard_by_bytes
 from sparkpact.llm.tokens import Encoder
@@ -74,7 +74,7 @@ def test_pack_and_files_of_nothing(docs_of):
 @settings(max_examples=150, deadline=None)
 def test_shards_round_trip(docs, least):
     ids = np.array([i for x in docs for i in x], "u2")
-    shard = Shard(write_shard(ids, np.array([len(x) for x in docs]), 49_408, least=least, batch=8))
+    shard = Shard(write_shard(ids, np.array([len(x) for x in docs]), 49_408, least=least))
     order = list(range(len(docs)))[::-1]
     assert [shard.document(k).tolist() for k in order] == [docs[k] for k in order]
     if len(shard.rules):
@@ -93,11 +93,48 @@ def test_files_odd_documents(odd_docs):
         assert zlib.crc32(np.array(ids, "<u4").tobytes()) in mine.ids_crc32.tolist()
 
 
-def test_bins_take_the_tightest():
-    bins = Bins(3, 10)
-    room, k = bins.tightest(4)
-    bins.back(room - 6, k)
-    assert bins.tightest(4) == (4, k)
+@given(st.lists(st.tuples(st.sampled_from(["add", "take", "roomiest"]), st.integers(0, 30)), max_size=80))
+@settings(max_examples=200, deadline=None)
+def test_bins_take_the_tightest(steps):
+    bins, plain = Bins(), []
+    for k, (what, size) in enumerate(steps):
+        if what == "add":
+            bins.add(size, k)
+            plain.append((size, k))
+            continue
+        fits = [b for b in plain if b[0] >= size] if what == "take" else plain
+        want = (min if what == "take" else max)(fits, default=None)
+        if what == "take" or want:
+            assert (bins.take(size) if what == "take" else bins.roomiest()) == want
+        if want:
+            plain.remove(want)
+
+
+def plain_best_fit(sizes, capacity, shards):
+    """Every group on its own, by descending size, to the bin with least room that takes it."""
+    room = [capacity] * (shards or 0)
+    for size in sorted(sizes, reverse=True):
+        fits = [(r, k) for k, r in enumerate(room) if r >= size]
+        if not fits and shards is None:
+            room.append(capacity)
+            fits = [(capacity, len(room) - 1)]
+        r, k = min(fits) if fits else max((r, k) for k, r in enumerate(room))
+        room[k] = r - size
+    return room
+
+
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=60), st.sampled_from([None, 3, 7]))
+@settings(max_examples=200, deadline=None)
+def test_counts_are_packed_as_single_groups_are(sizes, shards):
+    capacity = 40 if shards is None else max(1, -(-sum(sizes) // shards))
+    room: dict = {}
+    for size, _, n, k in best_fit_decreasing(sorted(Counter(sizes).items(), reverse=True), capacity, shards):
+        room[k] = room.get(k, capacity) - n * size
+    plain = plain_best_fit(sizes, capacity, shards)
+    if shards is None:
+        assert len(room) == len(plain) and min(room.values()) >= 0
+    else:
+        assert max(capacity - r for r in room.values()) <= max(capacity - r for r in plain) + max(sizes)
 
 
 @given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 9)), min_size=1, max_size=20, unique_by=lambda x: x[0]))
@@ -105,7 +142,7 @@ def test_bins_take_the_tightest():
 def test_shard_plan(sizes):
     sizes = sorted(sizes, reverse=True)
     seen = Counter()
-    for size, first, n, _ in best_fit_decreasing(sizes, 4, max(1, -(-sum(a * b for a, b in sizes) // 4))):
+    for size, first, n, _ in best_fit_decreasing(sizes, max(1, -(-sum(a * b for a, b in sizes) // 4)), 4):
         assert first == seen[size]
         seen[size] += n
     assert dict(seen) == dict(sizes)
@@ -120,6 +157,43 @@ def test_shards_keep_groups_and_split_only_huge_ones(docs_of):
     assert got[got.doc_id >= 2000].shard.nunique() > 1  # larger than a shard
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+    kept = shard_by_bytes(docs_of(rows), 8, whole=True).toPandas()
+    assert kept[kept.doc_id >= 2000].shard.nunique() == 1
+    few = shard_by_bytes(docs_of(rows[:406]), None, capacity=4000).toPandas()
+    groups = few.groupby("text_crc32")["size"].sum()
+    assert few.shard.nunique() == len(plain_best_fit(groups.tolist(), 4000, None)) and few.groupby("shard")["size"].sum().max() <= 4000
+
+
+def re_pair(ids, least):
+    """One pair at a time, the most frequent first: length of what is left, and the rules."""
+    ids, rules = list(ids), 0
+    while True:
+        seen, last, k = Counter(), {}, 0
+        for k in range(len(ids) - 1):
+            pair = (ids[k], ids[k + 1])
+            if last.get(pair) != k - 1 or pair[0] != pair[1]:
+                seen[pair] += 1
+                last[pair] = k
+        best = max(seen, key=lambda p: (seen[p], p), default=None)
+        if best is None or seen[best] < least:
+            return len(ids), rules
+        out, k = [], 0
+        while k < len(ids):
+            hit = k + 1 < len(ids) and (ids[k], ids[k + 1]) == best
+            out.append(-1 - rules if hit else ids[k])
+            k += 2 if hit else 1
+        ids, rules = out, rules + 1
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    words = [rng.integers(0, 50, rng.integers(2, 9)).tolist() for _ in range(40)]
+    ids = np.array([i for k in rng.zipf(1.4, 2500) % 40 for i in words[k]], "u2")
+    rules, symbols, _ = compress(ids, np.array([len(ids)]), 49_408)
+    pairs = Counter(zip(symbols.tolist(), symbols.tolist()[1:]))
+    assert all(n < 16 or a == b for (a, b), n in pairs.items())
+    left, n = re_pair(ids.tolist(), 16)
+    assert len(symbols) + 4 * len(rules) <= 1.25 * (left + 4 * n)  # rules made together cost a little
 
 
 @pytest.mark.parametrize("name", ["length", "offset"])
