@@ -145,6 +145,14 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, pieces:
     )
 
 
+def join_spread(rows: DataFrame, facts: DataFrame, key: str, apart: list[str], pieces: int = 64, how: str = "inner") -> DataFrame:
+    """`rows` joined with `facts`, which has one row a key. A key of very many rows is spread over `pieces` by
+    a hash of the columns `apart`: facts go once to each piece that a key has, and so no task gets all its rows."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*apart), F.lit(pieces)).cast("int"))
+    spread = salted.select(key, "_salt").distinct().join(facts, key)
+    return salted.join(spread, [key, "_salt"], how).drop("_salt")
+
+
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, split_count, tidy
+from .common import Scratch, held, join_spread, split_count, tidy
 from .components import Union, components, tree_edges
 from .tokens import blocks
 
@@ -82,8 +82,9 @@ class Parts:
     Sets of level e have sizes low[e]..high[e] and meet the sets of the next level as well, as
     high[e + 1] >= high[e] / share. Sets of a level's pair differ in at most `differ` shingles, so of
     differ + 1 + spare parts at least spare + 1 agree. Parts with fewer than `weak` shingles say little; a
-    set with at most `spare` of them leaves them out, any other gives all its parts. If a pair
-    agrees on weak parts only, these are more than `spare`, and both give them."""
+    set with at most `spare` of them leaves them out, any other gives all its parts that hold any. If a pair
+    agrees on weak parts only, these are more than `spare`, and both give them. Empty parts, in which very many
+    sets agree, count only for a set with shingles in so few parts that a link could differ in all of these."""
 
     def __init__(self, percent: int, largest: int = 1 << 40):
         self.percent = percent
@@ -120,15 +121,19 @@ class Parts:
             strong = size >= self.weak
             which = part[begin]
             left_out = m - int(strong.sum())
+            largest = len(own) * 100 // self.percent if e == level else self.high[e]
+            most = (len(own) + largest) * (100 - self.percent) // (100 + self.percent)
+            need = m - most - left_out
             if left_out <= spare:
                 which, sums = which[strong], sums[strong]
             else:
-                left_out = spare  # the other set may leave out as many
-                empty = np.setdiff1d(np.arange(m), which, assume_unique=True)
-                which, sums = np.append(which, empty), np.append(sums, np.zeros(len(empty), "u8"))
-            largest = len(own) * 100 // self.percent if e == level else self.high[e]
-            most = (len(own) + largest) * (100 - self.percent) // (100 + self.percent)
-            need = min(max(1, m - most - left_out), 32_000)
+                need = m - most - spare  # the other set may leave out as many
+                if len(which) > most:  # some part that holds shingles agrees with any linked set
+                    need = min(need, len(which) - most)
+                else:  # so few parts hold any that a link may agree on empty ones alone
+                    empty = np.setdiff1d(np.arange(m), which, assume_unique=True)
+                    which, sums = np.append(which, empty), np.append(sums, np.zeros(len(empty), "u8"))
+            need = min(max(1, need), 32_000)
             salt = np.array([e + 1], "u8") * K2
             found.append(mix(sums + mix(which.astype("u8") * K1 + salt)))
             needs.append(np.full(len(which), need if e == level else -need, "i2"))
@@ -359,8 +364,6 @@ def join_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndar
                 short.levels.append(short.levels[-1])
         a, b = candidates(x, y, percent)
         a, b = left[a], right[b]
-    elif len(sets) < 6:
-        a, b = np.triu_indices(len(sets), 1)
     else:
         x = Tree(sets)
         for i, j in zip(x.order[:-1].tolist(), x.order[1:].tolist()):
@@ -463,7 +466,7 @@ def jaccard_rows(docs: DataFrame, shingle: int, percent: int, block: int = 1024,
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
     of_key = scratch.save(classes.select("key", "rep").join(named.select(F.col("node").alias("key"), "root").join(smallest, "root").select("key", "component", "root"), "key", "left").select("key", F.coalesce("component", "rep").alias("component"), F.coalesce("root", "key").alias("root")), "of-key")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash", F.col("root").alias("component_key"))
+    return join_spread(rows, of_key, "key", ["doc_id", "text_hash"], how="left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash", F.col("root").alias("component_key"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, most_broadcast: int = 400_000) -> DataFrame:
@@ -473,7 +476,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, most_broadcas
     rows = scratch.save(jaccard_rows(docs, shingle, percent).where("n_shingles > 0"), "rows")
     who = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = rows.groupBy("component_key").agg(F.min(who).alias("first"))
-    marked = rows.join(first, "component_key").withColumn("loses", who != F.col("first"))
+    marked = join_spread(rows, first, "component_key", ["doc_id", "text_hash"]).withColumn("loses", who != F.col("first"))
     lost = scratch.save(marked.where("loses").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "lost")
     twice = scratch.save(marked.where("not loses").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).count().where("count > 1"), "twice")
     small = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df  # noqa: E731  16 bytes a row
