@@ -3,8 +3,8 @@
 Vectors are compared only within a label. Equal vectors count once with their copies. A label is cut
 into shards of bounded size, each with its own graph; blocks of queries visit every shard of their
 label. In a shard, a beam search finds the nearest vectors, and from those in range the search goes on
-along links in range until nothing new turns up. A sample of the queries of every block is held
-against brute force, and the beam is widened until the audit passes. Cosine is verified in double
+along links in range until nothing new turns up. In every shard a block's links to a sample of vectors,
+and all links of a sample of its queries, are held against brute force, and the beam is widened until the audit passes. Cosine is verified in double
 precision. Components are united from spanning forests, never from all pairs."""
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import Scratch, join_spread, tidy
 from .components import Union, components, tree_edges
 
 
@@ -171,6 +171,9 @@ class Graph:
         return np.nonzero(hit)
 
 
+NOTHING = pa.table({n: pa.array([], pa.int64()) for n in ("key", "links", "a", "b")})
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
@@ -185,7 +188,7 @@ def usable(column) -> F.Column:
     return F.coalesce((F.size(column) > 0) & ~bad & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192, block: int = 1024, beam: int = 32, recall: float = 0.98, audit: int = 24) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192, block: int = 1024, beam: int = 32, recall: float = 0.98, audit: int = 24, together: int = 8) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a label,
@@ -207,35 +210,43 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192,
         x = np.stack(group.column("v").to_numpy())
         blob = pack_arrays(key, copies, x, Graph(unit(x).astype("f4")))
         first = lambda c: [group.column(c)[0].as_py()]
-        return pa.table({"label": first("label"), "dim": pa.array(first("dim"), pa.int32()), "shard": pa.array(first("shard"), pa.int32()), "graph": pa.array([blob], pa.binary())})
+        return pa.table({"label": first("label"), "dim": pa.array(first("dim"), pa.int32()), "shard": pa.array(first("shard"), pa.int32()), "blocks": pa.array(first("blocks"), pa.int32()), "graph": pa.array([blob], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
         blob = pack_arrays(group.column("key").to_numpy(), np.stack(group.column("v").to_numpy()))
         first = lambda c: [group.column(c)[0].as_py()]
-        return pa.table({"label": first("label"), "dim": pa.array(first("dim"), pa.int32()), "block": pa.array(first("block"), pa.int32()), "queries": pa.array([blob], pa.binary())})
+        return pa.table({"label": first("label"), "dim": pa.array(first("dim"), pa.int32()), "block": pa.array(first("block"), pa.int32()), "shards": pa.array(first("shards"), pa.int32()), "queries": pa.array([blob], pa.binary())})
 
     salt = F.xxhash64("key", F.lit(1))
-    graphs = dealt.withColumn("shard", F.pmod(salt, F.col("shards")).cast("int")).groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim int, shard int, graph binary")
+    graphs = dealt.withColumn("shard", F.pmod(salt, F.col("shards")).cast("int")).groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim int, shard int, blocks int, graph binary")
     graphs = scratch.save(graphs, "graphs")
-    asked = dealt.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int")).groupBy("label", "dim", "block").applyInArrow(gather, "label string, dim int, block int, queries binary")
+    asked = dealt.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int")).groupBy("label", "dim", "block").applyInArrow(gather, "label string, dim int, block int, shards int, queries binary")
     asked = scratch.save(asked, "asked")
 
     @tidy
-    def visit(group: pa.Table) -> pa.Table:
-        key, copies, x, graph = pickle.loads(group.column("graph")[0].as_py())
-        ask, q = pickle.loads(group.column("queries")[0].as_py())
+    def visit(graphs_: pa.Table, asks: pa.Table) -> pa.Table:
+        own = pickle.loads(graphs_.column("graph")[0].as_py())
+        return pa.concat_tables([visit_block(*own, *pickle.loads(q.as_py())) for q in asks.column("queries")])
+
+    def visit_block(key, copies, x, graph, ask, q) -> pa.Table:
         ux, uq = unit(x), unit(q)
         fast = uq.astype("f4")
         slack = np.float32(least - 1e-5)
+        # held against brute force: some queries with all vectors of the shard, and all queries with some
+        # vectors; a vector's match with itself, which is always found, doesn't count
         rng = np.random.default_rng(len(q))
-        test = rng.permutation(len(q))[:audit]
-        want = (uq[test] @ ux.T >= least).sum()
+        test, some = rng.permutation(len(q))[:audit], rng.permutation(len(ux))[: 8 * audit]
+        sampled = np.zeros((len(q), len(ux)), bool)
+        sampled[test] = uq[test] @ ux.T >= least
+        sampled[:, some] = uq @ ux[some].T >= least
+        sampled &= ask[:, None] != key[None, :]
+        want = sampled.sum()
         width = beam
         while True:
             a, b = (np.concatenate(p) for p in zip(*((s + i, j) for s in range(0, len(q), 512) for i, j in [graph.within(fast[s : s + 512], slack, width)])))
             cos = np.concatenate([np.einsum("id,id->i", uq[a[s : s + 65536]], ux[b[s : s + 65536]]) for s in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
             a, b = a[cos >= least], b[cos >= least]
-            if np.isin(a, test).sum() >= recall * want or width >= len(x):
+            if sampled[a, b].sum() >= recall * want or width >= len(x):
                 break
             width *= 2
         other = ask[a] != key[b]
@@ -250,7 +261,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192,
         none, zero = [None] * len(ea), [None] * len(ask)
         return pa.table({"key": pa.array([*ask.tolist(), *none], pa.int64()), "links": pa.array([*n.tolist(), *none], pa.int64()), "a": pa.array([*zero, *ea.tolist()], pa.int64()), "b": pa.array([*zero, *eb.tolist()], pa.int64())})
 
-    visits = graphs.join(asked, ["label", "dim"]).groupBy("label", "dim", "shard", "block").applyInArrow(visit, "key long, links long, a long, b long")
+    # every block of queries visits every shard of its label: a graph goes once to `together` blocks of queries
+    meet = ["label", "dim", "shard", "group"]
+    graphs = graphs.withColumn("group", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / together).cast("int"))))
+    asked = asked.withColumns({"group": F.floor(F.col("block") / together).cast("int"), "shard": F.explode(F.sequence(F.lit(0), F.col("shards") - 1))})
+    asked = asked.groupBy(*meet)
+    visits = graphs.groupBy(*meet).cogroup(asked).applyInArrow(lambda g, q: visit(g, q) if len(g) and len(q) else NOTHING, "key long, links long, a long, b long")
     visits = scratch.save(visits, "visits")
     counts = visits.where("key is not null").groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(visits.where("a is not null").select("a", "b"), scratch, "components").withColumnRenamed("node", "key")
@@ -259,7 +275,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192,
     named = roots.join(names, "root").select("key", "name")
     of_key = reps.join(counts, "key").join(named, "key", "left").select("key", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "rep").alias("component"))
     of_key = scratch.save(of_key, "of-key")
-    all_rows = rows.select("vec_id", F.when(usable(F.col("v")) & F.col("label").isNotNull(), F.xxhash64("label", "v")).alias("key"))
-    out = all_rows.join(of_key, "key", "left")
-    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    with_key = join_spread(good.select("vec_id", "key"), of_key, "key", ["vec_id"])
+    alone = rows.where(~(usable(F.col("v")) & F.col("label").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
+    out = with_key.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component").unionByName(alone)
+    return out.select("vec_id", "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"))
