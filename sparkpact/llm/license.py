@@ -59,8 +59,6 @@ NAMES = {
     "cc0-1.0": "cc0", "gpl-2.0": _FSF + "version 2", "gpl-3.0": _FSF + "version 3", "isc": "isc license", "lgpl-3.0": "gnu lesser general public license",
     "mit": "mit license|permission is hereby granted free of charge", "mpl-2.0": "mozilla public license", "unlicense": "free and unencumbered software",
 }
-#: Words of the templates that name no licence; only these can be everyday words.
-PLAIN = set("a and any as at binary by can copy either except file for forms free in is it may modify no not obtain of on or org part person published released subject terms the this to under use with without work you 0 1 2 3 4".split())
 #: Lines with one of these are not taught as unknown.
 LICENCE_WORDS = set("affero agpl apache bsd cc0 copyright creativecommons gnu gpl isc lgpl licence licences license licensed licenses mit mozilla mpl reserved sharealike spdx unencumbered unlicense".split())
 WINDOW = 64  # words; half overlap, so a notice of up to 32 words lies in one
@@ -108,26 +106,12 @@ def examples(lines: list[str], turns: int = 14) -> tuple[list[set[str]], list[st
     return x, y, out
 
 
-def everyday(lines: list[str], share: float = 0.01) -> set[str]:
-    """Plain words in more than `share` of the lines: alone or together they say nothing of a licence."""
-    count: dict[str, int] = {}
-    for line in lines:
-        for w in set(words_of(line)):
-            count[w] = count.get(w, 0) + 1
-    return common(count, len(lines), share)
-
-
-def common(count: dict[str, int], lines: int, share: float = 0.01) -> set[str]:
-    return {w for w, n in count.items() if w in PLAIN and n > max(3, share * lines)}
-
-
-def fit(lines: list[str], often: set[str] | None = None, steps: int = 800, rate: float = 1.0, sparse: float = 1e-4) -> tuple[dict[str, list[float]], list[float], list[str]]:
+def fit(lines: list[str], steps: int = 800, rate: float = 1.0, sparse: float = 2e-3) -> tuple[dict[str, list[float]], list[float], list[str]]:
     """(weights of each n-gram, biases, classes) by proximal gradient steps, divided by the temperature
     that fits the examples kept out best."""
     x, y, out = examples(lines)
     classes = [*dict.fromkeys(f for f, _ in TEMPLATES), UNKNOWN]
-    often = everyday(lines) if often is None else often
-    names = sorted({g for _, t in TEMPLATES for g in grams_of(words_of(t)) if not often.issuperset(g.split())})
+    names = sorted({g for _, t in TEMPLATES for g in grams_of(words_of(t))})
     column = {g: i for i, g in enumerate(names)}
     a = np.zeros((len(x), len(names)), "f4")
     for i, grams in enumerate(x):
@@ -176,15 +160,18 @@ def words_in(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def learn_from(base: DataFrame, sample_lines: int) -> tuple[list[str], set[str]]:
-    """(lines without licence words, the ones of the smallest hash; everyday words by their share of all lines)."""
-    lines = base.where(F.length("text") > 0).select("key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.withColumn("words", F.array_distinct(words_in(F.col("line"))))
-    seen = lines.select(F.explode(F.concat(F.array(F.lit("")), F.filter("words", lambda w: w.isin(sorted(PLAIN))))).alias("word")).groupBy("word").count()
-    count = {r["word"]: r["count"] for r in seen.collect()}  # a row per plain word; the empty one counts lines
-    free = lines.where((F.size("words") > 0) & ~F.exists("words", lambda w: w.isin(sorted(LICENCE_WORDS))))
-    some = free.orderBy(F.xxhash64("key", "paragraph"), "line").select("line").limit(sample_lines).collect()
-    return [r[0] for r in some], common(count, count.pop("", 0))
+def learn_from(base: DataFrame, sample_lines: int, most: int = 2000) -> list[str]:
+    """Lines without licence words, up to `most` characters of each: the `sample_lines` ones of the smallest hash.
+
+    Lines are first thinned to about four times as many by that hash, so that what reaches the driver
+    doesn't grow with the input."""
+    lines = base.select("key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    taught = "\\b(" + "|".join(sorted(LICENCE_WORDS)) + ")\\b"
+    free = lines.where(F.col("line").rlike("[A-Za-z0-9]") & ~F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " ").rlike(taught))
+    free = free.withColumn("turn", F.pmod(F.xxhash64("key", "paragraph"), F.lit(1 << 40)))
+    n = free.count()
+    some = free.where(F.col("turn") < (1 << 40) * min(1.0, 4 * sample_lines / max(1, n)))
+    return [r[0] for r in some.orderBy("turn", "line").select(F.substring("line", 1, most)).limit(sample_lines).collect()]
 
 
 def scan(docs: DataFrame, sample_lines: int = 1500, least: float = 0.5, confirm: float = 0.7) -> DataFrame:
@@ -194,13 +181,13 @@ def scan(docs: DataFrame, sample_lines: int = 1500, least: float = 0.5, confirm:
     largest confidence (ties: the first name), null if there is none. A confidence is the family's
     probability against unknown. Paragraphs are lines, a notice over several is where its licence is named.
     Null and empty texts have none; repeated rows get the same; null doc_ids are kept; clashing columns are
-    not looked at. The fit sees at most `sample_lines` lines of the corpus, but word shares of all."""
+    not looked at; an empty table gives no rows; very long texts are read whole, in windows. The fit sees at
+    most `sample_lines` lines of the corpus; all else covers every text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "license")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
-    lines, often = learn_from(base, sample_lines)
-    weights, bias, classes = fit(lines, often)
+    weights, bias, classes = fit(learn_from(base, sample_lines))
     k = len(classes)
     table = spark.createDataFrame([(g, *w) for g, w in sorted(weights.items())], "gram string, " + ", ".join(f"w{i} double" for i in range(k)))
     # where no licence is named none can be found: such texts, lines and windows are left out

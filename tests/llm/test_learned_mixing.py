@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkpact.llm.license import TEMPLATES, UNKNOWN, everyday, fit, scan
+from sparkpact.llm.license import TEMPLATES, UNKNOWN, fit, scan
 from sparkpact.llm.mixing import mix_rows, mixed, targets
 from sparkpact.llm.toxicity import Model, all_words, bags, fit as fit_toxic, held_out, platt, score_toxicity, windows_mean
 
@@ -107,7 +107,54 @@ def test_licence_fit_is_sparse():
     lines = [f"the cat sat on the mat of number {k}" for k in range(300)]
     weights, bias, classes = fit(lines)
     assert classes[-1] == UNKNOWN and len(bias) == len(classes)
-    assert "the" in everyday(lines) and "the" not in weights
+    w = np.array(list(weights.values()))
+    assert (w == 0).mean() > 0.3
+    # a word of many lines weighs less than a licence's own
+    assert np.abs(weights.get("the", [0])).max() < np.abs(weights["mozilla"]).max()
+
+
+def brute_scan(texts, weights, bias, classes, least=0.5, confirm=0.7):
+    """The same weights applied in plain Python: every line, and every window through the text."""
+    import re
+
+    from sparkpact.llm.license import NAMES, WINDOW, grams_of, words_of
+
+    out = []
+    for text in texts:
+        lines = [words_of(x) for x in (text or "").split("\n")]
+        flat = [(w, k) for k, x in enumerate(lines) for w in x]
+        units = [(x, [k] * len(x)) for k, x in enumerate(lines)]
+        units += [([w for w, _ in flat[s : s + WINDOW]], [k for _, k in flat[s : s + WINDOW]]) for s in range(0, max(len(flat) - WINDOW // 2 - 1, 0) + 1, WINDOW // 2)]
+        found = {}
+        for words, numbers in units:
+            said, grams = " ".join(words), grams_of(words)
+            logit = np.array(bias) + sum((np.array(weights[g]) for g in grams if g in weights), np.zeros(len(bias)))
+            for f, name in NAMES.items():
+                m = re.search(rf"\b({name})\b", said)
+                sure = 1 / (1 + np.exp(logit[-1] - logit[classes.index(f)]))
+                templates = [{f"{a} {b}" for a, b in zip(w, w[1:])} for g, t in TEMPLATES if g == f for w in [words_of(t)]]
+                if m and sure >= least and any(len(t & grams) >= confirm * len(t) for t in templates):
+                    found.setdefault(f, []).append((sure, numbers[len(said[: m.start() + 1].split(" ")) - 1]))
+        best = max(((max(c for c, _ in v), f) for f, v in found.items()), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0.0, None))
+        at = {p for v in found.values() for _, p in v}
+        out.append((best[1], round(best[0], 9), ",".join(sorted(found)), len(at), min(at, default=None)))
+    return out
+
+
+def test_scan_against_plain_python(docs_of):
+    from sparkpact.llm.license import learn_from
+
+    rng = random.Random(3)
+    plain = lambda n: " ".join(rng.choice(["river", "stone", "the", "of", "version", "public", "a", "work", "2"]) for _ in range(n))
+    texts = [None, "", plain(5), plain(400)]
+    for _, t in TEMPLATES:
+        w = t.split()
+        texts += [plain(rng.randrange(90)) + "\n" + t + ". " + plain(9), plain(30) + " " + " ".join(w[: len(w) // 2]) + "\n  " + " ".join(w[len(w) // 2 :]) + "\n" + plain(50), " ".join(w[: len(w) // 2])]
+    docs = docs_of([(k, t) for k, t in enumerate(texts)] + [(0, None)])
+    base = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("key"))
+    want = brute_scan(texts, *fit(learn_from(base, 1500)))
+    got = {r.doc_id: (r.license, round(r.confidence, 9), r.licenses, r.n_paragraphs, r.first_paragraph) for r in scan(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == want
 
 
 def toxic_rows(n=900, seed=6):
