@@ -3,6 +3,7 @@ positions within hot groups, and columnar blocks for shuffles of many small reco
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import functools
@@ -40,11 +41,30 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
 
 class Scratch:
     """Tables written as Parquet in the shared folder: lineage ends there, so a lost executor
-    costs a re-read and not a recomputation. `drop` frees the ones no longer needed."""
+    costs a re-read and not a recomputation. `drop` frees the ones no longer needed; what a result still
+    reads stays until `passing` ends or the driver does."""
+
+    open: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.open.append(self)
+
+    @staticmethod
+    @contextlib.contextmanager
+    def passing():
+        """Frees all tables that operators write within, once their results have been written elsewhere."""
+        before = list(Scratch.open)
+        try:
+            yield
+        finally:
+            for s in [s for s in Scratch.open if s not in before]:
+                s.close()
+
+    def close(self) -> None:
+        self._delete(self.root)
+        Scratch.open.remove(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -57,10 +77,19 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(self.path(name))
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _end() -> None:
+    for s in list(Scratch.open):
+        with contextlib.suppress(Exception):  # the session may be gone
+            s.close()
 
 
 _held: dict = {}

@@ -471,7 +471,8 @@ def jaccard_rows(docs: DataFrame, shingle: int, percent: int, block: int = 1024,
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, most_broadcast: int = 400_000) -> DataFrame:
     """`docs` with one row of each group of linked documents, the one of the smallest doc_id (null
-    last; then the smallest hash of the text). Rows without any shingle stay. Columns stay as they are."""
+    last; then the smallest hash of the text, then any of rows equal in both). Rows without any shingle, null and
+    empty texts among them, all stay. Very long texts count whole. Columns, of whatever name, stay as they are."""
     scratch = Scratch(docs.sparkSession, "keep-one")
     rows = scratch.save(jaccard_rows(docs, shingle, percent).where("n_shingles > 0"), "rows")
     who = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
@@ -480,9 +481,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, most_broadcas
     lost = scratch.save(marked.where("loses").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "lost")
     twice = scratch.save(marked.where("not loses").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).count().where("count > 1"), "twice")
     small = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df  # noqa: E731  16 bytes a row
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (text_hash() == F.col("_hash"))
-    left = docs.join(small(lost), same, "left_anti")
+    same = F.col("own_id").eqNullSafe(F.col("_doc")) & (F.col("own_hash") == F.col("_hash"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_hash().alias("own_hash"))  # no name of docs' own clashes
+    left = keyed.join(small(lost), same, "left_anti")
     if twice.isEmpty():
-        return left
-    once = left.join(small(twice.drop("count")), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(small(twice.drop("count")), same, "left_anti").unionByName(once.select(*left.columns))
+        return left.select("row.*")
+    once = left.join(small(twice.drop("count")), same, "left_semi").groupBy("own_id", "own_hash").agg(F.first("row").alias("row"))
+    return left.join(small(twice.drop("count")), same, "left_anti").select("row").unionByName(once.select("row")).select("row.*")

@@ -1,6 +1,7 @@
+import public_tokenizers
 import pytest
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 @pytest.fixture(scope="session")

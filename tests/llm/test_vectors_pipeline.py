@@ -7,6 +7,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkpact.llm.ann import nearest
 from sparkpact.llm.neardup import Graph, near_duplicates, unit
@@ -94,24 +95,87 @@ def test_nearest(spark, shard, block, scale):
     assert few.groupby("query_id").size().tolist() == [2]
 
 
-def test_pipeline_stages(spark):
+def stages(spark, docs, sf_dir, path):
+    """The rows after every stage, each written and read again."""
     import corpus_pipeline as P
 
-    data = "/root/testdata/sf0.001"
-    if not os.path.isdir(data):
-        pytest.skip("needs the driver's tables")
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    rows = docs
+    out = []
     for k, (_, stage) in enumerate(P.STAGES):
-        rows = stage(spark, rows, data)
+        made = stage(spark, docs, sf_dir)
         if k < len(P.STAGES) - 1:
-            assert rows.columns == docs.columns
-            path = f"/tmp/sparkpact-test-{os.getpid()}/{k}"
-            rows.write.mode("overwrite").parquet(path)
-            rows = spark.read.parquet(path)
-    out = rows.toPandas()
-    shutil.rmtree(f"/tmp/sparkpact-test-{os.getpid()}", ignore_errors=True)
-    assert out.groupby("sequence_id").length.sum().max() <= 2048 and len(out)
+            assert made.columns == docs.columns
+            made.write.parquet(f"{path}/{k}")
+            made = docs = spark.read.parquet(f"{path}/{k}")
+        out.append(made)
+    return out
+
+
+@pytest.fixture
+def toxic_dir(spark, tmp_path):
+    from test_learned_mixing import toxic_rows
+
+    rows, labels = toxic_rows(300)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return rows, str(tmp_path)
+
+
+def test_pipeline_against_plain_python(spark, docs_of, toxic_dir):
+    """Every stage, judged on its own input."""
+    from collections import Counter
+
+    from test_learned_mixing import water
+    from test_text_dedup import brute, planted
+
+    from sparkpact.llm.toxicity import fit, sample
+
+    rows, path = toxic_dir
+    passage = "one passage of well over a hundred bytes that is said in several documents of this little corpus and nowhere else, "
+    near = [(10_000 + k, t, "n") for k, t in planted(3)]
+    cut = [(20_000 + k, f"start{k} " * 4 + passage + f"end{k} " * 4, None) for k in range(6)]
+    rows = [(k, t, "ab"[k % 2]) for k, t in rows] + near + cut + [(30_000, None, "a"), (30_001, "", "a"), (30_002, "w " * 5000, "b"), (None, "no id at all here", "b"), (None, "no id at all here", "b")]
+    docs = docs_of(rows).withColumn("size", F.lit("kept"))
+    one, two, three, four, five = stages(spark, docs, path, f"{path}/out")
+    texts = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    model = fit(*sample(docs, spark.read.parquet(f"{path}/labels.parquet"), 1200))
+    assert Counter(texts(one)) == Counter((i, t) for i, t, _ in rows if model.scores([t or ""])[0] < 0.7)
+    assert 20 < len(rows) - one.count() < 200
+    named = [x for x in texts(one) if x[0] is not None]
+    groups = brute(named, 5, 80)
+    assert Counter(texts(two.where("doc_id is not null"))) == Counter((i, t) for i, t in named if not groups[i][0] or groups[i][1] == i)
+    assert two.where("doc_id is null").count() == 1
+    seen, want = set(), Counter()
+    for i, t in sorted(texts(two), key=lambda r: (r[0] is not None, r[0] or 0)):
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            w = raw[k : k + 100]
+            if w in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(w)
+        kept = bytes(c for c, g in zip(raw, gone) if not g).decode()
+        want.update([(i, None if t is None else kept)] * (bool(kept) or not raw))
+    assert Counter(texts(three)) == want
+    sizes, words = {}, lambda t: len((t or "").split())
+    for r in three.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + words(r.text)
+    taken = {}
+    for r in four.collect():
+        taken[r.source] = taken.get(r.source, 0) + words(r.text)
+    assert {(r.doc_id, r.text) for r in four.collect()} <= set(want)
+    longest = max(words(t) for _, t in want)
+    assert all(abs(taken.get(s, 0) - t) <= longest for s, t in water(sizes).items())
+    got = five.toPandas()
+    lib = __import__("tokenizers").Tokenizer.from_file(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    ids = sum(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in texts(four))
+    assert got.length.sum() == ids and got.groupby("sequence_id").length.sum().max() <= 2048
+    assert got.sequence_id.nunique() <= -(-ids // 2048) + 1
+
+
+def test_pipeline_of_nothing_and_odd_rows(spark, docs_of, odd_docs, toxic_dir):
+    _, path = toxic_dir
+    assert [df.count() for df in stages(spark, docs_of([]), path, f"{path}/none")] == [0] * 5
+    made = stages(spark, odd_docs.withColumns({"_doc": F.lit(1), "bucket": F.lit("b"), "key": F.create_map(F.lit("a"), F.lit(1))}), path, f"{path}/odd")
+    assert made[1].where("text is null").count() == 2 and made[4].count() > 0
 
 
 def test_entry_works_without_the_subpackage(tmp_path):
