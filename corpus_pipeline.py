@@ -15,28 +15,33 @@ from sparkpact.llm.toxicity import score_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject. Null and empty texts stay; copies share their fate;
+    very long texts are scored whole; all columns stay as they are, and an empty table stays empty."""
     kept = score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0")
     return kept.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    """One document of each group linked by five-word shingles at a similarity of 0.8: the one of the smallest
+    doc_id (null last; ties by a hash of the text, then one of equal rows). Texts without words all stay."""
     return keep_one(docs, shingle=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes and more that were seen before are cut out."""
+    """Passages of 100 bytes and more that were seen before, in order of doc_id (null first), are cut out;
+    documents of which nothing is left go. Null, empty and short texts stay; n_chars is counted anew."""
     return cut_repeats(docs, width=100)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their source takes them."""
+    """Documents as often as the mix of their source takes them. Null is a source; texts without words
+    are never taken; sources that tie are told apart by name."""
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: a row per piece of a document."""
+    """Token sequences: a row per piece of a document. Null texts are empty and give one piece; long ones
+    are cut; repeated rows are packed each."""
     return pack(docs, vocabulary())
 
 
@@ -51,11 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet and read again by the next."""
+    """All stages over `documents`, each written as Parquet and read again by the next. What a stage wrote
+    besides is freed when its result is written."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.save(docs, f"{k}-{name}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with Scratch.passing():
+            docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
+    return STAGES[-1][1](spark, docs, sf_dir)
