@@ -51,25 +51,39 @@ DATE, TIME = rf"\A{_DATE}\z", rf"\A{_TIME}\z"
 DATE_TIME, OFFSET_DATE_TIME = rf"\A{_DATE}T{_TIME}\z", rf"\A{_DATE}T{_TIME}{_OFFSET}\z"
 INSTANT = rf"\A{_DATE}T{_SECONDS}{_OFFSET}\z"
 
-MOST_REPEATS, MOST_NESTING = 134_217_727, 200
+MOST_REPEATS, MOST_NESTING, MOST_STATES = 134_217_727, 200, 250_000
 
 
 def checked_pattern(pattern: str) -> str:
     """A pattern of literals, classes, groups, `| * + ? {m,n}` and ASCII \\d \\w \\s, as a whole match.
 
-    Back references, lookaround, property classes, flags and anchors are refused, as are repeats and
-    nesting over the limits."""
+    Back references, lookaround, property classes, flags and anchors are refused, as are repeats, nesting
+    and states over the limits. States are counted with repeats written out: one for a literal or class, one
+    for each choice or loop, and two for both ends."""
     depth, k = 0, 0
+    open_, last = [0], 0  # states of the groups that are open, and of the last item
     while k < len(pattern):
         c = pattern[k]
+        if c in "|*+?":
+            open_[-1] += 1
+        elif c == "(":
+            open_.append(0)
+        elif c == ")" and len(open_) > 1:
+            last = open_.pop()
+            open_[-1] += last
+        elif c not in "){":
+            last = 1
+            open_[-1] += 1
         if c == "\\":
             n = pattern[k + 1 : k + 2]
             if not n or n.isalnum() and n not in "dDwWsStnrf":
                 raise ValueError(f"pattern: \\{n} is not part of the pattern language")
             k += 1
         elif c == "(":
-            if pattern[k + 1 : k + 2] == "?" and pattern[k + 1 : k + 3] != "?:":
-                raise ValueError("pattern: only plain groups are part of the pattern language")
+            if pattern[k + 1 : k + 2] == "?":
+                if pattern[k + 1 : k + 3] != "?:":
+                    raise ValueError("pattern: only plain groups are part of the pattern language")
+                k += 2
             depth += 1
             if depth > MOST_NESTING:
                 raise ValueError("pattern: nested too deeply")
@@ -81,6 +95,10 @@ def checked_pattern(pattern: str) -> str:
             m = re.match(r"\{(\d+)(?:,(\d*))?\}", pattern[k:])
             if not m or any(int(n) > MOST_REPEATS for n in m.groups() if n):
                 raise ValueError("pattern: bad repetition")
+            least, open_end = int(m[1]), m[2] == ""
+            most = int(m[2]) if m[2] else least
+            grown = least * last + max(0, most - least) * (last + 1) + open_end
+            open_[-1], last = open_[-1] - last + grown, grown
             k += m.end() - 1
         elif c == "[":
             end = k + 1 + (pattern[k + 1 : k + 2] == "^")
@@ -94,6 +112,8 @@ def checked_pattern(pattern: str) -> str:
         if c in "*+?}" and pattern[k + 1 : k + 2] == "+":
             raise ValueError("pattern: possessive repeats are not part of the pattern language")
         k += 1
+        if sum(open_) + 2 > MOST_STATES:
+            raise ValueError(f"pattern: more than {MOST_STATES} states")
     try:
         re.compile(pattern)
     except re.error as e:

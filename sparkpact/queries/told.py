@@ -12,7 +12,7 @@ from sparkpact import encode as E
 from sparkpact.functions import decimals as D
 from sparkpact.plans import issues as I
 
-from .contracts import EVENT, _add, _event_issues, _queries, _sql, _table, _type, _value, _values, check, d, n, s
+from .contracts import EVENT, _add, _category, _event_issues, _queries, _sql, _table, _type, _value, _values, check, d, n, s
 
 Case = tuple[str, str, str, str, str | None]
 
@@ -183,10 +183,6 @@ def _candidate(k: int, name: str, bound: str) -> str:
 _add("one_of_candidates", _one_of_candidates, _case_sql([("x > 10 AND x < 40", "one_of_failed", "one_of_failed", "'candidates=[" + _candidate(0, "maximum", 'max":"10') + "," + _candidate(1, "minimum", 'min":"40') + "]'", None)], "(SELECT p_partkey AS k, p_size AS x FROM part)"))
 
 
-def _category() -> P.Decoder:
-    return P.object_of(name=s().non_blank(), child=P.optional(P.lazy(_category, 3)))
-
-
 _nested = "concat('{\"name\":\"', case when event_id % 2 = 0 then ' ' else 'a' end, '\",\"child\":{\"name\":\"b\",\"child\":{\"name\":\"', case when event_id % 3 = 0 then ' ' else 'c' end, '\"}}}')"
 
 

@@ -2,6 +2,7 @@
 
 import json
 
+import pandas
 import pytest
 
 import sparkpact as P
@@ -140,7 +141,8 @@ def test_and_then_rebases_and_lazy(spark):
 
 
 @pytest.mark.parametrize("build", [
-    lambda: s().one_of("a", "a"), lambda: s().one_of(), lambda: n().multiple_of(0), lambda: P.float64().range(2, 1), lambda: s().pattern("(?=a)"), lambda: s().pattern("a{1,999999999}"),
+    lambda: s().one_of("a", "a"), lambda: s().one_of(), lambda: n().multiple_of(0), lambda: P.float64().range(2, 1), lambda: s().pattern("(?=a)"), lambda: s().pattern("a{1,999999999}"), lambda: s().pattern("(?:a{1000}){1000}"), lambda: s().pattern("a{249999}"),
+    lambda: s().date_time().between("2024-01-02T00:00", "2024-01-01T00:00"), lambda: s().instant().between("2024-01-01T00:00:00Z", "2024-01-01T00:30:00+01:00"), lambda: s().offset_date_time().between("2024-01-01T00:00+01:00", "2023-12-31T22:59Z"),
     lambda: P.enum_of({"A": 1, "a": 2}), lambda: P.one_of(), lambda: s().min_length(-1), lambda: s().normalize("X"), lambda: P.fields().field("a", s()).field("a", s()),
     lambda: P.list_of(n()).contains_all(), lambda: s().date().before("x"), lambda: P.encode.object_of(P.encode.property("a", None), P.encode.property("a", None)), lambda: P.encode.enum_of({"a": 1, "b": 1}),
 ])
@@ -180,3 +182,78 @@ def test_nfc_reads_whole_texts(spark, tmp_path):
     got = {r.k: r.value for r in contracts._queries["string_normalize_nfc_whole"](spark, str(tmp_path)).collect()}
     wanted = spark.createDataFrame([(k, unicodedata.normalize("NFC", "e\u0301" + t)) for k, t in enumerate(texts)], "k long, x string").select("k", F.md5("x").alias("h"))
     assert got == {r.k: r.h for r in wanted.collect()}
+
+
+def test_patterns_within_the_limits():
+    for pattern in ("a{249998}", "(ab|c)*d?", r"[^\]]+x{2,}", "(?:a|b){3}"):
+        s().pattern(pattern)
+
+
+@pytest.mark.parametrize("kind", ["date", "time", "date_time", "instant", "offset_date_time"])
+def test_near_and_far_years_are_read_alike(spark, kind):
+    """The engine's calendar, arithmetic of our own, and the driver's bounds agree."""
+    from pyspark.sql import functions as F
+
+    from sparkpact.operators.temporal import INSTANT, ORDER, _far, parse, value_of
+
+    days = ["0000-01-01", "0001-03-01", "1600-02-29", "1900-02-28", "1969-12-31", "1970-01-01", "2000-02-29", "2024-12-31", "9999-12-31", "2023-02-29", "-0001-03-01", "+10000-02-29"]
+    clocks = {"date": [""], "time": ["00:00", "23:59:59.5"], "date_time": ["T00:00", "T10:30:01.123456789"], "instant": ["T24:00:00Z", "T01:02:03.5-00:30"], "offset_date_time": ["T10:30Z", "T00:00:00.000000001+17:59:30", "T12:00-18:00"]}[kind]
+    texts = [d + c for d in ([""] if kind == "time" else days) for c in clocks]
+    fields = ORDER.get(kind, INSTANT)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", parse(F.col("t"), kind).alias("v"), _far(F.col("t"), kind).alias("w")).collect()
+    for r in rows:
+        assert r.v == r.w and (r.v and tuple(r.v[f] for f in fields)) == value_of(r.t, kind), r.t
+
+
+def test_conversions_share_one_message(spark):
+    df = spark.createDataFrame([("x",), ("99999999999",), ("7",)], "x string")
+    got = [r.issues[0].custom_message for r in P.decode(df, s().to_int().message("whole").max(5).message("small"), "x").all.collect()]
+    assert got == ["whole", "whole", "small"]
+
+
+def test_places_and_rounded_numbers(spark):
+    from pyspark.sql import functions as F
+
+    texts = ['{"a":1,\n "b":{"c":1, "c":2}}', '[{"x":"a\\"b","x":1}]', '{"a":[1,{"a":2}],"a":3}', "[1,", '{"n":1e400}', '{"n":1.25}', '{"n":1} x', '{"n":1}]', '{"n":1},2', "1, 2]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    contract = P.object_of(n=P.decimal_number())
+    meta = [r.issues[0].meta if r.issues else None for r in P.decode_json(df, contract, "t", lossless=True).all.orderBy("i").collect()]
+    assert [(m["line"], m["column"]) for m in meta[:4]] == [("2", "14"), ("1", "14"), ("1", "18"), ("1", "4")]
+    assert meta[4] is None and meta[5] is None and all(m["line"] == "1" for m in meta[6:])
+    fast = [r.issues[0].message_key if r.issues else None for r in P.decode_json(df, contract, "t").all.orderBy("i").collect()]
+    assert fast == ["invalid_format.json"] * 4 + ["type_mismatch.numeric_range", None] + ["invalid_format.json"] * 4
+    # functions of callers over what was decoded
+    def shout(x):
+        return x.str.upper()
+
+    shout.__annotations__ = {"x": pandas.Series, "return": pandas.Series}
+    udf = F.pandas_udf(shout, "string")
+    out = P.decode_json(df, P.object_of(n=P.list_of(P.integer()).unique()), "t").all
+    assert out.select(udf(F.to_json("issues")).alias("x")).where("x is not null").count() == len(texts)
+
+
+def test_elements_that_cannot_be_told_apart_are_refused(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1,)], "i int").select(F.array(F.create_map(F.lit("a"), F.lit(1))).alias("x"))
+    maps = P.list_of(P.dict_of(P.integer()))
+    for contract in (maps.unique(), maps.to_set()):
+        with pytest.raises(ValueError):
+            P.decode(df, contract, "x")
+    assert P.decode(df, maps.non_empty(), "x").all.first().issues == []
+    doubles = spark.createDataFrame([([0.0, -0.0, float("nan"), float("nan"), 1.0, 1.0],)], "x array<double>")
+    assert len(P.decode(doubles, P.set_of(P.float64()), "x").all.first().value) == 4
+
+
+def test_nothing_is_lost_below_the_depth_of_an_encoder(spark):
+    from pyspark.sql import functions as F
+
+    E = P.encode
+
+    def node():
+        return E.object_of(E.property("a", lambda v: v), E.optional_property("b", lambda v: v, E.lazy(node, 2)))
+
+    df = spark.createDataFrame([(1,)], "x int")
+    with pytest.raises(Exception, match="deeper than 2"):
+        df.select(node().encode(F.col("x"))).collect()
