@@ -387,8 +387,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, blo
     Two documents link when 100 * intersection >= percent * union of their distinct shingles of words
     (white space is ASCII, A-Z are lower-cased); fewer words than `shingle` are one shingle. Null and
     empty texts have no shingle and link with nothing. Repeated rows are equal sets and so
-    link; null doc_ids are kept and never name a component that has another id. An empty table
-    gives no rows. Other columns are ignored."""
+    link; null doc_ids are kept and never name a component that has another id. Very long texts count whole,
+    and ties in similarity make no difference. An empty table gives no rows. Other columns, of whatever
+    name, are ignored."""
     return jaccard_rows(docs, shingle, percent, block, most_broadcast).select("doc_id", "n_shingles", "component_id")
 
 

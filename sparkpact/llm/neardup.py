@@ -193,8 +193,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192,
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a label,
     link with nothing; so do vectors of different lengths. Repeated rows are equal vectors and link.
-    Null vec_ids are kept; a component is named by its smallest id that is not null. An empty
-    table gives no rows. Other columns are ignored."""
+    Null vec_ids are kept; a component is named by its smallest id that is not null, so ties in similarity
+    make no difference. An empty table gives no rows. Other columns, of whatever name, are ignored."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neardup")
     v = F.col("embedding").cast("array<double>")

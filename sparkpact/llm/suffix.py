@@ -4,12 +4,16 @@ All suffixes of a corpus need not meet in one sort. Each window of `width` bytes
 k-gram of least hash inside it, which its content alone decides; so equal windows have equal
 minimizers at the same offset, and the suffix set can be dealt out by minimizer without parting
 equal windows. Minimizers that occur once are dropped (their windows are unique). For the others the
-text around them is brought together, equal stretches are folded, and the suffixes of what is left
-are sorted by the difference-cover algorithm: sort sampled triples, recurse on their names, merge the
-remaining suffixes, then compare adjacent prefixes. Sorting only has to be right for `width` bytes.
+text around them is brought together; equal stretches are told by their bytes and folded. The suffixes of the
+stretches that differ are sorted by the difference-cover algorithm: sort sampled triples, recurse on their
+names, merge the remaining suffixes, then compare adjacent prefixes. Sorting only has to be right for `width` bytes.
+
+So the difference cover runs in many sorts, one for each part of the suffix set, and not as one sort across
+the cluster: names of triples are not shuffled, and a corpus-wide suffix array is never made. Copies
+that are equal as whole stretches are found by comparing bytes and need no sort.
 
 A passage that very many documents share is folded where it is found, once per task, so that no task
-gets all of its occurrences."""
+gets all of its occurrences; its different surroundings all meet at its minimizers."""
 
 from __future__ import annotations
 

@@ -248,9 +248,10 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1200, threshold: float = 0.7) -> DataFrame:
     """`docs` with held_out, score and predicted.
 
-    Null and empty texts score as texts without any suspect word. Rows are scored one by one, so
+    Null and empty texts score as texts without any suspect word; very long ones are scored whole, by
+    their most suspect window (ties make no difference). Rows are scored one by one, so
     repeated rows get the same score; null doc_ids are kept. Without labels of both classes every
-    score is low. Clashing columns of the same names are replaced."""
+    score is low. An empty table gives no rows. Clashing columns of the same names are replaced."""
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, per_class)))  # one float per bucket
     trim()
