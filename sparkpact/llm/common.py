@@ -138,6 +138,11 @@ def tidy(f):
     return once
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns, of whatever name, as one struct."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

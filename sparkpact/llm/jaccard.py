@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, join_spread, split_count, tidy
+from .common import Scratch, held, join_spread, split_count, tidy, whole_row
 from .components import Union, components, tree_edges
 from .tokens import blocks
 
@@ -483,7 +483,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, most_broadcas
     twice = scratch.save(marked.where("not loses").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).count().where("count > 1"), "twice")
     small = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df  # noqa: E731  16 bytes a row
     same = F.col("own_id").eqNullSafe(F.col("_doc")) & (F.col("own_hash") == F.col("_hash"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_hash().alias("own_hash"))  # no name of docs' own clashes
+    keyed = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_hash().alias("own_hash"))  # no name of docs' own clashes
     left = keyed.join(small(lost), same, "left_anti")
     if twice.isEmpty():
         return left.select("row.*")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, split_count, word_count
+from .common import Scratch, split_count, whole_row, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -60,7 +60,7 @@ def has_map(kind: T.DataType) -> bool:
 
 def row_key(docs: DataFrame) -> F.Column:
     """A hash of all of a row but its doc_id and source."""
-    plain = lambda c: F.to_json(F.struct(c)) if has_map(docs.schema[c].dataType) else F.col(f"`{c}`")
+    plain = lambda c: F.to_json(F.struct(F.col(f"`{c}`"))) if has_map(docs.schema[c].dataType) else F.col(f"`{c}`")
     return F.xxhash64("text", *(plain(c) for c in docs.columns if c not in ("doc_id", "source", "text")))
 
 
@@ -153,7 +153,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     repeated rows and empty tables as in `mix`; all columns stay as they are."""
     rows = mix(docs, **options).groupBy("doc_id", "_key").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken"))
     rows = rows.select(F.col("doc_id").alias("_doc"), "_key", F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_times")).where("_times > 0")
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), row_key(docs).alias("_own"))  # no name of docs' own clashes
+    keyed = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").alias("_id"), row_key(docs).alias("_own"))  # no name of docs' own clashes
     hit = keyed["_id"].eqNullSafe(rows["_doc"]) & (keyed["_own"] == rows["_key"])
     return keyed.join(rows, hit).select("_row", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, held, split_count, tidy
+from .common import Scratch, held, split_count, tidy, whole_row
 from .jaccard import mix
 
 GRAM = 20
@@ -425,7 +425,7 @@ def bytes_of(docs: DataFrame) -> DataFrame:
     """doc_id, raw, key and rest: all columns but the text."""
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.encode(raw, "UTF-8").alias("raw"), F.xxhash64(doc_id, raw).alias("key"), F.struct(*(c for c in docs.columns if c != "text")).alias("rest"))
+    return docs.select(doc_id.alias("doc_id"), F.encode(raw, "UTF-8").alias("raw"), F.xxhash64(doc_id, raw).alias("key"), whole_row(docs.drop("text")).alias("rest"))
 
 
 def suffix_spans(docs: DataFrame, width: int = 100, part_rows: int = 1000) -> DataFrame:

@@ -64,7 +64,7 @@ def test_long_texts(spark, docs_of, long_docs):
     assert {r.doc_id: r.license for r in scan(late).collect()} == {1: "mit", 2: None}
 
 
-CLASHES = ["key", "n", "rep", "hash", "text_hash", "component", "words", "grams", "family", "raw", "bucket", "rest", "part", "shard", "_tie", "size", "number", "_row", "_salt", "copies", "v", "dim", "norm", "shards", "blocks", "label_"]
+CLASHES = ["key", "n", "rep", "hash", "text_hash", "component", "words", "grams", "family", "raw", "bucket", "rest", "part", "shard", "_tie", "size", "number", "_row", "_salt", "copies", "v", "dim", "norm", "shards", "blocks", "label_", "a.b"]
 
 
 def test_clashing_columns_change_nothing(docs_of, odd_docs):
