@@ -18,7 +18,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. Null and empty texts stay; copies share their fate;
     very long texts are scored whole; all columns stay as they are, and an empty table stays empty."""
     kept = score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0")
-    return kept.select(*docs.columns)
+    return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
