@@ -104,6 +104,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .lexical import SEARCH_SQL
     from .mixing import MIX_SQL
 
-    return {"op3_source_mixing": MIX_SQL}
+    return {"op3_source_mixing": MIX_SQL, "op12_lexical_search": SEARCH_SQL}
