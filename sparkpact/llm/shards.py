@@ -6,7 +6,8 @@ size and the plan streams back in batches; open bins lie in a balanced tree by r
 groups of one size go to the tightest bin that takes them, as many at once as fit.
 
 A group larger than a whole shard would leave the shards far from equal. It is split into as few parts as
-fit, unless `whole` asks for groups to stay whole; then its shard is as large as the group."""
+fit, unless `whole` asks for groups to stay whole; then its shard is as large as the group. A single text that is larger
+than an even share has a shard of its own, and the others share what is left."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered, small_table, split_count
+from .common import Scratch, join_spread, numbered, small_table, split_count
 
 
 class Bins:
@@ -97,6 +98,15 @@ def best_fit_decreasing(sizes: Iterable[tuple[int, int]], capacity: int, shards:
             bins.add(room - n * size, k)
 
 
+def room_of(total: int, shards: int, largest: list[int]) -> int:
+    """Bytes of a shard, when what is larger than its even share of the rest (`largest`, falling) has one alone."""
+    for size in largest:
+        if shards == 1 or size * shards <= total:
+            break
+        total, shards = total - size, shards - 1
+    return max(1, -(-total // shards))
+
+
 def shard_by_bytes(docs: DataFrame, shards: int | None = 40, overhead: int = 16, capacity: int | None = None, whole: bool = False, piece_rows: int = 50_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
@@ -118,9 +128,11 @@ def shard_by_bytes(docs: DataFrame, shards: int | None = 40, overhead: int = 16,
         "rows",
     )
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    capacity = capacity or max(1, -(-total // shards))
     pieces = split_count(n, piece_rows, 64)
     group = rows.groupBy("text_sha256", "size").agg(F.count(F.lit(1)).alias("rows"))
+    if capacity is None:  # at most `shards` of them are larger than an even share
+        units = group.select((F.col("size") * F.col("rows")).alias("size")) if whole else rows.select("size")
+        capacity = room_of(total, shards, [r[0] for r in units.orderBy(F.desc("size")).limit(shards).collect()])
     # a group over the capacity is cut into parts of `per` rows, the others are one part
     per = F.greatest(F.lit(1), F.floor(F.lit(capacity) / F.col("size"))).cast("long")
     group = group.withColumn("per", F.when((F.col("rows") * F.col("size") > capacity) & F.lit(not whole), per).otherwise(F.col("rows")))
@@ -149,10 +161,10 @@ def shard_by_bytes(docs: DataFrame, shards: int | None = 40, overhead: int = 16,
         .where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count")))
         .select("text_sha256", "part", F.col("shard").cast("int").alias("shard"))
     )
-    over = large.select("text_sha256", "per")
-    many = numbered(rows.join(F.broadcast(over), "text_sha256"), ["text_sha256"], ["doc_id", "row"], "nth", pieces)
+    marked = join_spread(rows, large.select("text_sha256", "per"), "text_sha256", ["row"], pieces, "left")
+    many = numbered(marked.where("per is not null"), ["text_sha256"], ["doc_id", "row"], "nth", pieces)
     many = many.withColumn("part", F.floor(F.col("nth") / F.col("per")).cast("int")).drop("nth", "per")
-    few = rows.join(F.broadcast(over.select("text_sha256")), "text_sha256", "left_anti").withColumn("part", F.lit(0))
+    few = marked.where("per is null").drop("per").withColumn("part", F.lit(0))
     dealt = scratch.save(few.unionByName(many).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(pieces))), "dealt")
     # rows join their group's place; a group of many copies is spread over the salts it has
     keys = dealt.select("text_sha256", "part", "salt").distinct()

@@ -201,3 +201,31 @@ def test_clashing_columns(docs_of, name):
     docs = docs_of([(1, "a b"), (2, "c")]).withColumnRenamed("lang", name).withColumnRenamed("source", "size")
     assert pack(docs, VOCABULARY).count() == 2
     assert shard_by_bytes(docs, 2).count() == 2
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_shards_are_those_of_plain_best_fit(docs_of, whole):
+    """The whole table against a plain version: texts larger than a shard, groups larger than one, ties."""
+    rng = np.random.default_rng(4)
+    sizes = [9000, 7000, 7000, 2500, *rng.integers(1, 400, 120).tolist()]
+    rows = [(k, chr(97 + k % 26) * n) for k, n in enumerate(sizes)] + [(900 + k, "copy " * 30) for k in range(40)] + [(None, None), (990, "")]
+    got = shard_by_bytes(docs_of(rows), 12, whole=whole).toPandas()
+    size = {i: len((t or "").encode()) + 16 for i, t in rows}
+    groups = Counter((t or "") for _, t in rows)
+    total, left = sum(len(t.encode()) * n + 16 * n for t, n in groups.items()), 12
+    for s in sorted(((len(t.encode()) + 16) * n for t, n in groups.items()) if whole else size.values(), reverse=True):
+        if left == 1 or s * left <= total:
+            break
+        total, left = total - s, left - 1
+    capacity = -(-total // left)
+    units = []
+    for t, n in groups.items():
+        each = len(t.encode()) + 16
+        per = n if whole or each * n <= capacity else max(1, capacity // each)
+        units += [each * min(per, n - k) for k in range(0, n, per)]
+    want = plain_best_fit(units, capacity, 12)
+    assert sorted(got.groupby("shard")["size"].sum().tolist()) == sorted(capacity - r for r in want if r != capacity)
+    own = got.groupby("shard")["size"].sum().sort_values()
+    assert got.shard.nunique() == 12
+    if not whole:
+        assert own.iloc[:-3].max() - own.iloc[:-3].min() <= 0.1 * capacity and own.iloc[-1] == 9016
