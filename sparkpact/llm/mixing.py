@@ -5,7 +5,8 @@ a source; so every stretch of the schedule holds the sources close to their shar
 shuffled, laid end to end and cut into blocks of equal words (the last may be shorter). The slots of a source
 are ranked, and rank r meets block r mod blocks, round after round; the last slot takes as much of its block
 as the target leaves. Sources that the schedule gives a slot too few get it at its end, so every source's
-words are its target, rounded. A document's share is what lies of it in the blocks that slots have met."""
+words are its target, rounded. A document's share is what lies of it in the blocks that slots have met; its place in
+the mix is the first of these slots, and the mix is written in the order of the slots."""
 
 from __future__ import annotations
 
@@ -17,6 +18,8 @@ from .common import Scratch, split_count, whole_row, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
+MOST_SOURCES = 10_000  # a plan of so few rows, counted, is broadcast
+PLACE = ("_number", "_blocks", "_block", "_start")  # of a document in its source
 GOLDEN = 0.6180339887498949  # frac of the golden ratio
 GOLDEN_20 = 0.3147292543901131  # frac of 2^20 times it
 
@@ -65,7 +68,9 @@ def row_key(docs: DataFrame) -> F.Column:
 
 
 def schedule(plan: DataFrame, slots: int, cells: int = 1024, chunk: int = 65_536) -> DataFrame:
-    """(source, rank) of the slots: plan has source, from, to and need, the slots that a source takes.
+    """(number, rank, slot): plan has a source's number, from, to and need, the slots that it takes. A source's
+    slots are those of the points that fall to it, by rank; beyond its need it leaves them out, and what it
+    lacks comes behind the last point.
 
     Points and sources meet by cells of the unit interval. Ranks are counted within chunks of slots and shifted
     by the chunks before, so no task holds all slots of a source."""
@@ -79,15 +84,20 @@ def schedule(plan: DataFrame, slots: int, cells: int = 1024, chunk: int = 65_536
     before = Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("number", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("number", "chunk").orderBy("id")) - 1
-    ranked = hits.withColumn("nth", within).join(shift, ["number", "chunk"]).select("number", (F.col("nth") + F.col("before")).alias("rank"))
-    found = ranked.join(plan.select("number", "need"), "number").where("rank < need").select("number", "rank")
+    ranked = hits.withColumn("nth", within).join(shift, ["number", "chunk"]).select("number", (F.col("nth") + F.col("before")).alias("rank"), F.col("id").alias("slot"))
+    needs = plan.select(F.col("number").alias("of"), "need")
+    if needs.count() <= MOST_SOURCES:
+        needs = F.broadcast(needs)
+    found = ranked.join(needs, F.col("number") == F.col("of")).where("rank < need").select("number", "rank", "slot")
     got = counts.groupBy("number").agg(F.sum("count").alias("got"))
     short = plan.join(got, "number", "left").select("number", F.coalesce("got", F.lit(0)).alias("got"), "need").where("got < need")
-    return found.unionByName(short.select("number", F.explode(F.sequence("got", F.col("need") - 1)).alias("rank")))
+    end = F.coalesce(F.sum(F.col("need") - F.col("got")).over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + slots  # a row per source that lacks slots
+    late = short.withColumn("end", end).select("number", F.explode(F.sequence("got", F.col("need") - 1)).alias("rank"), "got", "end")
+    return found.unionByName(late.select("number", "rank", (F.col("end") + F.col("rank") - F.col("got")).alias("slot")))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = 512, seed: str = "mix", piece_rows: int = 50_000) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row, with keys of our own.
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = 512, seed: str = "mix", piece_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """doc_id, source, size, source_size, target, taken and first_slot (null: not taken) of every row, with keys of our own, and the slots.
 
     Size is the number of words between ASCII white space (null: 0). Null is a source of its own, the
     last. Documents of no words are never taken; very long ones lie in many blocks. Sources that tie in
@@ -118,10 +128,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int
     wanted = plan.where("need > 0")
     slots = schedule(wanted, int(wanted.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]))
     # what the slots take of each block: all of it some times, and at the source's last slot perhaps its front
-    of_slots = slots.join(wanted.select("number", "blocks", "need", "rest"), "number")
+    facts = wanted.select("number", "blocks", "need", "rest")
+    few = facts.count() <= MOST_SOURCES
+    slots = scratch.save(slots.join(F.broadcast(facts) if few else facts, "number"), "slots")
     cut = (F.col("rank") == F.col("need") - 1) & (F.col("rest") % block > 0)
-    met = of_slots.groupBy("number", (F.col("rank") % F.col("blocks")).alias("block")).agg(
-        F.count(F.when(~cut, 1)).alias("times"), F.coalesce(F.max(F.when(cut, F.col("rest") % block)), F.lit(0)).alias("front")
+    met = slots.groupBy("number", (F.col("rank") % F.col("blocks")).alias("block")).agg(
+        F.count(F.when(~cut, 1)).alias("times"), F.coalesce(F.max(F.when(cut, F.col("rest") % block)), F.lit(0)).alias("front"),
+        F.min(F.when(~cut, F.col("slot"))).alias("first"), F.max(F.when(cut, F.col("slot"))).alias("last"),
     )
     met = scratch.save(met, "met")
     # documents, where they lie in their source
@@ -130,35 +143,48 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int
     within = Window.partitionBy("source", "_piece").orderBy("_order", "doc_id", "_key").rowsBetween(Window.unboundedPreceding, -1)
     laid = slim.withColumn("_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     laid = laid.join(shift, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_piece") == F.col("_p"))).withColumn("start", F.col("_start") + F.col("_before"))
-    info = plan.select(F.col("source").alias("_named"), "number", "source_size", "target")
-    laid = laid.join(info, F.col("source").eqNullSafe(F.col("_named"))).select("doc_id", "source", "number", "size", "source_size", "target", "start", "_order", "_key")
+    info = plan.select(F.col("source").alias("_named"), "number", "source_size", "target", "blocks")
+    few = info.count() <= MOST_SOURCES
+    laid = laid.join(F.broadcast(info) if few else info, F.col("source").eqNullSafe(F.col("_named")))
+    laid = laid.select("doc_id", "source", "number", "blocks", "size", "source_size", "target", "start", "_order", "_key")
     laid = scratch.save(laid.withColumn("_row", F.monotonically_increasing_id()), "laid")
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     lies = laid.where("size > 0").select("_row", "number", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("block"))
     at, end = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    part = F.col("times") * (end - at) + F.greatest(F.lit(0), F.least(end, F.col("block") * block + F.col("front")) - at)
-    taken = lies.join(met, ["number", "block"]).groupBy("_row").agg(F.sum(part).alias("taken"))
+    front = F.greatest(F.lit(0), F.least(end, F.col("block") * block + F.col("front")) - at)
+    slot = F.least(F.when(F.col("times") > 0, F.col("first")), F.when(front > 0, F.col("last")))
+    taken = lies.join(met, ["number", "block"]).groupBy("_row").agg(F.sum(F.col("times") * (end - at) + front).alias("taken"), F.min(slot).alias("first_slot"), F.min_by("block", slot).alias("_block"))
     out = laid.join(taken, "_row", "left")
-    return out.select("doc_id", "source", "_key", "_order", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    own = ("doc_id", "source", "_key", "_order", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target")
+    made = out.select(*own, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.col("number").alias("_number"), F.col("blocks").alias("_blocks"), "_block", F.col("start").alias("_start"))
+    return made, slots
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken."""
-    return mix(docs, **options).drop("_key", "_order")
+    """One row per document: doc_id, source, size, source_size, target, taken, first_slot."""
+    return mix(docs, **options)[0].drop("_key", "_order", *PLACE)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """`docs` as the mix has them: a row for each time (rounded) that its words are taken, none for
-    documents left out. Only a source's document at the end of its last round is taken in part. Nulls, ties,
-    repeated rows and empty tables as in `mix`; all columns stay as they are."""
-    rows = mix(docs, **options).groupBy("doc_id", "_key").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken"))
-    rows = rows.select(F.col("doc_id").alias("_doc"), "_key", F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_times")).where("_times > 0")
+    """`docs` as the mix has them, in the order of the schedule: a row for each time (rounded) that its words are
+    taken, at the slot that takes it then, none for documents left out. Only a source's document at the end of
+    its last round is taken in part. Nulls, ties, repeated rows and empty tables as in `mix`; all columns stay as
+    they are."""
+    rows, slots = mix(docs, **options)
+    rows = rows.groupBy("doc_id", "_key").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken"), F.min("first_slot").alias("_slot"), *(F.min_by(c, "first_slot").alias(c) for c in PLACE))
+    rows = rows.select(F.col("doc_id").alias("_doc"), "_key", "_slot", *PLACE, F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_times"))
+    turns = rows.where("_times > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("_turn"))
+    turns = turns.withColumn("_rank", F.col("_block") + F.col("_turn") * F.col("_blocks"))
+    hit = (F.col("_number") == slots["number"]) & (F.col("_rank") == slots["rank"])
+    turns = turns.join(slots.select("number", "rank", "slot"), hit, "left")  # copies beyond the last round go with the first
+    turns = turns.select("_doc", "_key", F.coalesce("slot", "_slot").alias("_at"), "_start")
     keyed = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").alias("_id"), row_key(docs).alias("_own"))  # no name of docs' own clashes
-    hit = keyed["_id"].eqNullSafe(rows["_doc"]) & (keyed["_own"] == rows["_key"])
-    return keyed.join(rows, hit).select("_row", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")
+    same = keyed["_id"].eqNullSafe(turns["_doc"]) & (keyed["_own"] == turns["_key"])
+    return keyed.join(turns, same).orderBy("_at", "_start").select("_row.*")
 
 
-#: The words of a source lie in shuffled order; from the front, round after round, its target (rounded) is taken.
+#: The words of a source lie in shuffled order, in blocks of 512; the points of the schedule fall to sources, and the
+#: r-th of a source takes its block r mod blocks, the last one perhaps only the block's front.
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
@@ -170,8 +196,21 @@ l AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source ASC NUL
   FROM w WINDOW c AS (ORDER BY source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 k AS (SELECT *, 3 * source_size <= level * weight AS cut FROM l),
 t AS (SELECT source, source_size, CASE WHEN cut THEN (3 * source_size)::DOUBLE ELSE weight * coalesce((SELECT arg_min(level, turn) FROM k WHERE NOT cut), 0) END AS target FROM k),
-p AS (SELECT *, least(round(target)::BIGINT, 3 * source_size) AS words, greatest(source_size, 1) AS whole FROM t),
-laid AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized)
-SELECT laid.doc_id, laid.source, size, p.source_size, p.target, (words // whole * size + greatest(0, least(start + size, words % whole) - start))::BIGINT AS taken
-FROM laid JOIN p ON laid.source IS NOT DISTINCT FROM p.source
+n AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS number, sum(target) OVER (ORDER BY source ASC NULLS LAST) AS upper, sum(target) OVER () AS total,
+    least(round(target)::BIGINT, 3 * source_size) AS words, (source_size + 511) // 512 AS blocks, greatest(source_size, 1) AS whole FROM t),
+p AS (SELECT *, words % whole AS rest, words // whole * blocks + (words % whole + 511) // 512 AS need, (upper - target) / total AS low, upper / total AS high FROM n),
+points AS (SELECT id, x - floor(x) AS point FROM (SELECT id, (id // 1048576) * 0.3147292543901131::DOUBLE + (id % 1048576) * 0.6180339887498949::DOUBLE AS x
+    FROM (SELECT unnest(range((SELECT coalesce(sum(need), 0)::BIGINT FROM p))) AS id))),
+hits AS (SELECT number, id AS slot, row_number() OVER (PARTITION BY number ORDER BY id) - 1 AS rank FROM points JOIN p ON point >= low AND point < high WHERE need > 0),
+short AS (SELECT number, got, need, coalesce(sum(need - got) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT number, need, coalesce(got, 0) AS got FROM p LEFT JOIN (SELECT number, count(*) AS got FROM hits GROUP BY 1) USING (number)) WHERE got < need),
+slots AS (SELECT number, rank, slot FROM hits JOIN p USING (number) WHERE rank < need UNION ALL
+  SELECT number, rank, (SELECT sum(need) FROM p) + before + rank - got FROM (SELECT *, unnest(range(got, need)) AS rank FROM short)),
+met AS (SELECT number, rank % blocks AS block, slot, CASE WHEN rank = need - 1 AND rest % 512 > 0 THEN rest % 512 ELSE 512 END AS front FROM slots JOIN p USING (number)),
+laid AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sized),
+d AS (SELECT laid.doc_id, laid.source, size, start, p.source_size, p.target, number FROM laid JOIN p ON laid.source IS NOT DISTINCT FROM p.source),
+b AS (SELECT doc_id, number, start, size, unnest(range(start // 512, (start + size + 511) // 512)) AS block FROM d WHERE size > 0),
+m AS (SELECT doc_id, slot, least(start + size, b.block * 512 + front) - greatest(start, b.block * 512) AS part FROM b JOIN met ON b.number = met.number AND b.block = met.block),
+g AS (SELECT doc_id, sum(part)::BIGINT AS taken, min(slot)::BIGINT AS first_slot FROM m WHERE part > 0 GROUP BY 1)
+SELECT d.doc_id, d.source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """

@@ -67,11 +67,35 @@ def test_the_schedule_holds_every_stretch_near_its_shares(spark):
     from sparkpact.llm.mixing import schedule, slot_point
 
     plan = spark.createDataFrame([(1, 0.0, 0.5, 500), (2, 0.5, 0.8, 300), (3, 0.8, 1.0, 203)], "number int, `from` double, `to` double, need long")
-    got = schedule(plan, 1000, cells=7, chunk=64).toPandas()
-    assert {n: sorted(g["rank"]) for n, g in got.groupby("number")} == {1: list(range(500)), 2: list(range(300)), 3: list(range(203))}
-    points = spark.range(1000).select(slot_point(F.col("id")).alias("p")).toPandas().p
-    for first in range(0, 1000, 50):
-        assert abs((points[first : first + 50] < 0.5).sum() - 25) <= 2
+    got = schedule(plan, 1000, cells=7, chunk=64).toPandas().sort_values("slot")
+    points = spark.range(1000).select(slot_point(F.col("id")).alias("p")).toPandas().p.tolist()
+    want, ranks = [], {1: 0, 2: 0, 3: 0}
+    for slot, p in enumerate(points):
+        n = 1 if p < 0.5 else 2 if p < 0.8 else 3
+        if ranks[n] < {1: 500, 2: 300, 3: 203}[n]:
+            want.append((n, ranks[n], slot))
+        ranks[n] += 1
+    late = [(n, r) for n, need in ((1, 500), (2, 300), (3, 203)) for r in range(ranks[n], need)]
+    assert list(got[["number", "rank", "slot"]].itertuples(index=False, name=None)) == want + [(n, r, 1000 + k) for k, (n, r) in enumerate(late)]
+    for first in range(0, 950, 50):
+        stretch = got[(got.slot >= first) & (got.slot < first + 50)]
+        assert all(abs((stretch.number == n).sum() - 50 * share) <= 2.5 for n, share in ((1, 0.5), (2, 0.3), (3, 0.2)))
+
+
+def test_every_stretch_of_the_mix_holds_its_shares(docs_of):
+    """In the mix itself, as it is written: sources of very different sizes keep their shares all along."""
+    rows = [(k, "w " * 40, "a" if k < 150 else "b" if k < 750 else "c") for k in range(1500)]
+    docs = docs_of(rows)
+    sized = mix_rows(docs, block=80).toPandas()
+    share = sized.groupby("source").target.first() / sized.groupby("source").target.first().sum()
+    out = [r.source for r in mixed(docs, block=80).collect()]
+    assert abs(len(out) - 1500) <= 15
+    for first in range(0, len(out) - 200, 100):
+        stretch = out[first : first + 200]
+        assert all(abs(stretch.count(s) / 200 - share[s]) <= 0.06 for s in "abc"), first
+    met = sized[sized.taken > 0].sort_values("first_slot").source.tolist()[:300]  # so also first places
+    assert all(abs(met.count(s) / 300 - share[s]) <= 0.1 for s in "abc")
+    assert sized.first_slot.isna().sum() == (sized.taken == 0).sum()
 
 
 def test_mix_keeps_rows_with_odd_columns(docs_of):
