@@ -38,8 +38,10 @@ _TAIL = rf"(?:\?({_chars(':@/?')}))?(?:#({_chars(':@/?')}))?\z"
 #: groups: scheme, authority, host, path after an authority, path without one, query, fragment
 URI = rf"\A([A-Za-z][A-Za-z0-9+.\-]*):(?://{_AUTHORITY.replace('{host}', _HOST)}(?=[/?#]|\z)({_chars(':@/')})|(?!//)({_chars(':@/')})){_TAIL}"
 URL = rf"\A[hH][tT][tT][pP][sS]?://{_AUTHORITY.replace('{host}', '(?=[^/?#:])' + _HOST)}(?=[/?#]|\z){_chars(':@/')}{_TAIL}"
-_SPACE = r"[\t-\r\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-TRIM = rf"\A{_SPACE}+|{_SPACE}+\z"
+_SPACE = r"\t-\r\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: the same 25 characters one by one, and a character that is none of them
+SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+NOT_SPACE = rf"[^{_SPACE}]"
 INTEGER = r"\A[+-]?[0-9]+\z"
 DECIMAL = r"\A([+-]?)(?:([0-9]+)(?:\.([0-9]*))?|\.([0-9]+))(?:[eE]([+-]?[0-9]+))?\z"
 YEAR = r"([0-9]{4}|-(?!0000)[0-9]{4}|[+-][1-9][0-9]{4,9})"

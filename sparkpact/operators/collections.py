@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.outcome import Outcome, Path, issue, json_text, let
+from ..plans.outcome import Outcome, Path, issue, json_text, let, rejected, settled, unpacked
 from ..sources.nodes import Node, Typed
 from .core import Decoder, refuse
 from .scalars import Float, size_of
@@ -67,14 +67,13 @@ class Sized(Decoder):
                 made = issue(code, path, meta(value), key, text)
                 checks = F.when(fails, made) if not k else checks.when(fails, made)
             if self._steps:
-                last = F.when(F.size(told) > 0, told).otherwise(F.filter(F.array(checks), lambda x: x.isNotNull()))
+                last = F.when(~settled(told), told).otherwise(F.concat(told, F.filter(F.array(checks), lambda x: x.isNotNull())))
             else:
                 last = told
-            return let(last, lambda issues: F.struct(F.when(F.size(issues) == 0, value).alias("value"), issues.alias("issues")))
+            return let(last, lambda issues: F.struct(F.when(settled(issues), value).alias("value"), issues.alias("issues")))
 
-        done = let(F.when(bad.isNull(), inner()), judge)
-        many = F.coalesce(done.getField("issues"), F.expr("cast(array() as array<struct<path:array<string>,code:string,message_key:string,meta:map<string,string>,custom_message:string,by_strict:boolean>>)"))
-        return Outcome(F.when(bad.isNull(), done.getField("value")), [("one", bad), ("many", many)])
+        done = let(inner(), judge)
+        return unpacked(let(bad, lambda b: F.when(b.isNull(), done).otherwise(rejected(F.array(b)))))
 
 
 class List(Sized):

@@ -8,8 +8,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.outcome import Outcome, Path, issue, let, path_column, unpacked
-from ..sources.nodes import Missing, Node
+from ..plans.outcome import PENDING, Outcome, Path, accepted, binds, bound, deferred, issue, let, path_column, rejected, settled, unpacked
+from ..sources.nodes import Missing, Node, Typed
 
 Check = Callable[[Column], Column]
 
@@ -67,16 +67,22 @@ class Decoder:
         """`value` for null and missing input, tested before decoding; other failures stay."""
         def run(node: Node, path: Path) -> Outcome:
             own, gone = self.compile(node, path), node.absent()
-            return Outcome(F.when(gone, lit(value() if callable(value) and not isinstance(value, Column) else value)).otherwise(own.value), [hide(p, gone) for p in own.parts])
+            other = lit(value() if callable(value) and not isinstance(value, Column) else value)
+            if binds(own):
+                return unpacked(F.when(gone, accepted(other)).otherwise(own.packed()))
+            return Outcome(F.when(gone, other).otherwise(own.value), [hide(p, gone) for p in own.parts])
 
         return Custom(run)
 
     def fallback(self, value) -> Decoder:
         """`value` (or a function of the issues) for any input with issues."""
+        def other(own: Outcome) -> Column:
+            return value(published(own.issues())) if callable(value) and not isinstance(value, Column) else lit(value)
+
         def run(node: Node, path: Path) -> Outcome:
-            own = self.compile(node, path)
-            other = value(published(own.issues())) if callable(value) and not isinstance(value, Column) else lit(value)
-            return Outcome(F.when(own.failed(), other).otherwise(own.value))
+            with judging("a fallback"):
+                own = self.compile(node, path)
+            return bound(own, lambda own: Outcome(F.when(own.failed(), other(own)).otherwise(own.value)))
 
         return Custom(run)
 
@@ -84,6 +90,8 @@ class Decoder:
         """Null is a value; missing input still goes to the decoder."""
         def run(node: Node, path: Path) -> Outcome:
             own = self.compile(node, path)
+            if binds(own):
+                return unpacked(F.when(node.null, accepted(F.lit(None))).otherwise(own.packed()))
             return Outcome(F.when(~node.null, own.value), [hide(p, node.null) for p in own.parts])
 
         return Custom(run)
@@ -93,10 +101,13 @@ class Decoder:
         return Strict(self, fields)
 
     def _then(self, node: Node, path: Path, body: Callable[[Column], Outcome]) -> Outcome:
-        own = self.compile(node, path)
-        after = body(own.value)
-        failed = own.failed()
-        return Outcome(F.when(~failed, after.value), [*own.parts, *(hide(p, failed) for p in after.parts)])
+        def step(own: Outcome) -> Outcome:
+            after, failed = body(own.value), own.failed()
+            if after.whole is not None:
+                return unpacked(F.when(~failed, after.whole).otherwise(rejected(own.issues())))
+            return Outcome(F.when(~failed, after.value), [*own.parts, *(hide(p, failed) for p in after.parts)])
+
+        return bound(self.compile(node, path), step)
 
 
 def hide(part: tuple[str, Column], when: Column) -> tuple[str, Column]:
@@ -110,6 +121,8 @@ def rebased(outcome: Outcome, path: Path) -> Outcome:
         return outcome
     prefix = path_column(path)
     move = lambda i: i.withField("path", F.concat(prefix, i.getField("path"))).withField("by_strict", F.lit(False))
+    if outcome.whole is not None:
+        return unpacked(let(outcome.whole, lambda p: F.struct(p.getField("value").alias("value"), F.transform(p.getField("issues"), move).alias("issues"))))
     return Outcome(outcome.value, [(k, F.when(c.isNotNull(), move(c))) if k == "one" else (k, F.transform(c, move)) for k, c in outcome.parts])
 
 
@@ -137,14 +150,29 @@ def new_decoder_with_path(f: Callable[[Node, Path], Outcome]) -> Decoder:
 
 
 _open: list = []  # what lazy decoders and encoders are being unrolled, the outermost first
+MOST_OPEN = 64
+
+
+def _value(x):
+    try:
+        hash(x)
+    except TypeError:
+        return id(x)
+    return x
+
+
+def same_as(make: Callable) -> tuple:
+    """What tells functions apart: their code and what it is closed over."""
+    cells = getattr(make, "__closure__", None) or ()
+    return getattr(make, "__code__", make), *(_value(c.cell_contents) for c in cells), *map(_value, getattr(make, "__defaults__", None) or ())
 
 
 @contextmanager
 def unrolled(make: Callable):
-    """How often `make`, or a function of the same code, is being unrolled already."""
-    code = getattr(make, "__code__", make)
-    depth = _open.count(code)
-    _open.append(code)
+    """How often `make`, or a function like it, is being unrolled already."""
+    key = same_as(make)
+    depth = _open.count(key) if sum(k[0] == key[0] for k in _open) < MOST_OPEN else MOST_OPEN
+    _open.append(key)
     try:
         yield depth
     finally:
@@ -152,10 +180,14 @@ def unrolled(make: Callable):
 
 
 def lazy(make: Callable[[], Decoder], max_depth: int = 8) -> Decoder:
-    """A decoder that refers to itself, unrolled to `max_depth`; deeper input is a type mismatch."""
+    """A decoder that refers to itself. Typed input is as deep as its type. JSON is unrolled to `max_depth`,
+    and deeper input is a type mismatch; `decode_tree` has no such bound."""
     def run(node: Node, path: Path) -> Outcome:
+        nodes = deferred()
+        if nodes is not None:
+            return nodes.leave(make, node, path)
         with unrolled(make) as depth:
-            if depth >= max_depth or isinstance(node, Missing):
+            if depth >= (MOST_OPEN if isinstance(node, Typed) else max_depth) or isinstance(node, Missing):
                 bad = F.when(~node.absent(), issue("type_mismatch", path, {"expected": f"at most {max_depth} levels"})).when(node.absent(), issue("required", path))
                 return Outcome(F.lit(None), [("one", bad)])
             return make().compile(node, path)
@@ -163,6 +195,15 @@ def lazy(make: Callable[[], Decoder], max_depth: int = 8) -> Decoder:
     return Custom(run)
 
 
+@contextmanager
+def judging(what: str):
+    """Within, what comes of a node decides on something: it cannot be left for later."""
+    nodes = deferred()
+    before = nodes.count if nodes is not None else 0
+    yield
+    refuse(nodes is not None and nodes.count > before, f"{what} of a lazy decoder needs an end of its depth: not in decode_tree")
+
+
 class Strict(Decoder):
     """Members that are not declared are issues. A member that an inner strict decoder has reported
     already is reported once, which the private mark on its issues tells."""
@@ -182,33 +223,69 @@ class Strict(Decoder):
             fresh = F.filter(keys, lambda k: ~F.array_contains(told, F.concat(at, F.array(k))))
             return F.transform(fresh, lambda k: issue("unknown_field", (*path, k), {"field": F.substring(F.to_json(F.array(k)), F.lit(2), F.length(F.to_json(F.array(k))) - 2)}, by_strict=True))
 
-        if node.bind:
+        if node.bind or own.whole is not None and binds(own):
             def join(p: Column) -> Column:
                 before = p.getField("issues")
                 told = F.concat(before, extra(before))
-                return let(told, lambda t: F.struct(F.when(F.size(t) == 0, p.getField("value")).alias("value"), t.alias("issues")))
+                return let(told, lambda t: F.struct(F.when(settled(t), p.getField("value")).alias("value"), t.alias("issues")))
 
             return unpacked(let(own.packed(), join))
         issues = let(own.issues(), lambda before: F.concat(before, extra(before)))
-        return Outcome(F.when(F.size(issues) == 0, own.value), [("many", issues)])
+        return Outcome(F.when(settled(issues), own.value), [("many", issues)])
+
+
+def candidates(tried: list[Outcome]) -> Column:
+    """What each alternative told, as JSON text."""
+    return F.to_json(F.array(*(F.struct(F.lit(k).alias("candidate"), F.transform(published(t.issues()), lambda i: i.dropFields("by_strict")).alias("issues")) for k, t in enumerate(tried))))
 
 
-def one_of(*alternatives: Decoder) -> Decoder:
-    """The first alternative that decodes; all alternatives' values have one type."""
-    refuse(not alternatives, "one_of needs an alternative")
+def one_of(*alternatives: Decoder, **named: Decoder) -> Decoder:
+    """The first alternative that decodes. The values of alternatives given by place have one type; those
+    given by name may each have their own, and the value is then struct(tag, a member for each name): the tag
+    names the alternative, and its member alone holds a value (see `unwrapped`)."""
+    refuse(not alternatives and not named, "one_of needs an alternative")
+    refuse(bool(alternatives and named), "alternatives are given by place or by name")
+    refuse("tag" in named, "an alternative cannot be named tag")
+    names, each = list(named), list(named.values() or alternatives)
 
     def run(node: Node, path: Path) -> Outcome:
-        tried = [a.compile(node, path) for a in alternatives]
-        value, bad = None, F.lit(True)
-        for t in tried:
-            value = F.when(~t.failed(), t.value) if value is None else value.when(~t.failed(), t.value)
-            bad = bad & t.failed()
-        text = F.to_json(F.array(*(F.struct(F.lit(k).alias("candidate"), F.transform(published(t.issues()), lambda i: i.dropFields("by_strict")).alias("issues")) for k, t in enumerate(tried))))
-        return Outcome(value, [("one", F.when(bad, issue("one_of_failed", path, {"candidates": text})))])
+        with judging("one_of"):
+            tried = [a.compile(node, path) for a in each]
+        if named:
+            kinds = [t.value for t in tried]  # name the types; never evaluated
+            tried = [bound(t, lambda o, k=k: Outcome(tagged(names, k, o.value, kinds), o.parts)) for k, t in enumerate(tried)]
+        failed = lambda ts: issue("one_of_failed", path, {"candidates": candidates(ts)})
+        if not any(map(binds, tried)):
+            value, bad = None, F.lit(True)
+            for t in tried:
+                value = F.when(~t.failed(), t.value) if value is None else value.when(~t.failed(), t.value)
+                bad = bad & t.failed()
+            return Outcome(value, [("one", F.when(bad, failed(tried)))])
+
+        def attempt(k: int, before: list[Outcome]) -> Column:
+            """The outcome from alternative k on; each is evaluated once, and only if those before failed."""
+            if k == len(tried):
+                return rejected(F.array(failed(before)))
+            return let(tried[k].packed(), lambda p: F.when(F.size(p.getField("issues")) == 0, p).otherwise(attempt(k + 1, [*before, unpacked(p)])))
+
+        return unpacked(attempt(0, []))
 
     return Custom(run)
 
 
+def tagged(names: list[str], k: int, value: Column, kinds: list[Column]) -> Column:
+    """A value of alternative k beside nulls of the others' types."""
+    return F.struct(F.lit(names[k]).alias("tag"), *(value.alias(n) if j == k else F.when(F.lit(False), kinds[j]).alias(n) for j, n in enumerate(names)))
+
+
+def unwrapped(v: Column, **each: Callable[[Column], Column]) -> Column:
+    """A tagged value by the function of its alternative, which all give one type."""
+    made = None
+    for name, f in each.items():
+        made = (F if made is None else made).when(v.getField("tag") == name, f(v.getField(name)))
+    return made
+
+
 def run_let(decoder: Decoder, node: Node, path: Path) -> Outcome:
     """A decoder's outcome evaluated once."""
     return unpacked(let(decoder.compile(node, path).packed(), lambda p: p))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import decimals
-from ..plans.outcome import json_text
+from ..plans.outcome import json_text, let
 from . import temporal
 from .core import refuse, unrolled
 
@@ -30,7 +30,16 @@ class Encoder:
 
 
 identity = Encoder(json_text)
-string = integer = int32 = int64 = uint = uint32 = uint64 = float64 = boolean = uuid = uri = url = identity
+string = integer = int32 = int64 = uint = uint32 = uint64 = boolean = uuid = uri = url = identity
+
+
+def _number(v: Column) -> Column:
+    """JSON has no text for NaN and the infinities: such a value is an error of the program."""
+    endless = F.isnan(v) | (F.abs(v) == float("inf"))
+    return F.when(endless, F.raise_error(F.concat(F.lit("no JSON number for "), v.cast("string"))).cast("string")).otherwise(json_text(v))
+
+
+float64 = float32 = Encoder(_number)
 decimal = Encoder(decimals.to_text)
 
 
@@ -69,11 +78,11 @@ def property(key: str, get: Callable[[Column], Column], e: Encoder = identity) -
 
 
 def nullable_property(key: str, get, e: Encoder = identity) -> Entry:
-    return Entry(key, lambda v: F.concat(_key(key), F.when(get(v).isNull(), "null").otherwise(e.encode(get(v)))))
+    return Entry(key, lambda v: F.concat(_key(key), let(get(v), lambda x: F.coalesce(F.when(x.isNotNull(), e.encode(x)), F.lit("null")))))
 
 
 def optional_property(key: str, get, e: Encoder = identity) -> Entry:
-    return Entry(key, lambda v: F.when(get(v).isNotNull(), F.concat(_key(key), e.encode(get(v)))))
+    return Entry(key, lambda v: F.concat(_key(key), let(get(v), lambda x: F.when(x.isNotNull(), e.encode(x)))))
 
 
 def property_with_default(key: str, get, default, e: Encoder = identity) -> Entry:
@@ -83,8 +92,7 @@ def property_with_default(key: str, get, default, e: Encoder = identity) -> Entr
 
 def presence_property(key: str, get, e: Encoder = identity) -> Entry:
     def write(v: Column) -> Column:
-        p = get(v)
-        return F.when(p.getField("state") == "null", F.concat(_key(key), F.lit("null"))).when(p.getField("state") == "present", F.concat(_key(key), e.encode(p.getField("value"))))
+        return let(get(v), lambda p: F.when(p.getField("state") == "null", F.concat(_key(key), F.lit("null"))).when(p.getField("state") == "present", F.concat(_key(key), e.encode(p.getField("value")))))
 
     return Entry(key, write)
 
@@ -117,8 +125,14 @@ def dict_of(e: Encoder) -> Encoder:
 
 def lazy(make: Callable[[], Encoder], max_depth: int = 8) -> Encoder:
     """An encoder that refers to itself, unrolled to `max_depth`. A value that goes on below is an error of
-    the program and fails the job, as nothing may be left out."""
+    the program and fails the job, as nothing may be left out. In `encode_tree`, at any depth, it writes
+    the text of the node that a reference stands for."""
+    from ..plans.issues import pointer
+    from ..plans.trees import children
+
     def run(v: Column) -> Column:
+        if children() is not None:
+            return F.when(v.isNotNull(), F.try_element_at(children(), pointer(v.getField("ref"))))
         with unrolled(make) as depth:
             if depth >= max_depth:
                 return F.when(v.isNotNull(), F.raise_error(F.lit(f"a value goes deeper than {max_depth} levels")).cast("string"))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.outcome import NO_ISSUES, Outcome, Path, issue, json_text, let, unpacked
+from ..plans.outcome import NO_ISSUES, Outcome, Path, binds, bound, issue, json_text, let, rejected, settled, unpacked
 from ..sources.nodes import Missing, Node
-from .core import Custom, Decoder, Strict, hide, refuse
+from .core import Custom, Decoder, Strict, hide, refuse, tagged
 
 
 class Field:
@@ -30,14 +30,14 @@ class Field:
             own = self.decoder.compile(node, at)
             # of something that is no object every field says so, at the member
             bad = F.when(parent.absent(), issue("required", at)).when(~is_object, issue("type_mismatch", at, {"expected": "object", "actual": json_text(parent.kind)}))
-            if node.bind:
+            if node.bind or own.whole is not None and binds(own):
                 judge = lambda b: F.when(b.isNull(), own.packed()).otherwise(F.struct(F.lit(None).alias("value"), F.array(b).alias("issues")))
                 return unpacked(let(bad, judge))
             return Outcome(F.when(bad.isNull(), own.value), [("one", bad), *(hide(p, bad.isNotNull()) for p in own.parts)])
         gone = node.missing | ~F.coalesce(is_object, F.lit(False))
         skip = gone if self.mode == "optional" else gone | node.null
         own = self.decoder.compile(node, at)
-        if node.bind:
+        if node.bind or own.whole is not None and binds(own):
             own = unpacked(let(F.when(~skip, own.packed()), lambda p: F.struct(p.getField("value").alias("value"), F.coalesce(p.getField("issues"), F.expr(NO_ISSUES)).alias("issues"))))
             if self.mode != "presence":
                 return own
@@ -114,7 +114,7 @@ class Object(Decoder):
         values: list[Column] = []
         failed = F.lit(False)
         each = [(name, source.decoder.compile(node, path) if isinstance(source, Flat) else source.compile(node, name, path)) for name, source in self.of.parts]
-        if node.bind and each:
+        if each and (node.bind or any(own.whole is not None and binds(own) for _, own in each)):
             return self._joined(each)
         for name, own in each:
             parts += own.parts
@@ -129,7 +129,7 @@ class Object(Decoder):
         def join(m: Column) -> Column:
             made = F.struct(*(m.getField(f"m{k}").getField("value").alias(name) for k, (name, _) in enumerate(each)))
             told = F.concat(*(m.getField(f"m{k}").getField("issues") for k in range(len(each))))
-            return let(told, lambda t: F.struct(F.when(F.size(t) == 0, made).alias("value"), t.alias("issues")))
+            return let(told, lambda t: F.struct(F.when(settled(t), made).alias("value"), t.alias("issues")))
 
         return unpacked(let(F.struct(*(own.packed().alias(f"m{k}") for k, (_, own) in enumerate(each))), join))
 
@@ -142,11 +142,13 @@ def object_of(of: Fields | None = None, **sources: Decoder | Field) -> Object:
     return Object(made)
 
 
-def discriminate(tag: str | Decoder | Callable, variants: dict[str, Decoder], tag_name: str | None = None) -> Decoder:
+def discriminate(tag: str | Decoder | Callable, variants: dict[str, Decoder], tag_name: str | None = None, union: bool = False) -> Decoder:
     """The tag member picks the decoder of the whole object. `tag` is a member's name, or, with
     `tag_name`, a string decoder of that member; a decoder alone sees the whole input. All variants'
-    values have one type."""
+    values have one type, unless it is a `union`: then the value is struct(tag, a member for each variant), of
+    which only the one that the tag names holds a value (see `unwrapped`)."""
     refuse(not variants, "a variant is needed")
+    refuse(union and "tag" in variants, "a variant of a union cannot be named tag")
     names = sorted(variants)
 
     def run(node: Node, path: Path) -> Outcome:
@@ -158,11 +160,23 @@ def discriminate(tag: str | Decoder | Callable, variants: dict[str, Decoder], ta
             at = (*path, member)
         else:
             own, at = tag.compile(node, path), path
+        compiled = {name: decoder.compile(node, path) for name, decoder in variants.items()}
+        if union:
+            kinds = [c.value for c in compiled.values()]  # name the types; never evaluated
+            compiled = {n: bound(c, lambda o, k=k: Outcome(tagged(list(variants), k, o.value, kinds), o.parts)) for k, (n, c) in enumerate(compiled.items())}
+        unknown = lambda v: issue("not_allowed", at, {"allowed": names, "actual": json_text(v)})
+        if binds(own):
+            def pick(p: Column) -> Column:
+                v = p.getField("value")
+                made = F.when(~settled(p.getField("issues")), rejected(p.getField("issues")))
+                for name, inner in compiled.items():
+                    made = made.when(v == name, inner.packed())
+                return made.otherwise(rejected(F.array(unknown(v))))
+
+            return unpacked(let(own.packed(), pick))
         chosen = F.when(~own.failed(), own.value)
-        unknown = F.when(chosen.isNotNull() & ~chosen.isin(names), issue("not_allowed", at, {"allowed": names, "actual": json_text(chosen)}))
-        parts, value = [*own.parts, ("one", unknown)], None
-        for name, decoder in variants.items():
-            inner = decoder.compile(node, path)
+        parts, value = [*own.parts, ("one", F.when(chosen.isNotNull() & ~chosen.isin(names), unknown(chosen)))], None
+        for name, inner in compiled.items():
             here = F.coalesce(chosen == name, F.lit(False))
             parts += [hide(p, ~here) for p in inner.parts]
             value = F.when(here, inner.value) if value is None else value.when(here, inner.value)
@@ -195,11 +209,13 @@ class Picked(Decoder):
     def compile(self, node: Node, path: Path = ()) -> Outcome:
         from .scalars import string
 
-        own = (self.source or string()).compile(node, path)
-        name = F.translate(own.value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if self.fold else own.value
-        bad = F.when(~own.failed() & ~F.coalesce(name.isin(list(self.table)), F.lit(False)), issue("invalid_format", path, self.meta, self.key, self.text))
-        picked = F.try_element_at(F.create_map(*(F.lit(x) for kv in self.table.items() for x in kv)), name)
-        return Outcome(F.when(~own.failed() & bad.isNull(), picked), [*own.parts, ("one", bad)])
+        def pick(own: Outcome) -> Outcome:
+            name = F.translate(own.value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if self.fold else own.value
+            bad = F.when(~own.failed() & ~F.coalesce(name.isin(list(self.table)), F.lit(False)), issue("invalid_format", path, self.meta, self.key, self.text))
+            picked = F.try_element_at(F.create_map(*(F.lit(x) for kv in self.table.items() for x in kv)), name)
+            return Outcome(F.when(~own.failed() & bad.isNull(), picked), [*own.parts, ("one", bad)], light=own.light)
+
+        return bound((self.source or string()).compile(node, path), pick)
 
 
 __all__ = ["Fields", "Field", "Missing", "Object", "discriminate", "enum_of", "fields", "is_given", "literal", "object_of", "optional", "presence", "presence_of"]

@@ -71,7 +71,7 @@ class Scalar(Decoder):
         whole = None
         if node.bind:  # interpreted anyway: the chain runs once
             whole = let(bad, lambda b: F.struct(F.when(b.isNull(), value).alias("value"), F.filter(F.array(b), lambda x: x.isNotNull()).alias("issues")))
-        return Outcome(F.when(bad.isNull(), value), [("one", bad)], whole)
+        return Outcome(F.when(bad.isNull(), value), [("one", bad)], whole, light=whole is None)
 
 
 def mismatch(node: Node, ok: Column, expected: str, actual: bool = True) -> tuple:
@@ -97,7 +97,7 @@ def size_of(n: int) -> int:
 
 class String(Scalar):
     def trim(self):
-        return self._change(lambda v: F.regexp_replace(v, G.TRIM, ""))
+        return self._change(lambda v: F.btrim(v, F.lit(G.SPACES)))
 
     def to_lower(self):
         return self._change(F.lower)
@@ -110,7 +110,7 @@ class String(Scalar):
         return self._change(lambda v: normaliser(form)(v))
 
     def non_blank(self):
-        return self._check(lambda v: F.regexp_replace(v, G.TRIM, "") != "", "blank")
+        return self._check(lambda v: v.rlike(G.NOT_SPACE), "blank")
 
     def min_length(self, n: int):
         size_of(n)

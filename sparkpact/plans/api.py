@@ -12,7 +12,7 @@ from ..operators.core import Decoder, published
 from ..sources import json as json_source
 from ..sources.nodes import Json, Typed
 from .issues import explode_issues
-from .outcome import NO_ISSUES, issue, let
+from .outcome import NO_ISSUES, issue, let, unbound
 
 VALUE, ISSUES = "value", "issues"
 
@@ -46,14 +46,19 @@ def _with_outcome(df: DataFrame, own: list[str], outcome: Column) -> Result:
 
 
 def _run(df: DataFrame, decoder: Decoder, node) -> Result:
-    made = decoder.compile(node)
-    outcome = F.struct(made.value.alias(VALUE), published(made.issues()).alias(ISSUES))
+    def outcome() -> Column:
+        made = decoder.compile(node)
+        if made.whole is not None:
+            return let(made.whole, lambda p: F.struct(p.getField("value").alias(VALUE), published(p.getField("issues")).alias(ISSUES)))
+        return F.struct(made.value.alias(VALUE), published(made.issues()).alias(ISSUES))
+
     try:
-        return _with_outcome(df, df.columns, outcome)
+        return _with_outcome(df, df.columns, outcome())
     except AnalysisException as e:
         if not of_python(e):
             raise
-        return _with_python(df, df.columns, outcome)
+        with unbound():
+            return _with_python(df, df.columns, outcome())
 
 
 def of_python(e: AnalysisException) -> bool:
@@ -109,7 +114,8 @@ def decode_json(df: DataFrame, decoder: Decoder, column: str, lossless: bool = F
         if not of_python(e):
             raise
         root = Json(F.col("_tree"), lossless, bind=False)
-        made = decoder.compile(root)
+        with unbound():
+            made = decoder.compile(root)
         return _with_python(df.withColumn("_tree", tree), own, closed(root, made.value, made.issues()))
 
 

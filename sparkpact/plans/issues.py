@@ -63,8 +63,11 @@ def resolved(issue: Column, messages: Resolver = ENGLISH) -> Column:
 def explode_issues(df: DataFrame, issues: str = "issues", *keys: str) -> DataFrame:
     """A row per issue: the keys, position, path (pointer), code, message_key, meta and the issue itself."""
     rows = df.select(*keys, F.posexplode(issues).alias("position", "issue"))
-    i = F.col("issue")
-    return rows.select(*keys, "position", pointer(i.path).alias("path"), i.code.alias("code"), i.message_key.alias("message_key"), i.meta.alias("meta"), "issue")
+    return rows.select(*keys, "position", *(e.alias(n) for n, e in issue_columns(F.col("issue")).items()), "issue")
+
+
+def issue_columns(i: Column) -> dict[str, Column]:
+    return {"path": pointer(i.path), "code": i.code, "message_key": i.message_key, "meta": i.meta}
 
 
 def render(issues: Column, messages: Resolver = ENGLISH) -> Column:

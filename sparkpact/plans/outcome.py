@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -52,14 +54,44 @@ def issue(code: str, path: Path, meta: dict | None = None, key: str | None = Non
     ).cast(ISSUE)
 
 
+#: The code of what stands for the issues of a node that is decoded later (see plans.trees).
+PENDING = "\0pending"
+_deferred: ContextVar = ContextVar("deferred", default=None)
+
+
+@contextmanager
+def deferring(nodes):
+    """Within, lazy decoders leave their node to `nodes`, and what they leave is no failure."""
+    token = _deferred.set(nodes)
+    try:
+        yield
+    finally:
+        _deferred.reset(token)
+
+
+def deferred():
+    return _deferred.get()
+
+
+def _fails(one: Column) -> Column:
+    return one.isNotNull() if deferred() is None else one.isNotNull() & ~one.getField("code").eqNullSafe(PENDING)
+
+
+def settled(issues: Column) -> Column:
+    """Whether nothing failed."""
+    return F.size(issues) == 0 if deferred() is None else ~F.exists(issues, lambda i: i.getField("code") != PENDING)
+
+
 @dataclass(frozen=True)
 class Outcome:
     """`value` is null wherever there is an issue. `parts` are issues in order: ("one", column or null)
-    or ("many", array column). `whole` is both as one struct, for outcomes that come from one."""
+    or ("many", array column). `whole` is both as one struct, for outcomes that come from one. `light`: of a scalar,
+    so that naming it twice costs less than binding it."""
 
     value: Column
     parts: list[tuple[str, Column]] = field(default_factory=list)
     whole: Column | None = None
+    light: bool = False
 
     def issues(self) -> Column:
         groups: list[Column] = []
@@ -80,7 +112,7 @@ class Outcome:
     def failed(self) -> Column:
         made = F.lit(False)
         for k, (kind, c) in enumerate(self.parts):
-            bad = c.isNotNull() if kind == "one" else F.size(c) > 0
+            bad = _fails(c) if kind == "one" else ~settled(c)
             made = bad if not k else made | bad
         return made
 
@@ -92,3 +124,36 @@ class Outcome:
 
 def unpacked(packed: Column) -> Outcome:
     return Outcome(packed.getField("value"), [("many", packed.getField("issues"))], packed)
+
+
+def accepted(value: Column) -> Column:
+    return F.struct(value.alias("value"), F.expr(NO_ISSUES).alias("issues"))
+
+
+def rejected(issues: Column) -> Column:
+    return F.struct(F.lit(None).alias("value"), issues.alias("issues"))
+
+
+_unbound: ContextVar[bool] = ContextVar("unbound", default=False)
+
+
+@contextmanager
+def unbound():
+    """Within, outcomes are not bound: functions that run in Python cannot stand in a lambda."""
+    token = _unbound.set(True)
+    try:
+        yield
+    finally:
+        _unbound.reset(token)
+
+
+def binds(own: Outcome) -> bool:
+    return not (own.light or _unbound.get())
+
+
+def bound(own: Outcome, body: Callable[[Outcome], Outcome]) -> Outcome:
+    """`body` of an outcome that is evaluated once and stands in the plan once, however often its value and
+    issues are named: chains of steps give plans that grow with their number."""
+    if not binds(own):
+        return body(own)
+    return unpacked(let(own.packed(), lambda p: body(unpacked(p)).packed()))
