@@ -4,17 +4,22 @@ What is classified are lines and, for notices that run over several, overlapping
 through the whole text. A sparse multinomial logistic regression over word 1- and 2-grams weighs each licence
 family against unknown; it is fitted on the driver from the templates below, varied by rule, against
 a bounded sample of the corpus' own lines. The temperature is calibrated on variants kept out of the
-fit. Every family that is likelier than unknown counts, if the licence's name is there and a template
-confirms it: enough of the template's 2-grams are in the line or window. Scoring needs no data from the
-driver but the weights, a table of a few hundred rows."""
+fit. Every family that is likelier than unknown counts, if a template confirms it: enough of the template's 2-grams
+are in the line or window, and no template of another family that is much like it fits better.
+
+The weights also say where to look. A line or window can only come to count if it has one of a few words: those
+without which all other weights together do not outweigh the lead of unknown. They are found anew for every fit, and
+texts, lines and windows without any of them are left out, which changes no result. Scoring needs no data from the
+driver but the weights and templates, tables of some hundred rows."""
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -22,7 +27,6 @@ from .common import Scratch
 # Short notices by which licences are granted, by family.
 TEMPLATES = [
     ("agpl-3.0", "licensed under the GNU Affero General Public License version 3"),
-    ("agpl-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("all-rights-reserved", "all rights reserved"),
     ("all-rights-reserved", "copyright all rights reserved no part of this work may be reproduced without permission"),
     ("apache-2.0", "licensed under the Apache License Version 2.0"),
@@ -41,7 +45,6 @@ TEMPLATES = [
     ("cc0-1.0", "dedicated to the public domain under CC0 1.0 Universal"),
     ("gpl-2.0", "licensed under the GNU General Public License version 2"),
     ("gpl-3.0", "licensed under the GNU General Public License version 3"),
-    ("gpl-3.0", "you can redistribute it and or modify it under the terms of the GNU General Public License either version 3"),
     ("isc", "released under the ISC License"),
     ("lgpl-3.0", "licensed under the GNU Lesser General Public License version 3"),
     ("mit", "released under the MIT License"),
@@ -49,18 +52,43 @@ TEMPLATES = [
     ("mpl-2.0", "subject to the terms of the Mozilla Public License v 2.0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
+# How licences are named, and their SPDX tags.
+NAMES = [
+    ("agpl-3.0", "AGPL-3.0", "GNU Affero General Public License version 3", "GNU Affero General Public License v3.0", "GNU AGPL v3"),
+    ("apache-2.0", "Apache-2.0", "Apache License 2.0", "Apache License Version 2.0", "Apache 2.0 licence"),
+    ("bsd-2-clause", "BSD-2-Clause", "BSD 2 clause license", "2 clause BSD license", "simplified BSD license"),
+    ("bsd-3-clause", "BSD-3-Clause", "BSD 3 clause license", "3 clause BSD license", "new BSD license"),
+    ("bsl-1.0", "BSL-1.0", "Boost Software License Version 1.0", "Boost Software License"),
+    ("cc-by-4.0", "CC-BY-4.0", "CC BY 4.0", "Creative Commons Attribution 4.0"),
+    ("cc-by-nc-4.0", "CC-BY-NC-4.0", "CC BY NC 4.0", "Creative Commons Attribution NonCommercial 4.0"),
+    ("cc-by-nc-sa-4.0", "CC-BY-NC-SA-4.0", "CC BY NC SA 4.0", "Creative Commons Attribution NonCommercial ShareAlike 4.0"),
+    ("cc-by-nd-4.0", "CC-BY-ND-4.0", "CC BY ND 4.0", "Creative Commons Attribution NoDerivatives 4.0"),
+    ("cc-by-sa-4.0", "CC-BY-SA-4.0", "CC BY SA 4.0", "Creative Commons Attribution ShareAlike 4.0"),
+    ("cc0-1.0", "CC0-1.0", "CC0 1.0", "CC0 1.0 Universal"),
+    ("eupl-1.2", "EUPL-1.2", "European Union Public Licence", "EUPL v1.2"),
+    ("gpl-2.0", "GPL-2.0", "GNU General Public License version 2", "GNU General Public License v2.0", "GNU GPL v2"),
+    ("gpl-3.0", "GPL-3.0", "GNU General Public License version 3", "GNU General Public License v3.0", "GNU GPL v3"),
+    ("isc", "ISC", "ISC License", "ISC licence"),
+    ("lgpl-3.0", "LGPL-3.0", "GNU Lesser General Public License version 3", "GNU Lesser General Public License v3.0", "GNU LGPL v3"),
+    ("mit", "MIT", "MIT License", "MIT licence"),
+    ("mpl-2.0", "MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License v 2.0", "MPL v2.0"),
+    ("unlicense", "Unlicense", "the Unlicense"),
+]
+FSF = "is free software you can redistribute it and or modify it under the terms of the {} as published by the Free Software Foundation either version {}"
 UNKNOWN = "unknown"
-_FSF = "gnu general public license (as published by the free software foundation )?(either )?"
-#: The wording that tells a family from its relatives.
-NAMES = {
-    "agpl-3.0": "gnu affero general public license", "all-rights-reserved": "all rights reserved", "apache-2.0": "apache license|apache org licenses",
-    "bsd-2-clause": "bsd 2 clause", "bsd-3-clause": "bsd 3 clause|redistribution and use", "cc-by-4.0": "cc by 4|attribution 4",
-    "cc-by-nc-4.0": "by nc 4|attribution noncommercial 4", "cc-by-nc-sa-4.0": "by nc sa", "cc-by-nd-4.0": "by nd", "cc-by-sa-4.0": "by sa|attribution sharealike",
-    "cc0-1.0": "cc0", "gpl-2.0": _FSF + "version 2", "gpl-3.0": _FSF + "version 3", "isc": "isc license", "lgpl-3.0": "gnu lesser general public license",
-    "mit": "mit license|permission is hereby granted free of charge", "mpl-2.0": "mozilla public license", "unlicense": "free and unencumbered software",
-}
-#: Lines with one of these are not taught as unknown.
-LICENCE_WORDS = set("affero agpl apache bsd cc0 copyright creativecommons gnu gpl isc lgpl licence licences license licensed licenses mit mozilla mpl reserved sharealike spdx unencumbered unlicense".split())
+
+
+def templates() -> list[tuple[str, str]]:
+    """All wordings that confirm a family: the notices above, its names, its tag, and the header of the GNU licences."""
+    made = list(TEMPLATES)
+    for family, tag, *names in NAMES:
+        made += [(family, "SPDX License Identifier " + tag), *((family, n) for n in names)]
+        if names[0].startswith("GNU "):
+            made.append((family, FSF.format(*names[0].split(" version "))))
+    return list(dict.fromkeys((f, " ".join(words_of(t))) for f, t in made))
+
+
+SLACK = 2  # words that may lie between those of a template
 WINDOW = 64  # words; half overlap, so a notice of up to 32 words lies in one
 #: Wordings put around a notice in the varied examples, and lines that only sound like one.
 AROUND = ["this work is", "this document is", "the text is", "copyright 2020", "see the file for details", "unless noted otherwise", "", ""]
@@ -79,30 +107,39 @@ def grams_of(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
 
-def examples(lines: list[str], turns: int = 14) -> tuple[list[set[str]], list[str], list[bool]]:
-    """(n-grams, family, kept out of the fit) of varied templates, decoys and corpus lines."""
+def likeness(words: list[str], known: list[set[str]]) -> float:
+    """The largest share of a template's 2-grams that a line has."""
+    own = {f"{a} {b}" for a, b in zip(words, words[1:])}
+    return max(len(own & k) / len(k) for k in known)
+
+
+def examples(lines: list[str], turns: int = 14, most: int = 1500) -> tuple[list[set[str]], list[str], list[bool]]:
+    """(n-grams, family, kept out of the fit) of varied templates, decoys and corpus lines. Lines that hold half of a
+    template may be notices themselves and are not taught as unknown."""
     x, y, out = [], [], []
     rng = np.random.default_rng(5)
+    all_ = [(f, words_of(t)) for f, t in templates()]
+    known = [{f"{a} {b}" for a, b in zip(w, w[1:])} for _, w in all_]
+    free = [w for w in map(words_of, lines) if likeness(w, known) < 0.5][:most]
 
     def add(words: list[str], family: str) -> None:
         x.append(grams_of(words)), y.append(family), out.append(zlib.crc32(" ".join(words).encode()) % 4 == 0)
 
-    loose = [w for line in lines for w in words_of(line)[:20]] or ["text"]
-    for family, text in TEMPLATES:
+    loose = [w for line in free for w in line[:20]] or ["text"]
+    for family, words in all_:
         for turn in range(turns):
-            words = words_of(text)
-            if turn and len(words) >= 12:
-                words = [w for w in words if rng.random() > 0.08]
+            said = [w for w in words if rng.random() > 0.08] if turn and len(words) >= 12 else words
             pick = lambda: words_of(AROUND[rng.integers(len(AROUND))])
             few = lambda: [loose[i] for i in rng.integers(len(loose), size=rng.integers(0, 8))]
-            add(words if not turn else [*few(), *pick(), *words, *pick(), *few()], family)
-    half = [words_of(t) for _, t in TEMPLATES]
-    for words in half:  # stray pieces of a notice are no notice
+            add(said if not turn else [*few(), *pick(), *said, *pick(), *few()], family)
+    whole = {" ".join(w) for _, w in all_}
+    for _, words in all_:  # stray pieces of a notice are no notice
         for _ in range(3):
             at = rng.integers(len(words))
-            add([*(loose[i] for i in rng.integers(len(loose), size=4)), *words[at : at + 2], *(loose[i] for i in rng.integers(len(loose), size=4))], UNKNOWN)
-    for line in [*DECOYS, *lines]:
-        add(words_of(line), UNKNOWN)
+            if len(words) > 3 and " ".join(words[at : at + 2]) not in whole:
+                add([*(loose[i] for i in rng.integers(len(loose), size=4)), *words[at : at + 2], *(loose[i] for i in rng.integers(len(loose), size=4))], UNKNOWN)
+    for words in [*map(words_of, DECOYS), *free]:
+        add(words, UNKNOWN)
     return x, y, out
 
 
@@ -110,8 +147,8 @@ def fit(lines: list[str], steps: int = 800, rate: float = 1.0, sparse: float = 2
     """(weights of each n-gram, biases, classes) by proximal gradient steps, divided by the temperature
     that fits the examples kept out best."""
     x, y, out = examples(lines)
-    classes = [*dict.fromkeys(f for f, _ in TEMPLATES), UNKNOWN]
-    names = sorted({g for _, t in TEMPLATES for g in grams_of(words_of(t))})
+    classes = [*sorted({f for f, _ in templates()}), UNKNOWN]
+    names = sorted({g for _, t in templates() for g in grams_of(t.split())})
     column = {g: i for i, g in enumerate(names)}
     a = np.zeros((len(x), len(names)), "f4")
     for i, grams in enumerate(x):
@@ -150,27 +187,61 @@ def fit(lines: list[str], steps: int = 800, rate: float = 1.0, sparse: float = 2
     return found, (b * scale).astype("f8").tolist(), classes
 
 
+def pairs_of(words: Column) -> Column:
+    """2-grams in a row."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def grams(words: Column) -> Column:
     """Distinct 1- and 2-grams of an array of words."""
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(words, pairs))
+    return F.array_distinct(F.concat(words, pairs_of(words)))
 
 
 def words_in(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def telling(weights: dict[str, list[float]], bias: list[float], lines: list[str], least: float) -> list[str]:
+    """Words of which a line or window needs one to reach `least` for any family: what the n-grams without these
+    words can add up to, each counted once, stays below the lead of unknown. Words that are rare in `lines` come first."""
+    lead = np.array([bias[-1] - b for b in bias[:-1]]) + np.log(least / (1 - least))
+    gain = {g: np.maximum(np.array(w[:-1]) - w[-1], 0) for g, w in weights.items()}
+    seen = Counter(w for line in lines for w in set(words_of(line)))
+    found: list[str] = []
+    while True:
+        rest = {g: v for g, v in gain.items() if not set(g.split()) & set(found)}
+        over = sum(rest.values(), np.zeros(len(lead))) - lead >= 0
+        if not over.any() or not rest:
+            return sorted(found)
+        worth: dict[str, float] = {}
+        for g, v in rest.items():
+            for w in g.split():
+                worth[w] = worth.get(w, 0) + float(v[over].sum())
+        found.append(max(worth, key=lambda w: (worth[w] / (1 + seen[w]), w)))
+
+
 def learn_from(base: DataFrame, sample_lines: int, most: int = 2000) -> list[str]:
-    """Lines without licence words, up to `most` characters of each: the `sample_lines` ones of the smallest hash.
+    """Lines of the corpus, up to `most` characters of each: the 2 x `sample_lines` ones of the smallest hash.
 
     Lines are first thinned to about eight times as many by that hash, so that few are looked at and what
     reaches the driver doesn't grow with the input."""
     lines = base.select("key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     n = base.agg(F.coalesce(F.sum(F.size(F.split("text", "\n"))), F.lit(0))).first()[0]
     some = lines.withColumn("turn", F.pmod(F.xxhash64("key", "paragraph"), F.lit(1 << 40))).where(F.col("turn") < int((1 << 40) * min(1.0, 8 * sample_lines / max(1, n))))
-    taught = "\\b(" + "|".join(sorted(LICENCE_WORDS)) + ")\\b"
-    free = some.where(F.col("line").rlike("[A-Za-z0-9]") & ~F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " ").rlike(taught))
-    return [r[0] for r in free.orderBy("turn", "line").select(F.substring("line", 1, most)).limit(sample_lines).collect()]
+    return [r[0] for r in some.where(F.col("line").rlike("[A-Za-z0-9]")).orderBy("turn", "line").select(F.substring("line", 1, most)).limit(2 * sample_lines).collect()]
+
+
+def template_tables() -> tuple[list[tuple], list[tuple]]:
+    """(template, family, gram, at, of, common, families) of every template's 2-grams, and pairs of templates of different
+    families that share many. `at`: its place there; `common`: in how many templates of its family a 2-gram is, which
+    names of a licence are in most; `families`: in how many families."""
+    all_ = [(f, {f"{a} {b}": p for p, (a, b) in reversed(list(enumerate(zip(w, w[1:]))))}) for f, t in templates() for w in [t.split()]]
+    common = Counter((f, g) for f, gs in all_ for g in gs)
+    families = Counter(g for f, g in common)
+    grams_ = [(n, f, g, gs[g], len(gs), common[f, g], families[g]) for n, (f, gs) in enumerate(all_) for g in sorted(gs)]
+    alike = [(n, m) for n, (f, gs) in enumerate(all_) for m, (h, hs) in enumerate(all_) if f != h and len(gs.keys() & hs.keys()) >= 0.4 * min(len(gs), len(hs))]
+    return grams_, alike
 
 
 def scan(docs: DataFrame, sample_lines: int = 1500, least: float = 0.5, confirm: float = 0.7) -> DataFrame:
@@ -181,39 +252,44 @@ def scan(docs: DataFrame, sample_lines: int = 1500, least: float = 0.5, confirm:
     probability against unknown. Paragraphs are lines, a notice over several is where its licence is named.
     Null and empty texts have none; repeated rows get the same; null doc_ids are kept; clashing columns are
     not looked at; an empty table gives no rows; very long texts are read whole, in windows. The fit sees at
-    most `sample_lines` lines of the corpus; all else covers every text."""
+    most 2 x `sample_lines` lines of the corpus; all else covers every text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "license")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
-    weights, bias, classes = fit(learn_from(base, sample_lines))
+    lines = learn_from(base, sample_lines)
+    weights, bias, classes = fit(lines)
     k = len(classes)
     table = spark.createDataFrame([(g, *w) for g, w in sorted(weights.items())], "gram string, " + ", ".join(f"w{i} double" for i in range(k)))
-    # where no licence is named none can be found: such texts, lines and windows are left out
-    named_in = lambda words: words.rlike("\\b(" + "|".join(NAMES.values()) + ")\\b")
-    split = base.where(named_in(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))).select("key", F.transform(F.split("text", "\n"), words_in).alias("lines"))
+    words = F.array(*map(F.lit, telling(weights, bias, lines, least)))
+    split = base.where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), words)).select("key", F.transform(F.split("text", "\n"), words_in).alias("lines"))
     split = split.withColumns({"flat": F.flatten("lines"), "numbers": F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.size(x))))})
     starts = F.sequence(F.lit(0), F.greatest(F.size("flat") - WINDOW // 2 - 1, F.lit(0)), F.lit(WINDOW // 2))
     of_lines = F.transform("lines", lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("at"), x.alias("words"), F.array_repeat(i, F.size(x)).alias("numbers")))
     of_text = F.transform(starts, lambda i: F.struct(F.lit("window").alias("kind"), i.alias("at"), F.slice("flat", i + 1, WINDOW).alias("words"), F.slice("numbers", i + 1, WINDOW).alias("numbers")))
-    worded = split.select("key", F.explode(F.filter(F.concat(of_lines, of_text), lambda u: named_in(F.concat_ws(" ", u["words"])))).alias("u")).select("key", "u.*")
+    worded = split.select("key", F.explode(F.filter(F.concat(of_lines, of_text), lambda u: F.arrays_overlap(u["words"], words))).alias("u")).select("key", "u.*")
     unit = ["key", "kind", "at"]
-    worded = scratch.save(worded.dropDuplicates(unit).withColumn("grams", grams(F.col("words"))), "paragraphs")
+    worded = scratch.save(worded.dropDuplicates(unit).withColumns({"grams": grams(F.col("words")), "pairs": pairs_of(F.col("words"))}).drop("words"), "paragraphs")
     each = worded.select(*unit, F.explode("grams").alias("gram"))
     logits = each.join(F.broadcast(table), "gram").groupBy(*unit).agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(k)))
     unknown = F.col(f"w{k - 1}") + F.lit(bias[-1])
     over = F.array(*(F.struct(F.lit(f).alias("family"), (1 / (1 + F.exp(unknown - F.col(f"w{i}") - F.lit(bias[i])))).alias("confidence")) for i, f in enumerate(classes[:-1])))
     named = logits.select(*unit, F.explode(over).alias("f")).select(*unit, "f.*").where(F.col("confidence") >= least)
-    # confirmation by a template of the family
-    pairs = [(f, n, f"{a} {b}", len(w) - 1) for n, (f, t) in enumerate(TEMPLATES) for w in [words_of(t)] for a, b in zip(w, w[1:])]
-    pairs = spark.createDataFrame(sorted(set(pairs)), "family string, template int, gram string, of int")
-    hits = named.join(worded, unit).select(*unit, "family", "confidence", F.explode("grams").alias("gram")).join(F.broadcast(pairs), ["family", "gram"])
-    sure = hits.groupBy(*unit, "family", "template", "of", "confidence").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= confirm * F.col("of"))
-    sure = sure.groupBy(*unit, "family").agg(F.max("confidence").alias("confidence")).join(worded.drop("grams"), unit)
-    said = F.concat_ws(" ", "words")
-    where = F.coalesce(*(F.when(F.col("family") == f, F.regexp_instr(said, F.lit(f"\\b({n})\\b"))) for f, n in NAMES.items()))
-    sure = sure.withColumn("where", where).where("where > 0")
-    sure = sure.withColumn("paragraph", F.element_at("numbers", F.size(F.split(F.substring(said, F.lit(1), F.col("where")), " "))))
+    # confirmation by a template of the family, that no other family's template like it fits better
+    grams_, alike = template_tables()
+    known = spark.createDataFrame(grams_, "template int, family string, gram string, `in` int, of int, common int, families int")
+    pairs = worded.select(*unit, "numbers", F.posexplode("pairs").alias("nth", "gram")).join(F.broadcast(known), "gram")
+    # only those count together that lie about as they do in the template: the same shift, give or take SLACK and a third of its length
+    shift = F.round((F.col("nth") - F.col("in")) * 1000 / (SLACK + F.col("of") / 3)).cast("long")
+    near = Window.partitionBy(*unit, "template").orderBy("shift").rangeBetween(-1000, 1000)
+    pairs = pairs.withColumn("shift", shift).withColumn("n", F.size(F.collect_set("gram").over(near)))
+    place = F.struct((-F.col("n")).alias("n"), (-F.col("common")).alias("common"), "families", "nth", F.element_at("numbers", F.col("nth") + 1).alias("paragraph"))
+    fits = pairs.groupBy(*unit, "family", "template", "of").agg(F.max("n").alias("n"), F.min(place).alias("place"))
+    fits = scratch.save(fits.where(F.col("n") >= confirm * F.col("of")).withColumn("share", F.col("n") / F.col("of")).join(named, [*unit, "family"]), "fits")
+    rivals = fits.select(*unit, F.col("template").alias("other"), F.col("share").alias("theirs"))
+    beaten = fits.join(F.broadcast(spark.createDataFrame(alike, "template int, other int")), "template").join(rivals, [*unit, "other"]).where("theirs > share")
+    sure = fits.join(beaten.select(*unit, "template").distinct(), [*unit, "template"], "left_anti")
+    sure = sure.groupBy(*unit, "family").agg(F.max("confidence").alias("confidence"), F.min("place").getField("paragraph").alias("paragraph"))
     best = F.max_by("family", F.struct("confidence", F.translate("family", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")))
     per_doc = sure.groupBy("key").agg(
         best.alias("license"), F.max("confidence").alias("confidence"), F.concat_ws(",", F.array_sort(F.collect_set("family"))).alias("licenses"),

@@ -138,11 +138,14 @@ def test_licence_fit_is_sparse():
 
 
 def brute_scan(texts, weights, bias, classes, least=0.5, confirm=0.7):
-    """The same weights applied in plain Python: every line, and every window through the text."""
-    import re
-
-    from sparkpact.llm.license import NAMES, WINDOW, grams_of, words_of
-
+    """The same weights applied in plain Python to every line, and every window through the text, without looking for
+    words first."""
+    from sparkpact.llm.license import SLACK, WINDOW, grams_of, templates, words_of
+
+    two = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:])]
+    known = [(f, {g: n for n, g in reversed(list(enumerate(two(t.split()))))}) for f, t in templates()]
+    common = {(f, g): sum(h == f and g in gs for h, gs in known) for f, own in known for g in own}
+    spread = {g: len({h for h, gs in known if g in gs}) for _, own in known for g in own}
     out = []
     for text in texts:
         lines = [words_of(x) for x in (text or "").split("\n")]
@@ -151,17 +154,22 @@ def brute_scan(texts, weights, bias, classes, least=0.5, confirm=0.7):
         units += [([w for w, _ in flat[s : s + WINDOW]], [k for _, k in flat[s : s + WINDOW]]) for s in range(0, max(len(flat) - WINDOW // 2 - 1, 0) + 1, WINDOW // 2)]
         found = {}
         for words, numbers in units:
-            said, grams = " ".join(words), grams_of(words)
+            grams, pairs = grams_of(words), two(words)
             logit = np.array(bias) + sum((np.array(weights[g]) for g in grams if g in weights), np.zeros(len(bias)))
-            for f, name in NAMES.items():
-                m = re.search(rf"\b({name})\b", said)
-                sure = 1 / (1 + np.exp(logit[-1] - logit[classes.index(f)]))
-                templates = [{f"{a} {b}" for a, b in zip(w, w[1:])} for g, t in TEMPLATES if g == f for w in [words_of(t)]]
-                if m and sure >= least and any(len(t & grams) >= confirm * len(t) for t in templates):
-                    found.setdefault(f, []).append((sure, numbers[len(said[: m.start() + 1].split(" ")) - 1]))
-        best = max(((max(c for c, _ in v), f) for f, v in found.items()), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0.0, None))
-        at = {p for v in found.values() for _, p in v}
-        out.append((best[1], round(best[0], 9), ",".join(sorted(found)), len(at), min(at, default=None)))
+            chance = {f: 1 / (1 + np.exp(logit[-1] - logit[k])) for k, f in enumerate(classes[:-1])}
+            fits = []
+            for f, own in known:
+                hits = [(g, n, round((n - own[g]) * 1000 / (SLACK + len(own) / 3) + 1e-9)) for n, g in enumerate(pairs) if g in own]
+                counts = [len({h for h, _, d in hits if abs(d - shift) <= 1000}) for _, _, shift in hits]
+                if own and chance[f] >= least and max(counts, default=0) >= confirm * len(own):
+                    fits.append((f, own, max(counts) / len(own), min((-c, -common[f, g], spread[g], n) for c, (g, n, _) in zip(counts, hits))))
+            for f, own, share, place in fits:
+                if not any(h != f and theirs > share and len(own.keys() & gs.keys()) >= 0.4 * min(len(own), len(gs)) for h, gs, theirs, _ in fits):
+                    found.setdefault(f, {}).setdefault(id(words), []).append((chance[f], place, numbers[place[-1]]))
+        each = {f: [(c, min(v, key=lambda x: x[1])[2]) for v in by_unit.values() for c in [v[0][0]]] for f, by_unit in found.items()}
+        best = max(((max(c for c, _ in v), f) for f, v in each.items()), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0.0, None))
+        at = {p for v in each.values() for _, p in v}
+        out.append((best[1], round(best[0], 9), ",".join(sorted(each)), len(at), min(at, default=None)))
     return out
 
 
@@ -289,6 +297,31 @@ def test_licences_over_lines_and_side_by_side(docs_of):
 def test_licences_in_every_header(docs_of):
     rows = [(k, f"SPDX-License-Identifier: MIT\nReleased under the MIT License\nthe text of number {k}") for k in range(300)]
     got = scan(docs_of(rows)).collect()
-    assert all(r.licenses == "mit" and r.first_paragraph == 1 for r in got)
+    assert all(r.licenses == "mit" and r.first_paragraph == 0 and r.n_paragraphs == 2 for r in got)  # the tag is one, too
     again = scan(docs_of(rows[::-1]).repartition(5)).collect()
     assert sorted(got) == sorted(again)
+
+
+def test_licences_by_tag_and_by_name(docs_of):
+    """Tags, short forms, and families that no list of ours singles out; relatives are told apart."""
+    told = {
+        "SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: Apache-2.0": "apache-2.0", "GNU GPL v3": "gpl-3.0",
+        "Licensed under the GNU General Public License v2.0": "gpl-2.0", "Distributed under the terms of the MIT licence.": "mit",
+        "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0", "Licensed under the EUPL v1.2": "eupl-1.2",
+        "SPDX-License-Identifier: CC-BY-NC-4.0": "cc-by-nc-4.0", "Licensed under CC BY 4.0.": "cc-by-4.0", "GNU LGPL v3": "lgpl-3.0", "All rights reserved.": "all-rights-reserved",
+    }
+    rows = [(k, f"some text {k}\n{t}\nand so on") for k, t in enumerate(told)] + [(99, "She showed her licence at the public library; all rights were read to him under this roof.")]
+    got = {r.doc_id: r.licenses for r in scan(docs_of(rows)).collect()}
+    assert [got[k] for k in range(len(told))] == list(told.values()) and got[99] == ""
+
+
+def test_words_without_which_nothing_counts():
+    from sparkpact.llm.license import grams_of, telling, templates, words_of
+
+    lines = [f"this is all of line {k} by hand" for k in range(50)]
+    weights, bias, classes = fit(lines)
+    words = set(telling(weights, bias, lines, 0.5))
+    # all n-grams without these words together do not reach a family
+    rest = sum((np.maximum(np.array(w) - w[-1], 0) for g, w in weights.items() if not set(g.split()) & words), np.zeros(len(bias)))
+    assert (rest[:-1] + np.array(bias[:-1]) - bias[-1] < 0).all()
+    assert all(set(words_of(t)) & words for _, t in templates()) and grams_of(["a", "b"]) == {"a", "b", "a b"}
