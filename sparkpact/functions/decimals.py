@@ -7,6 +7,7 @@ from decimal import Decimal as Exact
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.outcome import let
 from .grammar import DECIMAL
 
 TYPE = "struct<neg:boolean,digits:string,scale:int>"
@@ -45,6 +46,41 @@ def compare(a: Column, b: Column) -> Column:
     return F.when(sa != sb, F.signum(sa - sb).cast("int")).when(sa == 0, 0).otherwise(larger * sa)
 
 
+LIMB = 9  # digits of a limb
+
+
+def long_remainder(text: Column, by: int) -> Column:
+    """Whether nothing is left of digits divided by a number of any length: long division, a digit at a time,
+    over numbers as arrays of limbs, the highest first. Arrays of one length compare as the numbers do."""
+    count = -(-(len(str(by)) + 1) // LIMB)
+    base = 10**LIMB
+
+    def limbs(x: int) -> Column:
+        return F.array(*(F.lit(x // base**k % base).cast("long") for k in range(count - 1, -1, -1)))
+
+    times = [limbs(k * by) for k in range(1, 10)]
+
+    def carried(low_first: Column) -> Column:
+        """Limbs, the lowest first, of any sign and size as such between 0 and the base, the highest first."""
+        begin = F.struct(F.expr("cast(array() as array<bigint>)").alias("done"), F.lit(0).cast("long").alias("carry"))
+        made = F.aggregate(low_first, begin, lambda s, x: let(x + s["carry"], lambda y: F.struct(F.concat(F.array(F.pmod(y, F.lit(base))), s["done"]).alias("done"), F.floor((y - F.pmod(y, F.lit(base))) / F.lit(base)).cast("long").alias("carry"))))
+        return made["done"]
+
+    def step(rest: Column, digit: Column) -> Column:
+        grown = carried(F.transform(F.reverse(rest), lambda x, i: x * 10 + F.when(i == 0, digit.cast("long")).otherwise(F.lit(0).cast("long"))))
+
+        def taken(g: Column) -> Column:
+            which = F.lit(0)
+            for k, t in enumerate(times, 1):
+                which = F.when(g >= t, k).otherwise(which)
+            less = F.element_at(F.array(limbs(0), *times), which + 1)
+            return carried(F.reverse(F.zip_with(g, less, lambda a, b: a - b)))
+
+        return let(grown, taken)
+
+    return F.aggregate(F.split(text, ""), limbs(0), step, lambda rest: F.forall(rest, lambda x: x == 0))
+
+
 def divisible(d: Column, divisor: Exact) -> Column:
     """Whether d is a multiple of the divisor, by a running remainder over its digits."""
     _, parts, power = divisor.as_tuple()
@@ -60,9 +96,6 @@ def divisible(d: Column, divisor: Exact) -> Column:
         rest, twos = rest // 2, twos + 1
     while rest % 5 == 0:
         rest, fives = rest // 5, fives + 1
-    if n >= 10**36:
-        raise ValueError("a divisor of more than 36 digits is not supported")
-
     def remainder(text: Column, by: int) -> Column:
         """By the engine's own remainder where the digits fit, by a running one over pieces of them beyond."""
         if by == 1:
@@ -71,9 +104,9 @@ def divisible(d: Column, divisor: Exact) -> Column:
             kind, most, step = "long", 18, len(str((1 << 62) // by)) - 1
         else:
             kind, most, step = "decimal(38,0)", 38, 37 - len(str(by))
+        if by >= 10**36:
+            return F.when(long_remainder(text, by), 0).otherwise(1)
         of, zero = F.lit(str(by)).cast(kind), F.lit(0).cast(kind)
-        if step < 1:  # no room for another digit: twice the room
-            raise ValueError("a divisor of more than 36 digits is not supported")
         padded = F.lpad(text, (F.ceil(F.length(text) / step) * step).cast("int"), F.lit("0"))
         pieces = F.transform(F.sequence(F.lit(0), (F.length(padded) / step).cast("int") - 1), lambda i: F.substring(padded, i * step + 1, F.lit(step)))
         running = F.aggregate(pieces, zero, lambda s, c: ((s * F.lit(str(10**step)).cast(kind) + c.cast(kind)) % of).cast(kind))

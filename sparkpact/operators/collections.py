@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from ..plans.outcome import Outcome, Path, issue, json_text, let, rejected, settled, unpacked
 from ..sources.nodes import Node, Typed
-from .core import Decoder, refuse
-from .scalars import Float, size_of
+from .core import Decoder, Strict, base_of, refuse
+from .objects import Object, Picked
+from .scalars import Float, Scalar, size_of
 
 
 class Sized(Decoder):
@@ -122,12 +123,16 @@ class List(Sized):
         return (self if key else self._told_apart())._check(unique, "duplicate_element", lambda v: {"duplicates": F.to_json(twice(v))})
 
     def to_set(self, numbers: bool | None = None):
-        """Distinct elements. Of `numbers` (known where the elements' decoder is one of floats) the two zeros
-        are one and every NaN is an element of its own."""
-        if numbers is None:
-            numbers = isinstance(self.inner, Float)
+        """Distinct elements. Of floats the two zeros are one and every NaN is an element of its own. Whether elements
+        are floats is known from their decoder, through combinators that keep the value; `numbers` tells it, and where
+        neither does, their type decides when the plan is analysed."""
+        base = base_of(self.inner)
+        if numbers is None and isinstance(base, (Scalar, Picked)):
+            numbers = isinstance(base, Float)
 
         def distinct(v: Column) -> Column:
+            if numbers is None:
+                return distinct_of_any(v)
             if not numbers:
                 return F.array_distinct(v)
             plain = F.array_distinct(F.transform(F.filter(v, lambda x: ~F.isnan(x)), lambda x: F.when(x == 0, F.abs(x)).otherwise(x)))
@@ -136,6 +141,7 @@ class List(Sized):
         return self._told_apart().map(distinct)
 
     def _told_apart(self):
+        refuse(holds_map(self.inner), "maps cannot be told apart")
         new = copy.copy(self)
         new.hashes = True
         return new
@@ -168,6 +174,29 @@ def set_of(inner: Decoder, numbers: bool | None = None) -> Decoder:
     return List(inner).to_set(numbers)
 
 
+def holds_map(decoder: Decoder) -> bool:
+    """Whether the values of a decoder hold maps."""
+    base = base_of(decoder)
+    if isinstance(base, Object):
+        return any(holds_map(source.decoder) for _, source in base.of.parts)
+    if isinstance(base, Strict):
+        return holds_map(base.inner)
+    return isinstance(base, Dict) or isinstance(base, List) and holds_map(base.inner)
+
+
+def distinct_of_any(v: Column) -> Column:
+    """Distinct elements of whatever type, the first of each, by a key: the element itself as JSON, and of floats their
+    text, with one key for both zeros and one of its own for each NaN."""
+    def key(x: Column, i: Column) -> Column:
+        text = x.cast("string")
+        number = F.when(text.isin("-0.0", "0.0"), "0.0").when(text == "NaN", F.concat(F.lit("NaN "), i.cast("string"))).otherwise(text)
+        return F.coalesce(F.when(F.typeof(x).isin("float", "double"), number).otherwise(F.to_json(F.array(x))), F.lit("null"))
+
+    placed = F.array_sort(F.transform(v, lambda x, i: F.struct(key(x, i).alias("k"), i.alias("i"))))
+    first = lambda p: F.filter(p, lambda e, j: (j == 0) | (F.get(p, j - 1).getField("k") != e.getField("k")))
+    return let(placed, lambda p: F.transform(F.array_sort(F.transform(first(p), lambda e: e.getField("i"))), lambda i: F.get(v, i)))
+
+
 def hashable(dtype: T.DataType) -> bool:
     """Whether elements of this type can be told apart: maps and variants cannot."""
     if isinstance(dtype, (T.MapType, T.VariantType)):

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.outcome import PENDING, Outcome, Path, accepted, binds, bound, deferred, issue, let, path_column, rejected, settled, unpacked
+from ..plans.outcome import PENDING, Outcome, Path, accepted, binds, bound, deferred, issue, let, moved, path_column, rejected, settled, unpacked
 from ..sources.nodes import Missing, Node, Typed
 
 Check = Callable[[Column], Column]
@@ -35,15 +35,15 @@ class Decoder:
 
     def and_then(self, f: Callable[[Column], Outcome]) -> Decoder:
         """`f` gives an Outcome whose issue paths are relative to here."""
-        return Custom(lambda node, path: self._then(node, path, lambda v: rebased(f(v), path)))
+        return Custom(lambda node, path: self._then(node, path, lambda v: rebased(kept(f(v)), path)))
 
     def and_then_with_path(self, f: Callable[[Column, Path], Outcome]) -> Decoder:
         """`f` is given the path, and the paths of its issues are kept."""
-        return Custom(lambda node, path: self._then(node, path, lambda v: f(v, path)))
+        return Custom(lambda node, path: self._then(node, path, lambda v: kept(f(v, path))))
 
     def pipe(self, decoder: Decoder, of: Callable[[Column], Node]) -> Decoder:
         """Hands the value on to another decoder at the same path; `of` makes its node."""
-        return Custom(lambda node, path: self._then(node, path, lambda v: decoder.compile(of(v), path)))
+        return Custom(lambda node, path: self._then(node, path, lambda v: decoder.compile(of(v), path)), decoder)
 
     def refine(self, ok: Check, code: str, message: str | None = None, meta: Callable[[Column], dict] | None = None) -> Decoder:
         """Rejects values that are not `ok`; metadata is made only for a value that fails."""
@@ -53,7 +53,7 @@ class Decoder:
             bad = F.when(~F.coalesce(ok(v), F.lit(False)), issue(code, path, meta(v) if meta else None, message=message))
             return Outcome(F.when(bad.isNull(), v), [("one", bad)])
 
-        return Custom(lambda node, path: self._then(node, path, lambda v: run(v, path)))
+        return Custom(lambda node, path: self._then(node, path, lambda v: run(v, path)), self)
 
     def refine_with_path(self, check: Callable[[Column, Path], Column]) -> Decoder:
         """`check` gives an array of issues with absolute paths."""
@@ -61,7 +61,7 @@ class Decoder:
             found = published(check(v, path))
             return Outcome(F.when(F.size(found) == 0, v), [("many", found)])
 
-        return Custom(lambda node, path: self._then(node, path, lambda v: run(v, path)))
+        return Custom(lambda node, path: self._then(node, path, lambda v: run(v, path)), self)
 
     def default(self, value) -> Decoder:
         """`value` for null and missing input, tested before decoding; other failures stay."""
@@ -72,7 +72,7 @@ class Decoder:
                 return unpacked(F.when(gone, accepted(other)).otherwise(own.packed()))
             return Outcome(F.when(gone, other).otherwise(own.value), [hide(p, gone) for p in own.parts])
 
-        return Custom(run)
+        return Custom(run, self)
 
     def fallback(self, value) -> Decoder:
         """`value` (or a function of the issues) for any input with issues."""
@@ -84,7 +84,7 @@ class Decoder:
                 own = self.compile(node, path)
             return bound(own, lambda own: Outcome(F.when(own.failed(), other(own)).otherwise(own.value)))
 
-        return Custom(run)
+        return Custom(run, self)
 
     def nullable(self) -> Decoder:
         """Null is a value; missing input still goes to the decoder."""
@@ -94,7 +94,7 @@ class Decoder:
                 return unpacked(F.when(node.null, accepted(F.lit(None))).otherwise(own.packed()))
             return Outcome(F.when(~node.null, own.value), [hide(p, node.null) for p in own.parts])
 
-        return Custom(run)
+        return Custom(run, self)
 
     def strict(self, *fields: str) -> Decoder:
         """Reports members that are not among `fields`, after this decoder's issues."""
@@ -115,12 +115,17 @@ def hide(part: tuple[str, Column], when: Column) -> tuple[str, Column]:
     return (kind, F.when(~when, c)) if kind == "one" else (kind, F.filter(c, lambda x: ~when))
 
 
+def kept(outcome: Outcome) -> Outcome:
+    """A caller's outcome, whose value counts only if it has no issues."""
+    return Outcome(F.when(~outcome.failed(), outcome.value), outcome.parts) if outcome.whole is None and outcome.parts else outcome
+
+
 def rebased(outcome: Outcome, path: Path) -> Outcome:
     """Paths of the issues, relative so far, under `path`."""
     if not path:
         return outcome
     prefix = path_column(path)
-    move = lambda i: i.withField("path", F.concat(prefix, i.getField("path"))).withField("by_strict", F.lit(False))
+    move = lambda i: moved(i, prefix).withField("by_strict", F.lit(False))
     if outcome.whole is not None:
         return unpacked(let(outcome.whole, lambda p: F.struct(p.getField("value").alias("value"), F.transform(p.getField("issues"), move).alias("issues"))))
     return Outcome(outcome.value, [(k, F.when(c.isNotNull(), move(c))) if k == "one" else (k, F.transform(c, move)) for k, c in outcome.parts])
@@ -132,13 +137,22 @@ def published(issues: Column) -> Column:
 
 
 class Custom(Decoder):
-    def __init__(self, run: Callable[[Node, Path], Outcome]):
-        self._run = run
+    """`like`: a decoder whose values this one's are, where that is known."""
+
+    def __init__(self, run: Callable[[Node, Path], Outcome], like: Decoder | None = None):
+        self._run, self.like = run, like
 
     def compile(self, node: Node, path: Path = ()) -> Outcome:
         return self._run(node, path)
 
 
+def base_of(decoder: Decoder) -> Decoder:
+    """The decoder whose values a chain of combinators gives, as far as that is known."""
+    while isinstance(decoder, Custom) and decoder.like is not None:
+        decoder = decoder.like
+    return decoder
+
+
 def new_decoder(f: Callable[[Node], Outcome]) -> Decoder:
     """A decoder of a function of the node; issue paths are relative."""
     return Custom(lambda node, path: rebased(f(node), path))
@@ -253,7 +267,7 @@ def one_of(*alternatives: Decoder, **named: Decoder) -> Decoder:
             tried = [a.compile(node, path) for a in each]
         if named:
             kinds = [t.value for t in tried]  # name the types; never evaluated
-            tried = [bound(t, lambda o, k=k: Outcome(tagged(names, k, o.value, kinds), o.parts)) for k, t in enumerate(tried)]
+            tried = [bound(t, lambda o, k=k: tagged(names, k, o, kinds)) for k, t in enumerate(tried)]
         failed = lambda ts: issue("one_of_failed", path, {"candidates": candidates(ts)})
         if not any(map(binds, tried)):
             value, bad = None, F.lit(True)
@@ -270,12 +284,13 @@ def one_of(*alternatives: Decoder, **named: Decoder) -> Decoder:
 
         return unpacked(attempt(0, []))
 
-    return Custom(run)
+    return Custom(run, alternatives[0] if alternatives else None)
 
 
-def tagged(names: list[str], k: int, value: Column, kinds: list[Column]) -> Column:
+def tagged(names: list[str], k: int, own: Outcome, kinds: list[Column]) -> Outcome:
     """A value of alternative k beside nulls of the others' types."""
-    return F.struct(F.lit(names[k]).alias("tag"), *(value.alias(n) if j == k else F.when(F.lit(False), kinds[j]).alias(n) for j, n in enumerate(names)))
+    made = F.struct(F.lit(names[k]).alias("tag"), *(own.value.alias(n) if j == k else F.when(F.lit(False), kinds[j]).alias(n) for j, n in enumerate(names)))
+    return Outcome(F.when(~own.failed(), made), own.parts)
 
 
 def unwrapped(v: Column, **each: Callable[[Column], Column]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decimals
 from ..plans.outcome import json_text, let
+from ..sources.nodes import shortest
 from . import temporal
 from .core import refuse, unrolled
 
@@ -33,13 +34,14 @@ identity = Encoder(json_text)
 string = integer = int32 = int64 = uint = uint32 = uint64 = boolean = uuid = uri = url = identity
 
 
-def _number(v: Column) -> Column:
+def _number(v: Column, kind: str) -> Column:
     """JSON has no text for NaN and the infinities: such a value is an error of the program."""
     endless = F.isnan(v) | (F.abs(v) == float("inf"))
-    return F.when(endless, F.raise_error(F.concat(F.lit("no JSON number for "), v.cast("string"))).cast("string")).otherwise(json_text(v))
+    return F.when(endless, F.raise_error(F.concat(F.lit("no JSON number for "), v.cast("string"))).cast("string")).otherwise(shortest(v, kind))
 
 
-float64 = float32 = Encoder(_number)
+float64 = Encoder(lambda v: _number(v, "double"))
+float32 = Encoder(lambda v: _number(v, "float"))
 decimal = Encoder(decimals.to_text)
 
 

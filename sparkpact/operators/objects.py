@@ -163,7 +163,7 @@ def discriminate(tag: str | Decoder | Callable, variants: dict[str, Decoder], ta
         compiled = {name: decoder.compile(node, path) for name, decoder in variants.items()}
         if union:
             kinds = [c.value for c in compiled.values()]  # name the types; never evaluated
-            compiled = {n: bound(c, lambda o, k=k: Outcome(tagged(list(variants), k, o.value, kinds), o.parts)) for k, (n, c) in enumerate(compiled.items())}
+            compiled = {n: bound(c, lambda o, k=k: tagged(list(variants), k, o, kinds)) for k, (n, c) in enumerate(compiled.items())}
         unknown = lambda v: issue("not_allowed", at, {"allowed": names, "actual": json_text(v)})
         if binds(own):
             def pick(p: Column) -> Column:

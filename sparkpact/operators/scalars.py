@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import copy
 import json
-import unicodedata
 from collections.abc import Callable, Iterable
 from decimal import Decimal as Exact
 
@@ -15,7 +14,7 @@ from ..functions import decimals as D
 from ..functions import grammar as G
 from ..functions.patterns import matcher
 from ..plans.outcome import Outcome, Path, Raw, issue, json_text, let
-from ..sources.nodes import Node, Typed
+from ..sources.nodes import Node, Typed, shortest
 from .core import Decoder, refuse
 
 
@@ -217,15 +216,10 @@ class String(Scalar):
         return self._temporal("offset_date_time")
 
 
-def normaliser(form: str):
-    """Unicode normal forms have no built-in function: an Arrow-batched one."""
-    import pandas as pd
-
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize(form, x), na_action="ignore")
-
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")
+def normaliser(form: str) -> Callable[[Column], Column]:
+    """Unicode normal forms have no function in SQL, but the library that Spark collates with has."""
+    step, compatible = "compose" if form.endswith("C") else "decompose", "K" in form
+    return lambda v: F.when(v.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(step), F.coalesce(v, F.lit("")), F.lit(compatible)))
 
 
 class Uri(Scalar):
@@ -342,6 +336,11 @@ def minus_zero(v: Column) -> Column:
 class Float(Number):
     """Compared as Java compares: -0 is below 0, NaN is above all and equal to itself."""
 
+    kind = "double"
+
+    def _text(self, v: Column) -> Column:
+        return shortest(v, self.kind)
+
     @staticmethod
     def _less(v: Column, b: float, equal: bool) -> Column:
         """v < b (or <=) in the total order."""
@@ -397,7 +396,9 @@ def _floating(kind: str, name: str) -> Float:
         endless = F.abs(value) == float("inf")
         return value, [mismatch(node, ok, "number"), (endless, "type_mismatch", {"expected": name}, "type_mismatch.numeric_range")]
 
-    return Float(read)
+    made = Float(read)
+    made.kind = kind
+    return made
 
 
 def float64() -> Float:

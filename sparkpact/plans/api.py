@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.core import Decoder, published
@@ -42,7 +43,20 @@ def _with_outcome(df: DataFrame, own: list[str], outcome: Column) -> Result:
     or issues and functions of them then read it, where a projection would have them evaluate it anew;
     filters on other columns still get below."""
     kept = [c for c in own if c not in (VALUE, ISSUES)]
-    return Result(df.select(*(F.col(f"`{c}`") for c in kept), F.inline(F.array(outcome)).alias(VALUE, ISSUES)), tuple(kept))
+    with patient(df.sparkSession):
+        return Result(df.select(*(F.col(f"`{c}`") for c in kept), F.inline(F.array(outcome)).alias(VALUE, ISSUES)), tuple(kept))
+
+
+@contextmanager
+def patient(spark: SparkSession, rounds: int = 2000):
+    """Each bound outcome takes the analyser a round to resolve, and a long chain more than it has by default."""
+    name = "spark.sql.analyzer.maxIterations"
+    before = spark.conf.get(name)
+    spark.conf.set(name, max(rounds, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _run(df: DataFrame, decoder: Decoder, node) -> Result:

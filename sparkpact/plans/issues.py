@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import ENGLISH, PLACE, Messages, meta_value
-from .outcome import ISSUE, let
+from .outcome import ISSUE, MOST_NESTED, let, moved, of_candidates
 
 
 def pointer(path: Column) -> Column:
@@ -34,10 +34,19 @@ def _split(template: str) -> list[tuple[str | None, str]]:
     return [(p[1:-1], p) if PLACE.fullmatch(p) else (None, p) for p in pieces if p] or [(None, "")]
 
 
-def resolved(issue: Column, messages: Resolver = ENGLISH) -> Column:
+def _piece(name: str | None, text: str) -> Column:
+    return F.struct(F.lit(name).cast("string").alias("name"), F.lit(text).alias("text"))
+
+
+def template_maps(messages: Messages) -> list[Column]:
+    """The layers of a catalogue as literal maps of templates in pieces."""
+    return [F.create_map(*(x for k, t in layer.items() for x in (F.lit(k), F.array(*(_piece(*p) for p in _split(t)))))) for layer in messages.layers if layer]
+
+
+def resolved(issue: Column, messages: Resolver = ENGLISH, maps: list[Column] | None = None) -> Column:
     """An issue's message: its own, or what `messages` says, a catalogue or a function of the issue.
 
-    A catalogue is a literal map of templates in pieces, looked up by key and code."""
+    A catalogue is looked up by key and code, in `maps` where a caller has made them already."""
     own = issue.getField("custom_message")
     if not isinstance(messages, Messages):
         return F.coalesce(own, messages(issue))
@@ -49,14 +58,9 @@ def resolved(issue: Column, messages: Resolver = ENGLISH) -> Column:
         made = F.transform(pieces, lambda p: F.when(name(p).isNull(), p.getField("text")).otherwise(F.coalesce(displayed(F.try_element_at(meta, name(p))), F.lit("null"))))
         return F.when(has, F.array_join(made, ""))
 
-    def piece(name: str | None, text: str) -> Column:
-        return F.struct(F.lit(name).cast("string").alias("name"), F.lit(text).alias("text"))
-
     tries = [own]
-    for layer in messages.layers:
-        if layer:
-            table = F.create_map(*(x for k, t in layer.items() for x in (F.lit(k), F.array(*(piece(*p) for p in _split(t))))))
-            tries += [let(F.try_element_at(table, issue.getField(on)), filled) for on in ("message_key", "code")]
+    for table in template_maps(messages) if maps is None else maps:
+        tries += [let(F.try_element_at(table, issue.getField(on)), filled) for on in ("message_key", "code")]
     return F.coalesce(*tries, F.concat(F.lit("validation failed: "), issue.getField("code")))
 
 
@@ -71,8 +75,14 @@ def issue_columns(i: Column) -> dict[str, Column]:
 
 
 def render(issues: Column, messages: Resolver = ENGLISH) -> Column:
-    """array<struct<path, code, message, meta>>."""
-    return F.transform(issues, lambda i: F.struct(pointer(i.path).alias("path"), i.code.alias("code"), resolved(i, messages).alias("message"), i.meta.alias("meta")))
+    """array<struct<path, code, message, meta>>. The issues of a one_of's candidates are rendered with it."""
+    maps = template_maps(messages) if isinstance(messages, Messages) else None
+
+    def one(i: Column, nested: int = MOST_NESTED) -> Column:
+        meta = of_candidates(i, one, nested)
+        return F.struct(pointer(i.getField("path")).alias("path"), i.getField("code").alias("code"), resolved(i, messages, maps).alias("message"), meta.alias("meta"))
+
+    return F.transform(issues, lambda i: one(i))
 
 
 def flatten(rows: DataFrame, *keys: str, messages: Resolver = ENGLISH) -> DataFrame:
@@ -113,7 +123,7 @@ def merge(*issues: Column) -> Column:
 
 def rebase(issues: Column, *segments: str) -> Column:
     prefix = F.array(*map(F.lit, segments)) if segments else F.expr("cast(array() as array<string>)")
-    return F.transform(issues, lambda i: i.withField("path", F.concat(prefix, i.path)))
+    return F.transform(issues, lambda i: moved(i, prefix))
 
 
 def with_key(i: Column, key: str) -> Column:

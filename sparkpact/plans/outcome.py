@@ -126,6 +126,28 @@ def unpacked(packed: Column) -> Outcome:
     return Outcome(packed.getField("value"), [("many", packed.getField("issues"))], packed)
 
 
+#: Issues of the alternatives of one_of, as its metadata holds them; alternatives of alternatives to this depth.
+CANDIDATES = "array<struct<candidate:int,issues:array<struct<path:array<string>,code:string,message_key:string,meta:map<string,string>,custom_message:string>>>>"
+MOST_NESTED = 2
+
+
+def of_candidates(i: Column, f: Callable[[Column, int], Column], nested: int = MOST_NESTED) -> Column:
+    """An issue's metadata in which `f` (of an issue and of how far its own candidates go) has been put on the
+    issues of all candidates."""
+    meta = i.getField("meta")
+    if not nested:
+        return meta
+    read = F.from_json(F.try_element_at(meta, F.lit("candidates")), CANDIDATES)
+    made = F.to_json(F.transform(read, lambda c: F.struct(c.getField("candidate").alias("candidate"), F.transform(c.getField("issues"), lambda j: f(j, nested - 1)).alias("issues"))))
+    return F.when(i.getField("code") == "one_of_failed", F.transform_values(meta, lambda k, v: F.when(k == "candidates", F.coalesce(made, v)).otherwise(v))).otherwise(meta)
+
+
+def moved(i: Column, prefix: Column, nested: int = MOST_NESTED) -> Column:
+    """An issue under a path, and those of its candidates with it."""
+    meta = of_candidates(i, lambda j, n: moved(j, prefix, n), nested)
+    return i.withField("path", F.concat(prefix, i.getField("path"))).withField("meta", meta)
+
+
 def accepted(value: Column) -> Column:
     return F.struct(value.alias("value"), F.expr(NO_ISSUES).alias("issues"))
 

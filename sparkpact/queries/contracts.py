@@ -382,12 +382,12 @@ _add("choice_discriminate_by", _discriminate_by, "SELECT event_id, CASE WHEN val
 
 
 def queries() -> dict[str, Query]:
-    from . import told  # noqa: F401  adds its own
+    from . import deep, told  # noqa: F401  add their own
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import told  # noqa: F401
+    from . import deep, told  # noqa: F401
 
     return dict(_sql)

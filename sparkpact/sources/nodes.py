@@ -13,6 +13,14 @@ from ..plans.outcome import let
 FALSE, TRUE = F.lit, F.lit
 
 
+def shortest(v: Column, kind: str = "double") -> Column:
+    """The fewest digits that read back as the number, in the notation of the JVM: 1.0E23 where older JVMs write
+    9.999999999999999E22. By the library with which Spark writes JSON."""
+    name = "Double" if kind == "double" else "Float"
+    text = F.reflect(F.lit(f"com.fasterxml.jackson.core.io.schubfach.{name}ToDecimal"), F.lit("toString"), F.coalesce(v.cast(kind), F.lit(0.0).cast(kind)))
+    return F.when(v.isNotNull(), text)
+
+
 class Node:
     """One input value. `null` and `missing` are conditions; readers give (condition of the right kind,
     value). `kind` is the kind's name as issues have it."""
@@ -124,7 +132,7 @@ class Typed(Node):
             return F.lit(False), F.lit(None).cast("string")
         text = self.column.cast("string")
         if isinstance(self.dtype, (T.FloatType, T.DoubleType)):
-            text = F.regexp_replace(text, r"\.0(?=E|$)", "")
+            text = F.regexp_replace(shortest(self.column, self.dtype.typeName()), r"\.0(?=E|$)", "")
             return (F.abs(self.column) < float("inf")) & ~F.isnan(self.column), text
         return F.lit(True), text
 
