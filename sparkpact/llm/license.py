@@ -265,11 +265,12 @@ def scan(docs: DataFrame, sample_lines: int = 1500, least: float = 0.5, confirm:
     split = base.where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), words)).select("key", F.transform(F.split("text", "\n"), words_in).alias("lines"))
     split = split.withColumns({"flat": F.flatten("lines"), "numbers": F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.size(x))))})
     starts = F.sequence(F.lit(0), F.greatest(F.size("flat") - WINDOW // 2 - 1, F.lit(0)), F.lit(WINDOW // 2))
-    of_lines = F.transform("lines", lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("at"), x.alias("words"), F.array_repeat(i, F.size(x)).alias("numbers")))
-    of_text = F.transform(starts, lambda i: F.struct(F.lit("window").alias("kind"), i.alias("at"), F.slice("flat", i + 1, WINDOW).alias("words"), F.slice("numbers", i + 1, WINDOW).alias("numbers")))
+    of_lines = F.transform("lines", lambda x, i: F.struct(x.alias("words"), F.array_repeat(i, F.size(x)).alias("numbers")))
+    of_text = F.transform(starts, lambda i: F.struct(F.slice("flat", i + 1, WINDOW).alias("words"), F.slice("numbers", i + 1, WINDOW).alias("numbers")))
     worded = split.select("key", F.explode(F.filter(F.concat(of_lines, of_text), lambda u: F.arrays_overlap(u["words"], words))).alias("u")).select("key", "u.*")
-    unit = ["key", "kind", "at"]
-    worded = scratch.save(worded.dropDuplicates(unit).withColumns({"grams": grams(F.col("words")), "pairs": pairs_of(F.col("words"))}).drop("words"), "paragraphs")
+    # units of repeated rows have the same key and are judged each: what they find is the same
+    worded = worded.select("key", "numbers", grams(F.col("words")).alias("grams"), pairs_of(F.col("words")).alias("pairs"), F.monotonically_increasing_id().alias("row"))
+    unit, worded = ["key", "row"], scratch.save(worded, "paragraphs")
     each = worded.select(*unit, F.explode("grams").alias("gram"))
     logits = each.join(F.broadcast(table), "gram").groupBy(*unit).agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(k)))
     unknown = F.col(f"w{k - 1}") + F.lit(bias[-1])
