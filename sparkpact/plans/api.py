@@ -106,12 +106,12 @@ def decode_json(df: DataFrame, decoder: Decoder, column: str, lossless: bool = F
         df = df.withColumn("too_large", F.coalesce(F.octet_length(text) > limit, F.lit(False)))
         own = df.columns
         text = F.when(~F.col("too_large"), text)
+    tree = (json_source.lossless if lossless else json_source.fast)(text)
+    refusal = lambda at: F.array(issue("invalid_format", (), at, "invalid_format.json"))
     if lossless:
-        df = df.withColumn("_read", json_source.lossless_udf()(text))
-        tree, place = F.try_parse_json(F.col("_read.text")), {"line": F.coalesce(F.col("_read.line"), F.lit(1)).cast("string"), "column": F.coalesce(F.col("_read.column"), F.lit(1)).cast("string")}
+        not_json = let(json_source.place(text), lambda at: refusal({"line": at["line"].cast("string"), "column": at["column"].cast("string")}))
     else:
-        tree, place = json_source.fast(text), {}
-    not_json = F.array(issue("invalid_format", (), place, "invalid_format.json"))
+        not_json = refusal({})
 
     def closed(root: Json, value: Column, issues: Column) -> Column:
         issues = F.when(root.missing, not_json).otherwise(published(issues))

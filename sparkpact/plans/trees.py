@@ -108,11 +108,7 @@ def decode_tree(df: DataFrame, decoder: Decoder, column: str, lossless: bool = F
     text = F.col(column).cast("string")
     own = [c for c in df.columns if c not in ("row", "value")]
     rows = df.select(*(F.col(f"`{c}`") for c in own), text.alias("_text")).withColumn("row", F.monotonically_increasing_id())
-    if lossless:
-        rows = rows.withColumn("_text", json_source.lossless_udf()(F.col("_text")).getField("text"))
-        tree = F.try_parse_json("_text")
-    else:
-        tree = json_source.fast(F.col("_text"))
+    tree = (json_source.lossless if lossless else json_source.fast)(F.col("_text"))
     first = _level(rows, _outcome(decoder, tree, lossless, left, True))
     roots = first.select(*(F.col(f"`{c}`") for c in own), "row", F.col("_value").alias("value"))
     empty = F.expr("cast(array() as array<int>)")

@@ -200,7 +200,7 @@ def kind_of(variant: Column, lossless: bool = False) -> Column:
 
 class Json(Node):
     """A JSON value held as a variant. Lossless trees hold a number as {"n": text} and an object as
-    {"o": members, "k": keys in written order}."""
+    {"o": members}, each {"p": place, "v": value}."""
 
     def __init__(self, variant: Column, lossless: bool = False, kind: Column | None = None, bind: bool = True):
         """`kind`: kind_of(variant), where the caller has it already."""
@@ -263,19 +263,27 @@ class Json(Node):
 
     def keys(self):
         if self.lossless:
-            return F.try_variant_get(self.v, "$.k", "array<string>")
+            return F.transform(self._placed(), lambda e: e.getField("k"))
         return F.map_keys(F.try_variant_get(self.v, "$", "map<string,variant>"))
 
     def member(self, name: str) -> Node:
         quoted = name.replace("\\", "\\\\").replace('"', '\\"')
-        return Json(F.try_variant_get(self.v, f'{"$.o" if self.lossless else "$"}["{quoted}"]', "variant"), self.lossless, bind=self.bind)
+        at = f'$.o["{quoted}"].v' if self.lossless else f'$["{quoted}"]'
+        return Json(F.try_variant_get(self.v, at, "variant"), self.lossless, bind=self.bind)
+
+    def _placed(self) -> Column:
+        """Members of an object of a lossless tree as structs (place, k, value), in written order."""
+        entries = F.map_entries(F.try_variant_get(self.v, "$.o", "map<string,struct<p:int,v:variant>>"))
+        # variants have no order: places are sorted alone, and members looked up by them
+        placed = lambda es: F.array_sort(F.transform(es, lambda e, i: F.struct(e.getField("value").getField("p").alias("p"), i.alias("i"))))
+        return let(entries, lambda es: F.transform(placed(es), lambda p: F.struct(F.get(es, p.getField("i")).getField("key").alias("k"), F.get(es, p.getField("i")).getField("value").getField("v").alias("v"))))
 
     def entries(self):
         """In lossless trees in the order of the keys as written."""
-        members = F.try_variant_get(self.v, "$.o" if self.lossless else "$", "map<string,variant>")
-        made = F.map_entries(members)
         if self.lossless:
-            made = let(members, lambda m: F.transform(self.keys(), lambda k: F.struct(k.alias("key"), F.try_element_at(m, k).alias("value"))))
+            made = F.transform(self._placed(), lambda e: F.struct(e.getField("k").alias("key"), e.getField("v").alias("value")))
+        else:
+            made = F.map_entries(F.try_variant_get(self.v, "$", "map<string,variant>"))
         return self.object, made, lambda e: Json(e.getField("value"), self.lossless, bind=self.bind)
 
 
