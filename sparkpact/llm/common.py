@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if not getattr(shared_dir, "own", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         shared_dir.own = tempfile.mkdtemp(prefix="sparkpact-")
         spark.sparkContext.setCheckpointDir(shared_dir.own)
     return shared_dir.own
