@@ -19,8 +19,17 @@ def decode_stream(stream: DataFrame, decoder: Decoder, column: str | None = None
     return decode_json(stream, decoder, column, lossless) if json else decode(stream, decoder, column)
 
 
-def split_sinks(result: Result, valid_path: str, issues_path: str, checkpoint: str, *keys: str):
-    """Starts two queries: valid rows and issues, each as Parquet."""
-    good = result.valid().writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/valid").start(valid_path)
-    bad = result.issues(*keys).writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/issues").start(issues_path)
-    return good, bad
+def split_sinks(result: Result, valid_path: str, issues_path: str, checkpoint: str, *keys: str, once: bool = False):
+    """Starts one query that writes valid rows and issues as Parquet: each batch is decoded once and written to both. A batch
+    has a folder of its own (batch=n), which is written anew if the batch is repeated after a failure. `once`: what is
+    there now, and then an end."""
+    def write(batch: DataFrame, number: int) -> None:
+        held = Result(batch.persist(), result.inputs)
+        try:
+            held.valid().write.mode("overwrite").parquet(f"{valid_path}/batch={number}")
+            held.issues(*keys).write.mode("overwrite").parquet(f"{issues_path}/batch={number}")
+        finally:
+            held.all.unpersist()
+
+    writer = result.all.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

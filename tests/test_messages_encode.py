@@ -95,3 +95,16 @@ def test_stream(spark, tmp_path):
     assert sorted(r.x for r in spark.table("good").collect()) == list(range(7))
     with pytest.raises(ValueError):
         decode_stream(spark.range(1), P.object_of())
+
+
+def test_a_stream_is_decoded_once_for_both_sinks(spark, tmp_path):
+    from sparkpact.streaming.decode import decode_stream, parquet_stream, split_sinks
+
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).selectExpr("id as x").write.parquet(str(tmp_path / f"in/{k}"))
+    stream = parquet_stream(spark, str(tmp_path / "in/*"), spark.range(1).selectExpr("id as x").schema, 1)
+    query = split_sinks(decode_stream(stream, P.object_of(x=P.integer().max(24))), str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "state"), "x", once=True)
+    assert query.awaitTermination(120)
+    assert sorted(r.x for r in spark.read.parquet(str(tmp_path / "good")).collect()) == list(range(25))
+    bad = spark.read.parquet(str(tmp_path / "bad"))
+    assert sorted((r.x, r.path, r.code) for r in bad.collect()) == [(x, "/x", "out_of_range") for x in range(25, 30)] and bad.select("batch").distinct().count() >= 1
