@@ -39,12 +39,16 @@ class Result:
 
 
 def _with_outcome(df: DataFrame, own: list[str], outcome: Column) -> Result:
-    """`own` columns, value and issues. The outcome goes through a generator of one row: filters on value
-    or issues and functions of them then read it, where a projection would have them evaluate it anew;
-    filters on other columns still get below."""
+    """`own` columns, value and issues. A projection makes the outcome, with generated code, and it goes through a generator
+    of one row: filters on value or issues and functions of them then read it, where without one they would
+    evaluate it anew; filters on other columns still get below."""
     kept = [c for c in own if c not in (VALUE, ISSUES)]
+    columns = [F.col(f"`{c}`") for c in kept]
+    held = "_outcome"
+    while held in own:
+        held += "_"
     with patient(df.sparkSession):
-        return Result(df.select(*(F.col(f"`{c}`") for c in kept), F.inline(F.array(outcome)).alias(VALUE, ISSUES)), tuple(kept))
+        return Result(df.select(*columns, outcome.alias(held)).select(*columns, F.inline(F.array(held)).alias(VALUE, ISSUES)), tuple(kept))
 
 
 @contextmanager
