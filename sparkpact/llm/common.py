@@ -189,6 +189,17 @@ def join_spread(rows: DataFrame, facts: DataFrame, key: str, apart: list[str], p
     return salted.join(spread, [key, "_salt"], how).drop("_salt")
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], apart: list[str], most_bytes: int = 8 << 20) -> DataFrame:
+    """`rows` joined with `facts`, which has one row for the values of `keys`: broadcast if its keys and 64 bytes
+    a row come to no more than `most_bytes`, else with keys of very many rows spread by a hash of `apart`."""
+    key_bytes = sum((F.octet_length(F.col(k).cast("string")) for k in keys), F.lit(64))
+    if (facts.agg(F.sum(key_bytes)).first()[0] or 0) <= most_bytes:
+        return rows.join(F.broadcast(facts), keys)
+    more = [c for c in facts.columns if c not in keys]
+    facts = facts.select(F.struct(*keys).alias("_key"), *more)
+    return join_spread(rows.withColumn("_key", F.struct(*keys)), facts, "_key", apart).drop("_key")
+
+
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

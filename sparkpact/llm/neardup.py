@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_spread, tidy
+from .common import Scratch, join_facts, join_spread, tidy
 from .components import Union, components, tree_edges
 
 
@@ -156,19 +156,29 @@ class Graph:
     def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, id) of the vectors found with similarity >= least."""
         ids, sims = search(self.x, self.layers[-1], self.descend(q, len(self.layers) - 1), q, beam)
-        hit = np.zeros((len(q), len(self.x)), bool)
         row, col = np.nonzero((sims >= least) & (ids >= 0))
-        hit[row, ids[row, col]] = True
-        known = np.zeros(len(self.x), bool)
-        fresh = np.flatnonzero(hit.any(0))
+        cols, at_col = np.unique(ids[row, col], return_inverse=True)
+        rows, at_row = np.unique(row, return_inverse=True)
+        place = np.full(len(self.x), -1)
+        place[cols] = np.arange(len(cols))
+        hit = np.zeros((len(rows), len(cols)), bool)  # only queries and vectors that are in range of any
+        hit[at_row, at_col] = True
+        fresh, done = np.arange(len(cols)), np.zeros(len(cols), bool)
         while len(fresh):  # along links in range, for all queries together
-            known[fresh] = True
-            near = np.unique(np.append(self.layers[-1][fresh].reshape(-1), fresh))
+            done[fresh] = True
+            near = np.unique(np.append(self.layers[-1][cols[fresh]].reshape(-1), cols[fresh]))
             near = near[near >= 0]
             at = np.flatnonzero(hit[:, fresh].any(1))
-            hit[np.ix_(at, near)] |= q[at] @ self.x[near].T >= least
-            fresh = near[hit[:, near].any(0) & ~known[near]]
-        return np.nonzero(hit)
+            found = q[rows[at]] @ self.x[near].T >= least
+            near, found = near[found.any(0)], found[:, found.any(0)]
+            new = near[place[near] < 0]
+            place[new] = len(cols) + np.arange(len(new))
+            cols, done = np.append(cols, new), np.append(done, np.zeros(len(new), bool))
+            hit = np.pad(hit, ((0, 0), (0, len(new))))
+            hit[np.ix_(at, place[near])] |= found
+            fresh = place[near][~done[place[near]]]
+        row, col = np.nonzero(hit)
+        return rows[row], cols[col]
 
 
 NOTHING = pa.table({n: pa.array([], pa.int64()) for n in ("key", "links", "a", "b")})
@@ -202,7 +212,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192,
     good = rows.where(usable(F.col("v")) & F.col("label").isNotNull()).withColumn("key", F.xxhash64("label", "v"))
     own = scratch.save(good.groupBy("label", "v", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v")), "own")
     cuts = own.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).select("label", "dim", F.ceil(F.col("n") / shard).cast("int").alias("shards"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = scratch.save(own.join(cuts, ["label", "dim"]), "dealt")
+    dealt = scratch.save(join_facts(own, scratch.save(cuts, "cuts"), ["label", "dim"], ["key"]), "dealt")
 
     @tidy
     def build(group: pa.Table) -> pa.Table:
@@ -236,17 +246,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192,
         # vectors; a vector's match with itself, which is always found, doesn't count
         rng = np.random.default_rng(len(q))
         test, some = rng.permutation(len(q))[:audit], rng.permutation(len(ux))[: 8 * audit]
-        sampled = np.zeros((len(q), len(ux)), bool)
-        sampled[test] = uq[test] @ ux.T >= least
-        sampled[:, some] = uq @ ux[some].T >= least
-        sampled &= ask[:, None] != key[None, :]
-        want = sampled.sum()
+        i, j = np.nonzero(uq[test] @ ux.T >= least)
+        m, n = np.nonzero(uq @ ux[some].T >= least)
+        i, j = np.append(test[i], m), np.append(j, some[n])
+        sampled = np.unique((i * len(ux) + j)[ask[i] != key[j]])  # pairs by number
         width = beam
         while True:
             a, b = (np.concatenate(p) for p in zip(*((s + i, j) for s in range(0, len(q), 512) for i, j in [graph.within(fast[s : s + 512], slack, width)])))
             cos = np.concatenate([np.einsum("id,id->i", uq[a[s : s + 65536]], ux[b[s : s + 65536]]) for s in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
             a, b = a[cos >= least], b[cos >= least]
-            if sampled[a, b].sum() >= recall * want or width >= len(x):
+            if np.isin(sampled, a * len(ux) + b).sum() >= recall * len(sampled) or width >= len(x):
                 break
             width *= 2
         other = ask[a] != key[b]
