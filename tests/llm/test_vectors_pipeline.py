@@ -69,6 +69,29 @@ def test_near_duplicates(spark, shard, block):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_walking_outward_counts_what_the_windows_hold():
+    from sparkpact.llm.ann import Index
+
+    x = np.random.default_rng(5).normal(size=(700, 20))
+    index = Index(np.arange(700), x, float(np.linalg.norm(x, axis=1).max()), 64)
+    found, widths = index.candidates(x[:40], 0.65, 60, width=0.1)
+    at = (np.append(x[:40] / np.linalg.norm(x[:40], axis=1, keepdims=True), np.zeros((40, 1)), 1) @ index.a.T).astype("f4")
+    for k in range(40):
+        lo, hi = index.window(at[k : k + 1], widths[k])
+        assert len(found[k]) >= 60 and np.array_equal(found[k], np.flatnonzero(index.inside(lo[0], hi[0]) >= 42))
+    assert widths.min() > 0.5  # reached in many steps
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_facts_join_alike_broadcast_or_spread(spark, most):
+    from sparkpact.llm.common import join_facts
+
+    rows = spark.range(900).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("label"))
+    facts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    got = join_facts(rows, facts, ["label"], ["id"], most)
+    assert got.count() == 900 and got.where("label = 'hot'").select("n").distinct().collect()[0].n == 600
+
+
 @pytest.mark.parametrize("shard,block,scale", [(8192, 1024, False), (150, 10, True)])
 def test_nearest(spark, shard, block, scale):
     x = vectors()
@@ -178,8 +201,9 @@ def test_pipeline_of_nothing_and_odd_rows(spark, docs_of, odd_docs, toxic_dir):
     assert made[1].where("text is null").count() == 2 and made[4].count() > 0
 
 
-def test_entry_works_without_the_subpackage(tmp_path):
-    for name in ("sparkpact", "__spark_entry__.py"):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_works_without_the_subpackage(tmp_path, pipeline):
+    for name in ("sparkpact", "__spark_entry__.py", "corpus_pipeline.py")[: 2 + pipeline]:
         src = os.path.join(ROOT, name)
         (shutil.copytree if os.path.isdir(src) else shutil.copy)(src, tmp_path / name)
     shutil.rmtree(tmp_path / "sparkpact" / "llm")
