@@ -74,15 +74,16 @@ def issue_columns(i: Column) -> dict[str, Column]:
     return {"path": pointer(i.path), "code": i.code, "message_key": i.message_key, "meta": i.meta}
 
 
-def render(issues: Column, messages: Resolver = ENGLISH) -> Column:
-    """array<struct<path, code, message, meta>>. The issues of a one_of's candidates are rendered with it."""
+def render(issues: Column, messages: Resolver = ENGLISH, nested: int = MOST_NESTED) -> Column:
+    """array<struct<path, code, message, meta>>. The issues of a one_of's candidates are rendered with it, and
+    candidates of candidates to a depth of `nested`."""
     maps = template_maps(messages) if isinstance(messages, Messages) else None
 
-    def one(i: Column, nested: int = MOST_NESTED) -> Column:
-        meta = of_candidates(i, one, nested)
+    def one(i: Column, further: int) -> Column:
+        meta = of_candidates(i, one, further)
         return F.struct(pointer(i.getField("path")).alias("path"), i.getField("code").alias("code"), resolved(i, messages, maps).alias("message"), meta.alias("meta"))
 
-    return F.transform(issues, lambda i: one(i))
+    return F.transform(issues, lambda i: one(i, nested))
 
 
 def flatten(rows: DataFrame, *keys: str, messages: Resolver = ENGLISH) -> DataFrame:
@@ -121,9 +122,10 @@ def merge(*issues: Column) -> Column:
     return F.concat(*issues)
 
 
-def rebase(issues: Column, *segments: str) -> Column:
+def rebase(issues: Column, *segments: str, nested: int = MOST_NESTED) -> Column:
+    """Issues under a path, and their candidates with them to a depth of `nested`."""
     prefix = F.array(*map(F.lit, segments)) if segments else F.expr("cast(array() as array<string>)")
-    return F.transform(issues, lambda i: moved(i, prefix))
+    return F.transform(issues, lambda i: moved(i, prefix, nested))
 
 
 def with_key(i: Column, key: str) -> Column:

@@ -305,6 +305,20 @@ def test_candidates_move_and_are_rendered(spark):
     assert [c["issues"][0]["path"] for c in nested] == ["/x/a/b"] * 2 and "型が必要です" in nested[0]["issues"][0]["message"]
 
 
+def test_candidates_of_candidates_to_the_depth_asked_for(spark):
+    df = spark.createDataFrame([('{"b":9}',)], "t string")
+    inner = n().max(1)
+    for _ in range(4):
+        inner = P.one_of(inner, n().max(2))
+    issues = P.decode_json(df, P.object_of(b=inner), "t").all
+    meta = json.loads(issues.select(P.render(I.rebase(F.col("issues"), "x", nested=4), P.JAPANESE, nested=4).alias("r")).first().r[0].meta["candidates"])
+    for level in range(4):
+        first, last = meta[0]["issues"][0], meta[1]["issues"][0]
+        assert first["path"] == last["path"] == "/x/b" and last["message"] == "2以下で入力してください"
+        meta = json.loads(first["meta"]["candidates"]) if level < 3 else None
+    assert first["message"] == "1以下で入力してください"
+
+
 def test_normal_forms_within_lists(spark):
     import unicodedata
 
