@@ -21,6 +21,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -318,8 +319,8 @@ def postings(docs: DataFrame, path_a: str, path_b: str, most_docs: int, most_lin
 
 def scores_of_block(group: pa.Table) -> pa.Table:
     """Counts of the pairs back to the documents that hold them, along the planes."""
-    own = group.filter(pa.compute.greater_equal(group["nth"], 0))
-    post = group.filter(pa.compute.less(group["nth"], 0)).combine_chunks()
+    own = group.filter(pc.greater_equal(group["nth"], 0))
+    post = group.filter(pc.less(group["nth"], 0)).combine_chunks()
     n = own.num_rows
     best, total = np.zeros(n, "i8"), np.zeros(n, "i8")
     for part in post.to_batches(max_chunksize=20_000):

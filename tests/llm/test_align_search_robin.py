@@ -3,11 +3,15 @@
 import hashlib
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import ODD_TEXTS, VOCABULARY
 from hypothesis import given, settings
@@ -116,6 +120,32 @@ def test_bitmaps_give_back_their_places(width, sets):
     assert sorted(zip(row.tolist(), place.tolist())) == sorted(zip(of.tolist(), places.tolist()))
 
 
+BLOCK_ALONE = """
+import sys
+
+import pyarrow as pa
+
+from sparkpact.llm.alignment import scores_of_block
+
+print(scores_of_block(pa.ipc.open_stream(sys.argv[1]).read_all()).to_pylist())
+"""
+
+
+def test_scores_of_a_block_need_no_import_made_elsewhere(tmp_path):
+    """A worker may begin with a block's scores, as the table comes from the JVM: then only the module's own imports are there."""
+    own = {"doc_id": 7, "n_a": 1, "n_b": 1, "n_groups": 1, "n_links": 1}
+    plane = bitmaps(np.array([0]), np.array([0]), 1, 1).to_pylist()
+    group = pa.table({
+        "nth": pa.array([0, -1], pa.int32()), **{c: pa.array([v, None], pa.int64()) for c, v in own.items()}, "groups_sha256": pa.array(["x", None]),
+        "planes": pa.array([None, plane], pa.list_(pa.binary())), "count": pa.array([None, 5], pa.int64()), "top": pa.array([None, True]),
+    })
+    with pa.OSFile(str(tmp_path / "block"), "wb") as f, pa.ipc.new_stream(f, group.schema) as stream:
+        stream.write_table(group)
+    out = subprocess.run([sys.executable, "-c", BLOCK_ALONE, tmp_path / "block"], capture_output=True, text=True, timeout=120, cwd=Path(__file__).parents[2])
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.strip() == str([own | {"n_best": 1, "count_sum": 5, "groups_sha256": "x"}])
+
+
 def test_alignment_of_nothing_and_other_columns(spark, docs_of):
     assert align(docs_of([]), A, B).count() == 0
     docs = spark.createDataFrame([(1, "a b", 2, "x")], "doc_id long, text string, pair long, `n.a` string")
