@@ -1,6 +1,6 @@
 """Token ids as compact binary shards: Re-Pair grammar compression with random access.
 
-A shard covers a run of documents in ascending doc_id order, of `shard_tokens` ids or one document more.
+A shard covers a run of documents in ascending doc_id order, of `shard_tokens` ids or a block of texts more.
 Frequent id pairs are replaced by nonterminals, over and over, until no pair is left that occurs `least` times or
 the 16-bit ids have run out; a round replaces all pairs nearly as frequent as the most frequent one. The shard stores the
 rules, the expansion length of every rule, the compressed ids and, for each document, where it
@@ -29,13 +29,26 @@ HEAD = struct.Struct("<4sHIIQI")
 SHARDS = "part int, shard int, n_docs long, n_tokens long, doc_ids array<long>, blob binary"
 
 
-def pair_counts(ids: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs as left << 16 | right, counts) of neighbours i, i+1 where joins[i]."""
-    pairs = np.sort((ids[:-1].astype("u4") << np.uint32(16) | ids[1:])[joins[: len(ids) - 1]])
-    if not len(pairs):
-        return pairs, np.zeros(0, "i8")
-    at = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
-    return pairs[at], np.diff(np.append(at, len(pairs)))
+APART = np.uint32(0xFFFFFFFF)  # stands between documents; 65535 is given out last, and no pair is counted after that
+
+
+def neighbours(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Pairs i, i+1 as left << 16 | right, `APART` where a document ends at i."""
+    pairs = ids[:-1].astype("u4")
+    pairs <<= np.uint32(16)
+    pairs |= ids[1:]
+    pairs[ends[:-1]] = APART
+    return pairs
+
+
+def frequent_pairs(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of those that occur at least `least` times, rising."""
+    pairs = np.sort(pairs)
+    pairs = pairs[: np.searchsorted(pairs, APART)]
+    begins = np.flatnonzero(pairs[least - 1 :] == pairs[: max(0, len(pairs) - least + 1)])  # `least` alike from here
+    often = pairs[begins]
+    at = np.flatnonzero(np.append(True, often[1:] != often[:-1])) if len(often) else begins
+    return often[at], np.diff(np.append(at, len(often))) + least - 1
 
 
 def hashed(pairs: np.ndarray) -> np.ndarray:
@@ -49,16 +62,15 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = 16, ne
     `least` times; pairs that overlap are replaced from the left. It goes on until no such pair is left or
     there are no more ids (the most frequent pairs then get the last ones)."""
     ids = ids.astype("u2")
-    last = np.zeros(len(ids), bool)
-    ends = np.cumsum(counts)
-    last[ends[counts > 0] - 1] = True
+    ends = np.cumsum(counts)[counts > 0] - 1  # last symbol of each document that has any
     rules: list[np.ndarray] = []
     free = (1 << 16) - base
     while len(ids) > 1 and free > 0:
-        pairs, n = pair_counts(ids, ~last)
-        if not len(n) or n.max() < least:
+        keys = neighbours(ids, ends)
+        pairs, n = frequent_pairs(keys, least)
+        if not len(n):
             break
-        best = np.flatnonzero(n >= max(least, near * n.max()))
+        best = np.flatnonzero(n >= near * n.max())
         best = best[np.argsort(-n[best], kind="stable")[:free]]
         slot = hashed(pairs[best])
         # of pairs with the same hash the most frequent is taken, the others wait for a later round
@@ -67,35 +79,47 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = 16, ne
         chosen = pairs[best[np.sort(table[np.unique(slot)])]]
         table[hashed(chosen)] = np.arange(len(chosen))
         number = np.arange(len(chosen), dtype="u4") + (base + sum(map(len, rules)))
-        keys = ids[:-1].astype("u4") << np.uint32(16) | ids[1:]
-        found = table[hashed(keys)]
-        maybe = np.flatnonzero((found >= 0) & ~last[:-1])
+        found = table.take(hashed(keys))
+        maybe = np.flatnonzero(found >= 0)
         found = found[maybe]
         hit = chosen[found] == keys[maybe]
         at, symbol = maybe[hit], number[found[hit]]
         run = np.append(True, np.diff(at) != 1)
-        begins = np.flatnonzero(run)
-        nth = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
-        at, symbol = at[nth % 2 == 0], symbol[nth % 2 == 0]
+        if not run.all():
+            begins = np.flatnonzero(run)
+            nth = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
+            at, symbol = at[nth % 2 == 0], symbol[nth % 2 == 0]
         ids[at] = symbol
-        last[at] |= last[at + 1]
         keep = np.ones(len(ids), bool)
         keep[at + 1] = False
-        ids, last = ids[keep], last[keep]
+        ids = ids[keep]
+        ends -= np.searchsorted(at, ends)  # symbols gone up to here: those behind a smaller place
         rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], 1))
         free -= len(chosen)
-    starts = np.append(0, np.flatnonzero(last) + 1)[: int((counts > 0).sum())] if len(counts) else np.zeros(0, "i8")
+    starts = np.append(0, ends + 1)[: len(ends)]
     first = np.full(len(counts), len(ids), "i8")
     first[counts > 0] = starts
     first = np.minimum.accumulate(first[::-1])[::-1] if len(first) else first
     return (np.concatenate(rules) if rules else np.zeros((0, 2))).astype("u2"), ids, first
 
 
+def stretches(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of rules in a row that refer to nothing from the first of them on, so they can be laid out at once."""
+    reach = np.maximum.accumulate(rules.max(1)).astype("i8") if len(rules) else np.zeros(0, "i8")
+    first = 0
+    while first < len(rules):
+        end = int(np.searchsorted(reach, base + first))
+        if end <= first:
+            raise ValueError("a rule refers to itself or to a later one")
+        yield first, end
+        first = end
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each nonterminal stands for; a rule refers to earlier rules only."""
     lengths = np.ones(base + len(rules), "i8")
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[base + k] = lengths[a] + lengths[b]
+    for first, end in stretches(rules, base):
+        lengths[base + first : base + end] = lengths[rules[first:end]].sum(1)
     return lengths[base:]
 
 
@@ -126,13 +150,17 @@ class Shard:
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """Ids of a stretch of symbols: every rule's expansion is laid out once, then gathered."""
         if not hasattr(self, "flat"):
-            parts: list[np.ndarray] = []
-            one = lambda s: parts[s - self.base] if s >= self.base else np.array([s], "u2")
-            for a, b in self.rules.tolist():
-                parts.append(np.concatenate([one(a), one(b)]))
-            self.flat = np.concatenate([np.arange(self.base, dtype="u2"), *parts])
             self.size = np.concatenate([np.ones(self.base, "i8"), self.lengths.astype("i8")])
             self.begin = np.cumsum(self.size) - self.size
+            self.flat = np.empty(self.size.sum(), "u2")
+            self.flat[: self.base] = np.arange(self.base)
+            for first, end in stretches(self.rules, self.base):
+                made = self._gather(self.rules[first:end].ravel())
+                at = self.begin[self.base + first]
+                self.flat[at : at + len(made)] = made
+        return self._gather(symbols)
+
+    def _gather(self, symbols: np.ndarray) -> np.ndarray:
         n = self.size[symbols]
         ends = np.cumsum(n)
         if not len(ends):
@@ -172,7 +200,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int, base: int =
 
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, run in blocks(texts):
+            for first, run in blocks(texts, 2_500_000):
                 flat, n = tokens.encode(run)
                 at = np.cumsum(n)
                 held.append(np.insert(flat, at, np.uint16(end)))

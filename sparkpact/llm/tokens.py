@@ -2,8 +2,9 @@
 
 The vocabulary's normaliser and splitter never join what white space parts, so a text's ids are
 its words' ids in a row: every distinct word goes through the library once per worker and is
-then looked up. Texts where that might not hold (special tokens' strings, the four separators that
-only Python counts as white space) go through the library whole."""
+then looked up. Arrow splits a block of texts and numbers its words, so Python looks at each of them once
+a block. Texts where that might not hold (special tokens' strings, the four separators that only Python
+counts as white space) go through the library whole."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ import os
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import held
 
@@ -27,15 +30,14 @@ BYTES = {b: 256 + k for k, b in enumerate(ODD)}
 class Encoder:
     """Ids of texts as one flat array; keeps at most `most` words."""
 
-    def __init__(self, path: str, most: int = 800_000, few: int = 30_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.few = Tokenizer.from_file(path), most, few
+        self.library, self.most = Tokenizer.from_file(path), most
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.hot: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, "u2")  # a vocabulary of at most 65,536
         self.starts = np.zeros(1 << 14, "i4")
         self.counts = np.zeros(1 << 14, "i4")
@@ -44,7 +46,7 @@ class Encoder:
 
     def _forget(self) -> None:
         """Keeps the words used most since the last time, at most half of the room: most words of a
-        corpus are met once. The small table gets the most frequent ones."""
+        corpus are met once."""
         n = len(self.index)
         uses = self.uses[:n]
         order = np.argsort(-uses.astype("i8"), kind="stable")[: self.most // 2]
@@ -57,7 +59,6 @@ class Encoder:
         self.clear()
         first = self._place(kept, counts)
         self.flat[first : first + len(flat)] = flat
-        self.hot = dict(zip(kept[: self.few], range(self.few)))
 
     def _room(self, name: str, n: int) -> None:
         have = getattr(self, name)
@@ -68,9 +69,9 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Adds words. Marks behind letters are a piece of their own, so such a word is the word
-        without them and the marks."""
+        without them and the marks, unless its lower case has more than letters (a dot above the i of İ joins the marks)."""
         stems = [w.rstrip(MARKS) for w in words]
-        marked = [(w, s, w[len(s) :]) for w, s in zip(words, stems) if len(s) < len(w) and s.isalpha()]
+        marked = [(w, s, w[len(s) :]) for w, s in zip(words, stems) if len(s) < len(w) and s.isalpha() and (s.isascii() or s.lower().isalpha())]
         if marked:
             whole, left, right = zip(*marked)
             odd = set(whole)
@@ -110,8 +111,6 @@ class Encoder:
         self.counts[at : at + len(words)] = counts
         self.used += total
         self.index.update(zip(words, range(at, at + len(words))))
-        if at < self.few:  # the first words met are mostly the frequent ones; a small table is quicker
-            self.hot.update(zip(words, range(at, at + len(words))))
         return first
 
     @staticmethod
@@ -146,26 +145,27 @@ class Encoder:
                     parts.append(flat[ends[rest] - counts[rest] : ends[rest]])
                     rest += 1
             return np.concatenate(parts), np.array([len(p) for p in parts], "i8")
-        split = [self._plain(t).split() for t in texts]
-        sizes = np.fromiter(map(len, split), "i8", len(split))
-        words = [w for s in split for w in s]
-        if not words:
-            return np.zeros(0, "u2"), np.zeros(len(texts), "i8")
+        split = pc.ascii_split_whitespace(pa.array(map(self._plain, texts), pa.string(), size=len(texts)))
+        coded = split.flatten().dictionary_encode()  # every word of the block once; of blanks side by side comes a word without ids
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.index) > self.most:
             self._forget()
-        at = np.fromiter(map(self.hot.get, words, repeat(-1)), "i4", len(words))
-        lost = np.flatnonzero(at < 0)
-        at[lost] = np.fromiter(map(self.index.get, map(words.__getitem__, lost.tolist()), repeat(-1)), "i4", len(lost))
-        if len(lost := lost[at[lost] < 0]):
-            self._learn(list(dict.fromkeys(map(words.__getitem__, lost.tolist()))))
-            at[lost] = np.fromiter(map(self.index.__getitem__, map(words.__getitem__, lost.tolist())), "i4", len(lost))
+        known = np.fromiter(map(self.index.get, words, repeat(-1)), "i4", len(words))
+        if len(lost := np.flatnonzero(known < 0)):
+            new = list(map(words.__getitem__, lost.tolist()))
+            self._learn(new)
+            known[lost] = np.fromiter(map(self.index.__getitem__, new), "i4", len(new))
+        codes = coded.indices.to_numpy()
         self._room("uses", len(self.index))
-        self.uses[: len(self.index)] += np.bincount(at, minlength=len(self.index)).astype("u4")
+        self.uses[known] += np.bincount(codes, minlength=len(words)).astype("u4")
+        if not len(codes):
+            return np.zeros(0, "u2"), np.zeros(len(texts), "i8")
+        at = known[codes]
         counts = self.counts[at]
         ends = np.cumsum(counts, dtype="i8")
         flat = self.flat[np.repeat((self.starts[at] - ends + counts).astype("i4"), counts) + np.arange(ends[-1], dtype="i4")]
         sums = np.concatenate([[0], ends])
-        edges = np.concatenate([[0], np.cumsum(sizes)])
+        edges = split.offsets.to_numpy()
         return flat, sums[edges[1:]] - sums[edges[:-1]]
 
 

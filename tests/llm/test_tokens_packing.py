@@ -9,7 +9,7 @@ from conftest import ODD_TEXTS, VOCABULARY  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkpact.llm.binary import Shard, compress, token_files, write_shard
+from sparkpact.llm.binary import Shard, compress, expansion_lengths, frequent_pairs, neighbours, stretches, token_files, write_shard
 from sparkpact.llm.packing import pack, plan_best_fit
 from sparkpact.llm.shards import Bins, best_fit_decreasing, shard_by_bytes
 from sparkpact.llm.tokens import Encoder
@@ -196,6 +196,38 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
     assert len(symbols) + 4 * len(rules) <= 1.25 * (left + 4 * n)  # rules made together cost a little
 
 
+@pytest.mark.parametrize("text", ["İ! x", "aİ,. İ", "é! a\u00a0b!  c ", "\u00a0", " \t\n"])
+def test_encoder_where_marks_follow_odd_letters_and_blanks(text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+    flat, n = Encoder(VOCABULARY).encode([text, "", text])
+    assert flat.tolist() == want * 2 and n.tolist() == [len(want), 0, len(want)]
+
+
+def test_rules_are_laid_out_many_at_a_time():
+    """Pairs are counted from the frequent ones alone, and the rules of a round go in one step: not one step a rule."""
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 2000, rng.integers(2, 9)).tolist() for _ in range(3000)]
+    ids = np.array([i for k in rng.integers(0, 3000, 60_000) for i in words[k]], "u2")
+    counts = np.full(-(-len(ids) // 500), 500)
+    counts[-1] = len(ids) - counts[:-1].sum()
+    ends = np.cumsum(counts) - 1
+    apart = set(ends.tolist())
+    plain = Counter(int(a) << 16 | int(b) for k, (a, b) in enumerate(zip(ids, ids[1:])) if k not in apart)
+    assert dict(zip(*(v.tolist() for v in frequent_pairs(neighbours(ids, ends), 16)))) == {p: n for p, n in plain.items() if n >= 16}
+    rules, symbols, _ = compress(ids, counts, 49_408)
+    steps = list(stretches(rules, 49_408))
+    assert len(rules) > 2000 and len(steps) <= 30 and [a for a, _ in steps] == [0, *(b for _, b in steps[:-1])]
+    size = [1] * 49_408
+    for a, b in rules.tolist():
+        size.append(size[a] + size[b])
+    assert expansion_lengths(rules, 49_408).tolist() == size[49_408:]
+    assert (Shard(write_shard(ids, counts, 49_408)).documents()[0] == ids).all()
+    with pytest.raises(ValueError):
+        list(stretches(np.array([[1, 2], [49_409, 1]], "u2"), 49_408))
+
+
 @pytest.mark.parametrize("name", ["length", "offset"])
 def test_clashing_columns(docs_of, name):
     docs = docs_of([(1, "a b"), (2, "c")]).withColumnRenamed("lang", name).withColumnRenamed("source", "size")
