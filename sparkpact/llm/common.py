@@ -41,6 +41,20 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session, put back as it was."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written as Parquet in the shared folder: lineage ends there, so a lost executor
     costs a re-read and not a recomputation. `drop` frees the ones no longer needed; what a result still
@@ -71,8 +85,13 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, lean: bool = False) -> DataFrame:
+        """`lean`: packed closer, and the shuffle files of the write go when it ends, not when the driver's memory is next cleaned."""
+        if lean:
+            with setting(self.spark, FREE_SHUFFLES, "true"):
+                df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        else:
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.load(name, df)
 
     def load(self, name: str, like: DataFrame) -> DataFrame:

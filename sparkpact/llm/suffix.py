@@ -308,7 +308,7 @@ def with_marks(rows: DataFrame, scratch: Scratch, width: int, part_rows: int, fi
         keep = order[often]
         return dealt(home(key[keep]), key=key[keep], number=number[keep])
 
-    again = scratch.save(sent.groupBy("bucket").applyInArrow(repeated, "bucket int, key binary, number binary"), "again")
+    again = scratch.save(sent.groupBy("bucket").applyInArrow(repeated, "bucket int, key binary, number binary"), "again", lean=True)
     by_home = rows.withColumn("bucket", F.pmod("key", F.lit(n_buckets)).cast("int"))
 
     @tidy
@@ -370,7 +370,8 @@ def with_marks(rows: DataFrame, scratch: Scratch, width: int, part_rows: int, fi
 
     slim = by_home.select("doc_id", "raw", "key", "bucket")
     found = slim.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(stretches, "bucket int, gram binary, doc binary, key binary, start binary, size binary, text binary, home int, mark binary")
-    found = scratch.save(found, "stretches")
+    found = scratch.save(found, "stretches", lean=True)
+    scratch.drop("again")
 
     @tidy
     def sort_suffixes(group: pa.Table) -> pa.Table:
@@ -386,7 +387,8 @@ def with_marks(rows: DataFrame, scratch: Scratch, width: int, part_rows: int, fi
         return marks_table(*(np.array(x, "i8") for x in zip(*made)))
 
     marks = found.where("bucket is not null").select("bucket", "gram", "doc", "key", "start", "size", "text").groupBy("bucket").applyInArrow(sort_suffixes, "home int, mark binary")
-    marks = scratch.save(marks.union(found.where("home is not null").select("home", "mark")).withColumnRenamed("home", "bucket"), "marks")
+    marks = scratch.save(marks.union(found.where("home is not null").select("home", "mark")).withColumnRenamed("home", "bucket"), "marks", lean=True)
+    scratch.drop("stretches")
 
     @tidy
     def collect(own: pa.Table, found: pa.Table) -> pa.Table:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkpact.llm.common import Scratch
+from sparkpact.llm.common import FREE_SHUFFLES, Scratch
 from sparkpact.llm.components import components
 from sparkpact.llm.jaccard import Parts, candidates, jaccard_components, join_sets, keep_one, shingle_sets
 from sparkpact.llm.jaccard import Tree, linked
@@ -175,6 +175,19 @@ def test_suffix_spans_against_brute_force(docs_of):
     assert got == spans(rows)
 
 
+def test_suffix_spans_free_what_was_read(spark, docs_of):
+    """What later steps don't read is gone before the last shuffle, and settings are as they were."""
+    passage = "".join(chr(97 + k * k % 23) + " " * (k % 7 == 0) for k in range(150))
+    before = list(Scratch.open)
+    spans = suffix_spans(docs_of([(1, f"one {passage}"), (2, f"two {passage} more"), (3, "short")]))
+    [scratch] = [s for s in Scratch.open if s not in before]
+    for name, there in (("again", False), ("stretches", False), ("marks", True)):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch.path(name))
+        assert at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) is there, name
+    assert spark.conf.get(FREE_SHUFFLES) == "false"
+    assert {r.doc_id: r.n_removed for r in spans.collect()} == {1: 0, 2: len(f" {passage}"), 3: 0}
+
+
 def test_suffix_odd_rows(odd_docs, docs_of):
     got = suffix_spans(odd_docs).toPandas()
     assert len(got) == odd_docs.count() and suffix_spans(docs_of([])).count() == 0
