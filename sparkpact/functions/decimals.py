@@ -46,39 +46,55 @@ def compare(a: Column, b: Column) -> Column:
     return F.when(sa != sb, F.signum(sa - sb).cast("int")).when(sa == 0, 0).otherwise(larger * sa)
 
 
-LIMB = 9  # digits of a limb
+LIMB, PIECE, PIECES = 9, 6, 64  # digits of a limb and of a piece; pieces reduced at once
 
 
-def long_remainder(text: Column, by: int) -> Column:
-    """Whether nothing is left of digits divided by a number of any length: long division, a digit at a time,
-    over numbers as arrays of limbs, the highest first. Arrays of one length compare as the numbers do."""
-    count = -(-(len(str(by)) + 1) // LIMB)
+def long_divisible(text: Column, by: int) -> Column:
+    """Whether digits are a multiple of a number of any length. The last digits are taken as limbs as they are, those before in
+    pieces, each times what is left of its power of ten divided by the number: a sum that leaves as much. It is less than 2^31 times
+    the number, so its leading digits tell the only quotient that can be exact, and that is multiplied back. Longer
+    texts are first reduced from the front. Arrays of limbs have the lowest first."""
     base = 10**LIMB
+    count = -(-len(str(by)) // LIMB)
+    own = count * LIMB
+    left = [pow(10, own + PIECE * i, by) for i in range(PIECES)]
+    longs = lambda made: F.expr(f"array({', '.join(f'{x}L' for x in made)})")
+    limb = lambda x, k: x // base**k % base
+    call = F.call_function
 
-    def limbs(x: int) -> Column:
-        return F.array(*(F.lit(x // base**k % base).cast("long") for k in range(count - 1, -1, -1)))
+    def sums(text: Column) -> Column:
+        """Of at most own + PIECE * PIECES digits."""
+        wide = F.lpad(text, own + (F.greatest(F.lit(0), F.ceil((F.length(text) - own) / PIECE)) * PIECE).cast("int"), F.lit("0"))
 
-    times = [limbs(k * by) for k in range(1, 10)]
+        def summed(t: Column) -> Column:
+            ahead = F.length(t) - own
+            cut = F.transform(F.sequence(F.lit(1), (ahead / PIECE).cast("int")), lambda i: F.substring(t, ahead - i * PIECE + 1, F.lit(PIECE)).cast("long"))
+            kept = [F.substring(t, ahead + (count - 1 - k) * LIMB + 1, F.lit(LIMB)).cast("long") for k in range(count)]
 
-    def carried(low_first: Column) -> Column:
-        """Limbs, the lowest first, of any sign and size as such between 0 and the base, the highest first."""
-        begin = F.struct(F.expr("cast(array() as array<bigint>)").alias("done"), F.lit(0).cast("long").alias("carry"))
-        made = F.aggregate(low_first, begin, lambda s, x: let(x + s["carry"], lambda y: F.struct(F.concat(F.array(F.pmod(y, F.lit(base))), s["done"]).alias("done"), F.floor((y - F.pmod(y, F.lit(base))) / F.lit(base)).cast("long").alias("carry"))))
-        return made["done"]
+            def total(p: Column) -> Column:
+                return F.array(*(F.aggregate(F.zip_with(p, F.slice(longs(limb(x, k) for x in left), 1, F.size(p)), lambda c, r: c * r), kept[k], lambda s, x: s + x) for k in range(count)))
 
-    def step(rest: Column, digit: Column) -> Column:
-        grown = carried(F.transform(F.reverse(rest), lambda x, i: x * 10 + F.when(i == 0, digit.cast("long")).otherwise(F.lit(0).cast("long"))))
+            return F.when(ahead > 0, let(cut, total)).otherwise(F.array(*kept))
 
-        def taken(g: Column) -> Column:
-            which = F.lit(0)
-            for k, t in enumerate(times, 1):
-                which = F.when(g >= t, k).otherwise(which)
-            less = F.element_at(F.array(limbs(0), *times), which + 1)
-            return carried(F.reverse(F.zip_with(g, less, lambda a, b: a - b)))
+        return let(wide, summed)
 
-        return let(grown, taken)
+    def text_of(limbs: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("long").alias("carry"), F.lit("").alias("text"))
+        step = lambda s, x: F.struct(call("div", x + s["carry"], F.lit(base)).alias("carry"), F.concat(F.lpad(((x + s["carry"]) % base).cast("string"), LIMB, "0"), s["text"]).alias("text"))
+        return F.aggregate(limbs, begin, step, lambda s: F.concat(s["carry"].cast("string"), s["text"]))
 
-    return F.aggregate(F.split(text, ""), limbs(0), step, lambda rest: F.forall(rest, lambda x: x == 0))
+    def nothing_left(limbs: Column) -> Column:
+        weights = F.array(*(F.lit(base**k / by) for k in range(count)))
+        quotient = F.rint(F.aggregate(F.zip_with(limbs, weights, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)).cast("long")
+        begin = F.struct(F.lit(0).cast("long").alias("carry"), F.lit(True).alias("even"))
+        step = lambda s, x: F.struct(call("div", x + s["carry"], F.lit(base)).alias("carry"), (s["even"] & ((x + s["carry"]) % base == 0)).alias("even"))
+        return let(quotient, lambda q: F.aggregate(F.zip_with(limbs, longs(limb(by, k) for k in range(count)), lambda x, n: x - q * n), begin, step, lambda s: s["even"] & (s["carry"] == 0)))
+
+    def short(t: Column) -> Column:
+        front = F.regexp_extract_all(t, F.lit(f"[0-9]{{1,{PIECE * PIECES - LIMB - 1}}}"), F.lit(0))
+        return F.when(F.length(t) <= own + PIECE * PIECES, t).otherwise(F.aggregate(front, F.lit(""), lambda s, x: text_of(sums(F.concat(s, x)))))
+
+    return let(let(text, short), lambda t: let(sums(t), nothing_left))
 
 
 def divisible(d: Column, divisor: Exact) -> Column:
@@ -97,32 +113,29 @@ def divisible(d: Column, divisor: Exact) -> Column:
     while rest % 5 == 0:
         rest, fives = rest // 5, fives + 1
     def remainder(text: Column, by: int) -> Column:
-        """By the engine's own remainder where the digits fit, by a running one over pieces of them beyond."""
+        """By the engine's own remainder where the digits fit, by a running one over pieces of them or by limbs beyond."""
         if by == 1:
             return F.lit(0)
-        if by < 1 << 59:
-            kind, most, step = "long", 18, len(str((1 << 62) // by)) - 1
-        else:
-            kind, most, step = "decimal(38,0)", 38, 37 - len(str(by))
-        if by >= 10**36:
-            return F.when(long_remainder(text, by), 0).otherwise(1)
-        of, zero = F.lit(str(by)).cast(kind), F.lit(0).cast(kind)
+        if by >= 1 << 59:
+            long, of = F.when(long_divisible(text, by), 0).otherwise(1), F.lit(str(by)).cast("decimal(38,0)")
+            return F.when(F.length(text) <= 38, text.try_cast("decimal(38,0)") % of).otherwise(long) if by < 10**36 else long
+        step = len(str((1 << 62) // by)) - 1
+        of, zero = F.lit(by).cast("long"), F.lit(0).cast("long")
         padded = F.lpad(text, (F.ceil(F.length(text) / step) * step).cast("int"), F.lit("0"))
         pieces = F.transform(F.sequence(F.lit(0), (F.length(padded) / step).cast("int") - 1), lambda i: F.substring(padded, i * step + 1, F.lit(step)))
-        running = F.aggregate(pieces, zero, lambda s, c: ((s * F.lit(str(10**step)).cast(kind) + c.cast(kind)) % of).cast(kind))
-        return F.when(F.length(text) <= most, text.try_cast(kind) % of).otherwise(running)
+        running = F.aggregate(pieces, zero, lambda s, c: (s * F.lit(10**step).cast("long") + c.cast("long")) % of)
+        return F.when(F.length(text) <= 18, text.try_cast("long") % of).otherwise(running)
 
     # with zeros behind, factors 2 and 5 are gone after enough of them
     enough = max(twos, fives)
     few = F.greatest(F.lit(0), F.least(shift, F.lit(enough)))
     padded = F.concat(digits, F.repeat(F.lit("0"), few.cast("int")))
-    up = remainder(padded, n) == 0
     # digits behind the divisor's last place have to be zeros
     cut = F.least(-shift, F.length(digits).cast("long") + 1).cast("int")
     head = F.when(cut < F.length(digits), F.substring(digits, F.lit(1), F.length(digits) - cut)).otherwise("0")
     tail = F.substring(digits, F.greatest(F.lit(1), F.length(digits) - cut + 1), F.length(digits))
-    down = tail.rlike(r"\A0*\z") & (remainder(head, n) == 0)
-    return F.when(digits == "0", True).when(shift >= 0, up).otherwise(down)
+    cuts = (shift < 0) & ~tail.rlike(r"\A0*\z")
+    return F.when(digits == "0", True).when(cuts, False).otherwise(let(F.when(shift >= 0, padded).otherwise(head), lambda text: remainder(text, n) == 0))
 
 
 def to_text(d: Column) -> Column:

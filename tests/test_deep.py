@@ -271,6 +271,23 @@ def test_divisors_of_any_length(spark):
             assert (not r.issues) == (Decimal(r.x) % divisor == 0), r.x
 
 
+def test_long_texts_by_a_long_divisor(spark):
+    """A step takes many digits: one for each digit took over half a minute for these 800,000 digits."""
+    rng = random.Random(5)
+    divisor = 10**43 + rng.randrange(10**43)
+    whole = [rng.randrange(10 ** rng.randint(3800, 4200)) for _ in range(200)]
+    texts = [(str(divisor * w + k % 3 % 2), k % 3 == 1) for k, w in enumerate(whole)]
+    texts += [(str(divisor * w + r), r != 0) for w in (1, 2, 10**9 - 1, 10**18, 7**450) for r in (0, 1, divisor - 1, 10**9, divisor // 2)]
+    df = spark.createDataFrame(texts, "x string, bad boolean")
+    begun = time.time()
+    got = P.decode(df, s().to_decimal().multiple_of(divisor), "x").all.select("bad", (F.size("issues") > 0).alias("told")).collect()
+    assert all(r.bad == r.told for r in got) and time.time() - begun < 40
+    for n in (1 << 59, 10**18 + 9, 10**35 + 1, 10**36, 2**200, 5**300 * 3):  # bounds of the ways to divide
+        rows = [(str(n * w + r), r) for w in (0, 1, 3, 10**20, 3**500) for r in (0, 1, n - 1)]
+        told = P.decode(spark.createDataFrame(rows, "x string, r string"), s().to_decimal().multiple_of(n), "x").all.select("r", F.size("issues")).collect()
+        assert all((r == "0") == (k == 0) for r, k in told), n
+
+
 def test_fewest_digits(spark):
     rng = random.Random(3)
     values = [1e23, 2e-3, 5e-324, 0.1 + 0.2, -0.0, 1e7, 9999999.0, 0.001] + [rng.random() * 10 ** rng.randint(-300, 300) for _ in range(300)]
