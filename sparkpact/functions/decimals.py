@@ -20,14 +20,29 @@ def bare(v: Column) -> Column:
 
 def parse(v: Column) -> Column:
     """A decimal's parts; null if the text is none, or its scale leaves 32 bits. An exponent of more
-    than ten digits is refused unread."""
-    group = lambda k: F.regexp_extract(v, DECIMAL, k)
-    fraction = F.concat(group(3), group(4))
-    power = F.when(group(5) == "", F.lit(0)).when(F.length(F.regexp_replace(group(5), r"\A[+-]", "")) <= 10, F.regexp_replace(group(5), r"\A\+", "").try_cast("long"))
-    scale = F.length(fraction).cast("long") - power
-    digits = F.regexp_replace(F.concat(group(2), fraction), r"\A0+(?=[0-9])", "")
-    made = F.struct((group(1).eqNullSafe("-") & (digits != "0")).alias("neg"), digits.alias("digits"), scale.try_cast("int").alias("scale"))
-    return F.when(v.rlike(DECIMAL) & scale.between(-(1 << 31), (1 << 31) - 1), made)
+    than ten digits is refused unread. The grammar is matched once; what follows can then rely on it."""
+    text = F.lower(v)
+    split = F.struct(F.ltrim(F.substring_index(text, "e", 1), F.lit("+-")).alias("whole"), F.when(F.contains(text, F.lit("e")), F.ltrim(F.substring_index(text, "e", -1), F.lit("+"))).alias("power"))
+
+    def parts(p: Column) -> Column:
+        point, given = F.instr(p["whole"], "."), p["power"]
+        power = F.when(given.isNull(), F.lit(0)).when(F.length(F.ltrim(given, F.lit("-"))) <= 10, given.try_cast("long"))
+        fraction = F.when(point > 0, F.length(p["whole"]) - point).otherwise(0).cast("long")
+        return F.struct(F.ltrim(F.replace(p["whole"], F.lit("."), F.lit("")), F.lit("0")).alias("digits"), (fraction - power).alias("scale"))
+
+    def made(p: Column) -> Column:
+        zero = p["digits"] == ""
+        kept = F.struct((v.startswith("-") & ~zero).alias("neg"), F.when(zero, "0").otherwise(p["digits"]).alias("digits"), p["scale"].try_cast("int").alias("scale"))
+        return F.when(p["scale"].between(-(1 << 31), (1 << 31) - 1), kept)
+
+    return F.when(v.rlike(DECIMAL), let(let(split, parts), made))
+
+
+def exact(n: Exact) -> Column:
+    """The parts of a given number, as `parse` gives those of a text."""
+    negative, digits, power = n.as_tuple()
+    text = "".join(map(str, digits)).lstrip("0") or "0"
+    return F.struct(F.lit(bool(negative) and text != "0").alias("neg"), F.lit(text).alias("digits"), F.lit(-power).cast("int").alias("scale"))
 
 
 def sign(d: Column) -> Column:

@@ -42,7 +42,7 @@ def _number(v: Column, kind: str) -> Column:
 
 float64 = Encoder(lambda v: _number(v, "double"))
 float32 = Encoder(lambda v: _number(v, "float"))
-decimal = Encoder(decimals.to_text)
+decimal = Encoder(lambda v: let(v, decimals.to_text))
 
 
 def _text(kind: str) -> Encoder:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import decimals as D
 from ..functions import grammar as G
 from ..functions.patterns import matcher
-from ..plans.outcome import Outcome, Path, Raw, issue, json_text, let
+from ..plans.outcome import Outcome, Path, Raw, binding, issue, json_text, let, unpacked
 from ..sources.nodes import Node, Typed, shortest
 from .core import Decoder, refuse
 
@@ -36,9 +36,10 @@ class Scalar(Decoder):
         new._steps = (*self._steps, ("check", ok, code, meta, key, None, joint))
         return new
 
-    def _change(self, f: Callable[[Column], Column], kind: type | None = None):
+    def _change(self, f: Callable[[Column], Column], kind: type | None = None, once: bool = False):
+        """`once`: bound, so that it is evaluated once however many steps read it; it may give null, for a check that follows."""
         new = self._copy(kind)
-        new._steps = (*self._steps, ("change", f))
+        new._steps = (*self._steps, ("once" if once else "change", f))
         return new
 
     def message(self, text: str):
@@ -60,15 +61,22 @@ class Scalar(Decoder):
         bad = F.when(node.absent(), issue("required", path, message=own))
         for condition, code, meta, key in guards:
             bad = bad.when(condition, issue(code, path, meta, key, own))
-        for step in self._steps:
-            if step[0] == "change":
+        return self._chain(value, bad, self._steps, node.bind, path)
+
+    def _chain(self, value: Column, bad: Column, steps: tuple, bind: bool, path: Path) -> Outcome:
+        for k, step in enumerate(steps):
+            if step[0] == "once" and binding():
+                held = F.struct(step[1](value).alias("value"), bad.alias("bad"))
+                after = lambda p: self._chain(p.getField("value"), F.when(p.getField("bad").isNotNull(), p.getField("bad")), steps[k + 1 :], True, path)  # noqa: B023, E731
+                return unpacked(let(held, lambda p: after(p).packed()))
+            if step[0] != "check":
                 value = step[1](value)
                 continue
             _, ok, code, meta, key, text, _ = step
             bad = bad.when(~F.coalesce(ok(value), F.lit(False)), issue(code, path, meta(value) if callable(meta) else meta, key, text))
         # a check says more than that there is a value, so the chain alone decides
         whole = None
-        if node.bind:  # interpreted anyway: the chain runs once
+        if bind:  # interpreted anyway: the chain runs once
             whole = let(bad, lambda b: F.struct(F.when(b.isNull(), value).alias("value"), F.filter(F.array(b), lambda x: x.isNotNull()).alias("issues")))
         return Outcome(F.when(bad.isNull(), value), [("one", bad)], whole, light=whole is None)
 
@@ -186,8 +194,7 @@ class String(Scalar):
         return self._to_int(64, "long")
 
     def to_decimal(self):
-        made = self._check(lambda v: F.coalesce(D.parse(v).isNotNull(), F.lit(False)), "type_mismatch", {"expected": "decimal"})
-        return made._change(D.parse, Decimal)
+        return self._change(D.parse, Decimal, once=True)._check(lambda v: v.isNotNull(), "type_mismatch", {"expected": "decimal"})
 
     def to_bool(self):
         folded = lambda v: F.translate(v, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -423,7 +430,7 @@ class Decimal(Number):
         """The bound's text, and its parts once there is a session."""
         exact = Exact(str(n))
         refuse(not exact.is_finite(), "a bound has to be a number")
-        return str(n), lambda: D.parse(F.lit(str(n)))
+        return str(n), lambda: D.exact(exact)
 
     def min(self, n):
         text, b = self._bound_of(n)

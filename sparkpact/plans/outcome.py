@@ -169,8 +169,12 @@ def unbound():
         _unbound.reset(token)
 
 
+def binding() -> bool:
+    return not _unbound.get()
+
+
 def binds(own: Outcome) -> bool:
-    return not (own.light or _unbound.get())
+    return binding() and not own.light
 
 
 def bound(own: Outcome, body: Callable[[Outcome], Outcome]) -> Outcome:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import sparkpact as P
 from sparkpact import encode as E
+from sparkpact.functions import decimals as D
 from sparkpact.functions import patterns as M
 from sparkpact.plans import issues as I
 
@@ -288,6 +289,14 @@ def test_long_texts_by_a_long_divisor(spark):
         assert all((r == "0") == (k == 0) for r, k in told), n
 
 
+def test_a_decimal_is_read_once(spark):
+    df = spark.createDataFrame([("1E+3",), ("0100",), ("-.5e-2",), ("+1.",), ("-0.00",), ("1e99999999999",), ("1e-2147483648",), ("x",), (".",), (None,)], "x string")
+    out = P.decode(df, s().to_decimal().map(D.to_text), "x").all
+    assert [(r.value, len(r.issues)) for r in out.collect()] == [("1E+3", 0), ("100", 0), ("-0.005", 0), ("1", 0), ("0.00", 0), (None, 1), (None, 1), (None, 1), (None, 1), (None, 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") + plan.count("regexp_extract") == 1
+
+
 def test_fewest_digits(spark):
     rng = random.Random(3)
     values = [1e23, 2e-3, 5e-324, 0.1 + 0.2, -0.0, 1e7, 9999999.0, 0.001] + [rng.random() * 10 ** rng.randint(-300, 300) for _ in range(300)]
