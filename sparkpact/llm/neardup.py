@@ -2,7 +2,7 @@
 
 Vectors are compared only within a label. Equal vectors count once with their copies. A label is cut
 into shards of bounded size, each with its own graph; blocks of queries visit every shard of their
-label. In a shard, a beam search finds the nearest vectors, and from those in range the search goes on
+label. A graph's links are chosen among exact products of blocks. In a shard, a beam search finds the nearest vectors, and from those in range the search goes on
 along links in range until nothing new turns up. In every shard a block's links to a sample of vectors,
 and all links of a sample of its queries, are held against brute force, and the beam is widened until the audit passes. Cosine is verified in double
 precision. Components are united from spanning forests, never from all pairs."""
@@ -20,7 +20,7 @@ from .common import Scratch, join_facts, join_spread, tidy
 from .components import Union, components, tree_edges
 
 
-def search(x: np.ndarray, links: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def search(x: np.ndarray, links: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(ids, similarities) of the beam of every query, best first; -1 where there is none.
 
     All queries move in step: each round they expand their `step` best unexpanded beam members."""
@@ -31,6 +31,7 @@ def search(x: np.ndarray, links: np.ndarray, entry: np.ndarray, q: np.ndarray, b
     ids[:, 0] = entry
     sims[:, 0] = np.einsum("ij,ij->i", q, x[entry])
     seen[rows[:, 0], entry] = True
+    marks = seen.ravel()
     open_ = ids >= 0
     live = np.arange(n)
     while len(live):
@@ -43,25 +44,26 @@ def search(x: np.ndarray, links: np.ndarray, entry: np.ndarray, q: np.ndarray, b
             live, pick, ok = live[alive], pick[alive], ok[alive]
             if not len(live):
                 break
-            r = np.arange(len(live))[:, None]
         open_[live[:, None], pick] = False
-        near = np.where(ok[:, :, None], links[ids[live[:, None], pick]], -1).reshape(len(live), -1)
+        near = np.where(ok[:, :, None], links.take(ids[live[:, None], pick], 0), -1).reshape(len(live), -1)
         near.sort(axis=1)
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        near[(near >= 0) & seen[live[:, None], near]] = -1
-        at, col = np.nonzero(near >= 0)
-        if not len(at):
+        # places in the flat arrays: `take` of them is several times faster than two indices
+        flat = np.flatnonzero(near >= 0)
+        mark = live[flat // near.shape[1]] * len(x) + near.ravel().take(flat)
+        fresh = ~marks.take(mark)
+        near.ravel()[flat[~fresh]] = -1
+        flat, mark = flat[fresh], mark[fresh]
+        if not len(flat):
             continue
-        new = near[at, col]
-        seen[live[at], new] = True
+        marks[mark] = True
         sim = np.full(near.shape, -np.inf, "f4")
-        sim[at, col] = np.einsum("ij,ij->i", q[live[at]], x[new])
+        sim.ravel()[flat] = np.einsum("ij,ij->i", q.take(live[flat // near.shape[1]], 0), x.take(near.ravel().take(flat), 0))
         all_s = np.concatenate([sims[live], sim], 1)
         top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-        ids[live] = np.concatenate([ids[live], near], 1)[r, top]
-        open_[live] = np.concatenate([open_[live], near >= 0], 1)[r, top]
-        sims[live] = all_s[r, top]
-        open_[live] &= np.isfinite(sims[live])
+        ids[live] = np.take_along_axis(np.concatenate([ids[live], near], 1), top, 1)
+        sims[live] = kept = np.take_along_axis(all_s, top, 1)
+        open_[live] = np.take_along_axis(np.concatenate([open_[live], near >= 0], 1), top, 1) & np.isfinite(kept)
     order = np.argsort(-sims, axis=1)
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
@@ -71,8 +73,8 @@ def diverse(x: np.ndarray, q: np.ndarray, cand: np.ndarray, keep: int) -> np.nda
     to the row's vector than to any taken before; the rest of the room goes to the closest left."""
     ok = cand >= 0
     v = x[np.where(ok, cand, 0)]
-    sim = np.where(ok, np.einsum("id,icd->ic", q, v), -np.inf)
-    between = np.einsum("icd,ied->ice", v, v)
+    sim = np.where(ok, np.matmul(v, q[:, :, None])[:, :, 0], -np.inf)
+    between = np.matmul(v, v.transpose(0, 2, 1))
     worst = np.full(cand.shape, -np.inf, "f4")
     taken = np.zeros(cand.shape, bool)
     for c in range(cand.shape[1]):
@@ -85,8 +87,23 @@ def diverse(x: np.ndarray, q: np.ndarray, cand: np.ndarray, keep: int) -> np.nda
     return np.pad(out, ((0, 0), (0, max(0, keep - out.shape[1]))), constant_values=-1)
 
 
+def best(sims: np.ndarray, k: int, group: int = 16) -> np.ndarray:
+    """Columns of the k largest of each row, in no order. Each of them lies in one of the k groups of columns
+    with the largest maxima, so only those are looked into."""
+    n, m = sims.shape
+    if m <= 4 * k * group:
+        return np.argpartition(-sims, k - 1, axis=1)[:, :k] if m > k else np.tile(np.arange(m), (n, 1))
+    sims = np.pad(sims, ((0, 0), (0, -m % group)), constant_values=-np.inf)
+    groups = sims.reshape(n, -1, group)
+    top = np.argpartition(-groups.max(2), k - 1, axis=1)[:, :k]
+    cols = (top[:, :, None] * group + np.arange(group)).reshape(n, -1)
+    inner = np.argpartition(-np.take_along_axis(sims, cols, 1), k - 1, axis=1)[:, :k]
+    return np.take_along_axis(cols, inner, 1)
+
+
 class Graph:
-    """Layers of links over unit vectors; layer k holds the vectors of level k and above."""
+    """Layers of links over unit vectors; layer k holds the vectors of level k and above. A vector's links are
+    chosen among the nearest of those put in before it, which products of blocks give exactly."""
 
     def __init__(self, x: np.ndarray, links: int = 12, beam: int = 48, seed: int = 3):
         self.x, n = x, len(x)
@@ -105,9 +122,9 @@ class Graph:
                 cand = np.zeros((len(new), 0), "i4")
                 sims = np.zeros((len(new), 0), "f4")
                 if done:
-                    start = self.descend(x[new], len(self.layers) - 1)
-                    start = np.where(np.isin(start, own[:done]), start, self.entry)
-                    cand, sims = search(x, graph, start, x[new], beam)
+                    before = x[new] @ x[own[:done]].T
+                    at = best(before, beam)
+                    cand, sims = own[at].astype("i4"), np.take_along_axis(before, at, 1)
                 among = x[new] @ x[new].T
                 np.fill_diagonal(among, -np.inf)
                 few = min(16, len(new) - 1)
@@ -121,6 +138,23 @@ class Graph:
                     self._back(graph, new, links)
                 done += len(new)
 
+    def __getstate__(self) -> tuple:
+        """Without the vectors, and of each layer only the rows that have links."""
+        own = [np.flatnonzero((layer >= 0).any(1)) for layer in self.layers]
+        return len(self.x), self.entry, [(at, layer[at]) for at, layer in zip(own, self.layers)]
+
+    def __setstate__(self, state: tuple) -> None:
+        n, self.entry, layers = state
+        self.layers = []
+        for at, rows in layers:
+            self.layers.append(np.full((n, rows.shape[1]), -1, "i4"))
+            self.layers[-1][at] = rows
+
+    def of(self, x: np.ndarray) -> Graph:
+        """A graph that was packed, with its vectors again."""
+        self.x = x
+        return self
+
     def _back(self, graph: np.ndarray, new: np.ndarray, links: int) -> None:
         """Links back from the chosen neighbours; a full list is thinned to diverse ones."""
         x = self.x
@@ -142,7 +176,7 @@ class Graph:
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
         for s in range(0, len(to), 256):
             c = cand[s : s + 256]
-            own = np.where(c >= 0, np.einsum("id,icd->ic", x[to[s : s + 256]], x[np.maximum(c, 0)]), -np.inf)
+            own = np.where(c >= 0, np.matmul(x[np.maximum(c, 0)], x[to[s : s + 256]][:, :, None])[:, :, 0], -np.inf)
             c = np.take_along_axis(c, np.argsort(-own, axis=1), 1)
             graph[to[s : s + 256]] = diverse(x, x[to[s : s + 256]], c, 2 * links)
 
@@ -188,6 +222,13 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def narrow(v: np.ndarray) -> np.ndarray:
+    """In single precision where that is exact."""
+    with np.errstate(over="ignore"):
+        single = v.astype("f4")
+    return single if (single == v).all() else v
+
+
 def pack_arrays(*arrays) -> bytes:
     return pickle.dumps(arrays, protocol=5)
 
@@ -198,7 +239,7 @@ def usable(column) -> F.Column:
     return F.coalesce((F.size(column) > 0) & ~bad & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192, block: int = 1024, beam: int = 32, recall: float = 0.98, audit: int = 24, together: int = 8) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 16384, block: int = 1024, beam: int = 48, recall: float = 0.98, audit: int = 24, together: int = 8) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a label,
@@ -218,12 +259,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192,
     def build(group: pa.Table) -> pa.Table:
         key, copies = group.column("key").to_numpy(), group.column("copies").to_numpy()
         x = np.stack(group.column("v").to_numpy())
-        blob = pack_arrays(key, copies, x, Graph(unit(x).astype("f4")))
+        blob = pack_arrays(key, copies, narrow(x), Graph(unit(x).astype("f4")))
         first = lambda c: [group.column(c)[0].as_py()]
         return pa.table({"label": first("label"), "dim": pa.array(first("dim"), pa.int32()), "shard": pa.array(first("shard"), pa.int32()), "blocks": pa.array(first("blocks"), pa.int32()), "graph": pa.array([blob], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
-        blob = pack_arrays(group.column("key").to_numpy(), np.stack(group.column("v").to_numpy()))
+        blob = pack_arrays(group.column("key").to_numpy(), narrow(np.stack(group.column("v").to_numpy())))
         first = lambda c: [group.column(c)[0].as_py()]
         return pa.table({"label": first("label"), "dim": pa.array(first("dim"), pa.int32()), "block": pa.array(first("block"), pa.int32()), "shards": pa.array(first("shards"), pa.int32()), "queries": pa.array([blob], pa.binary())})
 
@@ -235,11 +276,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192,
 
     @tidy
     def visit(graphs_: pa.Table, asks: pa.Table) -> pa.Table:
-        own = pickle.loads(graphs_.column("graph")[0].as_py())
+        key, copies, x, graph = pickle.loads(graphs_.column("graph")[0].as_py())
+        ux = unit(x.astype("f8"))
+        own = key, copies, ux, graph.of(ux.astype("f4"))
         return pa.concat_tables([visit_block(*own, *pickle.loads(q.as_py())) for q in asks.column("queries")])
 
-    def visit_block(key, copies, x, graph, ask, q) -> pa.Table:
-        ux, uq = unit(x), unit(q)
+    def visit_block(key, copies, ux, graph, ask, q) -> pa.Table:
+        uq = unit(q.astype("f8"))
         fast = uq.astype("f4")
         slack = np.float32(least - 1e-5)
         # held against brute force: some queries with all vectors of the shard, and all queries with some
@@ -255,7 +298,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 8192,
             a, b = (np.concatenate(p) for p in zip(*((s + i, j) for s in range(0, len(q), 512) for i, j in [graph.within(fast[s : s + 512], slack, width)])))
             cos = np.concatenate([np.einsum("id,id->i", uq[a[s : s + 65536]], ux[b[s : s + 65536]]) for s in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
             a, b = a[cos >= least], b[cos >= least]
-            if np.isin(sampled, a * len(ux) + b).sum() >= recall * len(sampled) or width >= len(x):
+            if np.isin(sampled, a * len(ux) + b).sum() >= recall * len(sampled) or width >= len(ux):
                 break
             width *= 2
         other = ask[a] != key[b]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkpact.llm.ann import nearest
-from sparkpact.llm.neardup import Graph, near_duplicates, unit
+from sparkpact.llm.neardup import Graph, best, near_duplicates, unit
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -39,6 +39,24 @@ def test_graph_finds_what_brute_force_finds():
     assert len(want & set(zip(a.tolist(), b.tolist()))) >= 0.99 * len(want)
 
 
+def test_graph_is_packed_without_vectors_and_empty_rows():
+    """Each layer was packed with a row for every vector, and the vectors with it: over 600 bytes a vector."""
+    import pickle
+
+    rng = np.random.default_rng(2)
+    x = unit(rng.normal(size=(6000, 64))).astype("f4")
+    x[1::50] = unit(x[::50] + 0.02 * rng.normal(size=x[::50].shape)).astype("f4")
+    graph = Graph(x)
+    sims = x[:300] @ x.T
+    exact = np.sort(np.argpartition(-sims, 47, axis=1)[:, :48], axis=1)
+    assert (np.sort(best(sims, 48), axis=1) == exact).all()
+    blob = pickle.dumps(graph)
+    again = pickle.loads(blob).of(x)
+    assert len(blob) < 130 * len(x) and all((a == b).all() for a, b in zip(graph.layers, again.layers))
+    found = again.within(x[:500], np.float32(0.93), 48)
+    assert sorted(zip(*map(list, found))) == sorted(zip(*map(list, np.nonzero(x[:500] @ x.T >= np.float32(0.93)))))
+
+
 @pytest.mark.parametrize("shard,block", [(8192, 1024), (100, 60)])
 def test_near_duplicates(spark, shard, block):
     rows = odd_rows(vectors())
